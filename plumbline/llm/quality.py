@@ -171,7 +171,7 @@ def judge_quality(docs: DataFrame, *keep: str, share: float = 0.75, rounds: int
     """
     named = [c for c in dict.fromkeys((*keep, *GROUP)) if c in docs.columns]
     counts = materialize(count_text(docs, *named).withColumns({"base_failed": base_failed(), "_lang": F.to_json(F.struct("lang")), "_both": F.to_json(F.struct(*GROUP))}), "quality")
-    large = counts.groupBy("_both").agg(F.count_if("NOT base_failed").alias("_n"))
+    large = counts.groupBy("_both").agg(F.count_if(~F.col("base_failed")).alias("_n"))
     counts = counts.join(large, "_both").withColumn("grp", F.when(F.col("_n") >= LEAST_ROWS, F.col("_both")).otherwise(F.col("_lang")))
     features = transformed(counts.where("NOT base_failed")).select("grp", *FEATURES)
     joined = transformed(counts).join(fit_mcd(features, share, rounds).select("grp", "mu", "inv"), "grp", "left")
