@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from plumbline.llm import html_extract, quality, url_filter
+from plumbline.llm import html_extract, packing, pii, quality, token_files, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_html_extract": html_extract.op2_html_extract,
+    "op4_token_files": token_files.op4_token_files,
+    "op7_pii": pii.op7_pii,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {"op1_url_filter": url_filter.SQL}
