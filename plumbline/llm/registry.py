@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from plumbline.llm import html_extract, packing, pii, quality, token_files, url_filter
+from plumbline.llm import html_extract, jaccard, mixing, neighbours, packing, pii, quality, token_files, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_html_extract": html_extract.op2_html_extract,
     "op4_token_files": token_files.op4_token_files,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op7_pii": pii.op7_pii,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_packing": packing.op10_packing,
 }
