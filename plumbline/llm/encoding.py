@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +12,11 @@ import numpy as np
 REMEMBERED = 1_000_000
 # White space and controls that the two splits below and the library's patterns may see differently.
 ODD = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
+#: Letters before this are Latin, composed and with simple lower cases.
+LATIN_END = "\u0250"
+# The signs that byte-level vocabularies write for bytes: a printable Latin-1 character for itself, the others from U+0100 on in order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SIGNS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 BYTE_PIECES = re.compile(r"\n| ?[^ \n]+")
 
 
@@ -43,7 +49,15 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[piece] = found = self._whole(piece)
+        word = piece[1:] if piece[0] == " " else piece
+        if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():  # a sign after letters, before white space, is a token of its own
+            found = self[piece[:-1]] + self[piece[-1]]
+        elif word.isalpha() and (word.isascii() or max(word) < LATIN_END) and (lower := word.lower()).isalpha():  # letters alone go to the merges without the patterns
+            seen = (lower if self.by_words else piece).encode().decode("latin-1").translate(BYTE_SIGNS)
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
+        else:
+            found = self._whole(piece)
+        self[piece] = found
         return found
 
     def _whole(self, text: str) -> bytes:
