@@ -116,7 +116,7 @@ def derive_flags(spark: SparkSession, annotations: DataFrame, depth: int = 200)
           FROM (SELECT r.seen, explode(a.bases) AS base FROM reach r JOIN plumbline_annotations a ON a.class = r.class)
           WHERE NOT array_contains(seen, base))
         SELECT DISTINCT a.fields FROM reach r JOIN plumbline_annotations a ON a.class = r.class""")
-    return closed.select(flag_name(F.explode("fields")).alias("flag")).distinct()
+    return closed.select(F.explode("fields").alias("field")).select(flag_name(F.col("field")).alias("flag")).distinct()
 
 
 def build_symbols(spark: SparkSession, files: DataFrame) -> DataFrame:

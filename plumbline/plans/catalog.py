@@ -2,5 +2,638 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions import scores, text
+from plumbline.operators import chunking, evaluation, fusion, grounding, retrieval, store, symbols
+from plumbline.sources import files
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def sql_values(rows: list) -> str:
+    """Rows as SQL literals."""
+    def one(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, list):
+            return "[" + ", ".join(map(one, v)) + "]"
+        return str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
+
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+# ---------------------------------------------------------------- retrieval
+
+QUERY_IDS = tuple(range(10))
+LEXICAL = (("q1", "the of"), ("q2", "that with"), ("q3", "and thth"), ("q4", "les des or der"), ("q5", '"of the"'), ("q6", "de -la"))
+
+
+def _queries(e: DataFrame) -> DataFrame:
+    return e.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _corpus(e: DataFrame) -> DataFrame:
+    return e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+
+
+DENSE_CTE = f"""
+dense_all AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
+  FROM embeddings q, embeddings c WHERE q.vec_id < {len(QUERY_IDS)}),
+dense AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM dense_all),
+byLabel AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(chunk_id - query_id * 7), chunk_id) AS rank, chunk_id FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id < {len(QUERY_IDS)})),
+lists AS (SELECT query_id, 'dense' AS source, rank, chunk_id FROM dense WHERE rank <= 50 UNION ALL SELECT query_id, 'sparse', rank, chunk_id FROM byLabel WHERE rank <= 50),
+fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM lists GROUP BY ALL),
+hybrid AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM fused)
+"""
+
+
+def _dense(e: DataFrame, k: int = 50) -> DataFrame:
+    return retrieval.dense_topk(_queries(e), _corpus(e), k, 6)
+
+
+def _by_label(e: DataFrame, k: int = 50) -> DataFrame:
+    """A second ranked list: the query's label, nearest to seven times its id first."""
+    q = e.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), "label")
+    pairs = e.select(F.col("vec_id").alias("chunk_id"), "label").join(F.broadcast(q), "label")
+    return fusion.top_k(pairs, ["query_id"], k, F.abs(F.col("chunk_id") - F.col("query_id") * 7), F.col("chunk_id")).select("query_id", "rank", "chunk_id")
+
+
+def _lists(e: DataFrame) -> DataFrame:
+    dense = _dense(e).select("query_id", F.lit("dense").alias("source"), "rank", "chunk_id")
+    return dense.unionByName(_by_label(e).select("query_id", F.lit("sparse").alias("source"), "rank", "chunk_id"))
+
+
+def _fused(e: DataFrame) -> DataFrame:
+    out = fusion.reciprocal_rank_fusion(_lists(e), 60, None).withColumn("score", F.round("score", 10)).drop("rank")
+    return fusion.top_k(out, ["query_id"], 20, F.desc("score"), F.asc("chunk_id"))
+
+
+@query(f"WITH {DENSE_CTE} SELECT query_id, rank, chunk_id, score FROM dense WHERE rank <= 5")
+def dense_topk(spark, sf_dir):
+    return _dense(read(spark, sf_dir, "embeddings"), 5)
+
+
+@query(f"WITH {DENSE_CTE} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM dense_all WHERE label = 3 QUALIFY rank <= 5")
+def dense_topk_filtered(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return retrieval.dense_topk(_queries(e), _corpus(e.where("label = 3")), 5, 6)
+
+
+@query(f"WITH {DENSE_CTE} SELECT query_id, rank, chunk_id, score FROM hybrid WHERE rank <= 20")
+def rrf_fusion(spark, sf_dir):
+    return _fused(read(spark, sf_dir, "embeddings")).select("query_id", "rank", "chunk_id", "score")
+
+
+@query(f"WITH {DENSE_CTE}, r AS (SELECT query_id, chunk_id, max(CASE WHEN source = 'dense' THEN rank END)::INT AS dense_rank, max(CASE WHEN source = 'sparse' THEN rank END)::INT AS sparse_rank FROM lists GROUP BY ALL) SELECT query_id, chunk_id, dense_rank, sparse_rank FROM r JOIN hybrid USING (query_id, chunk_id) WHERE hybrid.rank <= 20")
+def rrf_ranks(spark, sf_dir):
+    out = _fused(read(spark, sf_dir, "embeddings"))
+    return out.select("query_id", "chunk_id", F.try_element_at("ranks", F.lit("dense")).alias("dense_rank"), F.try_element_at("ranks", F.lit("sparse")).alias("sparse_rank"))
+
+
+LEX_TOKENS = f"""
+pos AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS p FROM documents),
+tok AS (SELECT DISTINCT chunk_id, term FROM pos WHERE term NOT IN ({", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)}))
+"""
+
+
+@query(f"WITH {LEX_TOKENS} SELECT a.chunk_id FROM tok a JOIN tok b USING (chunk_id) WHERE a.term = 'thth' AND b.term = 'onre'")
+def sparse_and_search(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return retrieval.lexical_search(retrieval.postings(d), [("q", "thth onre")], 1_000_000_000).select("chunk_id")
+
+
+@query(f"WITH {LEX_TOKENS} SELECT DISTINCT chunk_id FROM tok WHERE term IN ('thth', 'onre') AND chunk_id NOT IN (SELECT chunk_id FROM tok WHERE term = 'les')")
+def sparse_or_not_search(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return retrieval.lexical_search(retrieval.postings(d), [("q", "thth or onre -les")], 1_000_000_000).select("chunk_id")
+
+
+@query(f"WITH {LEX_TOKENS} SELECT DISTINCT a.chunk_id FROM pos a JOIN pos b ON a.chunk_id = b.chunk_id AND b.p = a.p + 1 WHERE a.term = 'que' AND b.term = 'les'")
+def sparse_phrase_search(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return retrieval.lexical_search(retrieval.postings(d), [("q", '"que les"')], 1_000_000_000).select("chunk_id")
+
+
+@query(f"WITH {LEX_TOKENS}, m AS (SELECT chunk_id, p FROM pos WHERE term = 'thth'), n AS (SELECT chunk_id, p FROM pos WHERE term = 'onre'), u AS (SELECT chunk_id, p, 1 AS t FROM m UNION ALL SELECT chunk_id, p, 2 FROM n), w AS (SELECT chunk_id, p, t, lag(t) OVER x AS pt, lag(p) OVER x AS pp FROM u WINDOW x AS (PARTITION BY chunk_id ORDER BY p)) SELECT chunk_id, round(sum(0.1::DOUBLE / (p - pp)), 6) AS score FROM w WHERE pt <> t GROUP BY chunk_id")
+def cover_density_rank(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return retrieval.lexical_search(retrieval.postings(d), [("q", "thth onre")], 1_000_000_000).select("chunk_id", "score")
+
+
+def _hybrid(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return retrieval.search(_dense(e), _by_label(e), None, None, "hybrid", False, 10)
+
+
+@query(f"WITH {DENSE_CTE} SELECT query_id, rank, chunk_id, score FROM hybrid WHERE rank <= 10")
+def hybrid_search(spark, sf_dir):
+    return _hybrid(spark, sf_dir).withColumn("score", F.round("score", 10))
+
+
+@query(f"""WITH {DENSE_CTE}, asked AS (SELECT doc_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents WHERE doc_id < {len(QUERY_IDS)}),
+c AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+s AS (SELECT h.query_id, h.chunk_id, round(coalesce(len(list_intersect(a.w, c.w))::DOUBLE / nullif(len(a.w), 0), 0), 6) AS score FROM hybrid h JOIN asked a USING (query_id) JOIN c USING (chunk_id) WHERE h.rank <= 20)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM s QUALIFY rank <= 5""")
+def hybrid_rerank(spark, sf_dir):
+    e, d = read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "documents")
+    asked = d.where(F.col("doc_id") < len(QUERY_IDS)).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    best = _fused(e).select("query_id", "chunk_id").join(d.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").join(asked, "query_id")
+    score = lambda q, t: F.round(retrieval.overlap_score(q, t), 6)
+    return retrieval.rerank(best, 5, score).select("query_id", "rank", "chunk_id", "score")
+
+
+# ---------------------------------------------------------------- evaluation
+
+OUTCOMES_CTE = f"""{DENSE_CTE},
+cells AS (SELECT 'a' AS strategy, 'dense' AS mode, false AS rerank, query_id, rank, chunk_id FROM dense WHERE rank <= 20
+  UNION ALL SELECT 'a', 'hybrid', false, query_id, rank, chunk_id FROM hybrid WHERE rank <= 20
+  UNION ALL SELECT 'a', 'sparse', false, query_id, rank, chunk_id FROM byLabel WHERE rank <= 20),
+expected AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.vec_id % 5 = 0 WHERE q.vec_id < {len(QUERY_IDS)}),
+n_expected AS (SELECT query_id, count(*) AS n FROM expected GROUP BY ALL),
+ks AS (SELECT unnest([1, 3, 5, 10, 20]) AS k),
+per_query AS (SELECT c.strategy, c.mode, c.rerank, c.query_id, k, count(x.chunk_id)::DOUBLE / any_value(n) AS r FROM cells c CROSS JOIN ks JOIN n_expected USING (query_id) LEFT JOIN expected x ON x.query_id = c.query_id AND x.chunk_id = c.chunk_id AND c.rank <= k GROUP BY ALL),
+hits AS (SELECT c.strategy, c.mode, c.rerank, c.query_id, min(CASE WHEN x.chunk_id IS NOT NULL THEN c.rank END)::INT AS first_hit FROM cells c LEFT JOIN expected x USING (query_id, chunk_id) GROUP BY ALL)
+"""
+
+
+def _outcomes(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    cells = {"dense": _dense(e, 20), "hybrid": _fused(e), "sparse": _by_label(e, 20)}
+    rows = reduce(DataFrame.unionByName, (df.select(F.lit("a").alias("strategy"), F.lit(m).alias("mode"), F.lit(False).alias("rerank"), "query_id", "rank", "chunk_id") for m, df in cells.items()))
+    got = rows.groupBy("strategy", "mode", "rerank", "query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved_paths"))
+    q = e.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), "label")
+    want = e.where("vec_id % 5 = 0").join(F.broadcast(q), "label").groupBy("query_id").agg(F.sort_array(F.collect_list("vec_id")).alias("expected_paths"))
+    return got.join(want, "query_id")
+
+
+@query(f"WITH {OUTCOMES_CTE} SELECT strategy, mode, rerank, k, round(avg(r), 6) AS recall, count(r) AS graded FROM per_query GROUP BY ALL")
+def recall_at_k_grid(spark, sf_dir):
+    return evaluation.recall_grid(_outcomes(spark, sf_dir)).withColumn("recall", F.round("recall", 6))
+
+
+@query(f"WITH {OUTCOMES_CTE} SELECT strategy, mode, rerank, query_id, first_hit FROM hits")
+def first_hit_rank(spark, sf_dir):
+    return evaluation.first_hits(_outcomes(spark, sf_dir))
+
+
+@query(f"WITH {OUTCOMES_CTE} SELECT strategy, mode, rerank, query_id FROM hits WHERE first_hit IS NULL")
+def never_found(spark, sf_dir):
+    return evaluation.never_found(_outcomes(spark, sf_dir))
+
+
+@query(f"WITH {OUTCOMES_CTE} SELECT query_id FROM hits GROUP BY query_id HAVING count(first_hit) = 0")
+def never_anywhere(spark, sf_dir):
+    return evaluation.never_anywhere(_outcomes(spark, sf_dir))
+
+
+@query(f"""WITH {OUTCOMES_CTE}, p AS (SELECT count(*) FILTER (a.r > b.r) AS a_wins, count(*) FILTER (a.r < b.r) AS b_wins, count(*) FILTER (a.r = b.r) AS ties FROM per_query a JOIN per_query b USING (query_id, k) WHERE a.mode = 'hybrid' AND b.mode = 'dense' AND k = 10)
+SELECT a_wins, b_wins, ties, CASE WHEN a_wins + b_wins > 0 THEN round(least(1.0, 2.0 * (SELECT sum(factorial((a_wins + b_wins)::INT)::DOUBLE / (factorial(i::INT) * factorial((a_wins + b_wins - i)::INT))) FROM range(0, least(a_wins, b_wins) + 1) t(i)) / pow(2.0, a_wins + b_wins)), 8) END AS p FROM p""")
+def paired_sign_test(spark, sf_dir):
+    o = _outcomes(spark, sf_dir)
+    return evaluation.paired(o.where("mode = 'hybrid'"), o.where("mode = 'dense'"), 10).withColumn("p", F.round("p", 8))
+
+
+SIGNS = [(11, 0), (0, 11), (5, 5), (1, 0), (0, 0), (15, 0), (13, 3), (8, 0)]
+
+
+@query(f"SELECT w, l, CASE WHEN w + l > 0 THEN round(least(1.0, 2.0 * (SELECT sum(factorial((w + l)::INT)::DOUBLE / (factorial(i::INT) * factorial((w + l - i)::INT))) FROM range(0, least(w, l) + 1) t(i)) / pow(2.0, w + l)), 10) END AS p FROM (VALUES {sql_values(SIGNS)}) v(w, l)")
+def sign_test_values(spark, sf_dir):
+    return values(spark, SIGNS, "w int, l int").select("w", "l", F.round(scores.sign_test(F.col("w"), F.col("l")), 10).alias("p"))
+
+
+@query(f"WITH {OUTCOMES_CTE}, g AS (SELECT mode, avg(r) AS recall FROM per_query WHERE k = 5 GROUP BY mode) SELECT round(max(coalesce(recall, 0)), 6) AS best, max(coalesce(recall, 0)) >= 0.05 AS passed FROM g")
+def floor_gate(spark, sf_dir):
+    return evaluation.floor_gate(evaluation.recall_grid(_outcomes(spark, sf_dir)), 5, 0.05).withColumn("best", F.round("best", 6))
+
+
+@query(f"WITH {OUTCOMES_CTE}, g AS (SELECT strategy, mode, rerank, k, avg(r) AS recall FROM per_query GROUP BY ALL) SELECT '| ' || strategy || ' | ' || mode || ' | ' || rerank || ' | ' || string_agg(printf('%.2f', round(recall, 6)), ' | ' ORDER BY k) || ' |' AS line FROM g GROUP BY strategy, mode, rerank")
+def report_table(spark, sf_dir):
+    return evaluation.report_lines(evaluation.recall_grid(_outcomes(spark, sf_dir)).withColumn("recall", F.round("recall", 6)))
+
+
+# ---------------------------------------------------------------- chunks
+
+WINDOWS = """
+t AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS w FROM {table}),
+s AS (SELECT doc_id, w, unnest(range(0, greatest(ceil((len(w) - {target}) / {stride}.0), 0)::BIGINT * {stride} + 1, {stride})) AS beg FROM t WHERE len(w) > 0),
+chunks AS (SELECT doc_id, (beg // {stride})::INT AS ordinal, regexp_replace(array_to_string(w[beg + 1 : beg + {target}], ''), '\\s+$', '') AS text, len(w[beg + 1 : beg + {target}])::INT AS token_count FROM s)
+"""
+
+
+@query("WITH" + WINDOWS.format(table="documents", target=128, stride=112) + "SELECT doc_id, ordinal, md5(text) AS h, token_count FROM chunks")
+def fixed_chunks(spark, sf_dir):
+    return chunking.fixed_chunks(read(spark, sf_dir, "documents"), 128, 16).select("doc_id", "ordinal", F.md5("text").alias("h"), "token_count")
+
+
+@query("WITH" + WINDOWS.format(table="documents", target=100, stride=100) + "SELECT doc_id, ordinal, md5(text) AS h, token_count FROM chunks")
+def oversized_split(spark, sf_dir):
+    return chunking.fixed_chunks(read(spark, sf_dir, "documents"), 100, 0).select("doc_id", "ordinal", F.md5("text").alias("h"), "token_count")
+
+
+def _marked(d: DataFrame) -> DataFrame:
+    """Markup made of each document: its first lines below headings and in a fence."""
+    line = lambda k: F.coalesce(F.get(F.split("text", "\n"), k), F.lit("none"))
+    return d.select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n"), line(0), F.lit("\n\n## "), "lang", F.lit("\n\n```bash\n"), line(1), F.lit("\n```\n\n"), line(2)).alias("text"))
+
+
+MARKED = """marked AS (SELECT doc_id, '# ' || source || chr(10) || chr(10) || l1 || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || '```bash' || chr(10) || l2 || chr(10) || '```' || chr(10) || chr(10) || l3 AS text, source, lang, l1, l2, l3
+  FROM (SELECT *, coalesce(p[1], 'none') AS l1, coalesce(p[2], 'none') AS l2, coalesce(p[3], 'none') AS l3 FROM (SELECT *, string_split(text, chr(10)) AS p FROM documents)))"""
+
+
+@query(f"""WITH {MARKED}, b AS (SELECT doc_id, unnest([
+  {{'kind': 'heading', 'body': source, 'level': 1}}, {{'kind': 'text', 'body': l1, 'level': 0}}, {{'kind': 'heading', 'body': lang, 'level': 2}}, {{'kind': 'code', 'body': '```bash' || chr(10) || l2 || chr(10) || '```', 'level': 0}}, {{'kind': 'text', 'body': l3, 'level': 0}}]) AS x, generate_subscripts([1, 2, 3, 4, 5], 1) AS i FROM marked WHERE trim(l1) <> '' AND trim(l3) <> '')
+SELECT doc_id, (i - 1)::INT AS ordinal, x.kind AS kind, trim(x.body) AS text, x.level AS level FROM b""")
+def md_blocks(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    full = lambda k: F.trim(F.coalesce(F.get(F.split("text", "\n"), k), F.lit("none"))) != ""
+    return chunking.blocks(_marked(docs.where(full(0) & full(2)))).select("doc_id", "ordinal", "kind", "text", "level")
+
+
+@query(f"""WITH {MARKED}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, source, lang FROM marked)
+SELECT doc_id, n::INT AS line, CASE WHEN n >= 4 THEN source || ' > ' || lang ELSE source END AS path FROM l""")
+def heading_path(spark, sf_dir):
+    lines = _marked(read(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return chunking.heading_paths(lines)
+
+
+@query()
+def structure_chunks(spark, sf_dir):
+    return chunking.structured_chunks(_marked(read(spark, sf_dir, "documents")), 64, 8)
+
+
+@query("WITH" + WINDOWS.format(table="documents", target=128, stride=112) + "SELECT 'fixed' AS strategy, count(*) AS chunks, 0::BIGINT AS code_only FROM chunks")
+def chunk_stats(spark, sf_dir):
+    made = chunking.build_chunks(read(spark, sf_dir, "documents"), ("fixed",), target=128, overlap=16)
+    return made.groupBy("strategy").agg(F.count("*").alias("chunks"), F.count_if("is_code_block").alias("code_only"))
+
+
+@query()
+def chunk_stats_both(spark, sf_dir):
+    made = chunking.build_chunks(_marked(read(spark, sf_dir, "documents")), target=64, overlap=8, max_tokens=64, min_tokens=8)
+    return made.groupBy("strategy").agg(F.count("*").alias("chunks"), F.count_if("is_code_block").alias("code_only"))
+
+
+@query("WITH" + WINDOWS.format(table="documents", target=128, stride=112) + """, pairs AS (SELECT d.doc_id, b.item_id, b.text AS body, len(regexp_extract_all(b.text, '\\S+')) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+m AS (SELECT p.doc_id, p.item_id, p.n, bool_or(contains(c.text, p.body)) AS hit FROM pairs p JOIN chunks c USING (doc_id) GROUP BY ALL),
+f AS (SELECT CASE WHEN n <= 32 THEN '<=32' WHEN n <= 64 THEN '33-64' WHEN n <= 128 THEN '65-128' WHEN n <= 256 THEN '129-256' ELSE '>256' END AS bucket, hit FROM m)
+SELECT 'fixed' AS strategy, bucket, count(*) AS blocks, count(*) FILTER (hit) AS intact, round(count(*) FILTER (hit) / count(*), 6) AS rate FROM f GROUP BY ROLLUP (bucket) HAVING count(*) > 0""")
+def passage_integrity(spark, sf_dir):
+    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    # Passages share words with the documents that hold them, so an equi-join on their first five words precedes the containment test.
+    key = lambda t: F.concat_ws(" ", F.slice(F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0)), F.lit(1), F.lit(5)))
+    grams = d.select("doc_id", F.explode(F.array_distinct(_grams("text", 5))).alias("key"))
+    asked = b.select("item_id", F.col("text").alias("body"), key("text").alias("key"))
+    pairs = grams.join(asked, "key").select("doc_id", "item_id", "body").distinct().join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", "body"))
+    bodies = pairs.select("doc_id", F.col("item_id").alias("ordinal"), "body")
+    return chunking.integrity(bodies, chunking.fixed_chunks(d, 128, 16)).withColumn("rate", F.round("rate", 6))
+
+
+def _grams(column: str, n: int):
+    """Runs of n words joined by spaces; the words are found once, not for each run."""
+    words = F.regexp_extract_all(column, F.lit(r"\S+"), F.lit(0))
+    out = words
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(words, F.lit(k + 1), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
+
+
+# ---------------------------------------------------------------- ingest and store
+
+
+@query("""WITH r AS (SELECT doc_id, '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) || '# ' || source || '  ' || chr(10) || text AS raw FROM documents), s AS (SELECT doc_id, trim(regexp_replace(raw, '^---\\r?\\n(?s:.*?)\\r?\\n---\\r?\\n', ''), chr(10) || ' ') AS text FROM r)
+SELECT 'docs/' || doc_id || '.md' AS source_path, trim(regexp_extract(text, '(?m)^#[ \\t]+(.+?)\\s*$', 1)) AS title, sha256(text) AS content_hash FROM s WHERE length(text) >= 200""")
+def front_matter_title_hash(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    raw = d.select(F.concat(F.lit("docs/"), F.col("doc_id"), F.lit(".md")).alias("path"), F.concat(F.lit("---\ntitle: x\n---\n# "), "source", F.lit("  \n"), "text").alias("content"))
+    return files.parse_markup(raw).where(F.length("text") >= 200).select("source_path", "title", "content_hash")
+
+
+@query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1, len(regexp_extract_all(html, '<h2>')) AS n_h2 FROM pages")
+def html_heading_extract(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"), F.regexp_count("html", F.lit("<h2>")).cast("long").alias("n_h2"))
+
+
+@query("""WITH o AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, n_chars * 2 AS n_chars FROM documents WHERE doc_id % 2 = 0)
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.n_chars ELSE o.n_chars END AS n_chars, CASE WHEN n.doc_id IS NULL THEN 'kept' WHEN o.doc_id IS NULL THEN 'inserted' ELSE 'updated' END AS change FROM o FULL JOIN n USING (doc_id)""")
+def upsert_merge(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return store.upsert(d.where("doc_id % 3 <> 0"), d.where("doc_id % 2 = 0").withColumn("n_chars", F.col("n_chars") * 2), ["doc_id"])
+
+
+@query("SELECT source, lang, doc_id FROM documents WHERE lang <> 'en' UNION ALL SELECT source, lang, doc_id + 1000000 FROM documents WHERE lang = 'en' AND doc_id % 2 = 0")
+def replace_chunks(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("source", "lang", "doc_id")
+    return store.replace_by_key(d, d.where("lang = 'en' AND doc_id % 2 = 0").withColumn("doc_id", F.col("doc_id") + 1000000), ["lang"])
+
+
+@query("SELECT arg_max(event_type, (ts, event_id)) AS event_type FROM events")
+def latest_commit(spark, sf_dir):
+    return store.latest(read(spark, sf_dir, "events"), "event_type", "ts", "event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def incremental_pending(spark, sf_dir):
+    return store.pending(read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels"), "doc_id")
+
+
+NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in NAMES))
+def table_counts(spark, sf_dir):
+    return store.table_counts({n: read(spark, sf_dir, n) for n in NAMES})
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS chunks, (SELECT count(embedding) FROM embeddings) AS embedded, (SELECT count(*) FROM part) AS symbols, (SELECT count(embedding) FROM embeddings) > 0 AS ok")
+def health_counts(spark, sf_dir):
+    return store.health(read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "part"))
+
+
+# ---------------------------------------------------------------- citations, claims, grounding
+
+CITED = "text || ' [' || (turn % 4) || '] and [1, ' || (conv_id % 9) || '].'"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, role, {CITED} AS t FROM conversations), c AS (SELECT conv_id, turn, role, unnest(regexp_extract_all(t, '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1)) AS g FROM a), n AS (SELECT DISTINCT conv_id, turn, role, unnest(string_split(g, ','))::INT AS n FROM c)
+SELECT conv_id, turn, role, string_agg(n, ',' ORDER BY n) AS cited, coalesce(string_agg(n, ',' ORDER BY n) FILTER (n < 1 OR n > 5), '') AS invalid, array_to_string(list_filter([1, 2, 3, 4, 5], lambda x: NOT list_contains(list(n), x)), ',') AS uncited FROM n GROUP BY ALL""")
+def citations_report(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    a = c.select("conv_id", "turn", "role", F.concat("text", F.lit(" ["), F.col("turn") % 4, F.lit("] and [1, "), F.col("conv_id") % 9, F.lit("].")).alias("answer_text"), F.lit(5).alias("n_spans"))
+    out = grounding.citation_report(a)
+    listed = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",")
+    return out.select("conv_id", "turn", "role", listed("cited").alias("cited"), listed("invalid").alias("invalid"), listed("uncited").alias("uncited"))
+
+
+CLAIM_SQL = r"""
+turns AS (SELECT conv_id * 1000 + turn AS answer_id, text FROM conversations WHERE role = 'assistant'),
+safe AS (SELECT answer_id, regexp_replace(regexp_replace(text, '(\d)\.(\d)', '\1' || chr(2) || '\2', 'g'), '(\d)\.(\d)', '\1' || chr(2) || '\2', 'g') AS t FROM turns),
+lines AS (SELECT answer_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS ln FROM safe),
+clean AS (SELECT answer_id, ln, trim(regexp_replace(regexp_replace(line, '^\s*(?:[-*+]|\d+[.)])\s+', ''), '^\s*#{1,6}\s+', '')) AS line FROM lines),
+cut AS (SELECT answer_id, ln, string_split(regexp_replace(line, '([.!?])\s+([A-Z(\[*`"''-])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM clean),
+parts AS (SELECT answer_id, ln, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM cut),
+claims AS (SELECT answer_id, ln, i, replace(trim(s), chr(2), '.') AS text FROM parts WHERE len(regexp_extract_all(regexp_replace(s, '\[(\d+(?:\s*,\s*\d+)*)\]', ' ', 'g'), '[A-Za-z][A-Za-z''-]*')) >= 4 AND NOT (ends_with(trim(s), ':') AND len(regexp_extract_all(s, '[A-Za-z][A-Za-z''-]*')) <= 8))
+"""
+
+
+@query("WITH" + CLAIM_SQL + "SELECT answer_id, (row_number() OVER (PARTITION BY answer_id ORDER BY ln, i) - 1)::INT AS ordinal, text FROM claims")
+def sentence_claims(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return grounding.extract_claims(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.col("text").alias("answer_text"))).select("answer_id", "ordinal", "text")
+
+
+REMARKS = [("The spans don't cover this option.",), ("I can't say which value is the default.",), ("The default is 256 tokens.",), ("From the provided context, use two workers.",), ("There is nothing in the manual about it.",), ("Increase the span width.",)]
+
+
+@query(f"SELECT t, regexp_matches(t, '(?i)\\b(?:provided\\s+|retrieved\\s+|given\\s+)?(?:spans?|context|documentation provided)\\b') OR regexp_matches(t, '(?i)\\b(?:I(?:''d| would)? (?:can''?t|cannot|could not|couldn''?t|need|rather not)|there is nothing in|I do not have|I don''?t have)\\b') AS remark FROM (VALUES {sql_values(REMARKS)}) v(t)")
+def context_remark_flag(spark, sf_dir):
+    return values(spark, REMARKS, "t string").select("t", text.is_context_remark(F.col("t")).alias("remark"))
+
+
+ATTRIBUTION = """
+claims AS (SELECT vec_id // 5 AS answer_id, (vec_id % 5)::INT AS ordinal, embedding, label, vec_id % 7 = 0 AS about_context, list_filter([vec_id % 3 + 1, label % 4 + 1, 9], lambda x: vec_id % 4 > 0) AS cited FROM embeddings WHERE vec_id < 200),
+spans AS (SELECT a AS answer_id, n AS span_no, e.embedding FROM range(40) t(a), range(1, 5) s(n), embeddings e WHERE e.vec_id = (a * 11 + n * 3) % 200),
+x AS (SELECT c.answer_id, c.ordinal, s.span_no, round(list_cosine_similarity(c.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) AS score FROM (SELECT DISTINCT answer_id, ordinal, embedding, unnest(cited) AS span_no FROM claims) c JOIN spans s USING (answer_id, span_no)),
+best AS (SELECT answer_id, ordinal, span_no, score FROM x QUALIFY row_number() OVER (PARTITION BY answer_id, ordinal ORDER BY score DESC, span_no) = 1),
+att AS (SELECT c.answer_id, c.ordinal, b.span_no::INT AS best_span, coalesce(b.score, 0) AS score, len(c.cited) > 0 AS cited, b.span_no IS NOT NULL AND b.score >= 0.1 AS supported, c.about_context FROM claims c LEFT JOIN best b USING (answer_id, ordinal)),
+sa AS (SELECT answer_id, avg(CASE WHEN NOT about_context THEN supported::INT::DOUBLE END) AS fraction, count(*) AS n_claims, count(*) FILTER (NOT about_context AND cited AND NOT supported) AS n_unsupported, count(*) FILTER (NOT about_context AND NOT cited) AS n_uncited, answer_id % 6 = 0 AS contradicted FROM att GROUP BY answer_id)
+"""
+
+
+def _attributions(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").where("vec_id < 200")
+    cited = F.when(F.col("vec_id") % 4 > 0, F.array((F.col("vec_id") % 3 + 1).cast("int"), (F.col("label") % 4 + 1).cast("int"), F.lit(9))).otherwise(F.array().cast("array<int>"))
+    claims = e.select(F.floor(F.col("vec_id") / 5).alias("answer_id"), (F.col("vec_id") % 5).cast("int").alias("ordinal"), F.array_sort(F.array_distinct(cited)).alias("cited_spans"), (F.col("vec_id") % 7 == 0).alias("about_context"), F.col("embedding").alias("vector"))
+    slots = spark.range(40).select(F.col("id").alias("answer_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("span_no")).withColumn("vec_id", (F.col("answer_id") * 11 + F.col("span_no") * 3) % 200)
+    spans = slots.join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("answer_id", "span_no", "vector")
+    return grounding.attribute(claims, spans, 0.1, 6)
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    return grounding.scored_answers(_attributions(spark, sf_dir), spark.range(0, 40, 6).select(F.col("id").alias("answer_id")))
+
+
+@query(f"WITH {ATTRIBUTION} SELECT answer_id, ordinal, best_span, score, cited, supported, about_context FROM att")
+def attribution_best_span(spark, sf_dir):
+    return _attributions(spark, sf_dir).select("answer_id", "ordinal", "best_span", "score", "cited", "supported", "about_context")
+
+
+@query(f"WITH {ATTRIBUTION} SELECT answer_id, round(fraction, 6) AS fraction, n_claims, n_unsupported, n_uncited, contradicted FROM sa")
+def support_fraction(spark, sf_dir):
+    return _scored(spark, sf_dir).withColumn("fraction", F.round("fraction", 6))
+
+
+@query(f"""WITH {ATTRIBUTION}, t AS (SELECT round(i / 10.0, 2)::DOUBLE AS threshold FROM range(11) r(i)), d AS (SELECT t.threshold, sa.*, coalesce(fraction >= threshold, false) AS deliver FROM sa, t),
+p AS (SELECT threshold, count(*) FILTER (deliver) AS answered, count(*) FILTER (NOT deliver) AS abstained, coalesce(sum(n_claims) FILTER (deliver), 0)::BIGINT AS delivered_claims, coalesce(sum(n_unsupported) FILTER (deliver), 0)::BIGINT AS unsupported, coalesce(sum(n_uncited) FILTER (deliver), 0)::BIGINT AS uncited, coalesce(sum(n_claims) FILTER (deliver AND contradicted), 0)::BIGINT AS contradicted FROM d GROUP BY threshold)
+SELECT *, round(answered / (answered + abstained), 6) AS answer_rate, round(unsupported / nullif(delivered_claims, 0), 6) AS unsupported_rate, round(uncited / nullif(delivered_claims, 0), 6) AS uncited_rate FROM p""")
+def tradeoff_curve(spark, sf_dir):
+    rounded = {c: F.round(c, 6) for c in ("answer_rate", "unsupported_rate", "uncited_rate")}
+    return grounding.tradeoff(_scored(spark, sf_dir)).withColumns(rounded)
+
+
+@query(f"WITH {ATTRIBUTION} SELECT answer_id, CASE WHEN contradicted THEN 'contradicted by the symbol table' WHEN fraction IS NULL THEN 'no claim could be judged' WHEN fraction < 0.5 THEN 'support below threshold' END AS reason FROM sa")
+def abstain_policy(spark, sf_dir):
+    return _scored(spark, sf_dir).select("answer_id", grounding.abstention(F.col("contradicted"), F.col("fraction"), 0.5).alias("reason"))
+
+
+JUDGED = "CASE answer_id % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'unverifiable' END"
+
+
+@query(f"WITH {ATTRIBUTION} SELECT answer_id, ordinal, CASE WHEN answer_id % 6 = 0 THEN 'contradicted' WHEN {JUDGED} IS NOT NULL THEN {JUDGED} WHEN NOT cited THEN 'unverifiable' WHEN supported THEN 'supported' ELSE 'unsupported' END AS verdict FROM att")
+def verdict_precedence(spark, sf_dir):
+    judged = F.expr(JUDGED)
+    return _attributions(spark, sf_dir).select("answer_id", "ordinal", grounding.verdict(F.col("answer_id") % 6 == 0, judged, F.col("cited"), F.col("supported")).alias("verdict"))
+
+
+@query(f"WITH {ATTRIBUTION}, j AS (SELECT *, {JUDGED} AS v FROM att WHERE {JUDGED} IS NOT NULL) SELECT count(*) FILTER ((v = 'supported') = supported) AS agree, count(*) FILTER (v <> 'supported' AND supported) AS judge_stricter, count(*) FILTER (v = 'supported' AND NOT supported) AS attribution_stricter FROM j")
+def judge_agreement(spark, sf_dir):
+    a = _attributions(spark, sf_dir)
+    return grounding.agreement(a, a.select("answer_id", "ordinal", F.expr(JUDGED).alias("verdict")).where("verdict IS NOT NULL"))
+
+
+@query("SELECT CASE WHEN toxic = 1 THEN 'unsupported' WHEN quality = 1 THEN 'supported' ELSE 'unverifiable' END AS verdict, count(*) AS n FROM labels GROUP BY 1")
+def verdict_hist(spark, sf_dir):
+    v = F.when(F.col("toxic") == 1, "unsupported").when(F.col("quality") == 1, "supported").otherwise("unverifiable")
+    return read(spark, sf_dir, "labels").groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, len(regexp_extract_all(text, '\\S+')) AS cost FROM documents QUALIFY rank <= 40),
+f AS (SELECT query_id, 0::BIGINT AS rank, 0::BIGINT AS used, false AS keep FROM (SELECT DISTINCT query_id FROM s) UNION ALL SELECT s.query_id, s.rank, CASE WHEN used + cost <= 2000 THEN used + cost ELSE used END, used + cost <= 2000 FROM f JOIN s ON s.query_id = f.query_id AND s.rank = f.rank + 1)
+SELECT query_id, rank::INT AS rank FROM f WHERE keep""")
+def fit_spans_budget(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    first = fusion.top_k(d.select(F.col("source").alias("query_id"), "doc_id", text.n_tokens(F.col("text")).alias("cost")), ["query_id"], 40, F.col("doc_id"))
+    return fusion.fit_budget(first, 2000).select("query_id", "rank")
+
+
+@query("""WITH s AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, CASE WHEN doc_id % 2 = 0 THEN lang END AS h, text FROM documents QUALIFY n <= 3)
+SELECT query_id, string_agg('[' || n || '] ' || coalesce(h, query_id || '.md') || ' (v1)' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context FROM s GROUP BY query_id""")
+def prompt_assembly(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    first = fusion.top_k(d.select(F.col("source").alias("query_id"), "doc_id", "lang", "text"), ["query_id"], 3, F.col("doc_id"))
+    spans = first.select("query_id", F.col("rank").alias("span_no"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("heading_path"), F.concat("query_id", F.lit(".md")).alias("source_path"), F.lit("v1").alias("version"), "text")
+    return grounding.build_prompts(spans)
+
+
+@query("""WITH a AS (SELECT label AS answer_id, list(CASE WHEN vec_id % 5 = 0 THEN -vec_id ELSE vec_id END ORDER BY vec_id DESC) AS ids FROM embeddings GROUP BY label), p AS (SELECT answer_id, unnest(ids) AS chunk_id, generate_subscripts(ids, 1) AS pos FROM a)
+SELECT answer_id, (row_number() OVER (PARTITION BY answer_id ORDER BY pos))::INT AS span_no, chunk_id FROM p JOIN embeddings e ON e.vec_id = p.chunk_id""")
+def answers_roundtrip_spans(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    ids = F.transform(F.sort_array(F.collect_list("vec_id"), asc=False), lambda v: F.when(v % 5 == 0, -v).otherwise(v))
+    answers = e.groupBy(F.col("label").alias("answer_id")).agg(ids.alias("retrieved_chunk_ids"))
+    return grounding.ordered_spans(answers, e.select(F.col("vec_id").alias("chunk_id"))).select("answer_id", "span_no", "chunk_id")
+
+
+# ---------------------------------------------------------------- symbols
+
+
+@query("SELECT p_name AS name, p_type AS kind, p_partkey AS source_file FROM part QUALIFY row_number() OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) = 1")
+def symbol_dedupe(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("source_file"), F.lit(0).alias("seq"))
+    return symbols.first_seen(p).select("name", "kind", "source_file")
+
+
+@query("""WITH k AS (SELECT unnest(['cli_flag', 'class', 'function', 'config_key']) AS kind), s AS (SELECT CASE p_size % 3 WHEN 0 THEN 'cli_flag' WHEN 1 THEN 'class' ELSE 'function' END AS kind FROM part), c AS (SELECT k.kind, count(s.kind) AS n FROM k LEFT JOIN s USING (kind) GROUP BY ALL)
+SELECT kind, n FROM c UNION ALL SELECT 'total', sum(n)::BIGINT FROM c""")
+def symbols_by_kind(spark, sf_dir):
+    kind = F.when(F.col("p_size") % 3 == 0, "cli_flag").when(F.col("p_size") % 3 == 1, "class").otherwise("function")
+    return symbols.symbols_by_kind(read(spark, sf_dir, "part").select(kind.alias("kind")))
+
+
+TEXTS = [(1, "vllm serve my-model --max-num-seqs 256"), (2, "pip install --upgrade x"), (3, "$ vllm serve m \\\n  --tensor-parallel 2 \\\n  --made-up 1\nthen --not-here"), (4, "A=1 python -m vllm.entry --max-num-seqs 2"), (5, "In vllm you can pass --made-up-flag"), (6, "nothing")]
+KNOWN = [("--max-num-seqs",), ("--tensor-parallel",)]
+FOUND = [(1, "--max-num-seqs"), (3, "--tensor-parallel"), (3, "--made-up"), (4, "--max-num-seqs")]
+
+
+@query(f"SELECT * FROM (VALUES {sql_values(FOUND)}) v(id, name)")
+def command_line_flags(spark, sf_dir):
+    return symbols.mentions(values(spark, TEXTS, "id int, text string"))
+
+
+@query(f"WITH t(id) AS (VALUES (1), (2), (3), (4), (5), (6)), m(id, name) AS (VALUES {sql_values(FOUND)}), k(name) AS (VALUES {sql_values(KNOWN)}), x AS (SELECT id, count(*) AS n, count(*) FILTER (name NOT IN (SELECT name FROM k)) AS bad, string_agg(name, ',') FILTER (name NOT IN (SELECT name FROM k)) AS missing FROM m GROUP BY id) SELECT id, CASE WHEN bad > 0 THEN 'contradicted' WHEN n > 0 THEN 'supported' ELSE 'unverifiable' END AS verdict, coalesce(missing, '') AS missing FROM t LEFT JOIN x USING (id)")
+def missing_symbols(spark, sf_dir):
+    texts = values(spark, TEXTS, "id int, text string")
+    known = values(spark, KNOWN, "name string").withColumn("kind", F.lit("cli_flag"))
+    return symbols.symbol_verdicts(texts, symbols.mentions(texts), known).withColumn("missing", F.array_join("missing", ","))
+
+
+CLASSES = [("f", 0, "Base", ["model_name"], ["Loop"], []), ("f", 1, "Loop", ["max_len"], ["Base"], []), ("f", 2, "Front", ["tool_parser"], ["Base"], ["Front"]), ("f", 3, "Other", ["unused_field"], [], [])]
+
+
+@query(f"""WITH RECURSIVE c(f, s, class, fields, bases, makes) AS (VALUES {sql_values(CLASSES)}), r(class) AS (SELECT unnest(makes) FROM c UNION SELECT unnest(c.bases) FROM r JOIN c ON c.class = r.class)
+SELECT DISTINCT '--' || replace(unnest(fields), '_', '-') AS flag FROM r JOIN c USING (class)""")
+def flag_closure(spark, sf_dir):
+    return symbols.derive_flags(spark, values(spark, CLASSES, symbols.ANNOTATION))
+
+
+SOURCE = '''
+"""A module."""
+parser.add_argument("-m", "--model", help="x")
+parser.add_argument(name, "--computed")
+class Config:
+    """Settings."""
+    max_len: int = 4
+    """The longest input."""
+    _hidden: int = 1
+    def run(self, a: int) -> str:
+        """Runs."""
+class _Private:
+    x: int = 1
+async def serve(port: int = 1):
+    """Serves."""
+'''
+
+
+@query(f"SELECT * FROM (VALUES {sql_values([('--model', 'cli_flag', None), ('max_len', 'config_key', 'max_len: int = 4'), ('Config', 'class', 'class Config'), ('serve', 'function', 'async def serve(port: int=1)')])}) v(name, kind, signature)")
+def ast_symbols(spark, sf_dir):
+    code = values(spark, [("pkg/a.py", SOURCE), ("pkg/bad.py", "def (")], "path string, content string")
+    return symbols.build_symbols(spark, code).select("name", "kind", "signature")
+
+
+@query()
+def docstring_docs(spark, sf_dir):
+    return files.parse_docstrings(values(spark, [("pkg/a.py", SOURCE), ("pkg/bad.py", "def ("), ("pkg/none.py", "x = 1")], "path string, content string"))
+
+
+# ---------------------------------------------------------------- golden questions, costs, issues
+
+
+@query("""WITH g AS (SELECT DISTINCT source AS id, lang AS source_path FROM documents WHERE doc_id % 10 = 0), d AS (SELECT doc_id AS id, lang AS source_path FROM documents WHERE doc_id % 50 = 0)
+SELECT g.id, count(DISTINCT d.id) AS n, min(d.id) AS least FROM g JOIN d USING (source_path) GROUP BY g.id""")
+def golden_link(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    golden = d.where("doc_id % 10 = 0").groupBy(F.col("source").alias("id")).agg(F.collect_set("lang").alias("expected_source_paths"))
+    docs = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("source_path"))
+    chunks = docs.select(F.col("id"), F.col("id").alias("document_id"), F.lit("fixed").alias("strategy"))
+    out = files.link_golden(golden, docs, chunks, "fixed").where("expected_chunk_ids IS NOT NULL")
+    return out.select("id", F.size("expected_chunk_ids").cast("long").alias("n"), F.get("expected_chunk_ids", 0).alias("least"))
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def golden_missing(spark, sf_dir):
+    golden = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.array(F.col("doc_id").cast("string")).alias("expected_source_paths"))
+    docs = read(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("source_path"))
+    return files.missing_paths(golden, docs).select(F.col("id").alias("doc_id"))
+
+
+GOLDEN_ROWS = [("a", "How?", "https://github.com/x/1", "api", "easy"), ("a", "Why?", "https://github.com/x/2", "config", "hard"), ("b", "", "http://other", "api", "easy"), ("c", "What?", "https://github.com/x/3", "cooking", "odd")]
+PROBLEMS = [("a", "id is repeated"), ("a", "id is repeated"), ("b", "question is missing"), ("b", "not an issue URL"), ("c", "unknown category"), ("c", "unknown difficulty")]
+
+
+@query(f"SELECT * FROM (VALUES {sql_values(PROBLEMS)}) v(id, problem)")
+def golden_validation(spark, sf_dir):
+    return files.golden_violations(values(spark, GOLDEN_ROWS, "id string, question string, source_url string, category string, difficulty string"))
+
+
+@query("""WITH a AS (SELECT CASE conv_id % 4 WHEN 0 THEN 'large' WHEN 1 THEN 'medium' WHEN 2 THEN 'small' ELSE 'local' END AS model, len(regexp_extract_all(text, '\\S+')) AS i, turn AS o, CASE WHEN turn % 3 > 0 THEN length(text)::INT END AS ms, turn % 5 = 0 AS ab FROM conversations), p(model, ip, op) AS (VALUES ('large', 5.0, 25.0), ('medium', 2.0, 10.0), ('small', 1.0, 5.0)), c AS (SELECT a.*, (i * ip::DOUBLE + o * op::DOUBLE) / 1e6 AS cost FROM a LEFT JOIN p USING (model))
+SELECT count(*) AS answers, count(*) FILTER (ab) AS abstained, round(sum(cost), 8) AS cost, count(*) FILTER (cost IS NULL) AS unpriced, round(avg(ms), 6) AS mean_latency_ms, round(sum(cost) / count(*), 10) AS cost_per_answer FROM c""")
+def cost_rollup(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    m = F.when(F.col("conv_id") % 4 == 0, "large").when(F.col("conv_id") % 4 == 1, "medium").when(F.col("conv_id") % 4 == 2, "small").otherwise("local")
+    answers = c.select(m.alias("model"), text.n_tokens(F.col("text")).alias("input_tokens"), F.col("turn").alias("output_tokens"), F.when(F.col("turn") % 3 > 0, F.length("text")).alias("latency_ms"), (F.col("turn") % 5 == 0).alias("abstained"))
+    return evaluation.cost_rollup(answers).withColumns({"cost": F.round("cost", 8), "mean_latency_ms": F.round("mean_latency_ms", 6), "cost_per_answer": F.round("cost_per_answer", 10)})
+
+
+@query("SELECT round(avg(quality::DOUBLE), 6) AS answer_relevance, round(avg(CASE WHEN doc_id % 4 > 0 THEN (doc_id % 4 * toxic)::DOUBLE / (doc_id % 4) END), 6) AS context_relevance, count(*) FILTER (doc_id % 4 > 0 AND toxic = 1) AS fully_relevant, sum(doc_id % 100)::BIGINT AS input_tokens, sum(doc_id % 7)::BIGINT AS output_tokens FROM labels")
+def triad_rollup(spark, sf_dir):
+    s = read(spark, sf_dir, "labels").select(F.col("quality").cast("double").alias("answer_relevance"), (F.col("doc_id") % 4 * F.col("toxic")).alias("relevant_spans"), (F.col("doc_id") % 4).alias("total_spans"), (F.col("doc_id") % 100).alias("input_tokens"), (F.col("doc_id") % 7).alias("output_tokens"))
+    return evaluation.triad_rollup(s).withColumns({c: F.round(c, 6) for c in ("answer_relevance", "context_relevance")})
+
+
+ISSUES = [
+    ('{"number": 1, "html_url": "u1", "title": "[Usage]: How to batch?", "body": "### Your current environment\\r\\ndump\\r\\n### How would you like to use vllm\\r\\nI want batches.\\r\\n### Before submitting a new issue...\\r\\n- x", "labels": [{"name": "usage"}]}',),
+    ('{"number": 2, "html_url": "u2", "title": "Plain", "body": "Whole body stays.", "labels": null}',),
+    ('{"number": 3, "html_url": "u3", "title": "[Doc] Gap", "body": null}',),
+    ('{"number": 4, "html_url": "u4", "title": "Env", "body": "### Your current environment\\ndump\\n### Rest\\nkept", "labels": []}',),
+]
+ISSUE_ROWS = [(1, "How to batch?", "I want batches.", "usage"), (2, "Plain", "Whole body stays.", ""), (3, "Gap", "", ""), (4, "Env", "### Rest\nkept", "")]
+
+
+@query(f"SELECT * FROM (VALUES {sql_values(ISSUE_ROWS)}) v(number, title, question, labels)")
+def issue_candidates(spark, sf_dir):
+    out = files.parse_issues(values(spark, ISSUES, "value string"))
+    return out.select(F.col("number").cast("int").alias("number"), "title", "question", F.array_join("labels", ",").alias("labels"))
