@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join with set-relation skipping, and its connected components.
 
 A document is the set of its distinct word n-grams, as 64-bit hashes in ascending order. Index lists hold, for each hash, the sets
-whose prefix has it, with its position; positions that cannot belong to a link are skipped. Sets whose answers follow from a similar
+whose prefix has it, rare grams first, with its position; positions that cannot belong to a link are skipped. Sets whose answers follow from a similar
 set are not compared again: equal sets share one representative, the members of a list are first compared with the list's least
 set, and only pairs in different components are compared after that.
 """
@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.shared import LOWER, components, materialize, mix, prefix_hash, span_hash, steps, table, words
 
-#: Share of the hash range whose grams tell, before any list is made, that a document has too many grams of its own for a link.
-SAMPLED = 0.25
+#: Before any list is made, grams of a share of the hash range, this many times the share of grams that a linked set can have for
+#: itself, tell which documents have too many grams of their own.
+SAMPLED = 1.75
+#: Share of the hash range whose grams are ordered by how many sets have them.
+ORDERED = 0.5
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +66,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
 
-def own_grams(docs: DataFrame, size: int) -> DataFrame:
+def own_grams(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows (doc_id, own): how many grams of the sampled hash range occur in no other document. Grams of several documents are combined before the shuffle."""
-    limit = np.uint64(int(SAMPLED * 2**64))
+    limit = np.uint64(int(min(0.99, SAMPLED * (100 - percent) / 100) * 2**64))
 
     def run(batches):
         for b in batches:
@@ -87,16 +90,44 @@ def own_grams(docs: DataFrame, size: int) -> DataFrame:
     return single.groupBy("doc_id").agg(F.count("*").alias("own"))
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, grams): the whole set of each document, ascending."""
+def _needed(n: Column, percent: int) -> Column:
+    """Grams of a set of n that its prefix has: a linked set shares one of them, in whatever order all sets are."""
+    return n - F.floor((n * percent + 99) / 100).cast("int") + 1
+
+
+def full_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Rows (doc_id, grams, near, extra): the whole set of each document, ascending; how many of its grams are in the ordered
+    hash range; and, where those are fewer than its prefix, the grams after them that the prefix needs."""
+    limit = np.uint64(int(ORDERED * 2**64))
+
     def run(batches):
         for b in batches:
             for part, data, offsets in steps(b, "text"):
                 rows, grams = gram_sets(data, offsets, size)
-                edge = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=part.num_rows)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(edge, _signed(grams))], names=["doc_id", "grams"])
+                n = np.bincount(rows, minlength=part.num_rows)
+                edge = np.concatenate(([0], np.cumsum(n)))
+                near = np.bincount(rows[grams < limit], minlength=part.num_rows)
+                signed = _signed(grams)
+                lacking = np.maximum(n - (n * percent + 99) // 100 + 1 - near, 0)
+                extra = [signed[e + k : e + k + m] for e, k, m in zip(edge[:-1], near, lacking, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(edge.astype(np.int32), signed), pa.array(near.astype(np.int32)), pa.array(extra, pa.list_(pa.int64()))], names=["doc_id", "grams", "near", "extra"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>, near int, extra array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, grams array<long>")
+
+def prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (gram, doc_id, n, pos) of the prefixes in an order of all grams: those of the ordered range first, by the binary
+    logarithm of the number of sets that have them, rare ones first, then by hash. Grams that one set alone has take their places
+    in its prefix, but make no list."""
+    n = F.size("grams")
+    rows = sets.select("doc_id", n.alias("n"), F.explode(F.slice("grams", F.lit(1), F.col("near"))).alias("gram"))
+    counted = rows.withColumn("c", F.expr("count(*) OVER (PARTITION BY gram)"))
+    order = F.sort_array(F.collect_list(F.when(F.col("c") > 1, F.struct(F.floor(F.log2("c")).alias("k"), "gram"))))
+    each = counted.groupBy("doc_id").agg(F.first("n").alias("n"), F.count_if(F.col("c") == 1).cast("int").alias("own"), order.alias("rest"))
+    room = F.greatest(_needed(F.col("n"), percent) - F.col("own"), F.lit(0))
+    near = each.select("doc_id", "n", "own", F.posexplode(F.slice("rest", F.lit(1), room)).alias("i", "g")).select(F.col("g.gram").alias("gram"), "doc_id", "n", (F.col("own") + F.col("i")).alias("pos"))
+    far = sets.where(F.size("extra") > 0).select("doc_id", n.alias("n"), "near", F.posexplode("extra").alias("i", "gram")).select("gram", "doc_id", "n", (F.col("near") + F.col("i")).alias("pos"))
+    return near.unionByName(far)
 
 
 def _linked(a: Column, b: Column, overlap: Column, percent: int) -> Column:
@@ -120,14 +151,13 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame,
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     each = materialize(signatures(docs, size), "signatures")
     reps = each.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    own = own_grams(docs, size)
+    own = own_grams(docs, size, percent)
     # A linked set has at most 100 - percent of its grams outside the other one.
     hopeful = reps.join(own, reps["rep"] == own["doc_id"], "left").where(100 * F.coalesce("own", F.lit(0)) <= (100 - percent) * F.col("n")).select(F.col("rep").alias("doc_id"))
-    sets = materialize(full_sets(docs.join(hopeful, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
+    sets = materialize(full_sets(docs.join(hopeful, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size, percent), "sets")
 
     n = F.size("grams")
-    prefix = n - F.ceil(n * percent / 100).cast("int") + 1
-    lists = sets.select("doc_id", n.alias("n"), F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("pos", "gram"))
+    lists = materialize(prefix_lists(sets, percent), "prefixes")
     shared = lists.groupBy("gram").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").select("gram", "least")
     lists = materialize(lists.join(shared, "gram"), "lists")
 
@@ -162,7 +192,10 @@ def _pairs_of_lists(lists: DataFrame, found: DataFrame, percent: int) -> DataFra
     a, b = own.toDF("gram", "a", "na", "pa", "ca"), own.toDF("gram", "b", "nb", "pb", "cb")
     most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     possible = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _linked(F.col("na"), F.col("nb"), most, percent)
-    return a.join(b, "gram").where(possible).select("a", "b").distinct()
+    counted = a.join(b, "gram").where(possible).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    # The prefix that ends first holds n - needed + 1 grams, of which only the common ones here are shared: the rest bounds the overlap.
+    larger = F.greatest("na", "nb")
+    return counted.where(_linked(F.col("na"), F.col("nb"), F.col("c") + larger - _needed(larger, percent), percent)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
