@@ -10,7 +10,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,9 +17,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import materialize, table
 
 #: Bound on the rows the tree is fitted on, children of a node, sample rows of a leaf.
-SAMPLE, BRANCHES, LEAF = 20_000, 8, 48
+SAMPLE, BRANCHES, LEAF = 20_000, 16, 200
 #: Bound on the calibration queries, and the share of their true neighbours that the visited leaves must hold.
-CALIBRATION, RECALL = 200, 0.98
+CALIBRATION, RECALL = 200, 0.95
 #: Rows of a leaf that one task compares with queries; larger leaves are split.
 SPLIT = 20_000
 #: Scores this close are compared again by an exact sum.
@@ -129,7 +128,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, x) whose vector has the commonest length, only finite components and one that is not zero."""
     x = F.col("embedding")
     good = vectors.where(x.isNotNull() & F.col("vec_id").isNotNull()).where(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0))
-    return good.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("x"))
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    return good.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast(kind).alias("x"))
 
 
 def brute_force(rows: DataFrame, queries: list, dim: int, k: int) -> DataFrame:
@@ -153,11 +153,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    sizes = rows.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("most")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    sizes = rows.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))).alias("most")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n, most = sizes[0]["dim"], sizes[0]["n"], sizes[0]["most"]
-    rows = rows.where(F.size("x") == dim)
+    rows, kind = rows.where(F.size("x") == dim), dict(rows.dtypes)["x"]
     share = min(1.0, SAMPLE / n)
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("x").limit(SAMPLE).toArrow()
     tree = Tree(_lifted(_matrix(sample.column(0), dim), most))
@@ -168,7 +168,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
             leaf = model.value.place(_lifted(_matrix(b.column(1), dim), most))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf)], names=["vec_id", "x", "leaf"])
 
-    placed = materialize(rows.mapInArrow(place, "vec_id long, x array<double>, leaf int"), "leaves")
+    placed = materialize(rows.mapInArrow(place, f"vec_id long, x {kind}, leaf int"), "leaves")
     counts = np.zeros(max(1, tree.n_leaves), np.int64)
     for r in placed.groupBy("leaf").count().collect():  # one row per leaf of the bounded tree
         counts[r["leaf"]] = r["count"]
@@ -188,17 +188,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
     splits = np.maximum(1, -(-counts // SPLIT))
     parts = spark.createDataFrame([(i, int(s)) for i, s in enumerate(splits)], "leaf int, parts int")
 
-    def walk(frames):
-        for f in frames:
-            ids, vs, leaves = [], [], []
-            for i, x in zip(f["vec_id"], f["x"], strict=True):
-                found = model.value.walk(np.append(x, 0.0), visits, counts, k + 1)
-                ids += [i] * len(found)
-                vs += [x] * len(found)
-                leaves += found
-            yield pd.DataFrame({"query_id": ids, "q": vs, "leaf": leaves})
-
-    walked = queries.select("vec_id", "x").mapInPandas(walk, "query_id long, q array<double>, leaf int")
+    def walk(batches):
+        for b in batches:
+            found = [model.value.walk(q, visits, counts, k + 1) for q in np.pad(_matrix(b.column(1), dim), ((0, 0), (0, 1)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["query_id", "q", "leaves"])
+
+    walked = queries.select("vec_id", "x").mapInArrow(walk, f"query_id long, q {kind}, leaves array<int>").select("query_id", "q", F.explode("leaves").alias("leaf"))
     walked = walked.join(F.broadcast(parts), "leaf").select("query_id", "q", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     data = placed.join(F.broadcast(parts), "leaf").select("vec_id", "x", "leaf", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"))
 
