@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import html_extract, jaccard, mixing, neighbours, packing, pii, quality, token_files, url_filter
+from plumbline.llm import html_extract, jaccard, mixing, neighbours, packing, pii, quality, suffixes, token_files, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_html_extract": html_extract.op2_html_extract,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_token_files": token_files.op4_token_files,
     "op5_mixing": mixing.op5_mixing,
     "op6_neighbours": neighbours.op6_neighbours,
