@@ -134,13 +134,18 @@ def _linked(a: Column, b: Column, overlap: Column, percent: int) -> Column:
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (a, b, linked) of pairs(a, b) by their whole sets."""
+def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (a, b, na, nb, diff) of pairs(a, b): the sizes and the symmetric difference of their whole sets."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(left, "a").join(right, "b")
-    overlap = F.size(F.array_intersect("ga", "gb"))
-    return both.select("a", "b", _linked(F.size("ga"), F.size("gb"), overlap, percent).alias("linked"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    diff = F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga"))
+    return both.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), diff.alias("diff"))
+
+
+def _near(percent: int) -> Column:
+    """Whether a compared pair links, by the size of its difference."""
+    return (100 + percent) * F.size("diff") <= (100 - percent) * (F.col("na") + F.col("nb"))
 
 
 def link(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -159,22 +164,11 @@ def link(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame,
     n = F.size("grams")
     lists = materialize(prefix_lists(sets, percent), "prefixes")
     shared = lists.groupBy("gram").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").select("gram", "least")
-    lists = materialize(lists.join(shared, "gram"), "lists")
-
-    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    sizes = sets.select(F.col("doc_id").alias("least"), n.alias("m"))
-    stars = lists.where("doc_id <> least").groupBy("doc_id", "least").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    stars = materialize(stars.join(sizes, "least").where(fits).select(F.col("doc_id").alias("a"), F.col("least").alias("b"), "c"), "stars")
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
-    tested = materialize(compare(best, sets, percent), "tested")
-    links = tested.where("linked").select("a", "b")
-
-    for further in (lambda apart: stars.select("a", "b"), lambda apart: _pairs_of_lists(lists, apart, percent)):
-        found = components(links, "links")
-        todo = _apart(further(found), found).join(tested, ["a", "b"], "left_anti").distinct()
-        now = materialize(compare(todo, sets, percent), "tested")
-        tested = tested.unionByName(now)
-        links = links.unionByName(now.where("linked").select("a", "b"))
+    stars = lists.join(shared, "gram").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    known = materialize(compare(stars, sets), "stars")
+    links = known.where(_near(percent)).select("a", "b").unionByName(_certain(known, percent))
+    todo = _apart(_by_differences(known, percent), components(links, "links"))
+    links = links.unionByName(materialize(compare(todo, sets), "tested").where(_near(percent)).select("a", "b"))
     return each.join(reps, ["n", "s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "doc_id")), links
 
 
@@ -184,18 +178,40 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _pairs_of_lists(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that share a list but no component, without those that sizes and positions exclude."""
-    own = lists.join(found, lists["doc_id"] == found["node"], "left").select("gram", "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("c"))
-    mixed = own.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("gram")
-    own = materialize(own.join(mixed, "gram", "left_semi"), "mixed")
-    a, b = own.toDF("gram", "a", "na", "pa", "ca"), own.toDF("gram", "b", "nb", "pb", "cb")
-    most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    possible = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _linked(F.col("na"), F.col("nb"), most, percent)
-    counted = a.join(b, "gram").where(possible).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    # The prefix that ends first holds n - needed + 1 grams, of which only the common ones here are shared: the rest bounds the overlap.
-    larger = F.greatest("na", "nb")
-    return counted.where(_linked(F.col("na"), F.col("nb"), F.col("c") + larger - _needed(larger, percent), percent)).select("a", "b")
+def _gap(percent: int) -> Column:
+    """Two members of a family link exactly if their gaps' sum is at most 2 (100 + percent) times the grams common to their differences."""
+    return ((100 + percent) * F.size("diff") - (100 - percent) * F.col("na")).alias("gap")
+
+
+def _certain(known: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that follow from differences alone: members of a family whose gap and the family's least gap sum to 0 or less
+    link with the member that has the least. Any two members with such a sum are connected by that."""
+    own = known.select(F.col("b").alias("family"), "a", _gap(percent))
+    heads = known.select(F.col("b").alias("family"), F.col("b").alias("a"), (-(100 - percent) * F.col("nb")).alias("gap")).distinct()
+    least = own.unionByName(heads).groupBy("family").agg(F.min_by("a", F.struct("gap", "a")).alias("b"), F.min("gap").alias("least"))
+    return own.join(least, "family").where("gap + least <= 0 AND a <> b").select("a", "b").distinct()
+
+
+def _by_differences(known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a family, the sets compared with one representative, whose differences from it have enough in common.
+
+    Sets x and y differ by what is in one of their differences from the representative, but not in the other. So a link that is
+    not certain needs common grams in the differences, and the first of them, in an order of the family's grams from rare to
+    frequent, stands early in both. A large family of sets that all but link has few such pairs.
+    """
+    most = F.floor((100 - percent) * (F.col("na") * (100 + percent) / percent) / (100 + percent)).cast("int") + 2
+    rows = known.select(F.col("b").alias("family"), F.col("a").alias("x"), F.col("na").alias("n"), F.size("diff").alias("d"), _gap(percent), most.alias("most"), F.explode("diff").alias("gram"))
+    counted = rows.withColumn("c", F.expr("count(*) OVER (PARTITION BY family, gram)"))
+    order = F.sort_array(F.collect_list(F.when(F.col("c") > 1, F.struct(F.floor(F.log2("c")).alias("k"), "gram"))))
+    each = counted.groupBy("family", "x").agg(*(F.first(c).alias(c) for c in ("n", "d", "gap", "most")), F.count_if(F.col("c") == 1).cast("int").alias("own"), order.alias("rest"))
+    room = F.greatest(F.col("most") - F.col("own"), F.lit(0))
+    heads = each.select("family", "x", "n", "d", "gap", "own", F.posexplode(F.slice("rest", F.lit(1), room)).alias("i", "g"))
+    heads = materialize(heads.select("family", F.col("g.gram").alias("gram"), "x", "n", "d", "gap", (F.col("own") + F.col("i")).alias("pos")), "heads")
+    a, b = heads.toDF("family", "gram", "a", "na", "da", "pa_", "ia"), heads.toDF("family", "gram", "b", "nb", "db", "pb_", "ib")
+    need = F.ceil((F.col("pa_") + F.col("pb_")) / (2 * (100 + percent)))
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    early = (F.col("ia") <= F.col("da") - need) & (F.col("ib") <= F.col("db") - need)
+    return a.join(b, ["family", "gram"]).where((F.col("a") > F.col("b")) & fits & early).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
