@@ -132,7 +132,7 @@ def best_path(page: str | None) -> str | None:
 
 
 def extract_text(page: str | None, path: str | None) -> str:
-    """The blocks below path, else below the page's own best container; in an article or main element the whole element counts."""
+    """The blocks below path, else below the page's own best container, else all of them; in an article or main element the whole element counts."""
     found = list(_blocks(page or ""))
 
     def below(wanted: str | None) -> list[str]:
@@ -143,7 +143,7 @@ def extract_text(page: str | None, path: str | None) -> str:
         steps = steps[: tops[0] + 1] if tops else steps
         return [text for at, text, _ in found if at[: len(steps)] == steps]
 
-    return "\n".join(below(path) or below(best_path(page)))
+    return "\n".join(below(path) or below(best_path(page)) or [text for _, text, _ in found])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
