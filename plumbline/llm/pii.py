@@ -196,15 +196,15 @@ def spans_of(text: str, model: tuple, limits: tuple) -> list[dict]:
     return sorted(out, key=lambda r: (r["start"], KINDS.index(r["kind"]), r["end"]))
 
 
-def find_pii(docs: DataFrame, *keep: str, redact: bool = False) -> DataFrame:
-    """The columns keep of docs(text) and spans: personal data in each whole text, by start, then kind; positions in code points.
+def find_pii(docs: DataFrame, *keep: str, redact: bool = False, name: str = "spans") -> DataFrame:
+    """The columns keep of docs(text) and, under a name that keep has not, spans: personal data in each whole text, by start, then kind; positions in code points.
 
     Base spans have base true and score 1. Candidates that overlap no base span are added where the boosted trees give at
     least their kind's calibrated probability; of overlapping ones the most probable stays. Null and empty texts have no
     spans; repeated rows are treated one by one. With redact, text is added too, each span replaced by its kind in brackets.
     """
     trained_model = trained()
-    schema = docs.select(*keep).schema.add("spans", docs.sparkSession.range(0).select(F.lit(None).cast(SPANS)).schema[0].dataType)
+    schema = docs.select(*keep).schema.add(name, docs.sparkSession.range(0).select(F.lit(None).cast(SPANS)).schema[0].dataType)
     if redact:
         schema = schema.add("text", "string")
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("base", pa.bool_())]))
@@ -215,7 +215,7 @@ def find_pii(docs: DataFrame, *keep: str, redact: bool = False) -> DataFrame:
             texts = b.columns[-1].to_pylist()
             spans = [spans_of(t, model, limits) if t else [] for t in texts]
             more = [pa.array([redacted(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())] if redact else []
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(spans, arrow), *more], names=[*keep, "spans", *["text"] * redact])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(spans, arrow), *more], names=[*keep, name, *["text"] * redact])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
@@ -235,7 +235,7 @@ def redacted(text: str | None, spans: list[dict]) -> str | None:
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in text, and n_chars, where there is one, counted again."""
     columns = docs.columns
-    out = find_pii(docs, *(c for c in columns if c != "text"), redact=True)
+    out = find_pii(docs, *(c for c in columns if c != "text"), redact=True, name="_spans")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
     return out.select(*columns)

@@ -24,8 +24,8 @@ from plumbline.llm.shared import materialize, mix, prefix_hash, span_hash, steps
 LEAST, KEY = 50, 20
 #: Batches of a task's suffixes.
 BATCHES = 8
-#: Text bytes whose suffixes are packed together before they are dealt.
-PACK_BYTES = 1 << 22
+#: Text bytes whose suffixes are found and packed together; a step needs about a hundred times as many bytes of memory.
+PACK_BYTES = 1 << 20
 #: Differing contexts of one anchor that a task compares; an anchor with more has its strings dealt to several tasks by hash.
 CONTEXTS = 20_000
 ALL = np.uint64((1 << 64) - 1)
@@ -201,7 +201,7 @@ def apply_contexts(docs: DataFrame, found: DataFrame, least: int, key: int) -> D
 
     def run(batches):
         for b in batches:
-            for part, data, offsets in steps(b, "text"):
+            for part, data, offsets in steps(b, "text", PACK_BYTES):
                 at, row, grams, lo, hi, context = anchors(data, offsets, least, key)
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
                 raw, out = data.tobytes(), []
