@@ -24,6 +24,8 @@ from plumbline.llm.shared import materialize, mix, prefix_hash, span_hash, steps
 LEAST, KEY = 50, 20
 #: Batches of a task's suffixes.
 BATCHES = 8
+#: Buckets of suffixes for each shuffle partition: a task holds one bucket at a time.
+BUCKETS = 4
 #: Text bytes whose suffixes are found and packed together; a step needs about a hundred times as many bytes of memory.
 PACK_BYTES = 1 << 20
 #: Differing contexts of one anchor that a task compares; an anchor with more has its strings dealt to several tasks by hash.
@@ -266,7 +268,7 @@ def _release(spark: SparkSession) -> None:
 def repeated_runs(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     """Rows (doc_id, version, runs) of documents with bytes to remove: runs lists 64-bit (start, end) pairs that may overlap between list entries; version is the xxhash64 of the text."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     found = materialize(scan_suffixes(packed_suffixes(docs, buckets, least, key)), "contexts")
     _release(spark)
