@@ -1,16 +1,16 @@
-"""Best-fit packing of token pieces by hierarchical residual packing.
+"""Best-fit packing of token pieces by residual packing.
 
-Each partition packs its own pieces best-fit, longest first, and closes nearly full bins. Underfull bins then are items: groups of
-partitions pack them best-fit again, level by level, until one group is left.
+Each partition packs its own pieces best-fit, longest first, and closes nearly full bins. The pieces of all other bins are packed
+best-fit again over all partitions at once: lengths are small integers, so a table of the count of each length is all that this takes.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +21,7 @@ from plumbline.llm.encoding import encoder
 from plumbline.llm.shared import materialize, table
 
 CAPACITY = 2048
-#: Partitions, or groups of them, that one group of the next level takes.
-FAN = 8
-#: Underfull bins that a partition or group hands on; where there are more, its fullest are closed as they are, so none is lost.
-CARRIED = 4096
-#: Rows that a partition packs at a time; underfull bins of one run are items of the next.
+#: Rows that a partition packs at a time.
 RUN = 200_000
 
 
@@ -80,30 +76,74 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, by
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, piece int, start long, length long, {value} {kind}")
 
 
-def _closed(loads: np.ndarray, capacity: int, slack: int) -> np.ndarray:
-    """Which bins are nearly full, or too many to hand on."""
-    out = capacity - loads <= slack
-    left = np.flatnonzero(~out)
-    if len(left) > CARRIED:
-        out[left[np.argsort(-loads[left], kind="stable")[: len(left) - CARRIED]]] = True
+def best_fit_counts(counts: Mapping[int, int], capacity: int = CAPACITY) -> np.ndarray:
+    """Best-fit decreasing of counts[size] items of each size, in runs: rows (size, first item, first bin, items a bin, offset).
+
+    Item k of a size is in the last run whose first item is not above k; the run's bins take its items in turn, items a bin
+    each. A run takes up a bin's room to less than the size, so a bin is in a run for every halving of its room at most, and the
+    number of runs depends on the number of sizes alone.
+    """
+    open_bins: dict[int, list[tuple[int, int]]] = {}  # by free space: ranges (first, number) of bins
+    rooms: list[int] = []
+    out, made = [], 0
+
+    def put(room: int, first: int, n: int) -> None:
+        if room and n:
+            if room not in open_bins:
+                open_bins[room] = []
+                insort(rooms, room)
+            open_bins[room].append((first, n))
+
+    for size in sorted(counts, reverse=True):
+        item, left = 0, counts[size]
+        while left:
+            at = bisect_left(rooms, size)
+            if at == len(rooms):
+                room, first, n = capacity, made, -(-left // (capacity // size))
+                made += n
+            else:
+                room = rooms[at]
+                first, n = open_bins[room].pop()
+                if not open_bins[room]:
+                    del open_bins[room], rooms[at]
+            each = room // size
+            taken = min(left, n * each)
+            full, rest = divmod(taken, each)
+            out.append((size, item, first, each, capacity - room))
+            put(room, first + full + (rest > 0), n - full - (rest > 0))
+            put(room - each * size, first, full)
+            put(room - rest * size, first + full, int(rest > 0))
+            item, left = item + taken, left - taken
+    return np.array(out, np.int64).reshape(-1, 5)
+
+
+def _occurrence(values: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """For each value how many equal ones come before it; before has those of earlier calls, and is added to."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    first = np.searchsorted(ordered, ordered)
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - first + before[ordered]
+    before += np.bincount(values, minlength=len(before))
     return out
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, slack: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to items(length, ...): each item's bin and its place there, without gaps, as few bins as best fit finds.
 
-    slack: the free space up to which a bin is nearly full (1/256 of the capacity). Lengths must be from 1 to capacity; a null
-    or other length raises an error in its task. Items are written to the shared folder once; other columns stay, those named
-    sequence_id or offset are replaced. Only the underfull bins' numbers and loads move between partitions.
+    slack: the free space up to which a partition closes its bins (1/256 of the capacity); the items of every other bin are packed
+    over all partitions. Lengths must be from 1 to capacity; a null or other length raises an error in its task. Items are written to
+    the shared folder once; other columns stay, those named sequence_id or offset are replaced. The driver holds one count for each
+    length; the items of one length are numbered by partition, so no task takes all of them.
     """
     slack = capacity // 256 if slack is None else slack
     items = items.drop("sequence_id", "offset")
     names = items.columns
-    schema = StructType(list(items.schema)).add("_bin", "long").add("offset", "long").add("_load", "long").add("_part", "integer")
+    schema = StructType(list(items.schema)).add("_bin", "long").add("offset", "long").add("_turn", "long").add("_part", "integer")
     at = names.index("length")
 
     def local(batches):
-        part, made = TaskContext.get().partitionId(), 0
+        part, made, before = TaskContext.get().partitionId(), 0, np.zeros(capacity + 1, np.int64)
         held, rows = [], 0
 
         def flush():
@@ -113,11 +153,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int | None = None) -
             if len(sizes) and (sizes.min() < 1 or sizes.max() > capacity):
                 raise ValueError("an item's length is not from 1 to the capacity")
             bins, offsets, loads = best_fit(sizes, capacity)
-            handed = np.where(_closed(loads, capacity, slack), 0, loads)
             ids = (part << 32) + made + bins
             made += len(loads)
+            left = np.flatnonzero((capacity - loads > slack)[bins])
+            turns = np.full(len(sizes), -1, np.int64)
+            turns[left] = _occurrence(sizes[left], before)
             held, rows = [], 0
-            for name, column in (("_bin", ids), ("offset", offsets), ("_load", handed[bins]), ("_part", np.full(len(bins), part, np.int32))):
+            for name, column in (("_bin", ids), ("offset", offsets), ("_turn", turns), ("_part", np.full(len(bins), part, np.int32))):
                 whole = whole.append_column(name, pa.array(column))
             return whole.to_batches(max_chunksize=10_000)
 
@@ -130,34 +172,29 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int | None = None) -
             yield from flush()
 
     packed = materialize(items.mapInArrow(local, schema), "packed")
-    now = packed.where("_load > 0 AND offset = 0").select(F.col("_bin").alias("bin"), F.col("_load").alias("load"), F.col("_part").alias("part"))
-    top = now.agg(F.max("part")).first()[0]
-    moved = None
-
-    def again(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["load", "bin"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        bins, offsets, loads = best_fit(frame["load"].to_numpy(), capacity)
-        first = np.zeros(len(loads), np.int64)
-        first[bins[offsets == 0]] = frame["bin"].to_numpy()[offsets == 0]
-        handed = np.where(_closed(loads, capacity, slack), 0, loads)
-        return pd.DataFrame({"bin": frame["bin"], "to": first[bins], "shift": offsets, "load": handed[bins], "part": frame["part"]})
-
-    while top is not None:
-        grouped = now.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))
-        step = materialize(grouped.groupBy("part").applyInPandas(again, "bin long, to long, shift long, load long, part int"), "packed-level")
-        joins = step.where("bin <> to").select(F.col("bin").alias("_from"), F.col("to").alias("_to"), F.col("shift").alias("_shift"))
-        if moved is None:
-            moved = joins
-        else:
-            chained = moved.withColumnRenamed("_to", "_mid").withColumnRenamed("_shift", "_before")
-            chained = chained.join(joins, F.col("_mid") == joins["_from"], "left").select(chained["_from"], F.coalesce("_to", "_mid").alias("_to"), (F.col("_before") + F.coalesce("_shift", F.lit(0))).alias("_shift"))
-            moved = materialize(chained.unionByName(joins), "packed-moves")
-        now = step.where("load > 0 AND shift = 0").select("bin", "load", "part")
-        top = None if top < FAN else top // FAN
-    if moved is None:
-        return packed.select(*names, F.col("_bin").alias("sequence_id"), "offset")
-    joined = packed.join(moved, packed["_bin"] == moved["_from"], "left")
-    return joined.select(*(packed[c] for c in names), F.coalesce("_to", "_bin").alias("sequence_id"), (F.col("offset") + F.coalesce("_shift", F.lit(0))).alias("offset"))
+    counts = materialize(packed.where("_turn >= 0").groupBy("_part", F.col("length").cast("long").alias("_length")).agg(F.count("*").alias("_n")), "packed-counts")
+    bases = counts.selectExpr("_part AS _of", "_length", "sum(_n) OVER (PARTITION BY _length ORDER BY _part) - _n AS _base")  # one row per partition and length
+    runs = best_fit_counts({r[0]: r[1] for r in counts.groupBy("_length").agg(F.sum("_n")).collect()}, capacity)
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    joined = packed.join(bases, (F.col("_part") == F.col("_of")) & (F.col("length") == F.col("_length")), "left")
+    numbered = joined.select(*(packed[c] for c in names), "_bin", "offset", F.when(F.col("_turn") >= 0, F.col("_base") + F.col("_turn")).otherwise(-1).alias("_turn"))
+
+    def placed(batches):
+        size, first, start, each, offset = runs.T
+        keys = (size << 44) + first
+        for b in batches:
+            n = len(names)
+            ids, offsets, turns = (b.column(n + k).to_numpy().copy() for k in range(3))
+            left = np.flatnonzero(turns >= 0)
+            if len(left):
+                lengths = b.column(at).to_numpy()[left].astype(np.int64)
+                run = np.searchsorted(keys, (lengths << 44) + turns[left], side="right") - 1
+                k = turns[left] - first[run]
+                ids[left] = (1 << 62) + start[run] + k // each[run]
+                offsets[left] = offset[run] + k % each[run] * lengths
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(ids), pa.array(offsets)], names=[*names, "sequence_id", "offset"])
+
+    return numbered.mapInArrow(placed, StructType(list(items.schema)).add("sequence_id", "long").add("offset", "long"))
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:

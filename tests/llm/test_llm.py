@@ -201,6 +201,34 @@ def test_packing_is_close_to_the_bound(spark):
     assert got.count() == 4000 and got.select("sequence_id").distinct().count() <= 1.01 * -(-sum(sizes) // 2048) + 1
 
 
+def test_packing_fills_bins_of_a_hot_source(spark):
+    """5,000 long items in each of two partitions and the short ones that fill them in two others: as many bins as long items."""
+    sizes = [1400 + k % 8 for k in range(10_000)] + [600 + k % 8 for k in range(10_000)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(k, n) for k, n in enumerate(sizes)], 4), "k long, length long")
+    got = packing.pack(df).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(r["k"] for r in got) == list(range(20_000)) and len(by) == 10_000
+    for items in by.values():
+        ends = list(itertools.accumulate(n for _, n in sorted(items)))
+        assert [o for o, _ in sorted(items)] == [0, *ends[:-1]] and ends[-1] <= 2048
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_counted_best_fit_is_best_fit(seed):
+    rng = random.Random(seed)
+    counts = {n: rng.randint(1, 30) for n in rng.sample(range(1, 65), rng.randint(1, 40))}
+    runs = packing.best_fit_counts(counts, 64).tolist()
+    bins = defaultdict(list)
+    for size, n in counts.items():
+        for k in range(n):
+            _, first, start, each, offset = max(r for r in runs if r[0] == size and r[1] <= k)
+            bins[start + (k - first) // each].append((offset + (k - first) % each * size, size))
+    assert all([o for o, _ in sorted(b)] == [0, *itertools.accumulate(n for _, n in sorted(b))][:-1] and sum(n for _, n in b) <= 64 for b in bins.values())
+    assert len(bins) == len(packing.best_fit(np.array([s for s, n in counts.items() for _ in range(n)]), 64)[2])
+
+
 # ---------------------------------------------------------------- 5 mixing
 
 
