@@ -1,22 +1,25 @@
 """Mixing sources to target weights by Pfair scheduling of blocks.
 
-A source's documents form blocks of about equal size. A weight w gives a source's block j the release floor(j / w) and the deadline
-ceil((j + 1) / w), in slots of one block each; earliest deadline first among the released blocks then serves every source within
-one block of its weight's share at every slot. Weights are multiples of 1 / PERIOD, so the schedule repeats after PERIOD slots:
-the pattern of one period is worked out once, and a join on (source, block modulo the source's blocks in a period) places all blocks.
+A source's documents form blocks of about equal size. A share w gives a source's block j the release floor(j / w) and the deadline
+ceil((j + 1) / w), in slots of one block each, from the exact rational share; earliest deadline first among the released blocks
+then serves every source within one block of its share at every slot. The driver places blocks, not documents: one row for each
+block, which a join on (source, block) gives to the documents.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from fractions import Fraction
+from math import lcm
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import materialize, table
 
-#: Slots of a period; a source gets at least one of them.
+#: Slots of a pattern that repeats; a source gets at least one of them. mix() has no period.
 PERIOD = 1024
 #: Characters of a block.
 BLOCK = 1 << 18
@@ -38,45 +41,59 @@ def quantised(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, i
     return slots
 
 
-def pattern(slots: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period by earliest deadline first among released blocks: (source, block, release, deadline, slot). Ties go to the later release, then the source."""
-    period = sum(slots.values())
-    waiting, ready, out = [], [], []
-    for s, n in slots.items():
-        for j in range(n):
-            waiting.append((j * period // n, -(-(j + 1) * period // n), s, j))
+def schedule(weights: Mapping[str, float], blocks: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """The first blocks[s] blocks of each source by earliest deadline first among released blocks: (source, block, release, deadline, slot).
+
+    Ties go to the later release, then the source. Each block's slot is at its release or after, and before its deadline: that
+    holds for all blocks without end, so it holds for these. A source's next block waits for its last one, whose deadline is earlier.
+    """
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("a weight is not positive")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    units = {s: int(w * scale) for s, w in exact.items()}
+    total = sum(units.values())
+    waiting = [(0, s, 0) for s in units if blocks.get(s, 0)]
     heapq.heapify(waiting)
-    for slot in range(period):
+    ready, out, slot = [], [], 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            release, deadline, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, -release, s, j))
+            release, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // units[s]), -release, s, j))
         deadline, release, s, j = heapq.heappop(ready)
         out.append((s, j, -release, deadline, slot))
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, ((j + 1) * total // units[s], s, j + 1))
+        slot += 1
     return out
 
 
+def pattern(slots: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """One period of the schedule that has slots[s] blocks of each source."""
+    return schedule(slots, slots)
+
+
 def supply_weights(docs: DataFrame, flatten: float = 0.7) -> dict[str, float]:
     """Target weights from each source's characters to the power flatten: one row per source reaches the driver. A null source is the empty one."""
     sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).alias("n")).collect()
     return {r["s"]: float(r["n"]) ** flatten for r in sizes}
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float], period: int = PERIOD, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float], block: int = BLOCK) -> DataFrame:
     """Adds block, release, deadline and slot to docs(doc_id, source, text): the place of each row's block in the mixed order.
 
     Every row is placed once. While all sources last, the first slots of any number hold each source's share by weight to less
-    than one block; a source that has run out leaves its slots empty, and the others keep their proportions. Blocks are runs of
-    a source's rows in doc_id order within shards, cut where a running sum of characters plus one per row passes a multiple of
+    than one block; after a source has run out slots may stay empty, and the others keep their places within their shares. Blocks
+    are runs of a source's rows in doc_id order within shards, cut where a running sum of characters plus one per row passes a multiple of
     block. A null source is the empty one; a source without a weight raises an error on the driver. Null texts count one
     character. Repeated rows are placed one by one; an empty table gives none. Other columns stay, save the four names.
     """
     spark, names = docs.sparkSession, [c for c in docs.columns if c not in ("block", "release", "deadline", "slot")]
-    slots = quantised(weights, period)
-    shares = spark.createDataFrame([(s, n, *rest) for s, j, *rest in pattern(slots) for n in [j]], "_source string, _turn int, _release int, _deadline int, _slot int")
-    turns = spark.createDataFrame(list(slots.items()), "_source string, _turns int")
     rows = docs.select(*names).withColumn("_source", F.coalesce("source", F.lit("")))
     sizes = rows.groupBy("_source").agg(F.count("*").alias("_n"))
-    unknown = [r[0] for r in sizes.join(turns, "_source", "left_anti").limit(5).collect()]
+    unknown = [r[0] for r in sizes.select("_source").collect() if r[0] not in weights][:5]
     if unknown:
         raise ValueError(f"sources without a weight: {unknown}")
     shards = sizes.select("_source", F.ceil(F.col("_n") / SHARD_ROWS).alias("_shards"))
@@ -87,10 +104,11 @@ def mix(docs: DataFrame, weights: Mapping[str, float], period: int = PERIOD, blo
     counts = local.groupBy("_source", "_shard").agg((F.max("_local") + 1).alias("_blocks"))
     bases = counts.selectExpr("_source", "_shard", "sum(_blocks) OVER (PARTITION BY _source ORDER BY _shard) - _blocks AS _base")  # one row per shard
     placed = local.join(bases, ["_source", "_shard"]).withColumn("block", F.col("_base") + F.col("_local")).select("_source", "doc_id", "_text", "block")
-    at = placed.join(F.broadcast(turns), "_source").withColumn("_turn", F.pmod("block", "_turns").cast("int")).withColumn("_round", F.floor(F.col("block") / F.col("_turns")))
-    at = at.join(F.broadcast(shares), ["_source", "_turn"])  # period rows
-    start = F.col("_round") * period
-    at = at.select(F.col("_source").alias("_s"), F.col("doc_id").alias("_d"), F.col("_text").alias("_t"), "block", (start + F.col("_release")).alias("release"), (start + F.col("_deadline")).alias("deadline"), (start + F.col("_slot")).alias("slot"))
+    blocks = {r[0]: r[1] for r in counts.groupBy("_source").agg(F.sum("_blocks")).collect()}
+    slots = pd.DataFrame(schedule(weights, blocks), columns=["_of", "_number", "release", "deadline", "slot"])
+    slots = spark.createDataFrame(slots, "_of string, _number long, release long, deadline long, slot long")
+    at = placed.join(slots, (F.col("_source") == F.col("_of")) & (F.col("block") == F.col("_number")))
+    at = at.select(F.col("_source").alias("_s"), F.col("doc_id").alias("_d"), F.col("_text").alias("_t"), "block", "release", "deadline", "slot")
     keyed = rows.withColumn("_text", F.xxhash64("text"))
     joined = keyed.join(at, (F.col("_source") == F.col("_s")) & F.equal_null(F.col("doc_id"), F.col("_d")) & (F.col("_text") == F.col("_t")))
     return joined.select(*names, "block", "release", "deadline", "slot")

@@ -243,6 +243,28 @@ def test_pattern_stays_within_one_block():
             assert all(abs(served[x] - t * n / mixing.PERIOD) < 1 for x, n in slots.items())
 
 
+@pytest.mark.parametrize("weights", [{f"s{k:03}": 0.5 if k == 0 else 0.5 / 400 for k in range(401)}, {f"s{k}": float((k + 1) ** 3) ** 0.7 for k in range(20)}, {f"s{k:03}": 1.0 + k for k in range(700)}])
+def test_schedule_stays_within_one_block_of_the_given_weights(weights):
+    total, slots = sum(weights.values()), 6000
+    placed, served = mixing.schedule(weights, dict.fromkeys(weights, slots))[:slots], Counter()
+    assert [p[4] for p in placed] == list(range(slots))
+    for t, (s, j, release, deadline, _) in enumerate(placed, 1):
+        assert release <= t - 1 < deadline and j == served[s]
+        served[s] += 1
+        if t % 10 == 0:
+            assert all(abs(served[x] - t * w / total) < 1 + 1e-6 for x, w in weights.items())
+
+
+def test_mixing_follows_weights_of_many_sources(spark):
+    """Half of the weight at one of 601 sources; a block holds one document."""
+    data = [(k, "x" * 99, "big" if k < 600 else f"s{k}") for k in range(1200)]
+    weights = {"big": 0.5} | {f"s{k}": 0.5 / 600 for k in range(600, 1200)}
+    out = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), weights, block=100).collect()
+    assert sorted(r["slot"] for r in out) == list(range(1200))
+    for t in range(1, 1201, 50):
+        assert abs(sum(r["source"] == "big" and r["slot"] < t for r in out) - t / 2) < 1
+
+
 def test_mixing(spark, docs, none):
     out = mixing.mix(docs, mixing.supply_weights(docs), block=500)
     assert rows(out, "doc_id") == rows(docs, "doc_id")
