@@ -173,7 +173,10 @@ def judge_quality(docs: DataFrame, *keep: str, share: float = 0.75, rounds: int
     counts = materialize(count_text(docs, *named).withColumns({"base_failed": base_failed(), "_lang": F.to_json(F.struct("lang")), "_both": F.to_json(F.struct(*GROUP))}), "quality")
     large = counts.groupBy("_both").agg(F.count_if(~F.col("base_failed")).alias("_n"))
     counts = counts.join(large, "_both").withColumn("grp", F.when(F.col("_n") >= LEAST_ROWS, F.col("_both")).otherwise(F.col("_lang")))
-    features = transformed(counts.where("NOT base_failed")).select("grp", *FEATURES)
+    # A language with a small source has an estimate from all its rows, those of large sources too.
+    mixed = counts.groupBy("_lang").agg((F.min("_n") < LEAST_ROWS).alias("_mixed"))
+    groups = F.array_compact(F.array(F.when(F.col("_n") >= LEAST_ROWS, F.col("_both")), F.when(F.col("_mixed"), F.col("_lang"))))
+    features = transformed(counts.where("NOT base_failed").join(mixed, "_lang")).select(F.explode(groups).alias("grp"), *FEATURES)
     joined = transformed(counts).join(fit_mcd(features, share, rounds).select("grp", "mu", "inv"), "grp", "left")
     judged = joined.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     judged = judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))

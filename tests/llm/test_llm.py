@@ -418,6 +418,15 @@ def test_quality_outliers(spark):
     assert kept == set(range(300))
 
 
+def test_quality_of_a_small_source_is_judged_by_its_language(spark):
+    """Ten documents with a sign after each word, alone in their source, beside a large source of the language."""
+    rng = random.Random(9)
+    make = lambda n, sign: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) + sign for _ in range(n))
+    data = [(k, make(rng.randint(60, 400), ""), "en", "s0") for k in range(300)] + [(k, make(rng.randint(60, 400), "###"), "en", "s1") for k in range(300, 310)]
+    judged = quality.judge_quality(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), "doc_id")
+    assert {r["doc_id"] for r in judged.where("kept").collect()} == set(range(300))
+
+
 # ---------------------------------------------------------------- registration
 
 
