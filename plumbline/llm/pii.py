@@ -33,9 +33,11 @@ LOOSE = (
     ("email", re.compile(r"(?<![\w.])[\w.+-]{1,64}\s?(?:@|[\[(]\s?at\s?[\])])\s?[\w-]{1,63}(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[\w-]{2,63}){1,4}", re.I)),
     ("phone", re.compile(r"(?<![\w.+-])(?:\(?[0-9]{2,4}\)?[\x20./-]{1,2}){1,4}[0-9]{3,4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.])00[1-9][0-9][\x20().0-9-]{7,18}[0-9]")),
-    ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:])")),
+    ("ip", re.compile(r"(?<![\w:])(?:(?:H:){3,7}H|(?:H:){1,6}(?::H){1,6}|::H(?::H){0,6}|(?:H:){1,7}:)(?![\w:])".replace("H", "[0-9A-Fa-f]{1,4}"))),
     ("card", re.compile(r"(?<![\w.])[0-9]{4}(?:[\x20./-]{1,3}[0-9]{4}){2,3}(?:[\x20./-]{1,3}[0-9]{1,4})?(?![\w.])")),
 )
+#: Every match of LOOSE holds a match of this.
+GATE = re.compile(r"[0-9@]|[\[(]\s?at\s?[\])]|[0-9a-f]:[0-9a-f]|::", re.I)
 CUES = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write|reach)\b", re.I),
     "phone": re.compile(r"\b(?:phone|tel|telephone|call|mobile|cell|fax|sms|whatsapp)\b", re.I),
@@ -108,6 +110,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(groups[0].startswith(("19", "20")) and len(groups[0]) == 4) if groups else 0.0,
         float("/" in span),
         float(len(re.findall(r"[A-Fa-f]", span)) > 0 and ":" in span),
+        float("::" in span),
     ]
 
 
@@ -122,15 +125,20 @@ def examples(n: int, seed: int) -> tuple[list[str], list[tuple[str, int, int]],
         return next(body + c for c in "0123456789" if luhn(body + c))
 
     def email():
-        a, b = rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("@", " . "), (" @ ", ".")])
-        return "email", f"{w()}.{w()}{a}{w()}{b}{rng.choice(['com', 'org', 'net', 'de', 'fr'])}", rng.choice(["write to ", "mail: ", "contact ", w() + " "])
+        a, b = rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" (AT) ", " (DOT) "), ("(At)", "(Dot)"), (" [ at ] ", " [ dot ] "), ("@", " . "), (" @ ", ".")])
+        return "email", f"{rng.choice([w() + '.', ''])}{w()}{a}{w()}{b}{rng.choice(['com', 'org', 'net', 'de', 'fr'])}", rng.choice(["write to ", "mail: ", "contact ", w() + " "])
 
     def phone():
         s = rng.choice(" -.")
         return "phone", rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}", f"0049 {d(3)} {d(4)} {d(3)}", f"0{d(3)} {d(3)} {d(4)}"]), rng.choice(["call ", "tel: ", "phone ", "mobile ", "fax: "])
 
     def ip():
-        return "ip", ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8)), rng.choice(["from ", "host ", "ip ", w() + " "])
+        group = lambda: f"{rng.randrange(1, rng.choice([256, 65536])):x}"
+        span = ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8))
+        if rng.random() < 0.5:  # compressed
+            head = rng.choice(["2001:db8", "fe80", "", ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(rng.randint(1, 4)))])
+            span = f"{head}::{':'.join(group() for _ in range(rng.randint(0 if ':' in head else 1, 3)))}"
+        return "ip", span, rng.choice(["from ", "host ", "ip ", w() + " "])
 
     def plastic():
         c = card()
@@ -144,7 +152,8 @@ def examples(n: int, seed: int) -> tuple[list[str], list[tuple[str, int, int]],
         return "email", f"{w()} @ {w()} . {w()}", rng.choice(["x ", "price ", w() + " "])
 
     def not_ip():
-        return "ip", ":".join(d(2) for _ in range(rng.randint(4, 5))), rng.choice(["ratio ", "score ", "time ", w() + " "])
+        names = ["add", "bad", "cafe", "dead", "face", "ace", "bed", "fade"]
+        return "ip", rng.choice([":".join(d(2) for _ in range(rng.randint(4, 5))), f"{rng.choice(names)}::{rng.choice(names)}"]), rng.choice(["ratio ", "score ", "time ", w() + " "])
 
     def not_card():
         return "card", rng.choice(" -/.").join(d(4) for _ in range(rng.choice([3, 4]))), rng.choice(["order ", "serial ", "isbn ", w() + " "])
@@ -184,7 +193,7 @@ def trained(n: int = EXAMPLES, precision: float = PRECISION) -> tuple:
 def spans_of(text: str, model: tuple, limits: tuple) -> list[dict]:
     base = base_spans(text)
     out = [{"kind": k, "start": s, "end": e, "score": 1.0, "base": True} for k, s, e in base]
-    if DIGIT.search(text) or "@" in text or "(at" in text or "[at" in text:
+    if GATE.search(text):
         loose = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for _, s, e in base)]
         if loose:
             scores = boosting.predict(model, np.array([features(text, *c) for c in loose], float))

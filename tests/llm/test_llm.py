@@ -332,6 +332,21 @@ def test_trees_on_held_out_examples():
     assert labels[taken].mean() >= 0.99 and taken[labels == 1].mean() >= 0.9
 
 
+def test_gate_never_changes_the_candidates():
+    rng = random.Random(6)
+    parts = ["(", "[", ")", "]", " ", "at", "AT", "At", "dot", "DOT", ".", "jane", "roe", "com", ":", "::", "ab", "fe", "1", "@", "-"]
+    for _ in range(30000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert pii.GATE.search(t) or not pii.candidates(t), t
+
+
+@pytest.mark.parametrize("kind, span", [("email", "jane.roe (AT) example (DOT) com"), ("email", "jane [ at ] example [ dot ] com"), ("email", "jane.roe(At)example(Dot)org"), ("ip", "2001:db8::1"), ("ip", "fe80::1ff:fe23:4567:890a"), ("ip", "::1"), ("ip", "2001:db8:85a3::")])
+def test_loose_forms_are_found(kind, span):
+    assert (kind, 6, 6 + len(span)) in pii.candidates(f"reach {span} today")
+    found = pii.spans_of(f"write from {span} today", *pii.trained())
+    assert [(s["kind"], s["start"], s["end"]) for s in found] == [(kind, 11, 11 + len(span))]
+
+
 def test_pii(spark, docs, none):
     got = {r["doc_id"]: r for r in pii.find_pii(docs, "doc_id", "n_chars").collect()}
     assert [(s["kind"], s["base"]) for s in got[30]["spans"]] == [("email", True), ("phone", True), ("ip", True)]
