@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles at a time; a longer single text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one in local mode (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -34,18 +37,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage of df by a Parquet table in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Removes the files of a table that materialize() wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    folder = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
-    if folder and "-" in folder.rsplit("/", 1)[1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+def drop_tables(*tables: DataFrame) -> None:
+    """Removes the files of tables that materialize() wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare(wanted: str, taken) -> str:
+    """A column name like wanted that is none of those taken, in any case."""
+    taken = {c.lower() for c in taken}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges(a, b): rows (node, component), component the smallest reachable node.
 
@@ -68,8 +80,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         following = materialize(small, name)
-        drop_table(now)
-        drop_table(large)
+        drop_tables(now, large)
         now = following
 
 
@@ -81,9 +92,12 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: A-Z to a-z, every other byte to itself.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: A span is hashed by two polynomials modulo the prime 2^31 - 1.
+PRIME = (1 << 31) - 1
+BASES = (0x2F0B4C47, 0x5A1D9E63)
+#: Spans up to this length are hashed by them, many at a time; longer ones one by one, by a cryptographic hash.
+LONG_SPAN = 1 << 14
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -103,18 +117,6 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         lo = hi
 
 
-def power(n: int, base: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, STEP_BYTES * 2)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if size <= STEP_BYTES * 16:
-            _powers[base] = have
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix)."""
     h = h ^ (h >> np.uint64(30))
@@ -124,16 +126,64 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of byte times power of the base, modulo 2^64; one longer than data."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power(len(data), BASE)[: len(data)], out=out[1:])
-    return out
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, or the prime itself for zero; x below 2^63."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
-    return mix((prefix[end] - prefix[start]) * power(len(prefix), BASE_INVERSE)[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of base and of its inverse, modulo the prime."""
+    have = _powers.get(base)
+    if have is None or len(have[0]) < n:
+        size, both = max(n, 1 << 16), []
+        for b in (base, pow(base, -1, PRIME)):
+            out = np.ones(1, np.uint64)
+            while len(out) < size:
+                out = np.concatenate((out, _folded(out * np.uint64(pow(b, len(out), PRIME))) % np.uint64(PRIME)))
+            both.append(out[:size].astype(np.uint32))
+        have = _powers[base] = tuple(both)
+    return have
+
+
+def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each base, prefix sums of (byte + 1) times the base's powers; one longer than data, which has at most 2^24 bytes."""
+    if len(data) > 1 << 24:
+        raise ValueError("too long for one prefix hash")
+    raised, out = data.astype(np.uint64) + np.uint64(1), []
+    for base in BASES:
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(raised * powers(len(data), base)[0][: len(data)], out=sums[1:])
+        out.append(sums)
+    return tuple(out)
+
+
+def span_hash(prefix: tuple[np.ndarray, ...], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand; 62 bits of two prime moduli, and the length."""
+    halves = []
+    for sums, base in zip(prefix, BASES, strict=True):
+        inverse = powers(len(sums), base)[1]
+        half = _folded(_folded(sums[end] - sums[start]) * inverse[start])
+        half[half == PRIME] = 0
+        halves.append(half)
+    return mix((halves[0] << np.uint64(32) | halves[1]) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the disjoint, ascending spans data[start:end]; memory beyond the result does not grow with data."""
+    out = np.empty(len(start), np.uint64)
+    large = end - start > LONG_SPAN
+    for k in np.flatnonzero(large).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    small = np.flatnonzero(~large)
+    first, last = start[small], end[small]
+    lo = 0
+    while lo < len(small):
+        hi = max(lo + 1, int(np.searchsorted(last, first[lo] + STEP_BYTES, side="right")))
+        part = data[first[lo] : last[hi - 1]]
+        out[small[lo:hi]] = span_hash(prefix_hash(part), first[lo:hi] - first[lo], last[lo:hi] - first[lo])
+        lo = hi
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
