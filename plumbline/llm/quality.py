@@ -7,19 +7,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
-from plumbline.llm.shared import materialize, mix, prefix_hash, span_hash, steps, table, words
+from plumbline.llm.shared import drop_tables, hash_spans, join_small, materialize, mix, steps, table, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-#: Transformed statistics, their least standard deviations, and the group columns of the estimates.
+#: Transformed statistics, and the least standard deviation of each: where over half of a group's documents have the same value
+#: (no symbol, no repeat), the estimated one is near zero.
 FEATURES = ("f_length", "f_word", "f_symbols", "f_lines", "f_repeats")
-FLOOR = (0.5, 0.15, 0.25, 0.3, 0.4)
+FLOOR = (0.3, 0.03, 0.1, 0.25, 0.2)
 #: Squared distances above this are outliers: the 1 - 1e-7 quantile of chi-square with five degrees of freedom.
 CUTOFF = 41.0
-#: A (lang, source) with fewer rows shares the estimate of its language.
+#: A (lang, source) with fewer rows is judged by its language; a language with fewer rows, by all rows.
 LEAST_ROWS = 200
 GROUP = ("lang", "source")
 
@@ -41,47 +41,44 @@ def count_step(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     start, end, row = words(data, offsets)
     per_row = lambda rows, weights=None: np.bincount(rows, weights, n).astype(np.int64)
-    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    symbols = np.concatenate(([0], np.cumsum(SYMBOL[data])))
-    prefix = prefix_hash(data)
-    hashes = span_hash(prefix, start, end)
-    together = (row[2:] == row[:-2]) if len(row) > 2 else np.zeros(0, bool)
-    third = hashes[:-2] * np.uint64(3) + mix(hashes[1:-1]) * np.uint64(5) + mix(hashes[2:] * np.uint64(7)) if len(row) > 2 else np.zeros(0, np.uint64)
-    at = np.flatnonzero(together)
-    found = at[_repeated(third[at], row[:-2][at] if len(row) > 2 else row[:0])[0]]
+    row_of = lambda at: np.searchsorted(offsets, at, side="right") - 1
+    hashes = hash_spans(data, start, end)
+    third = hashes[:-2] * np.uint64(3) + mix(hashes[1:-1]) * np.uint64(5) + mix(hashes[2:] * np.uint64(7)) if len(row) > 2 else hashes[:0]
+    at = np.flatnonzero(row[2:] == row[:-2]) if len(row) > 2 else np.zeros(0, np.int64)
+    found = at[_repeated(third[at], row[at])[0]]
     covered = np.zeros(len(start), bool)
     for k in range(3):
         covered[found + k] = True
     breaks = np.flatnonzero(data == 10)
     line_start = np.unique(np.concatenate((breaks + 1, offsets[:-1])))
     line_start = line_start[line_start < len(data)]
-    line_row = np.searchsorted(offsets, line_start, side="right") - 1
+    line_row = row_of(line_start)
     next_break = np.append(breaks, len(data))[np.searchsorted(breaks, line_start)]
     line_end = np.minimum(next_break, offsets[line_row + 1])
-    line_words = np.searchsorted(start, line_end) - np.searchsorted(start, line_start)
-    real = line_words > 0
-    dup = _repeated(span_hash(prefix, line_start[real], line_end[real]), line_row[real])[1]
+    real = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
+    dup = _repeated(hash_spans(data, line_start[real], line_end[real]), line_row[real])[1]
     return {
         "n_words": per_row(row),
-        "word_chars": per_row(row, points[end] - points[start]),
-        "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]],
+        "word_chars": per_row(row, end - start) - per_row(row_of(np.flatnonzero((data & 0xC0) == 0x80))),  # bytes in words that begin a code point
+        "n_symbols": per_row(row_of(np.flatnonzero(SYMBOL[data]))),
         "n_dup_lines": per_row(line_row[real][dup]),
         "n_repeat_words": per_row(row[covered]),
     }
 
 
 def count_text(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns keep and the counts of each whole text; a null text has none."""
-    taken = docs.select(*keep, F.col("text").alias("_text"))
-    schema = docs.select(*keep).schema
+    """Rows (row, counts) of docs: a struct of the columns keep, and the counts of each whole text; a null text has none."""
+    inside = "text" in keep
+    taken = docs.select(F.struct(*keep).alias("row"), *([] if inside else ["text"]))
+    schema = taken.select("row").schema
     for c in COUNTS:
         schema = schema.add(c, "long")
 
     def run(batches):
         for b in batches:
-            for part, data, offsets in steps(b, "_text"):
+            for part, data, offsets in steps(b, b.column(0).field("text") if inside else "text"):
                 found = count_step(data, offsets)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], names=[*keep, *COUNTS])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], names=["row", *COUNTS])
 
     return taken.mapInArrow(run, schema)
 
@@ -91,12 +88,12 @@ def base_failed() -> Column:
 
 
 def transformed(counts: DataFrame) -> DataFrame:
-    """Log and ratio transforms of the counts that are near to elliptical on prose."""
+    """Log and ratio transforms of the counts that are near to elliptical on prose. The mean word length of short texts, which varies more, is drawn to five."""
     words_ = F.greatest("n_words", F.lit(1)).cast("double")
     return counts.withColumns(
         {
-            "f_length": F.log1p(F.col("n_words").cast("double")) / 2,
-            "f_word": F.log((F.col("word_chars") + 1) / words_),
+            "f_length": F.log1p(F.col("n_words").cast("double")),
+            "f_word": F.log((F.col("word_chars") + 250) / (words_ + 50)),
             "f_symbols": F.asinh(10 * F.col("n_symbols") / words_),
             "f_lines": F.asinh(F.col("n_dup_lines").cast("double")) / 2,
             "f_repeats": F.asinh(5 * F.col("n_repeat_words") / words_),
@@ -110,83 +107,166 @@ def _distance() -> Column:
     off = [F.col(f) - F.col("mu")[i] for i, f in enumerate(FEATURES)]
     total = F.lit(0.0)
     for i in range(p):
-        for j in range(p):
-            total = total + off[i] * off[j] * F.col("inv")[i * p + j]
+        total = total + off[i] * off[i] * F.col("inv")[i * p + i]
+        for j in range(i):
+            total = total + 2 * off[i] * off[j] * F.col("inv")[i * p + j]
     return F.greatest(total, F.lit(0.0))
 
 
-def _moments() -> list[Column]:
+def _moments(columns: list[Column]) -> list[Column]:
+    """The number of rows, sums and sums of products."""
     out = [F.count("*").alias("n")]
-    for i, f in enumerate(FEATURES):
-        out.append(F.sum(f).alias(f"s{i}"))
-        out += [F.sum(F.col(f) * F.col(FEATURES[j])).alias(f"s{i}_{j}") for j in range(i + 1)]
+    for i, x in enumerate(columns):
+        out.append(F.sum(x).alias(f"s{i}"))
+        out += [F.sum(x * columns[j]).alias(f"s{i}_{j}") for j in range(i + 1)]
     return out
 
 
-def _estimates(moments: DataFrame) -> DataFrame:
-    """A row of mu and inv for each group; variances have the floor added, so a constant statistic stays usable."""
+def consistency(share: float, p: int = len(FEATURES)) -> float:
+    """What the covariance of the share of rows nearest to the centre is multiplied by, for normal rows of p dimensions."""
+    x = np.linspace(0, 60, 600_001)[1:]
+    density = x ** (p / 2 - 1) * np.exp(-x / 2)
+    upto = np.cumsum(density) / density.sum()
+    inside = upto <= share
+    return float(share * p / (np.sum((x * density)[inside]) / density.sum()))
+
+
+def _covariance(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    p, n = len(FEATURES), r["n"]
+    mu, cov = np.array([r[f"s{i}"] for i in range(p)]) / n, np.empty((p, p))
+    for i in range(p):
+        for j in range(i + 1):
+            cov[i, j] = cov[j, i] = r[f"s{i}_{j}"] / n - mu[i] * mu[j]
+    return mu, cov
+
+
+ESTIMATE = "grp string, start int, n long, mu array<double>, inv array<double>, det double"
+
+
+def _estimate(grp: str, start: int, n: int, mu: np.ndarray, cov: np.ndarray) -> list:
+    """An estimate's row; variances below the floor are lifted to it."""
+    cov = cov.copy()
+    np.fill_diagonal(cov, np.maximum(np.diag(cov), np.square(FLOOR)))
+    return [grp, start, n, mu.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])]
+
+
+def _estimates(moments: DataFrame, factor: float) -> DataFrame:
+    """Rows of ESTIMATE from the moments of the nearest rows of each (grp, start)."""
+    def run(frames):
+        for m in frames:
+            rows = [_estimate(r["grp"], r["start"], r["n"], mu, factor * cov) for r in m.to_dict("records") for mu, cov in [_covariance(r)]]
+            yield pd.DataFrame(rows, columns=["grp", "start", "n", "mu", "inv", "det"])
+
+    return moments.mapInPandas(run, ESTIMATE)
+
+
+def _starts(features: DataFrame) -> DataFrame:
+    """Three first estimates of each grp: 0, medians and median deviations; 1, the median and the covariance of the rows' directions
+    from it, which no row far out can bend; 2, the mean and covariance of all rows."""
     p = len(FEATURES)
-    schema = moments.select("grp", "n").schema.add("mu", ArrayType(DoubleType())).add("inv", ArrayType(DoubleType()))
+    middle = features.groupBy("grp").agg(F.array(*(F.percentile_approx(f, 0.5, 1000) for f in FEATURES)).alias("mid"))
+    middle = materialize(middle, "medians")
+    off = [F.abs(F.col(f) - F.col("mid")[i]) for i, f in enumerate(FEATURES)]
+    spread = join_small(features, middle, "grp").groupBy("grp").agg(F.first("mid").alias("mid"), F.array(*(F.percentile_approx(x, 0.5, 1000) for x in off)).alias("mad"))
+    spread = materialize(spread.withColumn("scale", F.transform("mad", lambda x, i: F.greatest(1.4826 * x, F.element_at(F.array(*map(F.lit, FLOOR)), i + 1)))), "deviations")
+    z = [(F.col(f) - F.col("mid")[i]) / F.col("scale")[i] for i, f in enumerate(FEATURES)]
+    length = F.sqrt(sum((x * x for x in z), F.lit(1e-12)))
+    turned = join_small(features, spread, "grp").select("grp", *FEATURES, *((x / length).alias(f"u{i}") for i, x in enumerate(z)))
+    both = turned.groupBy("grp").agg(*_moments([F.col(f) for f in FEATURES]), *(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"t{i}_{j}") for i in range(p) for j in range(i + 1)))
+    joined = both.join(spread, "grp")
 
     def run(frames):
         for m in frames:
             rows = []
             for r in m.to_dict("records"):
-                n = r["n"]
-                mu = np.array([r[f"s{i}"] for i in range(p)]) / n
-                cov = np.empty((p, p))
+                mid, scale = np.array(r["mid"]), np.array(r["scale"])
+                turns = np.empty((p, p))
                 for i in range(p):
                     for j in range(i + 1):
-                        cov[i, j] = cov[j, i] = r[f"s{i}_{j}"] / n - mu[i] * mu[j]
-                inv = np.linalg.inv(cov + np.diag(np.square(FLOOR)))
-                rows.append([r["grp"], n, mu.tolist(), inv.ravel().tolist()])
-            yield pd.DataFrame(rows, columns=["grp", "n", "mu", "inv"])
+                        turns[i, j] = turns[j, i] = r[f"t{i}_{j}"] / r["n"]
+                rows += [_estimate(r["grp"], 0, r["n"], mid, np.diag(scale**2)), _estimate(r["grp"], 1, r["n"], mid, p * turns * np.outer(scale, scale)), _estimate(r["grp"], 2, r["n"], *_covariance(r))]
+            yield pd.DataFrame(rows, columns=["grp", "start", "n", "mu", "inv", "det"])
 
-    return moments.mapInPandas(run, schema)
+    out = materialize(joined.mapInPandas(run, ESTIMATE), "mcd")
+    drop_tables(middle, spread)
+    return out
+
+
+def _concentrated(features: DataFrame, now: DataFrame, share: float) -> DataFrame:
+    """The estimates from the share of rows nearest under each estimate, which a histogram of the distances' logarithms finds (1/64 octave wide)."""
+    away = join_small(features, now.select("grp", "start", "mu", "inv"), "grp").select("grp", "start", *FEATURES, F.floor(64 * F.log2(1e-6 + _distance())).cast("int").alias("bin"))
+    bins = away.groupBy("grp", "start", "bin").count()
+    upto = bins.selectExpr("grp", "start", "bin", "sum(count) OVER (PARTITION BY grp, start ORDER BY bin) AS upto", "sum(count) OVER (PARTITION BY grp, start) AS total")
+    limit = materialize(upto.where(F.col("upto") >= F.lit(share) * F.col("total")).groupBy("grp", "start").agg(F.min("bin").alias("limit")), "limits")
+    keyed = limit.withColumn("key", F.struct("grp", "start")).select("key", "limit")
+    nearest = join_small(away.withColumn("key", F.struct("grp", "start")), keyed, "key").where("bin <= limit")
+    out = materialize(_estimates(nearest.groupBy("grp", "start").agg(*_moments([F.col(f) for f in FEATURES])), consistency(share)), "mcd")
+    drop_tables(limit)
+    return out
 
 
-def fit_mcd(features: DataFrame, share: float = 0.75, rounds: int = 4) -> DataFrame:
-    """Minimum covariance determinant of each grp of features by concentration steps: rows (grp, n, mu, inv).
+def fit_mcd(features: DataFrame, share: float = 0.75, tried: int = 2, rounds: int = 20) -> DataFrame:
+    """Minimum covariance determinant of each grp of features by concentration steps: rows of ESTIMATE.
 
-    The first estimate is that of all rows; each round takes the share of rows that are nearest under the last estimate, found from a histogram of the distances' logarithms
-    (1/64 octave wide), and estimates again. Everything but the group table stays distributed; groups combine before shuffles.
+    Each of three starts takes tried steps; the one with the least determinant goes on until no group's determinant falls by more
+    than a thousandth (the histogram is no finer), for rounds at most. Everything but the group table stays distributed; groups
+    combine before shuffles. The covariance is made consistent for normal rows, and its variances are FLOOR squared at least.
     """
-    now = _estimates(features.groupBy("grp").agg(*_moments()))
+    now = _starts(features)
+    for _ in range(tried):
+        now, before = _concentrated(features, now, share), now
+        drop_tables(before)
+    best = materialize(now.groupBy("grp").agg(F.min_by(F.struct(*now.columns), F.struct("det", "start")).alias("e")).select("e.*"), "mcd")
+    drop_tables(now)
     for _ in range(rounds):
-        now = materialize(now, "mcd")
-        away = features.join(now.select("grp", "mu", "inv"), "grp").select("grp", *FEATURES, F.floor(64 * F.log2(1e-6 + _distance())).cast("int").alias("bin"))
-        bins = away.groupBy("grp", "bin").count()
-        upto = bins.selectExpr("grp", "bin", "sum(count) OVER (PARTITION BY grp ORDER BY bin) AS upto", "sum(count) OVER (PARTITION BY grp) AS total")
-        limit = upto.where(F.col("upto") >= F.lit(share) * F.col("total")).groupBy("grp").agg(F.min("bin").alias("limit"))
-        now = _estimates(away.join(limit, "grp").where("bin <= limit").groupBy("grp").agg(*_moments()))
-    return materialize(now, "mcd")
+        now = _concentrated(features, best, share)
+        pairs = best.select("grp", F.col("det").alias("was")).join(now.select("grp", "det"), "grp")
+        falls = pairs.where("det < was - 0.001").limit(1).count()
+        drop_tables(best)
+        best = now
+        if not falls:
+            break
+    return best
 
 
-def judge_quality(docs: DataFrame, *keep: str, share: float = 0.75, rounds: int = 4, cutoff: float = CUTOFF) -> DataFrame:
+def judge_quality(docs: DataFrame, *keep: str, share: float = 0.75, cutoff: float = CUTOFF) -> DataFrame:
     """The columns keep of docs(lang, source, text), the counts, base_failed, distance and kept.
 
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows. Other rows are compared with the
-    minimum covariance determinant estimate of their language and source (of the language, where the two have fewer than
-    LEAST_ROWS such rows; null values form groups of their own) and kept up to a squared distance of cutoff. Null and empty texts fail; repeated rows are judged one by one; an empty table gives none.
+    minimum covariance determinant estimate of their language and source and kept up to a squared distance of cutoff. A language and
+    source with fewer than LEAST_ROWS such rows is compared with the estimate of all its language's rows, large sources too; a
+    language with fewer, with the estimate of all rows. Null values form groups of their own. Null and empty texts fail; repeated
+    rows are judged one by one; an empty table gives none. Columns of docs with the names of added ones are not kept.
     """
-    named = [c for c in dict.fromkeys((*keep, *GROUP)) if c in docs.columns]
-    counts = materialize(count_text(docs, *named).withColumns({"base_failed": base_failed(), "_lang": F.to_json(F.struct("lang")), "_both": F.to_json(F.struct(*GROUP))}), "quality")
-    large = counts.groupBy("_both").agg(F.count_if(~F.col("base_failed")).alias("_n"))
-    counts = counts.join(large, "_both").withColumn("grp", F.when(F.col("_n") >= LEAST_ROWS, F.col("_both")).otherwise(F.col("_lang")))
-    # A language with a small source has an estimate from all its rows, those of large sources too.
-    mixed = counts.groupBy("_lang").agg((F.min("_n") < LEAST_ROWS).alias("_mixed"))
-    groups = F.array_compact(F.array(F.when(F.col("_n") >= LEAST_ROWS, F.col("_both")), F.when(F.col("_mixed"), F.col("_lang"))))
-    features = transformed(counts.where("NOT base_failed").join(mixed, "_lang")).select(F.explode(groups).alias("grp"), *FEATURES)
-    joined = transformed(counts).join(fit_mcd(features, share, rounds).select("grp", "mu", "inv"), "grp", "left")
-    judged = joined.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    judged = judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
-    return judged.select(*keep, *COUNTS, "base_failed", "distance", "kept")
+    added = (*COUNTS, "base_failed", "distance", "kept")
+    keep = tuple(c for c in keep if c not in added)
+    out = _judged(docs, keep, share, cutoff)
+    return out.select(*(F.col("row")[c].alias(c) for c in keep), *added)
+
+
+def _judged(docs: DataFrame, keep: tuple[str, ...], share: float = 0.75, cutoff: float = CUTOFF) -> DataFrame:
+    """Rows (row, counts, base_failed, distance, kept); row is a struct of the columns keep, so that no name of docs can clash."""
+    named = [*dict.fromkeys((*keep, *GROUP))]
+    groups = {"_lang": F.to_json(F.struct(F.col("row.lang").alias("lang"))), "_both": F.to_json(F.struct(*(F.col(f"row.{c}").alias(c) for c in GROUP)))}
+    counts = materialize(count_text(docs, *named).withColumn("base_failed", base_failed()).withColumns(groups), "quality")
+    sizes = counts.groupBy("_both", "_lang").agg(F.count_if(~F.col("base_failed")).alias("n_both"))
+    sizes = sizes.selectExpr("*", "sum(n_both) OVER (PARTITION BY _lang) AS n_lang")  # one row per language and source
+    large, mid = F.col("n_both") >= LEAST_ROWS, F.col("n_lang") >= LEAST_ROWS
+    placed = materialize(sizes.select("_both", "_lang", F.when(large, F.col("_both")).when(mid, F.col("_lang")).otherwise("").alias("grp")), "groups")
+    used = placed.select("grp").distinct()
+    fits = placed.select("_both", F.array("_both", "_lang", F.lit("")).alias("g")).select("_both", F.explode("g").alias("grp")).join(used, "grp")
+    fits = materialize(fits.groupBy("_both").agg(F.collect_list("grp").alias("grps")), "fits")  # three at most
+    rows = transformed(join_small(counts.where("NOT base_failed").drop("row"), fits, "_both"))
+    features = materialize(rows.select(F.explode("grps").alias("grp"), *FEATURES), "features")
+    estimates = materialize(placed.select("_both", "grp").join(fit_mcd(features, share), "grp", "left").select("_both", "mu", "inv"), "estimates")
+    drop_tables(features)
+    judged = transformed(join_small(counts, estimates, "_both", "left")).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge_quality keeps, all columns as they are."""
-    columns = docs.columns
-    return judge_quality(docs, *columns).where("kept").select(*columns)
+    return _judged(docs, tuple(docs.columns)).where("kept").select("row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

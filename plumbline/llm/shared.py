@@ -50,6 +50,11 @@ def drop_tables(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_small(rows: DataFrame, small: DataFrame, on: str, how: str = "inner", limit: int = 20_000) -> DataFrame:
+    """rows joined with a stored table of one row for each group: broadcast up to limit rows, counted first; beyond that Spark chooses."""
+    return rows.join(F.broadcast(small) if small.count() <= limit else small, on, how)
+
+
 def spare(wanted: str, taken) -> str:
     """A column name like wanted that is none of those taken, in any case."""
     taken = {c.lower() for c in taken}
@@ -100,9 +105,10 @@ LONG_SPAN = 1 << 14
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def steps(batch: pa.RecordBatch, column: str | pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batch of about limit text bytes: (rows, all their bytes, start offsets of the rows and the end). Null texts are empty."""
-    texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "").cast(pa.large_binary())
+    texts = batch.column(batch.schema.get_field_index(column)) if isinstance(column, str) else column
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     lo = 0
