@@ -13,8 +13,8 @@ from plumbline.llm.shared import drop_tables, hash_spans, join_small, materializ
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-#: Transformed statistics, and the least standard deviation of each: where over half of a group's documents have the same value
-#: (no symbol, no repeat), the estimated one is near zero.
+#: Transformed statistics, and the least standard deviation of each, whose square is added to the variance: where over half of a
+#: group's documents have the same value (no symbol, no repeat), the estimated one is near zero.
 FEATURES = ("f_length", "f_word", "f_symbols", "f_lines", "f_repeats")
 FLOOR = (0.3, 0.03, 0.1, 0.25, 0.2)
 #: Squared distances above this are outliers: the 1 - 1e-7 quantile of chi-square with five degrees of freedom.
@@ -144,9 +144,8 @@ ESTIMATE = "grp string, start int, n long, mu array<double>, inv array<double>,
 
 
 def _estimate(grp: str, start: int, n: int, mu: np.ndarray, cov: np.ndarray) -> list:
-    """An estimate's row; variances below the floor are lifted to it."""
-    cov = cov.copy()
-    np.fill_diagonal(cov, np.maximum(np.diag(cov), np.square(FLOOR)))
+    """An estimate's row. The floor is added, so that rows on a line or plane, of whatever direction, have no determinant near zero."""
+    cov = cov + np.diag(np.square(FLOOR))
     return [grp, start, n, mu.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])]
 
 
@@ -210,7 +209,7 @@ def fit_mcd(features: DataFrame, share: float = 0.75, tried: int = 2, rounds: in
 
     Each of three starts takes tried steps; the one with the least determinant goes on until no group's determinant falls by more
     than a thousandth (the histogram is no finer), for rounds at most. Everything but the group table stays distributed; groups
-    combine before shuffles. The covariance is made consistent for normal rows, and its variances are FLOOR squared at least.
+    combine before shuffles. The covariance is made consistent for normal rows, and FLOOR squared is added to its variances.
     """
     now = _starts(features)
     for _ in range(tried):
