@@ -164,15 +164,15 @@ def _starts(features: DataFrame) -> DataFrame:
     from it, which no row far out can bend; 2, the mean and covariance of all rows."""
     p = len(FEATURES)
     middle = features.groupBy("grp").agg(F.array(*(F.percentile_approx(f, 0.5, 1000) for f in FEATURES)).alias("mid"))
-    middle = materialize(middle, "medians")
+    middle = materialize(_few(middle), "medians")
     off = [F.abs(F.col(f) - F.col("mid")[i]) for i, f in enumerate(FEATURES)]
     spread = join_small(features, middle, "grp").groupBy("grp").agg(F.first("mid").alias("mid"), F.array(*(F.percentile_approx(x, 0.5, 1000) for x in off)).alias("mad"))
-    spread = materialize(spread.withColumn("scale", F.transform("mad", lambda x, i: F.greatest(1.4826 * x, F.element_at(F.array(*map(F.lit, FLOOR)), i + 1)))), "deviations")
+    spread = materialize(_few(spread).withColumn("scale", F.transform("mad", lambda x, i: F.greatest(1.4826 * x, F.element_at(F.array(*map(F.lit, FLOOR)), i + 1)))), "deviations")
     z = [(F.col(f) - F.col("mid")[i]) / F.col("scale")[i] for i, f in enumerate(FEATURES)]
     length = F.sqrt(sum((x * x for x in z), F.lit(1e-12)))
     turned = join_small(features, spread, "grp").select("grp", *FEATURES, *((x / length).alias(f"u{i}") for i, x in enumerate(z)))
     both = turned.groupBy("grp").agg(*_moments([F.col(f) for f in FEATURES]), *(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"t{i}_{j}") for i in range(p) for j in range(i + 1)))
-    joined = both.join(spread, "grp")
+    joined = join_small(_few(both), spread, "grp")
 
     def run(frames):
         for m in frames:
@@ -192,35 +192,39 @@ def _starts(features: DataFrame) -> DataFrame:
 
 
 def _concentrated(features: DataFrame, now: DataFrame, share: float) -> DataFrame:
-    """The estimates from the share of rows nearest under each estimate, which a histogram of the distances' logarithms finds (1/64 octave wide)."""
-    away = join_small(features, now.select("grp", "start", "mu", "inv"), "grp").select("grp", "start", *FEATURES, F.floor(64 * F.log2(1e-6 + _distance())).cast("int").alias("bin"))
-    bins = away.groupBy("grp", "start", "bin").count()
-    upto = bins.selectExpr("grp", "start", "bin", "sum(count) OVER (PARTITION BY grp, start ORDER BY bin) AS upto", "sum(count) OVER (PARTITION BY grp, start) AS total")
-    limit = materialize(upto.where(F.col("upto") >= F.lit(share) * F.col("total")).groupBy("grp", "start").agg(F.min("bin").alias("limit")), "limits")
-    keyed = limit.withColumn("key", F.struct("grp", "start")).select("key", "limit")
-    nearest = join_small(away.withColumn("key", F.struct("grp", "start")), keyed, "key").where("bin <= limit")
-    out = materialize(_estimates(nearest.groupBy("grp", "start").agg(*_moments([F.col(f) for f in FEATURES])), consistency(share)), "mcd")
-    drop_tables(limit)
+    """The estimates from the share of rows nearest under each estimate, whose limit is a quantile of the distances to a thousandth of the rows."""
+    now = now.withColumn("key", F.struct("grp", "start"))
+    away = join_small(features, now.select("grp", "start", "mu", "inv"), "grp").select("grp", "start", *FEATURES, _distance().alias("away"))
+    limits = materialize(_few(away.groupBy("grp", "start").agg(F.percentile_approx("away", share, 1000).alias("limit"))), "limits")
+    bounded = join_small(now, limits.withColumn("key", F.struct("grp", "start")).select("key", "limit"), "key")
+    near = join_small(features, bounded.select("grp", "start", "limit", "mu", "inv"), "grp").where(_distance() <= F.col("limit"))
+    out = materialize(_estimates(_few(near.groupBy("grp", "start").agg(*_moments([F.col(f) for f in FEATURES]))), consistency(share)), "mcd")
+    drop_tables(limits)
     return out
 
 
-def fit_mcd(features: DataFrame, share: float = 0.75, tried: int = 2, rounds: int = 20) -> DataFrame:
+def _few(groups: DataFrame) -> DataFrame:
+    """A table of one row for each group in one partition for each core, however many the session sets for shuffles."""
+    return groups.coalesce(groups.sparkSession.sparkContext.defaultParallelism)
+
+
+def fit_mcd(features: DataFrame, share: float = 0.75, tried: int = 2, rounds: int = 12) -> DataFrame:
     """Minimum covariance determinant of each grp of features by concentration steps: rows of ESTIMATE.
 
     Each of three starts takes tried steps; the one with the least determinant goes on until no group's determinant falls by more
-    than a thousandth (the histogram is no finer), for rounds at most. Everything but the group table stays distributed; groups
+    than a thousandth (the quantiles are no finer), for rounds at most. Everything but the group table stays distributed; groups
     combine before shuffles. The covariance is made consistent for normal rows, and FLOOR squared is added to its variances.
     """
     now = _starts(features)
     for _ in range(tried):
         now, before = _concentrated(features, now, share), now
         drop_tables(before)
-    best = materialize(now.groupBy("grp").agg(F.min_by(F.struct(*now.columns), F.struct("det", "start")).alias("e")).select("e.*"), "mcd")
+    best = materialize(_few(now.groupBy("grp").agg(F.min_by(F.struct(*now.columns), F.struct("det", "start")).alias("e"))).select("e.*"), "mcd")
     drop_tables(now)
     for _ in range(rounds):
         now = _concentrated(features, best, share)
-        pairs = best.select("grp", F.col("det").alias("was")).join(now.select("grp", "det"), "grp")
-        falls = pairs.where("det < was - 0.001").limit(1).count()
+        pairs = join_small(now.select("grp", "det"), best.select("grp", F.col("det").alias("was")), "grp")
+        falls = pairs.agg(F.count_if(F.col("det") < F.col("was") - 0.001)).first()[0]
         drop_tables(best)
         best = now
         if not falls:
@@ -251,14 +255,15 @@ def _judged(docs: DataFrame, keep: tuple[str, ...], share: float = 0.75, cutoff:
     sizes = counts.groupBy("_both", "_lang").agg(F.count_if(~F.col("base_failed")).alias("n_both"))
     sizes = sizes.selectExpr("*", "sum(n_both) OVER (PARTITION BY _lang) AS n_lang")  # one row per language and source
     large, mid = F.col("n_both") >= LEAST_ROWS, F.col("n_lang") >= LEAST_ROWS
-    placed = materialize(sizes.select("_both", "_lang", F.when(large, F.col("_both")).when(mid, F.col("_lang")).otherwise("").alias("grp")), "groups")
+    placed = materialize(_few(sizes).select("_both", "_lang", F.when(large, F.col("_both")).when(mid, F.col("_lang")).otherwise("").alias("grp")), "groups")
     used = placed.select("grp").distinct()
-    fits = placed.select("_both", F.array("_both", "_lang", F.lit("")).alias("g")).select("_both", F.explode("g").alias("grp")).join(used, "grp")
-    fits = materialize(fits.groupBy("_both").agg(F.collect_list("grp").alias("grps")), "fits")  # three at most
+    fits = placed.select("_both", F.explode(F.array("_both", "_lang", F.lit(""))).alias("grp")).join(used, "grp")
+    fits = materialize(_few(fits.groupBy("_both").agg(F.collect_list("grp").alias("grps"))), "fits")  # three at most
     rows = transformed(join_small(counts.where("NOT base_failed").drop("row"), fits, "_both"))
     features = materialize(rows.select(F.explode("grps").alias("grp"), *FEATURES), "features")
-    estimates = materialize(placed.select("_both", "grp").join(fit_mcd(features, share), "grp", "left").select("_both", "mu", "inv"), "estimates")
-    drop_tables(features)
+    fitted = fit_mcd(features, share)
+    estimates = materialize(join_small(placed.select("_both", "grp"), fitted, "grp", "left").select("_both", "mu", "inv"), "estimates")
+    drop_tables(features, fitted, placed, fits)
     judged = transformed(join_small(counts, estimates, "_both", "left")).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
 

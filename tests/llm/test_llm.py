@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import html_extract, jaccard, mixing, neighbours, packing, pii, quality, registry, shared, suffixes, token_files, url_filter
+from plumbline.llm import encoding, html_extract, jaccard, mixing, neighbours, packing, pii, quality, registry, shared, suffixes, token_files, url_filter
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id long, spans string"
@@ -89,6 +89,41 @@ def test_url_filter(spark):
     assert dict(rows(url_filter.filter_urls(pages, redirects=more), "page_id", "verdict"))[11] == "block"
 
 
+def test_url_links_are_those_of_the_page(spark):
+    """No edges to nowhere, from comments or from scripts; relative targets and character references are resolved."""
+    link = '<link rel="canonical" href="{}">'.format
+    pages = [
+        (1, "http://bad.net/x", link("http://")), (2, "http://good.org/a", link("http://")), (3, None, link("http://bad.net/x")), (4, "nothing", link("http://bad.net/x")),
+        (5, "http://c.org/", "<!-- " + link("http://bad.net/x") + " -->"), (6, "http://d.org/", "<script>var a = '" + link("http://bad.net/x") + "'</script>"),
+        (7, "http://e.org/a/b/c", link("../../q/./r")), (8, "http://e.org/q/r", link("http://bad.net/y")), (9, "http://f.org/p", link("http://b&#97;d.n&#x65;t/z&amp;k")), (10, "http://", link("http://bad.net/x")),
+        (11, "http://g.org/a?b=1", link("../../../x")), (12, "http://g.org/x", "<meta http-equiv=refresh content='0;url=http://bad.net/u'>"), (13, "http://h.org/a", link("javascript:void(0)") + link("mailto:a@bad.net")),
+    ]
+    out = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("_node", "_rule", "class_verdict", "rule")}))
+    got = {r["page_id"]: r["verdict"] for r in out.collect()}
+    assert sorted(k for k, v in got.items() if v == "block") == [1, 7, 8, 9, 11, 12]
+    assert {"_node", "_rule", "class_verdict"} <= set(out.columns) and out.columns.count("rule") == 1
+    edges = {(r["url"], r["target"]) for r in url_filter.links(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert ("http://e.org/a/b/c", "http://e.org/q/r") in edges and ("http://f.org/p", "http://bad.net/z&k") in edges and ("http://g.org/a?b=1", "http://g.org/x") in edges
+
+
+def test_long_rule_lists_are_joined(spark):
+    """A list past the length of one expression gives what the rules one by one give."""
+    rng = random.Random(2)
+    host = lambda: ".".join(rng.choice(["a", "b", "c", "net", "org"]) for _ in range(rng.randint(1, 3)))
+    path = lambda: "".join(rng.choice(["x", "y", "/"]) for _ in range(rng.randint(0, 5)))
+    rules = [*{f"{host()}/{path()}": None for _ in range(1500)}]
+    rules = [(rng.choice(["allow", "block"]), r) for r in rules]
+    places = [(host(), rng.choice(["", "/" + path()])) for _ in range(600)]
+
+    def want(h, p):
+        fits = [(len(r), r, v) for v, r in rules for n, _, rest in [r.partition("/")] if (h == n or h.endswith("." + n)) and p.startswith("/" + rest)]
+        return max(fits)[1:] if fits else None
+
+    df = spark.createDataFrame(places, "host string, path string")
+    got = url_filter.ruled(df, "host", "path", rules * 1, "r").collect()
+    assert len(got) == 600 and all((tuple(r["r"]) if r["r"] else None) == want(r["host"], r["path"]) for r in got)
+
+
 # ---------------------------------------------------------------- 2 HTML extraction
 
 FRAME = '<html><head><title>t</title><style>p{}</style></head><body><header><a href="/">Home</a></header><nav><ul><li>Menu</li></ul></nav><div class="sidebar-2">side</div><div id="cookie-notice">We use cookies</div>'
@@ -107,6 +142,52 @@ def test_html_extract(spark):
     assert got == {1: "Title\nOne & two three\nNext line", 2: "Body text of the page here.\nMore of the body text.", 3: "Short.", 4: "", 5: "", 6: "bare < text & more"}
 
 
+@pytest.mark.parametrize(
+    ("inside", "kept"),
+    [
+        ('<section id="discussion"><p>We discuss it.</p></section>', True), ('<div class="side-effects"><p>Nausea.</p></div>', True), ('<div class="form-factor"><p>Small.</p></div>', True),
+        ('<div class="share-price"><p>Up.</p></div>', True), ('<div class="search-algorithms"><p>Binary.</p></div>', True), ('<div class="related"><p>Work of others is near to ours.</p></div>', True),
+        ('<div class="related"><a href=x>One</a> <a href=y>Two</a></div>', False), ('<div class="search"><input name=q> Find it</div>', False), ('<div class="cookie-notice">We use cookies</div>', False),
+        ('<div id="leftSidebar2">More</div>', False), ('<div class="post ad-slot">Buy</div>', False), ('<ul class="user-comments"><li>First!</ul>', False), ('<div class="entry-header"><h2>Part</h2></div>', True),
+        ('<div role="navigation">Up</div>', False), ('<p data-class="ad">Plain.</p>', True),
+    ],
+)
+def test_html_parts_by_name(inside, kept):
+    words = re.sub("<[^>]*>", "", inside)
+    text = html_extract.extract_text(f"<article><p>Start of it.</p>{inside}<p>End of it.</p></article>", None)
+    assert text == ("Start of it.\n" + words + "\nEnd of it." if kept else "Start of it.\nEnd of it.")
+
+
+def test_html_button_in_a_sentence():
+    assert html_extract.extract_text("<article><p>Press <button>Go</button> to start.</p><button>Share</button></article>", None) == "Press Go to start."
+
+
+def test_html_extract_of_odd_tables(spark):
+    """An empty table, repeated rows, ties of votes, a very long page and columns of any names."""
+    schema = "page_id long, url string, html string, _host string, _path int"
+    long_page = "<div class=a>" + "".join(f"<p>word{k} text</p>" for k in range(60_000)) + "</div>"
+    data = [(1, "http://a/1", "<div class=a><p>One one.</p></div><div class=b><p>x</p></div>", "h", 1), (1, "http://a/1", "<div class=a><p>One one.</p></div><div class=b><p>x</p></div>", "h", 1)]
+    data += [(2, "http://t/1", "<div class=a><p>Left text.</p></div><div class=b><p>y</p></div>", None, None), (3, "http://t/2", "<div class=a><p>z</p></div><div class=b><p>Right text.</p></div>", None, None), (4, "http://l/", long_page, None, None)]
+    out = html_extract.extract_main_text(spark.createDataFrame(data, schema))
+    got = [tuple(r) for r in out.select("page_id", "_host", "_path", "text").collect()]
+    assert sorted(x[:3] for x in got if x[0] == 1) == [(1, "h", 1)] * 2 and {x[3] for x in got if x[0] == 1} == {"One one."}
+    by = {x[0]: x[3] for x in got}
+    assert (by[2], by[3]) == ("y", "Right text.") and by[4] == "\n".join(f"word{k} text" for k in range(60_000))
+    assert html_extract.extract_main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_html_extract_of_the_table(spark):
+    """Every page of the test table against a plain reading of it: the blocks of its article element."""
+    import html as entities
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = dict(rows(html_extract.op2_html_extract(spark, DATA), "page_id", "text"))
+    for i, page in pages.select("page_id", "html").collect():
+        body = re.search(r"(?s)<article>(.*?)</article>", page).group(1)
+        blocks = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1|h2|div|li|ul)>", body))
+        assert got[i] == "\n".join(b for b in blocks if b), i
+
+
 # ---------------------------------------------------------------- 3 suffixes
 
 
@@ -158,6 +239,26 @@ def library(name):
     return public_tokenizers.path(name), Tokenizer.from_file(public_tokenizers.path(name))
 
 
+@pytest.mark.parametrize(("name", "by_words"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_encoder_equals_the_library(name, by_words):
+    path, library_ = library(name)
+    encode, rng = encoding.encoder(path, by_words).encode, random.Random(1)
+    signs = "abcIZ\u0130\u0131\u00df\u017f\u00e9\u00c9\u0141\u01c5\u0149\u0307'\u2019.,!?-_019 \n\t" + "".join(map(chr, range(0x100, 0x250, 7)))
+    for _ in range(8000):
+        t = "".join(rng.choice(signs) for _ in range(rng.randint(1, 14)))
+        assert encode(t) == np.array(library_.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_token_files_of_many_shards(spark, docs, monkeypatch):
+    """The number of files follows the bytes of text; columns of other names are ignored."""
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 4000)
+    path, _ = library("byte_bpe_50k.json")
+    named = docs.withColumns({"shard": F.lit("x"), "folder": F.lit(1), "base": F.lit(2)})
+    few, many = token_files.write_tokens(docs, path, 2, shards=2), token_files.write_tokens(named, path, 2)
+    assert many.count() > 8
+    assert rows(token_files.read_tokens(many, "crc32"), "doc_id", "start", "n_tokens", "crc32") == rows(token_files.read_tokens(few, "crc32"), "doc_id", "start", "n_tokens", "crc32")
+
+
 def test_token_files(docs, none):
     path, library_ = library("byte_bpe_50k.json")
     data = sorted(((r[0], r[1] or "") for r in docs.select("doc_id", "text").collect()))
@@ -196,7 +297,7 @@ def test_packing(docs, none):
 def test_packing_is_close_to_the_bound(spark):
     rng = random.Random(2)
     sizes = [min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(4000)]
-    df = spark.createDataFrame([(k, n, 5) for k, n in enumerate(sizes)], "k long, length long, offset int").repartition(20)
+    df = spark.createDataFrame([(k, n, 5) for k, n in enumerate(sizes)], "k long, length long, offset int").withColumns({c: F.lit("x") for c in ("_bin", "_turn", "_part", "_base")}).repartition(20)
     got = packing.pack(df)
     assert got.count() == 4000 and got.select("sequence_id").distinct().count() <= 1.01 * -(-sum(sizes) // 2048) + 1
 
@@ -397,6 +498,58 @@ def test_jaccard(spark, docs, none, size, percent):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize(("vocabulary", "size", "percent"), [(60, 5, 80), (3000, 4, 85)])
+def test_jaccard_of_a_large_family(spark, vocabulary, size, percent):
+    """2,000 copies of one text with one to four changed words: most link with few others, all share most grams."""
+    rng = random.Random(5)
+    own = ["w%d" % k for k in range(vocabulary)]
+    base, made = [rng.choice(own) for _ in range(80)], []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(80)] = rng.choice(own)
+        made.append((i, " ".join(w)))
+    ids, m = {}, np.zeros((2000, 60_000), np.float32)
+    for i, t in made:
+        w = t.split()
+        for k in range(len(w) - size + 1):
+            m[i, ids.setdefault(tuple(w[k : k + size]), len(ids))] = 1
+    both, n = m @ m.T, m.sum(1)
+    linked, want = 100 * both >= percent * (n[:, None] + n - both), np.arange(2000)
+    while True:
+        new = np.array([want[linked[k]].min() for k in range(2000)])
+        if (new[new] == want).all():
+            break
+        want = new[new]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(made, "doc_id long, text string").repartition(4), size, percent).collect()}
+    assert [got[k] for k in range(2000)] == want.tolist()
+
+
+def test_jaccard_of_repeated_ids_and_hashes_of_chosen_texts(spark):
+    """Rows of one doc_id are one document, with the greatest of their sets, wherever they lie; words that collide modulo 2^64 differ."""
+    thue = [0]
+    while len(thue) < 2048:
+        thue += [1 - x for x in thue]
+    a, b = ("".join("ab"[x ^ y] for x in thue) for y in (0, 1))
+    long_text = " ".join(f"w{k}" for k in range(60))
+    data = [(1, "p q r s"), (1, long_text), (2, long_text + " x"), (3, a), (4, b), (5, "p q r s")]
+    for parts in (1, 5):
+        got = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(data, "doc_id long, text string").repartition(parts)).collect()}
+        assert got == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)}
+
+
+def test_very_long_text_in_steps(spark, monkeypatch):
+    """A text of many steps has the same sets and counts as one step gives."""
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["alpha", "beta", "x" * 40, "gamma\n", "é"]) for _ in range(60_000))
+    data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    whole = jaccard.gram_sets(data, offsets, 4)[1].tolist()
+    monkeypatch.setattr(shared, "STEP_BYTES", 5000)
+    monkeypatch.setattr(shared, "LONG_SPAN", 1000)
+    assert jaccard.gram_sets(data, offsets, 4)[1].tolist() == whole
+    assert {k: int(v[0]) for k, v in quality.count_step(data, offsets).items()} == dict(zip(quality.COUNTS, brute_counts(text), strict=True))
+
+
 # ---------------------------------------------------------------- 9 quality rules
 
 
@@ -442,6 +595,65 @@ def test_quality_of_a_small_source_is_judged_by_its_language(spark):
     assert {r["doc_id"] for r in judged.where("kept").collect()} == set(range(300))
 
 
+def test_quality_of_a_single_row_of_a_language_or_source(spark):
+    rng = random.Random(9)
+    make = lambda n, sign: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) + sign for _ in range(n))
+    data = [(k, make(rng.randint(60, 400), ""), "en", "s0") for k in range(300)] + [(300, make(100, "###"), "en", "s1"), (301, make(100, "###"), "xx", "s0"), (302, make(100, ""), "yy", None)]
+    judged = quality.judge_quality(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), "doc_id")
+    assert {r["doc_id"] for r in judged.where("kept").collect()} == {*range(300), 302}
+
+
+@pytest.mark.parametrize("name", ["length", "word", "symbols", "lines", "repeats"])
+def test_quality_moderate_outliers_in_one_statistic(spark, name):
+    """Clean rows stay; a cluster of 30 % of a group that is far out in one statistic does not move the estimate."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8)))
+    clean = lambda n: [word() for _ in range(n)]
+
+    def odd():
+        w = clean(200)
+        if name == "length":
+            w = clean(60_000)
+        elif name == "word":
+            w = [x + x for x in w]
+        elif name == "symbols":
+            w = [x + ("#" if k % 8 == 0 else "") for k, x in enumerate(w)]
+        elif name == "lines":
+            return "\n".join([" ".join(w)] + [w[0]] * 25)
+        else:
+            w = w[:120] + w[:50] + w[120:160]
+        return " ".join(w)
+
+    n = 3 if name == "length" else 90
+    data = [(k, " ".join(clean(rng.randint(60, 400))), "en", "s") for k in range(300)] + [(1000 + k, odd(), "en", "s") for k in range(n)]
+    judged = quality.judge_quality(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), "doc_id")
+    assert {r["doc_id"] for r in judged.where("kept").collect()} == set(range(300))
+
+
+def test_quality_estimate_is_the_subset_of_least_determinant(spark):
+    """The distributed estimate against concentration steps in numpy on the same rows, from many random starts."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.normal(size=(400, 5)) @ rng.normal(size=(5, 5)), rng.normal(6, 0.5, size=(130, 5))))
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    got = quality.fit_mcd(df).first()
+    best = None
+    for _ in range(40):
+        h = rng.choice(len(x), 12, replace=False)
+        for _ in range(30):
+            mu, cov = x[h].mean(0), quality.consistency(0.75) * np.cov(x[h].T, bias=True) + np.diag(np.square(quality.FLOOR))
+            h = np.argsort(np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu))[: int(0.75 * len(x)) + 1]
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = det, x[h].mean(0)
+    assert np.allclose(got["mu"], best[1], atol=0.15) and abs(got["det"] - best[0]) < 0.1
+
+
+def test_quality_with_clashing_names(docs):
+    named = docs.withColumns({c: F.lit("x") for c in ("n_words", "mu", "grp", "_n", "_both", "_lang", "row", "distance", "kept", "f_word")})
+    assert quality.keep_quality(named).columns == named.columns
+    assert rows(quality.keep_quality(named), "doc_id") == rows(quality.keep_quality(docs), "doc_id")
+
+
 # ---------------------------------------------------------------- registration
 
 
