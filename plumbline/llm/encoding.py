@@ -18,6 +18,8 @@ LATIN_END = "\u0250"
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SIGNS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 BYTE_PIECES = re.compile(r"\n| ?[^ \n]+")
+#: Words on which a tokenizer's own result is compared with that of its merges alone, before letters go to them directly.
+PROBES = ("the", "straße", "naïveté", "internationalisation", "zxqv", "łódź")
 
 
 @lru_cache(4)
@@ -45,21 +47,33 @@ class Encoder(dict):
         self.tokenizer, self.by_words = tokenizer(path), by_words
         marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = re.compile("|".join(map(re.escape, marks))) if marks else re.compile(r"(?!)")
+        # The two ways past the patterns below hold for pre-tokenizers that keep runs of letters whole; others go without.
+        self.plain = all(self.tokenizer.encode(w, add_special_tokens=False).ids == self._merged(w) for w in PROBES)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
         word = piece[1:] if piece[0] == " " else piece
-        if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():  # a sign after letters, before white space, is a token of its own
+        if len(word) > 1 and word[-1] in ".," and self.plain and self._letters(word[:-1]):  # a sign after letters, before white space, is a token of its own
             found = self[piece[:-1]] + self[piece[-1]]
-        elif word.isalpha() and (word.isascii() or max(word) < LATIN_END) and (lower := word.lower()).isalpha():  # letters alone go to the merges without the patterns
-            seen = (lower if self.by_words else piece).encode().decode("latin-1").translate(BYTE_SIGNS)
-            found = array("I", [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
+        elif self.plain and (lower := self._letters(word)):  # letters alone go to the merges without the patterns
+            found = array("I", self._merged(lower if self.by_words else piece)).tobytes()
         else:
             found = self._whole(piece)
         self[piece] = found
         return found
 
+    def _merged(self, piece: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_SIGNS))]
+
+    @staticmethod
+    def _letters(word: str) -> str:
+        """The lower case of a word of Latin letters that stay letters, one for one, in lower case (U+0130 does not); else nothing."""
+        if not word.isalpha() or not (word.isascii() or max(word) < LATIN_END):
+            return ""
+        lower = word.lower()
+        return lower if lower.isalpha() and len(lower) == len(word) else ""
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -13,12 +13,12 @@ from collections.abc import Mapping
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from plumbline.llm.encoding import encoder
-from plumbline.llm.shared import materialize, table
+from plumbline.llm.shared import materialize, spare, table
 
 CAPACITY = 2048
 #: Rows that a partition packs at a time.
@@ -139,7 +139,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int | None = None) -
     slack = capacity // 256 if slack is None else slack
     items = items.drop("sequence_id", "offset")
     names = items.columns
-    schema = StructType(list(items.schema)).add("_bin", "long").add("offset", "long").add("_turn", "long").add("_part", "integer")
+    bin_, turn_, part_, of_, length_, n_, base_ = (spare(c, names) for c in ("_bin", "_turn", "_part", "_of", "_length", "_n", "_base"))
+    schema = StructType(list(items.schema)).add(bin_, "long").add("offset", "long").add(turn_, "long").add(part_, "integer")
     at = names.index("length")
 
     def local(batches):
@@ -159,7 +160,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int | None = None) -
             turns = np.full(len(sizes), -1, np.int64)
             turns[left] = _occurrence(sizes[left], before)
             held, rows = [], 0
-            for name, column in (("_bin", ids), ("offset", offsets), ("_turn", turns), ("_part", np.full(len(bins), part, np.int32))):
+            for name, column in ((bin_, ids), ("offset", offsets), (turn_, turns), (part_, np.full(len(bins), part, np.int32))):
                 whole = whole.append_column(name, pa.array(column))
             return whole.to_batches(max_chunksize=10_000)
 
@@ -172,12 +173,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int | None = None) -
             yield from flush()
 
     packed = materialize(items.mapInArrow(local, schema), "packed")
-    counts = materialize(packed.where("_turn >= 0").groupBy("_part", F.col("length").cast("long").alias("_length")).agg(F.count("*").alias("_n")), "packed-counts")
-    bases = counts.selectExpr("_part AS _of", "_length", "sum(_n) OVER (PARTITION BY _length ORDER BY _part) - _n AS _base")  # one row per partition and length
-    runs = best_fit_counts({r[0]: r[1] for r in counts.groupBy("_length").agg(F.sum("_n")).collect()}, capacity)
+    left = packed.where(F.col(turn_) >= 0).groupBy(part_, F.col("length").cast("long").alias(length_)).agg(F.count("*").alias(n_))
+    counts = materialize(left, "packed-counts")  # one row per partition and length
+    before = Window.partitionBy(length_).orderBy(part_).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col(part_).alias(of_), length_, F.coalesce(F.sum(n_).over(before), F.lit(0)).alias(base_))
+    runs = best_fit_counts({r[0]: r[1] for r in counts.groupBy(length_).agg(F.sum(n_)).collect()}, capacity)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    joined = packed.join(bases, (F.col("_part") == F.col("_of")) & (F.col("length") == F.col("_length")), "left")
-    numbered = joined.select(*(packed[c] for c in names), "_bin", "offset", F.when(F.col("_turn") >= 0, F.col("_base") + F.col("_turn")).otherwise(-1).alias("_turn"))
+    joined = packed.join(bases, (packed[part_] == bases[of_]) & (packed["length"] == bases[length_]), "left")
+    numbered = joined.select(*(packed[c] for c in names), bin_, "offset", F.when(F.col(turn_) >= 0, F.col(base_) + F.col(turn_)).otherwise(-1).alias(turn_))
 
     def placed(batches):
         size, first, start, each, offset = runs.T
