@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from plumbline.llm.shared import materialize, shared_dir, table
 MANIFEST = "shard int, folder string, wide boolean, n_docs long, n_tokens long"
 #: Ids that the reader hands on at a time.
 READ_IDS = 1 << 21
+#: UTF-8 bytes of text in a shard, about: the number of files grows with the text, and what a task holds does not.
+SHARD_BYTES = 1 << 28
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int, by_words: bool = False, shards: int | None = None, folder: str | None = None) -> DataFrame:
@@ -34,7 +37,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, by_words: bool = False
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     wide = tokenizer(path).get_vocab_size(with_added_tokens=True) > 65536 or end_id > 65535
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -69,11 +74,13 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, by_words: bool = False
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def _mapped(place: arrow_fs.FileSystem, name: str, kind: str) -> np.ndarray:
+def _part_of(place: arrow_fs.FileSystem, name: str, kind: str) -> Callable[[int, int], np.ndarray]:
+    """Reads items lo to hi of a file: through a memory map on a local disk, by ranges elsewhere."""
     if isinstance(place, arrow_fs.LocalFileSystem):
-        return np.memmap(name, kind, mode="r")
-    with place.open_input_file(name) as f:
-        return np.frombuffer(f.read(), kind)
+        mapped = np.memmap(name, kind, mode="r") if place.get_file_info(name).size else np.zeros(0, kind)
+        return lambda lo, hi: mapped[lo:hi]
+    f, width = place.open_input_file(name), np.dtype(kind).itemsize
+    return lambda lo, hi: np.frombuffer(f.read_at((hi - lo) * width, lo * width), kind)
 
 
 def read_tokens(manifest: DataFrame, value: str = "ids") -> DataFrame:
@@ -85,14 +92,14 @@ def read_tokens(manifest: DataFrame, value: str = "ids") -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 place, at = arrow_fs.FileSystem.from_uri(row["folder"])
-                tokens = _mapped(place, f"{at}/tokens-{row['shard']:06d}.bin", "<u4" if row["wide"] else "<u2")
-                index = _mapped(place, f"{at}/index-{row['shard']:06d}.bin", "<i8")
-                n = int(index[0])
-                offsets, doc_ids = np.array(index[1 : n + 2]), np.array(index[n + 2 :])
+                tokens = _part_of(place, f"{at}/tokens-{row['shard']:06d}.bin", "<u4" if row["wide"] else "<u2")
+                index = _part_of(place, f"{at}/index-{row['shard']:06d}.bin", "<i8")
+                n = int(index(0, 1)[0])
+                offsets, doc_ids = np.array(index(1, n + 2)), np.array(index(n + 2, 2 * n + 2))
                 lo = 0
                 while lo < n:
                     hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + READ_IDS, side="right")) - 1)
-                    ids = tokens[offsets[lo] : offsets[hi]].astype("<u4")
+                    ids = tokens(int(offsets[lo]), int(offsets[hi])).astype("<u4")
                     cuts = offsets[lo : hi + 1] - offsets[lo]
                     if value == "crc32":
                         raw = memoryview(ids.tobytes())
