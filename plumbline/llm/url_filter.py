@@ -7,10 +7,12 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import components, table
+from plumbline.llm.shared import components, spare, table
 
 #: The rules of the registered query: (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: Rules up to this number are one expression; more of them are joined.
+EXPRESSED = 200
 
 
 def host_of(url: Column) -> Column:
@@ -22,9 +24,7 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
-    """The longest fitting rule as struct(rule, verdict), or null. A rule list is configuration, not data: at most 1000 entries."""
-    if len(rules) > 1000:
-        raise ValueError("more than 1000 rules")
+    """The longest fitting rule of a short list as struct(rule, verdict), or null: one expression."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         name, _, rest = rule.partition("/")
@@ -33,50 +33,115 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def joined_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows (host, path, rule, verdict) of the distinct places(host, path) that a rule of rules(verdict, rule) fits, with the longest.
+
+    A place's host and each parent domain meet the rules' hosts in an equi-join; for those found, the path's beginnings of the lengths
+    that the host's rules have meet the rules. So the work grows with places and labels, not with places times rules. Of two verdicts
+    for one rule, allow counts.
+    """
+    rules = rules.groupBy("rule").agg(F.min("verdict").alias("verdict")).where("instr(rule, '/') > 0")
+    cut = F.instr("rule", "/")
+    rules = rules.select("rule", "verdict", F.substring("rule", F.lit(1), cut - 1).alias("name"), F.substring("rule", cut, F.length("rule")).alias("start"))
+    lengths = rules.groupBy("name").agg(F.collect_set(F.length("start")).alias("lengths"))  # as many as paths have lengths
+    labels = F.split("host", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    each = places.select("host", "path").distinct().select("host", "path", F.explode(parents).alias("name"))
+    each = each.join(lengths, "name").select("host", "path", "name", F.explode("lengths").alias("n")).where("n <= length(path)")
+    found = each.select("host", "path", "name", F.substring("path", F.lit(1), F.col("n")).alias("start")).join(rules, ["name", "start"])
+    return found.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule")).alias("r")).select("host", "path", "r.*")
+
+
+def ruled(rows: DataFrame, host: str, path: str, rules, name: str) -> DataFrame:
+    """rows with a column name: the longest rule fitting host and path as struct(rule, verdict), or null. rules: pairs (verdict, rule), or a DataFrame of them for lists of any length."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= EXPRESSED:
+            return rows.withColumn(name, rule_of(F.col(host), F.col(path), rules))
+        rules = rows.sparkSession.createDataFrame(list(rules), "verdict string, rule string")
+    found = joined_rules(rows.select(F.col(host).alias("host"), F.col(path).alias("path")), rules)
+    found = found.select(F.col("host").alias(name + "_h"), F.col("path").alias(name + "_p"), F.struct("rule", "verdict").alias(name))
+    return rows.join(found, (rows[host] == found[name + "_h"]) & (rows[path] == found[name + "_p"]), "left").drop(name + "_h", name + "_p")
+
+
 def node_of(url: Column) -> Column:
     """One node for the spellings of a resource: without scheme and fragment, host in lower case."""
     return F.concat(host_of(url), F.coalesce(F.regexp_extract(url, r"(?s)://[^/?#]*([^#]*)", 1), F.lit("")))
 
 
+def decoded(text: Column) -> Column:
+    """Character references of an attribute as characters: numeric ones, and the names of the five signs that markup needs."""
+    def number(ref: Column) -> Column:
+        hexed = F.when(ref.rlike("^&#[xX]"), F.regexp_extract(ref, "([0-9A-Fa-f]+)", 1)).otherwise(F.hex(F.regexp_extract(ref, "([0-9]+)", 1).cast("long")))
+        return F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
+
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[xX](?:10|[0-9A-Fa-f])[0-9A-Fa-f]{0,4}|[0-9]{1,6});"), F.lit(0)))
+    out = F.aggregate(refs, text, lambda acc, ref: F.replace(acc, ref, number(ref)))
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return out
+
+
+def normal_path(path: Column) -> Column:
+    """A path without steps . and .., which go up at most to the root."""
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    last = F.element_at(parts, -1).isin(".", "..")
+    plain = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.when(last & (F.length(plain) > 1), F.concat(plain, F.lit("/"))).otherwise(plain)).otherwise(path)
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """Edges (url, target) from canonical links and refresh redirects in html, targets made absolute. Pages without url or html give none."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    """Edges (url, target) from canonical links and refresh redirects in html, targets made absolute.
+
+    Comments, scripts and other raw text hold no links. Pages without url or html give none; nor does a url or target without host."""
+    seen = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|noscript|template|xmp)\b.*?(?:</\1\s*>|\z)", " ")
+    tags = F.regexp_extract_all(seen, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     wanted = F.filter(tags, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?\s*canonical\b|http-equiv\s*=\s*[\"']?\s*refresh\b"))
-    raw = pages.where(F.col("html").rlike(r"(?i)canonical|refresh") & F.col("url").contains("://")).select("url", F.explode(wanted).alias("tag"))
+    raw = pages.where(F.col("html").rlike(r"(?i)canonical|refresh") & F.col("url").contains("://") & (host_of(F.col("url")) != "")).select("url", F.explode(wanted).alias("tag"))
     canonical = F.coalesce(F.nullif(F.regexp_extract("tag", r"(?is)\bhref\s*=\s*\"([^\"]*)\"", 1), F.lit("")), F.nullif(F.regexp_extract("tag", r"(?is)\bhref\s*=\s*'([^']*)'", 1), F.lit("")), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*([^\s\"'>]+)", 1))
     refresh = F.regexp_extract("tag", r"(?is)content\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?([^\"'>]+)", 1)
-    href = F.trim(F.replace(F.when(F.col("tag").rlike(r"(?i)^<meta"), refresh).otherwise(canonical), F.lit("&amp;"), F.lit("&")))
+    href = F.trim(decoded(F.when(F.col("tag").rlike(r"(?i)^<meta"), refresh).otherwise(canonical)))
+    raw = raw.withColumn("href", href).where("href <> '' AND NOT startswith(href, '#')")
     site = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.coalesce(F.nullif(F.regexp_extract(path_of(F.col("url")), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    own, rest = F.regexp_extract("href", r"(?s)^([^?#]*)", 1), F.regexp_extract("href", r"(?s)^[^?#]*(.*)", 1)
     target = (
         F.when(F.col("href").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("href"))
         .when(F.col("href").startswith("//"), F.concat(F.lit("http:"), F.col("href")))
-        .when(F.col("href").startswith("/"), F.concat(site, F.col("href")))
-        .otherwise(F.concat(site, folder, F.col("href")))
+        .when(F.col("href").startswith("/"), F.concat(site, normal_path(own), rest))
+        .when(F.col("href").startswith("?"), F.concat(site, path_of(F.col("url")), rest))
+        .otherwise(F.concat(site, normal_path(F.concat(folder, own)), rest))
     )
-    return raw.withColumn("href", href).where("href <> '' AND NOT startswith(href, '#')").select("url", target.alias("target"))
+    return raw.where("NOT href RLIKE '^(?i)(?:javascript|data|mailto|about):'").select("url", target.alias("target")).where(host_of(F.col("target")) != "")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
-    """Adds host, path, rule and verdict to pages(page_id, url, html).
+    """Adds host, path, rule and verdict to pages(page_id, url, html); rules as in ruled().
 
     A page that a rule fits has that rule's verdict. Any other page takes it from its aliases, the pages and targets that
     redirects(url, target), refresh redirects and canonical links connect with it: allow if an allow rule fits one of them,
-    else block if a block rule does, else the default. Null urls and urls without :// have no rule and no alias. Repeated
-    rows are judged one by one; other columns of pages stay, except those of the four names, which are replaced.
+    else block if a block rule does, else the default. Null urls, urls without :// and without host have no alias, the first two
+    no rule. Repeated rows are judged one by one; other columns of pages stay, except those of the four names, which are replaced.
     """
     edges = links(pages)
     if redirects is not None:
-        edges = edges.unionByName(redirects.where("instr(url, '://') > 0 AND instr(target, '://') > 0").select("url", "target"))
+        given = redirects.where("instr(url, '://') > 0 AND instr(target, '://') > 0").select("url", "target")
+        edges = edges.unionByName(given.where((host_of(F.col("url")) != "") & (host_of(F.col("target")) != "")))
     nodes = components(edges.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b")), "aliases")
     at = F.concat(F.lit("://"), F.col("node"))
-    ruled = nodes.withColumn("v", rule_of(host_of(at), path_of(at), rules)["verdict"])
-    classes = ruled.groupBy("component").agg(F.min("v").alias("class_verdict")).where("class_verdict IS NOT NULL")  # allow sorts before block
-    aliases = nodes.join(classes, "component").select(F.col("node").alias("_node"), "class_verdict")
-    own = pages.drop("html", "host", "path", "rule", "verdict").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "_node": node_of(F.col("url"))})
-    own = own.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    own = own.join(aliases, "_node", "left")
-    return own.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce("_rule.verdict", "class_verdict", F.lit(default))}).drop("_rule", "_node", "class_verdict")
+    judged = ruled(nodes.withColumns({"h": host_of(at), "p": path_of(at)}), "h", "p", rules, "r").withColumn("v", F.col("r.verdict"))
+    classes = judged.groupBy("component").agg(F.min("v").alias("v")).where("v IS NOT NULL")  # allow sorts before block
+    kept = pages.drop("html", "host", "path", "rule", "verdict")
+    node, rule, alias = (spare(c, kept.columns) for c in ("_node", "_rule", "_alias"))
+    aliases = nodes.join(classes, "component").select(F.col("node").alias(node), F.col("v").alias(alias))
+    # Pages that cannot have an alias are spread over all partitions.
+    key = F.when(F.col("url").contains("://"), node_of(F.col("url"))).otherwise(F.concat(F.lit("\0"), F.xxhash64("page_id", "url").cast("string")))
+    own = kept.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), node: key})
+    own = ruled(own, "host", "path", rules, rule).join(aliases, node, "left")
+    return own.withColumns({"rule": F.col(rule)["rule"], "verdict": F.coalesce(F.col(rule)["verdict"], alias, F.lit(default))}).drop(rule, node, alias)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +156,15 @@ WITH RECURSIVE p AS (
     coalesce(regexp_extract(url, '://[^/?#]*([^#]*)', 1), '') AS tail
   FROM pages),
 rules(rule, h, pre, v) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
-tags AS (SELECT host || tail AS a, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE contains(url, '://')),
-hrefs AS (SELECT a, CASE WHEN regexp_matches(tag, '(?i)rel\s*=\s*["'']?\s*canonical') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''>\s]+)', 1)
+tags AS (SELECT host || tail AS a, regexp_extract(url, '^(.*?://[^/?#]*)', 1) AS site, path, unnest(regexp_extract_all(
+  regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<(?:script|style|textarea|title|noscript|template)\b.*?</(?:script|style|textarea|title|noscript|template)\s*>', ' ', 'g'), '(?i)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM p WHERE contains(url, '://') AND host <> ''),
+hrefs AS (SELECT a, site, path, CASE WHEN regexp_matches(tag, '(?i)rel\s*=\s*["'']?\s*canonical') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''>\s]+)', 1)
   WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?\s*refresh') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?([^"''>\s]+)', 1) END AS href FROM tags),
-e AS (SELECT DISTINCT a, regexp_extract(replace(href, '&amp;', '&'), '://([^#]*)', 1) AS b FROM hrefs WHERE contains(href, '://')),
+absolute AS (SELECT a, CASE WHEN contains(h, '://') THEN h WHEN starts_with(h, '//') THEN 'http:' || h WHEN starts_with(h, '/') THEN site || h
+  ELSE site || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || h END AS t
+  FROM (SELECT a, site, path, replace(href, '&amp;', '&') AS h FROM hrefs WHERE href <> '' AND NOT starts_with(href, '#'))),
+e AS (SELECT DISTINCT a, lower(regexp_extract(t, '://([^/?#]*)', 1)) || regexp_extract(t, '://[^/?#]*([^#]*)', 1) AS b FROM absolute WHERE regexp_extract(t, '://([^/?#]*)', 1) <> ''),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
 node_verdict AS (SELECT b, arg_max(v, length(rule)) AS v FROM (SELECT DISTINCT b FROM reach) n
