@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import table
+from plumbline.llm.shared import join_small, materialize, spare, table
 from plumbline.llm.url_filter import host_of
 
 # Element names of HTML.
@@ -25,40 +25,73 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-# Words of class, id and role that mark what is not the article.
-SKIPPED_WORDS = frozenset(
-    "ad ads advert advertisement adverts adsense banner sponsor sponsored promo promoted promotion sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs"
-    " footer header masthead topbar toolbar notice notices cookie cookies consent gdpr alert popup modal overlay subscribe subscription newsletter signup login"
-    " comment comments commentlist respond reply replies disqus discussion related recommended recommendations share sharing social widget pagination pager search form"
-    " complementary contentinfo disclaimer".split()
+# Words of class, id and role names. A name marks what is not the article if it has a word of the first or second list
+# and no other words than those and the companions: cookie-notice and left-sidebar-2 do, side-effects and form-factor do not.
+SURE = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense adslot sponsor sponsored promo promoted promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs"
+    " masthead topbar toolbar notice notices cookie cookies consent gdpr popup modal overlay subscribe subscription newsletter"
+    " comment comments commentlist disqus pagination pager complementary contentinfo".split()
 )
+#: Names of these count outside an article element, unless they name a part of it.
+FRAME = frozenset("header footer".split())
+#: Names of these count where the element is a form or mostly links: an article can have a part on any of them.
+DOUBTFUL = frozenset("side rail alert signup login respond reply replies discussion related recommended recommendations share sharing social widget search form disclaimer".split())
+COMPANIONS = frozenset("bar bars block blocks body bottom box boxes btn buttons center column container desktop extra fixed global group holder inner item items js left links list main message mobile outer page panel policy primary reader readers right row secondary section site slot small sticky the thread top unit user users wrap wrapper zone area content article post entry story".split())
+PARTS = frozenset("article post entry story".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
 LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
-NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-WORD = re.compile(r"[A-Za-z]+")
+NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Of a doubtful element's text, the share inside links from which it is no part of the article.
+LINKED = 0.5
+KEPT, SKIP, FRAMED, DOUBT = range(4)
+
+
+def _mark(name: str) -> int:
+    """What a class, id or role name says of its element."""
+    found = {w.lower() for w in WORD.findall(name)}
+    if not found or found - SURE - FRAME - DOUBTFUL - COMPANIONS:
+        return KEPT
+    if found & SURE:
+        return SKIP
+    if found & FRAME:
+        return KEPT if found & PARTS else FRAMED
+    return DOUBT if found & DOUBTFUL else KEPT
 
 
 @lru_cache(1 << 14)
-def _step(name: str, attributes: str) -> tuple[str, bool]:
-    """An element's step in a generalised path (classes without digits), and whether it is not part of an article."""
+def _step(name: str, attributes: str) -> tuple[str, int]:
+    """An element's step in a generalised path (classes without digits), and what its names say of it."""
     if not attributes:
-        return name, name in SKIPPED
+        return name, SKIP if name in SKIPPED else KEPT
     named = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(attributes)}
-    marks = {w.lower() for k in ("class", "id", "role") for w in WORD.findall(named.get(k, ""))}
-    skip = name in SKIPPED or named.get("aria-hidden") == "true" or bool(marks & SKIPPED_WORDS) and name not in ("html", "body", "article", "main")
-    return name + "".join("." + w for w in sorted({re.sub(r"\d+", "", w).lower() for w in named.get("class", "").split()} - {""})), skip
+    marks = {_mark(w) for k in ("class", "id", "role") for w in named.get(k, "").split()} if name not in ("html", "body", "article", "main") else set()
+    mark = SKIP if name in SKIPPED or SKIP in marks else FRAMED if FRAMED in marks else DOUBT if DOUBT in marks else KEPT
+    return name + "".join("." + w for w in sorted({re.sub(r"\d+", "", w).lower() for w in named.get("class", "").split()} - {""})), mark
 
 
 def _blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
     """Blocks of text outside skipped parts, in page order: (path of open containers, text, its characters inside links)."""
-    stack: list[tuple[str, str, bool]] = []  # element, path step, skipped
+    found, doubts = [], []
+    for path, text, linked, within in _all_blocks(page, doubts):
+        found.append((path, text, linked, within))
+        for k in within:
+            doubts[k][0] += len(text)
+            doubts[k][1] += linked
+    gone = {k for k, (size, linked, form) in enumerate(doubts) if form or linked > LINKED * size}
+    return ((path, text, linked) for path, text, linked, within in found if not gone.intersection(within))
+
+
+def _all_blocks(page: str, doubts: list[list[int]]) -> Iterator[tuple[tuple[str, ...], str, int, tuple[int, ...]]]:
+    """Blocks outside surely skipped parts, with the numbers of the doubtful elements around them; each of those gets an entry [0, 0, has a form] in doubts."""
+    stack: list[tuple[str, str, bool, int | None]] = []  # element, path step, skipped, number of a doubtful one
     text: list[str] = []
     linked, in_link, skipped, at, size = 0, 0, 0, 0, len(page)
 
     def flush():
         nonlocal linked
         joined = " ".join(entities.unescape("".join(text)).split())
-        out = (tuple(step for name, step, _ in stack if name not in CLOSED_BY_BLOCK), joined, linked) if joined else None
+        out = (tuple(step for name, step, _, _ in stack if name not in CLOSED_BY_BLOCK), joined, linked, tuple(k for _, _, _, k in stack if k is not None)) if joined else None
         text.clear()
         linked = 0
         return out
@@ -86,6 +119,12 @@ def _blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
         if name == "a":
             in_link = 0 if closing else 1
             continue
+        if name in ("form", "input", "textarea", "select") and not closing:
+            for _, _, _, k in stack:
+                if k is not None:
+                    doubts[k][2] = 1
+        if name == "button" and (closing and not any(n == name for n, _, _, _ in stack) or not closing and not skipped and "".join(text).strip()):
+            continue  # inside a sentence
         if name in ("br", "hr") or name not in BLOCKS and name not in SKIPPED:
             if name in ("br", "hr", "img", "wbr") and not skipped:
                 text.append(" ")
@@ -104,10 +143,14 @@ def _blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
             pop(len(stack) - 1)
         if name in SAME_CLOSES and stack and stack[-1][0] in SAME_CLOSES[name]:
             pop(len(stack) - 1)
-        step, skip = _step(name, tag.group(3))
-        skip = skip or name == "header" and not any(n in ("article", "main") for n, _, _ in stack)
+        step, mark = _step(name, tag.group(3))
+        framed = (mark == FRAMED or name == "header") and not any(n in ("article", "main") for n, _, _, _ in stack)
+        skip, doubt = mark == SKIP or framed, None
+        if mark == DOUBT and not skip:
+            doubt = len(doubts)
+            doubts.append([0, 0, 0])
         if not tag.group(3).endswith("/"):
-            stack.append((name, step, skip))
+            stack.append((name, step, skip, doubt))
             skipped += skip
         if name in RAW:
             end = re.compile(rf"</{name}\b", re.I).search(page, at)
@@ -151,26 +194,27 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Null html gives an empty text. Pages with a null url share the empty host. Where no block stands under the winning path,
     the page's own best container counts. Ties between paths go to the greater path; repeated rows vote once each. Other
-    columns stay; one named text, host or path is replaced.
+    columns stay; one named text is replaced.
     """
-    own = pages.drop("text", "_host", "_path").withColumn("_host", host_of(F.col("url")))
+    kept = [c for c in pages.columns if c.lower() not in ("text", "html")]
+    host, path = spare("_host", pages.columns), spare("_path", pages.columns)
+    own = pages.select(*kept, "html", host_of(F.col("url")).alias(host))
 
     def vote(batches):
         for b in batches:
             found = [best_path(p) for p in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["_host", "_path"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["h", "p"])
 
-    votes = own.select("_host", "html").mapInArrow(vote, "_host string, _path string").where("_path IS NOT NULL").groupBy("_host", "_path").count()
-    winners = votes.groupBy("_host").agg(F.max_by("_path", F.struct("count", "_path")).alias("_path"))
-    joined = own.join(winners, "_host", "left").drop("_host")
-    kept = [c for c in joined.columns if c not in ("html", "_path")]
+    votes = own.select(host, "html").mapInArrow(vote, "h string, p string").where("p IS NOT NULL").groupBy("h", "p").count()
+    winners = materialize(votes.groupBy("h").agg(F.max_by("p", F.struct("count", "p")).alias(path)).withColumnRenamed("h", host), "paths")
+    joined = join_small(own, winners, host, "left").select(*kept, "html", path)
     schema = joined.select(*kept).schema.add("text", "string")
 
     def extract(batches):
         for b in batches:
-            at = {n: i for i, n in enumerate(b.schema.names)}
-            texts = [extract_text(h, p) for h, p in zip(b.column(at["html"]).to_pylist(), b.column(at["_path"]).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(at[c]) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
+            n = len(kept)
+            texts = [extract_text(h, p) for h, p in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string())], names=[*kept, "text"])
 
     return joined.mapInArrow(extract, schema)
 
