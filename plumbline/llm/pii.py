@@ -4,20 +4,26 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import boosting
-from plumbline.llm.shared import table
+from plumbline.llm.shared import spare, table
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"
-#: Labelled examples that the trees are fitted on, and as many that the thresholds are calibrated on; made by rule, so their number does not follow the corpus.
+#: Labelled examples that the trees are fitted on, and as many that the thresholds are calibrated on: spans made by rule, set into
+#: passages of the documents. Neither follows the size of the corpus.
 EXAMPLES = 3000
+#: Bounds on the passages: of one language, and of all. They are the first in the order of the texts' hashes.
+PASSAGES_A_LANGUAGE, PASSAGES = 200, 2000
+#: A threshold of a language of its own needs this many calibration examples of a kind.
+LEAST_CALIBRATION = 100
 #: The least share of accepted candidates that must be personal data among the calibration examples.
 PRECISION = 0.995
 
@@ -39,10 +45,10 @@ LOOSE = (
 #: Every match of LOOSE holds a match of this.
 GATE = re.compile(r"[0-9@]|[\[(]\s?at\s?[\])]|[0-9a-f]:[0-9a-f]|::", re.I)
 CUES = {
-    "email": re.compile(r"\b(?:e-?mail|mail|contact|write|reach)\b", re.I),
-    "phone": re.compile(r"\b(?:phone|tel|telephone|call|mobile|cell|fax|sms|whatsapp)\b", re.I),
-    "ip": re.compile(r"\b(?:ip|ipv6|address|host|server|client|from)\b", re.I),
-    "card": re.compile(r"\b(?:card|visa|mastercard|amex|credit|debit|payment|pan)\b", re.I),
+    "email": re.compile(r"\b(?:e-?mail|mail|contact|write|reach|courriel|correo|kontakt|schreiben|contacter|écrire|escribir)\b", re.I),
+    "phone": re.compile(r"\b(?:phone|tel|telephone|call|mobile|cell|fax|sms|whatsapp|telefon|anruf|handy|rufnummer|téléphone|appeler|portable|teléfono|llamar|móvil)\b", re.I),
+    "ip": re.compile(r"\b(?:ip|ipv6|address|host|server|client|from|adresse|rechner|von|serveur|depuis|dirección|servidor|desde)\b", re.I),
+    "card": re.compile(r"\b(?:card|visa|mastercard|amex|credit|debit|payment|pan|karte|kreditkarte|zahlung|carte|crédit|paiement|tarjeta|crédito|pago)\b", re.I),
 }
 NOT_CUE = re.compile(r"\b(?:version|isbn|issn|doi|order|invoice|serial|part|page|pages|vol|date|year|fig|section|chapter|sku|no|ratio|score)\b\.?:?\s*$", re.I)
 
@@ -114,8 +120,9 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
-def examples(n: int, seed: int) -> tuple[list[str], list[tuple[str, int, int]], list[int]]:
-    """Labelled candidates made by rule: texts, one candidate of each, and 1 where it is personal data."""
+def examples(n: int, seed: int, passages: Sequence[tuple[str | None, str]] = ()) -> tuple[list[str], list[tuple[str, int, int]], list[int], list[str | None]]:
+    """Labelled candidates made by rule, set into passages(lang, text) at a space, or into made-up words without them: texts, one
+    candidate of each, 1 where it is personal data, and the language."""
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     w = lambda: "".join(rng.choice("aeioulnrstdm") for _ in range(rng.randint(3, 8)))
@@ -126,11 +133,11 @@ def examples(n: int, seed: int) -> tuple[list[str], list[tuple[str, int, int]],
 
     def email():
         a, b = rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" (AT) ", " (DOT) "), ("(At)", "(Dot)"), (" [ at ] ", " [ dot ] "), ("@", " . "), (" @ ", ".")])
-        return "email", f"{rng.choice([w() + '.', ''])}{w()}{a}{w()}{b}{rng.choice(['com', 'org', 'net', 'de', 'fr'])}", rng.choice(["write to ", "mail: ", "contact ", w() + " "])
+        return "email", f"{rng.choice([w() + '.', ''])}{w()}{a}{w()}{b}{rng.choice(['com', 'org', 'net', 'de', 'fr'])}", rng.choice(["write to ", "mail: ", "contact ", "Kontakt: ", "courriel ", "correo ", ""])
 
     def phone():
         s = rng.choice(" -.")
-        return "phone", rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}", f"0049 {d(3)} {d(4)} {d(3)}", f"0{d(3)} {d(3)} {d(4)}"]), rng.choice(["call ", "tel: ", "phone ", "mobile ", "fax: "])
+        return "phone", rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}", f"0049 {d(3)} {d(4)} {d(3)}", f"0{d(3)} {d(3)} {d(4)}"]), rng.choice(["call ", "tel: ", "phone ", "mobile ", "fax: ", "Telefon ", "téléphone ", "teléfono "])
 
     def ip():
         group = lambda: f"{rng.randrange(1, rng.choice([256, 65536])):x}"
@@ -138,59 +145,88 @@ def examples(n: int, seed: int) -> tuple[list[str], list[tuple[str, int, int]],
         if rng.random() < 0.5:  # compressed
             head = rng.choice(["2001:db8", "fe80", "", ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(rng.randint(1, 4)))])
             span = f"{head}::{':'.join(group() for _ in range(rng.randint(0 if ':' in head else 1, 3)))}"
-        return "ip", span, rng.choice(["from ", "host ", "ip ", w() + " "])
+        return "ip", span, rng.choice(["from ", "host ", "ip ", "server ", ""])
 
     def plastic():
         c = card()
         sep = rng.choice([" - ", "/", ".", "  "])
-        return "card", sep.join(c[i : i + 4] for i in range(0, 16, 4)), rng.choice(["card ", "visa: ", "payment by ", "debit "])
+        return "card", sep.join(c[i : i + 4] for i in range(0, 16, 4)), rng.choice(["card ", "visa: ", "payment by ", "debit ", "Karte ", "carte ", "tarjeta "])
 
     def not_phone():
-        return "phone", rng.choice([f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}", f"{d(2)}.{d(2)}.{rng.randint(1900, 2030)}", f"{d(3)} {d(3)}", f"{d(4)}/{d(4)}", f"{d(2)} {d(3)} {d(3)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(2)} {d(4)}"]), rng.choice(["order ", "isbn ", "page ", "version ", w() + " ", "year ", "$", "serial "])
+        return "phone", rng.choice([f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}", f"{d(2)}.{d(2)}.{rng.randint(1900, 2030)}", f"{d(3)} {d(3)}", f"{d(4)}/{d(4)}", f"{d(2)} {d(3)} {d(3)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(2)} {d(4)}", f"00{rng.randint(10, 99)}{d(rng.randint(8, 14))}", f"{d(2)}.{d(3)}.{d(3)}"]), rng.choice(["order ", "isbn ", "page ", "version ", "", "year ", "$", "serial "])
 
     def not_email():
-        return "email", f"{w()} @ {w()} . {w()}", rng.choice(["x ", "price ", w() + " "])
+        return "email", f"{w()} @ {w()} . {w()}", rng.choice(["x ", "price ", ""])
 
     def not_ip():
         names = ["add", "bad", "cafe", "dead", "face", "ace", "bed", "fade"]
-        return "ip", rng.choice([":".join(d(2) for _ in range(rng.randint(4, 5))), f"{rng.choice(names)}::{rng.choice(names)}"]), rng.choice(["ratio ", "score ", "time ", w() + " "])
+        return "ip", rng.choice([":".join(d(2) for _ in range(rng.randint(4, 5))), f"{rng.choice(names)}::{rng.choice(names)}"]), rng.choice(["ratio ", "score ", "time ", ""])
 
     def not_card():
-        return "card", rng.choice(" -/.").join(d(4) for _ in range(rng.choice([3, 4]))), rng.choice(["order ", "serial ", "isbn ", w() + " "])
+        return "card", rng.choice(" -/.").join(d(4) for _ in range(rng.choice([3, 4]))), rng.choice(["order ", "serial ", "isbn ", ""])
 
-    texts, spans, labels = [], [], []
+    texts, spans, labels, langs = [], [], [], []
     makers = [(email, 1), (phone, 1), (ip, 1), (plastic, 1), (not_phone, 0), (not_email, 0), (not_ip, 0), (not_card, 0)]
     for k in range(n):
         make, label = makers[k % len(makers)]
         kind, span, cue = make()
-        lead = f"{w()} {w()} {cue}"
-        texts.append(lead + span + rng.choice([" ", ". ", ", "]) + w())
+        lang, passage = rng.choice(passages) if passages else (None, f"{w()} {w()} {w()}")
+        places = [0, *(m.end() for m in re.finditer(r"\s", passage))]
+        cut = rng.choice(places)
+        lead = passage[:cut] + cue
+        texts.append(lead + span + rng.choice([" ", ". ", ", "]) + passage[cut:])
         spans.append((kind, len(lead), len(lead) + len(span)))
         labels.append(label)
-    return texts, spans, labels
+        langs.append(lang)
+    return texts, spans, labels, langs
+
+
+Limits = dict[tuple[str, str | None], float]
+
+
+def _least(p: np.ndarray, y: np.ndarray, precision: float) -> float:
+    """The least probability from which at least the share precision is true; above one where there is none."""
+    order = np.argsort(-p, kind="stable")
+    last = np.append(p[order][1:] != p[order][:-1], True)  # of equal probabilities all or none are taken
+    good = np.flatnonzero(last & (np.cumsum(y[order]) / np.arange(1, len(order) + 1) >= precision)) if len(order) else []
+    return float(p[order][good[-1]]) if len(good) else 2.0
 
 
 @lru_cache(4)
-def trained(n: int = EXAMPLES, precision: float = PRECISION) -> tuple:
-    """The trees, and for each kind the least probability at which the share of true ones among calibration examples is precision."""
-    def matrix(seed):
-        texts, spans, labels = examples(n, seed)
-        return np.array([features(t, *s) for t, s in zip(texts, spans, strict=True)], float), np.array(labels, float)
-
-    model = boosting.fit(*matrix(11))
-    x, y = matrix(12)
+def trained(passages: tuple[tuple[str | None, str], ...] = (), n: int = EXAMPLES, precision: float = PRECISION) -> tuple[tuple, Limits]:
+    """The trees, and for each kind, and kind and language, the least probability at which the share of true ones among held-out
+    examples is precision. Every other passage is held out, and so are the spans in them."""
+    def matrix(seed, own):
+        texts, spans, labels, langs = examples(n, seed, own)
+        return np.array([features(t, *s) for t, s in zip(texts, spans, strict=True)], float), np.array(labels, float), np.array([lang or "" for lang in langs])
+
+    x, y, _ = matrix(11, passages[::2])
+    model = boosting.fit(x, y)
+    x, y, langs = matrix(12, passages[1::2])
     p = boosting.predict(model, x)
-    limits = []
-    for k in range(len(KINDS)):
+    limits: Limits = {}
+    for k, kind in enumerate(KINDS):
         own = x[:, 0] == k
-        order = np.argsort(-p[own], kind="stable")
-        share = np.cumsum(y[own][order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(share >= precision)
-        limits.append(float(max(p[own][order][good[-1]], 0.9)) if len(good) else 2.0)
-    return model, tuple(limits)
-
-
-def spans_of(text: str, model: tuple, limits: tuple) -> list[dict]:
+        limits[kind, None] = _least(p[own], y[own], precision)
+        for lang in sorted(set(langs) - {""}):
+            here = own & (langs == lang)
+            if here.sum() >= LEAST_CALIBRATION:
+                limits[kind, lang] = _least(p[here], y[here], precision)
+    return model, limits
+
+
+def sampled_passages(docs: DataFrame) -> tuple[tuple[str | None, str], ...]:
+    """(lang, passage) of a bounded sample of docs(text): 100 characters from a place in the text that its hash gives, in the order of the hashes."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    h = F.xxhash64("text")
+    at = F.pmod(h, F.greatest(F.length("text") - 100, F.lit(1))).cast("int") + 1
+    rows = docs.where("length(text) > 0").select(lang.alias("lang"), h.alias("h"), F.substring("text", at, F.lit(100)).alias("passage"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "passage"))).where(F.col("k") <= PASSAGES_A_LANGUAGE)
+    found = rows.orderBy("k", "lang", "h").limit(PASSAGES).collect()  # a bounded sample
+    return tuple((r["lang"], p) for r in found for p in [r["passage"]] if not GATE.search(p))
+
+
+def spans_of(text: str, model: tuple, limits: Limits, lang: str | None = None) -> list[dict]:
     base = base_spans(text)
     out = [{"kind": k, "start": s, "end": e, "score": 1.0, "base": True} for k, s, e in base]
     if GATE.search(text):
@@ -199,7 +235,7 @@ def spans_of(text: str, model: tuple, limits: tuple) -> list[dict]:
             scores = boosting.predict(model, np.array([features(text, *c) for c in loose], float))
             taken: list[tuple[int, int]] = []
             for score, (kind, s, e) in sorted(zip(scores.tolist(), loose, strict=True), key=lambda x: (-x[0], x[1][1], x[1][2], x[1][0])):
-                if score >= limits[KINDS.index(kind)] and not any(s < y and x < e for x, y in taken):
+                if score >= limits.get((kind, lang), limits[kind, None]) and not any(s < y and x < e for x, y in taken):
                     taken.append((s, e))
                     out.append({"kind": kind, "start": s, "end": e, "score": round(score, 6), "base": False})
     return sorted(out, key=lambda r: (r["start"], KINDS.index(r["kind"]), r["end"]))
@@ -209,10 +245,11 @@ def find_pii(docs: DataFrame, *keep: str, redact: bool = False, name: str = "spa
     """The columns keep of docs(text) and, under a name that keep has not, spans: personal data in each whole text, by start, then kind; positions in code points.
 
     Base spans have base true and score 1. Candidates that overlap no base span are added where the boosted trees give at
-    least their kind's calibrated probability; of overlapping ones the most probable stays. Null and empty texts have no
+    least their kind's calibrated probability; of overlapping ones the most probable stays. The trees and
+    thresholds are fitted on examples in passages of docs itself, by language where docs has lang. Null and empty texts have no
     spans; repeated rows are treated one by one. With redact, text is added too, each span replaced by its kind in brackets.
     """
-    trained_model = trained()
+    trained_model = trained(sampled_passages(docs))
     schema = docs.select(*keep).schema.add(name, docs.sparkSession.range(0).select(F.lit(None).cast(SPANS)).schema[0].dataType)
     if redact:
         schema = schema.add("text", "string")
@@ -221,12 +258,14 @@ def find_pii(docs: DataFrame, *keep: str, redact: bool = False, name: str = "spa
     def run(batches):
         model, limits = trained_model
         for b in batches:
-            texts = b.columns[-1].to_pylist()
-            spans = [spans_of(t, model, limits) if t else [] for t in texts]
+            texts, langs = b.columns[-2].to_pylist(), b.columns[-1].to_pylist()
+            spans = [spans_of(t, model, limits, lang) if t else [] for t, lang in zip(texts, langs, strict=True)]
             more = [pa.array([redacted(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())] if redact else []
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(spans, arrow), *more], names=[*keep, name, *["text"] * redact])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(spans, arrow), *more], names=[*keep, name, *["text"] * redact])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    text, lang_ = spare("_text", keep), spare("_lang", keep)
+    return docs.select(*keep, F.col("text").alias(text), lang.alias(lang_)).mapInArrow(run, schema)
 
 
 def redacted(text: str | None, spans: list[dict]) -> str | None:
@@ -244,7 +283,7 @@ def redacted(text: str | None, spans: list[dict]) -> str | None:
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in text, and n_chars, where there is one, counted again."""
     columns = docs.columns
-    out = find_pii(docs, *(c for c in columns if c != "text"), redact=True, name="_spans")
+    out = find_pii(docs, *(c for c in columns if c != "text"), redact=True, name=spare("_spans", columns))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
     return out.select(*columns)
