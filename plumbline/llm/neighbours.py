@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import materialize, table
 
 #: Bound on the rows the tree is fitted on, children of a node, sample rows of a leaf.
-SAMPLE, BRANCHES, LEAF = 20_000, 16, 200
+SAMPLE, BRANCHES, LEAF = 20_000, 16, 40
 #: Bound on the calibration queries, and the share of their true neighbours that the visited leaves must hold.
-CALIBRATION, RECALL = 200, 0.95
+CALIBRATION, RECALL = 400, 0.93
 #: Rows of a leaf that one task compares with queries; larger leaves are split.
 SPLIT = 20_000
-#: Scores this close are compared again by an exact sum.
-NEAR = 1e-9
+#: Scores this close, as a share of the product of both lengths, are compared again by an exact sum; a matrix product errs by less.
+NEAR = 1e-12
 
 
 class Tree:
@@ -104,11 +104,12 @@ def _lifted(x: np.ndarray, most: float) -> np.ndarray:
 def _best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each query its k best of the rows x by exact score, then smaller id: (query_id, vec_id, score)."""
     out = []
+    longest = np.sqrt((x**2).sum(axis=1).max(initial=0.0))
     for lo in range(0, len(q), step := max(1, 4_000_000 // max(1, len(x)))):
         scores = q[lo : lo + step] @ x.T
         for row, own, vector in zip(scores, query_ids[lo : lo + step], q[lo : lo + step], strict=True):
             row[ids == own] = -np.inf
-            least = np.partition(row, -k)[-k] - NEAR if len(row) > k else -np.inf
+            least = np.partition(row, -k)[-k] - NEAR * longest * np.sqrt(vector @ vector) if len(row) > k else -np.inf
             at = np.flatnonzero((row >= least) & (row > -np.inf))
             exact = (x[at] * vector).sum(axis=1)
             order = np.lexsort((ids[at], -exact))[:k]
@@ -132,6 +133,11 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast(kind).alias("x"))
 
 
+def _first(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """At most n of the rows, the first in the order of their ids' hashes, so that each row has the same chance, whatever their number."""
+    return rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(n)
+
+
 def brute_force(rows: DataFrame, queries: list, dim: int, k: int) -> DataFrame:
     """The k nearest of all rows for a bounded list of (query_id, vector)."""
     query_ids, q = np.array([r[0] for r in queries], np.int64), np.array([r[1] for r in queries], float).reshape(-1, dim)
@@ -156,10 +162,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
     sizes = rows.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))).alias("most")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, most = sizes[0]["dim"], sizes[0]["n"], sizes[0]["most"]
+    dim, most = sizes[0]["dim"], sizes[0]["most"]
     rows, kind = rows.where(F.size("x") == dim), dict(rows.dtypes)["x"]
-    share = min(1.0, SAMPLE / n)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("x").limit(SAMPLE).toArrow()
+    sample = _first(rows, SAMPLE, 3).select("x").toArrow()
     tree = Tree(_lifted(_matrix(sample.column(0), dim), most))
     model = spark.sparkContext.broadcast(tree)  # of the bounded sample
 
@@ -174,9 +179,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
         counts[r["leaf"]] = r["count"]
     queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0)
 
-    n_queries = queries.count()
-    part = min(1.0, CALIBRATION / max(1, n_queries))
-    asked = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select("vec_id", "x").limit(CALIBRATION).collect()
+    asked = _first(queries, CALIBRATION, 7).select("vec_id", "x").collect()
     true = brute_force(placed, [(r[0], r[1]) for r in asked], dim, k).join(placed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()  # k rows per calibration query
     place_of = {}
     for r in asked:
@@ -205,5 +208,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
     return _topped(found, k).select("query_id", "rank", "vec_id", "score")
 
 
+def measured_recall(found: DataFrame, vectors: DataFrame, queries: int = 400, k: int = 20) -> float:
+    """The share of the true k nearest, by brute force over all vectors, that found has, over at most that many of its queries."""
+    rows = usable(vectors)
+    dim = rows.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").first()["dim"]
+    rows = rows.where(F.size("x") == dim)
+    ids = found.select(F.col("query_id").alias("vec_id")).distinct()
+    asked = _first(rows.join(ids, "vec_id", "left_semi"), queries, 11).select("vec_id", "x").collect()
+    true = brute_force(rows, [(r[0], r[1]) for r in asked], dim, k).select("query_id", "vec_id")
+    hit, all_ = true.join(found.select("query_id", "vec_id", "rank"), ["query_id", "vec_id"], "left").agg(F.count("rank"), F.count("*")).first()
+    return hit / all_ if all_ else 1.0
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))

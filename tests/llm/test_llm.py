@@ -403,6 +403,24 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.limit(0)).count() == 0
 
 
+def test_neighbours_of_the_table(spark):
+    found = neighbours.op6_neighbours(spark, "/root/testdata/sf0.01")
+    assert neighbours.measured_recall(found, spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")) >= 0.9
+
+
+def test_neighbours_of_long_vectors_are_exact(spark):
+    """Ties and near ties among vectors of length 1e8 are ordered by their exact scores."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 6)) * 1e8
+    x[100:160] = x[20]
+    x[160:200] = x[20] * (1 + 1e-15 * np.arange(40))[:, None]
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), recall=1.0).collect()
+    for q in range(0, 300, 20):
+        scores = (x * x[q]).sum(axis=1)
+        scores[q] = -np.inf
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == np.lexsort((np.arange(300), -scores))[:20].tolist()
+
+
 # ---------------------------------------------------------------- 7 personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
