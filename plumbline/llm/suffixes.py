@@ -1,35 +1,43 @@
 """Removal of long repeated passages by a logarithmic family of sparse suffix arrays.
 
-A string of `least` bytes is found by the suffix that begins at its anchor: the position, among the string's `key`-byte grams, with
-the least hash. Equal strings have the same anchor, so anchored suffixes, about one position in sixteen, stand for all. They are dealt
-by the hash of their first `key` bytes. Each task takes its suffixes in batches of ascending doc_id: a batch's sorted array is
-merge-scanned against the levels so far, what is new becomes a level, and levels of equal size merge geometrically.
-
-An anchor's context is every byte that a string with this anchor can hold. A context that an earlier document has is removed whole;
-where contexts of one anchor differ, the strings in them are compared one by one.
+A string of `least` bytes is found by the suffix that begins at its mark: the position, among the string's `key`-byte grams, with the
+least hash. Equal strings have the same mark, so marked suffixes, about one position in sixteen, stand for all. They are dealt to
+buckets by their first `key` bytes, and within a bucket kept in the order of those, then of what a string around the mark can hold.
+
+An index is a folder of levels, each a table with one sorted array a bucket. A new batch of documents gets its own arrays, which are
+merge-scanned against every level; then it becomes a level, and levels of the same rank are merged, two by two, so a suffix is written
+again only as often as the logarithm of the number of batches. A context (all bytes around a mark that a string with it can hold) that
+an earlier document has is removed whole; where contexts of one mark differ, the strings in them are compared one by one.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import materialize, mix, prefix_hash, span_hash, steps, table
+from plumbline.llm.shared import drop_tables, materialize, mix, prefix_hash, shared_dir, span_hash, steps, table
 
 LEAST, KEY = 50, 20
-#: Batches of a task's suffixes.
-BATCHES = 8
-#: Buckets of suffixes for each shuffle partition: a task holds one bucket at a time.
-BUCKETS = 4
-#: Text bytes whose suffixes are found and packed together; a step needs about a hundred times as many bytes of memory.
-PACK_BYTES = 1 << 20
-#: Differing contexts of one anchor that a task compares; an anchor with more has its strings dealt to several tasks by hash.
-CONTEXTS = 20_000
+#: Batches in which a whole table is added, in doc_id order.
+BATCHES = 4
+#: Buckets for each shuffle partition, and bytes of text for each bucket: the larger number counts.
+BUCKETS, BUCKET_BYTES = 2, 1 << 26
+#: Text bytes whose suffixes are found and packed together.
+PACK_BYTES = 1 << 19
+#: Bytes of text hashed at a time, whatever a text's length.
+HASHED = 1 << 20
+#: Contexts that a task remembers as held by several documents, so that it passes each on once; when full, it begins again.
+REMEMBERED = 200_000
+#: Documents whose marks tell which are hot, and the share of them that a hot mark is in; hot marks are dealt by context.
+SAMPLE, HOT = 20_000, 0.005
 ALL = np.uint64((1 << 64) - 1)
 
 
@@ -43,8 +51,21 @@ def _slide(a: np.ndarray, width: int, take) -> np.ndarray:
     return take(a[: len(a) - rest], a[rest:]) if rest else a
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, key: int = KEY) -> tuple[np.ndarray, ...]:
-    """Anchors of all strings of a flat buffer that lie within a row: (position, row, hash, context start, context end, context hash)."""
+def marks(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, key: int = KEY) -> tuple[np.ndarray, ...]:
+    """Marks of all strings of a flat buffer that lie within a row: (position, row, hash, context start, context end, context hash)."""
+    found = [_marks_of(data, offsets, lo, min(lo + HASHED, len(data)), least, key) for lo in range(0, max(len(data), 1), HASHED)]
+    if len(found) == 1:
+        return found[0]
+    at, row, grams, lo, hi, context = (np.concatenate(c) for c in zip(*found, strict=True))
+    at, first = np.unique(at, return_index=True)
+    return at, row[first], grams[first], lo[first], hi[first], context[first]
+
+
+def _marks_of(data: np.ndarray, offsets: np.ndarray, begin: int, stop: int, least: int, key: int) -> tuple[np.ndarray, ...]:
+    """Marks of the strings that start from begin to stop; their contexts lie less than two lengths beyond."""
+    base = max(0, begin - least)
+    data, whole = data[base : stop + 3 * least], offsets
+    offsets = np.clip(offsets - base, 0, len(data))
     none = np.zeros(0, np.int64)
     if len(data) < least:
         return none, none, none.astype(np.uint64), none, none, none.astype(np.uint64)
@@ -54,12 +75,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, key: int
     grams = np.where(starts + key <= end_of[: len(starts)], grams, ALL)
     span = least - key + 1
     mins = _slide(grams, span, np.minimum)
-    mins = np.where(np.arange(len(mins)) + least <= end_of[: len(mins)], mins, np.uint64(0))
+    own = np.arange(len(mins))
+    mins = np.where((own + least <= end_of[: len(mins)]) & (own >= begin - base) & (own < stop - base), mins, np.uint64(0))
     edge = np.zeros(span - 1, np.uint64)
     at = np.flatnonzero((_slide(np.concatenate((edge, mins, edge)), span, np.maximum) == grams) & (grams != ALL))
-    row = np.searchsorted(offsets, at, side="right") - 1
-    lo, hi = np.maximum(at - (least - key), offsets[row]), np.minimum(at + least, offsets[row + 1])
-    return at, row, grams[at], lo, hi, span_hash(prefix, lo, hi) >> np.uint64(8)
+    row = np.searchsorted(whole, at + base, side="right") - 1
+    lo, hi = np.maximum(at - (least - key), whole[row] - base), np.minimum(at + least, whole[row + 1] - base)
+    return at + base, row, grams[at], lo + base, hi + base, span_hash(prefix, lo, hi) >> np.uint64(8)
 
 
 def _planes(a: np.ndarray, n: int) -> bytes:
@@ -74,81 +96,77 @@ def _unplaned(raw: bytes, n: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def packed_suffixes(docs: DataFrame, buckets: int, least: int, key: int) -> DataFrame:
-    """Rows (bucket, base, keys, contexts, owners): the anchored suffixes of some documents that fall into a bucket."""
-    schema = "bucket int, base long, keys binary, contexts binary, owners binary"
+def _pair(key: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix(mix(key) ^ context)
+
+
+PACKED = "bucket int, base long, keys binary, contexts binary, owners binary, doc_id long"
+TYPES = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+
+
+def hot_marks(docs: DataFrame, least: int, key: int) -> np.ndarray:
+    """Hashes of the marks in many documents of a sample of about SAMPLE. They only steer the dealing: results are the same without."""
+    one_in = max(1, -(-docs.count() // SAMPLE))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
+
+    def run(batches):
+        for b in batches:
+            for _, data, offsets in steps(b, "text", PACK_BYTES):
+                _, row, grams, *_ = marks(data, offsets, least, key)
+                pairs = np.unique(np.stack((grams, row.astype(np.uint64))), axis=1)[0]
+                found, n = np.unique(pairs, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    counted = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") > max(50, int(HOT * SAMPLE))).select("key").collect()  # bounded by the marks of the sample
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
 
+def packed_suffixes(docs: DataFrame, buckets: int, hot: np.ndarray, least: int, key: int) -> DataFrame:
+    """Rows of PACKED: the marked suffixes of some documents that fall into a bucket, one owner for each context; and, in buckets below
+    zero, contexts of a document that a smaller one in the same task has too, which need no look into the index."""
     def run(batches):
+        many: dict[int, int] = {}  # contexts seen with several documents: the least of them
         for b in batches:
             for part, data, offsets in steps(b, "text", PACK_BYTES):
-                _, row, grams, _, _, context = anchors(data, offsets, least, key)
+                _, row, grams, _, _, context = marks(data, offsets, least, key)
                 if not len(grams):
                     continue
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                owner, pairs = ids[row], _pair(grams, context)
+                order = np.lexsort((owner, pairs))
+                grams, context, owner, pairs = grams[order], context[order], owner[order], pairs[order]
+                new = np.append(True, pairs[1:] != pairs[:-1])
+                first = owner[new]
+                if many:
+                    known = np.array(list(many), np.uint64)
+                    at = np.flatnonzero(np.isin(pairs[new], known))
+                    first[at] = np.minimum(first[at], [many[int(x)] for x in pairs[new][at]])
+                least_owner = first[np.cumsum(new) - 1]
+                later = owner > least_owner
+                ends = np.append(np.flatnonzero(new)[1:], len(new)) - 1
+                repeated = owner[ends] > first
+                if len(many) > REMEMBERED:
+                    many.clear()
+                many.update(zip(pairs[new][repeated].tolist(), first[repeated].tolist(), strict=True))
+                found = [(-1 - who % buckets, 0, b"", c, b"", who) for who, c in zip(*_by_owner(owner[later], context[later]), strict=True)]
+                sent = new & ~later
                 base = int(ids.min())
-                bucket = ((grams >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                grams, context, owner = grams[sent], context[sent], (owner[sent] - base).view(np.uint64)
+                spread = np.where(np.isin(grams, hot), _pair(grams, context), grams)
+                bucket = ((spread >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 low = grams & np.uint64((1 << 48) - 1)
                 order = np.lexsort((low, bucket))
-                low, context, owner = low[order], context[order], (ids[row] - base).view(np.uint64)[order]
+                low, context, owner = low[order], context[order], owner[order]
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                found = [(k, base, _planes(low[i:j], 6), _planes(context[i:j], 7), _planes(owner[i:j], 8)) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
-                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=["bucket", "base", "keys", "contexts", "owners"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-class Family:
-    """Levels of suffix arrays, each sorted by key, then context, with an index of the pairs: only the first document of a context is in them."""
-
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, ...]] = []
-
-    def add(self, key: np.ndarray, context: np.ndarray, owner: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
-        """Takes a batch, whose owners are no smaller than those before. Returns (owner, context) of the suffixes with an earlier
-        document's context, and lists of those whose key has several contexts."""
-        order = np.lexsort((owner, context, key))
-        key, context, owner = key[order], context[order], owner[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
-        group, first, k, c = np.cumsum(new) - 1, owner[new], key[new], context[new]
-        many = np.zeros(len(k), bool)
-        same = k[1:] == k[:-1]
-        many[1:] |= same
-        many[:-1] |= same
-        known, several, pairs = np.zeros(len(k), bool), [], _pair(k, c)
-        for level_key, level_context, level_owner, level_pairs, at in self.levels:
-            found = np.minimum(np.searchsorted(level_pairs, pairs), len(level_pairs) - 1)
-            equal = level_pairs[found] == pairs
-            first[equal] = np.minimum(first[equal], level_owner[at[found[equal]]])
-            known |= equal
-            here = level_key[np.minimum(np.searchsorted(level_key, k), len(level_key) - 1)] == k
-            differ = here & ~equal
-            many |= differ
-            old = np.isin(level_key, k[differ])
-            several.append((level_owner[old], level_context[old]))
-        removed = owner > first[group]
-        several.append((first[many & ~known], c[many & ~known]))
-        self._insert(k[~known], c[~known], first[~known])
-        return (owner[removed], context[removed]), several
-
-    def _insert(self, key: np.ndarray, context: np.ndarray, owner: np.ndarray) -> None:
-        if not len(key):
-            return
-        while self.levels and len(self.levels[-1][0]) < 2 * len(key):
-            key, context, owner = (np.concatenate(x) for x in zip(self.levels.pop()[:3], (key, context, owner), strict=True))
-        order = np.lexsort((context, key))
-        key, context, owner = key[order], context[order], owner[order]
-        pairs = _pair(key, context)
-        at = np.argsort(pairs)
-        self.levels.append((key, context, owner, pairs[at], at))
+                found += [(k, base, _planes(low[i:j], 6), _planes(context[i:j], 7), _planes(owner[i:j], 8), None) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), TYPES, strict=True)], names=["bucket", "base", "keys", "contexts", "owners", "doc_id"])
 
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
-def _pair(key: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return mix(mix(key) ^ context)
 
-
-def _by_owner(owner: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+def _by_owner(owner: np.ndarray, context: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Each owner and its distinct contexts, as bytes."""
     order = np.lexsort((context, owner))
     owner, context = owner[order], context[order]
     new = np.ones(len(owner), bool)
@@ -156,31 +174,113 @@ def _by_owner(owner: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, list[
     owner, context = owner[new], context[new]
     ids, cuts = np.unique(owner, return_index=True)
     ends = np.append(cuts, len(owner))[1:]
-    return ids, [context[i:j].tobytes() for i, j in zip(cuts.tolist(), ends.tolist(), strict=True)]
-
-
-def scan_suffixes(packed: DataFrame) -> DataFrame:
-    """Rows (doc_id, kind, contexts): 0, contexts of the document that an earlier one has; 1, contexts whose anchors have others too."""
-    def run(t: pa.Table) -> pa.Table:
-        keys = np.concatenate([_unplaned(x, 6) for x in t.column("keys").to_pylist()])
-        contexts = np.concatenate([_unplaned(x, 7) for x in t.column("contexts").to_pylist()])
-        owners = np.concatenate([_unplaned(x, 8).view(np.int64) + b for x, b in zip(t.column("owners").to_pylist(), t.column("base").to_pylist(), strict=True)])
-        order = np.argsort(owners, kind="stable")
-        family, out = Family(), ([], [])
-        for part in np.array_split(order, BATCHES):
-            if len(part):
-                removed, several = family.add(keys[part], contexts[part], owners[part])
-                out[0].append(removed)
-                out[1].extend(several)
-        ids, kinds, found = [], [], []
-        for kind, pairs in enumerate(out):
-            who, lists = _by_owner(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
-            ids.append(who)
-            kinds.append(np.full(len(who), kind, np.int32))
-            found += lists
-        return pa.table({"doc_id": pa.array(np.concatenate(ids)), "kind": pa.array(np.concatenate(kinds)), "contexts": pa.array(found, pa.binary())})
-
-    return packed.groupBy("bucket").applyInArrow(run, "doc_id long, kind int, contexts binary")
+    return ids.tolist(), [context[i:j].tobytes() for i, j in zip(cuts.tolist(), ends.tolist(), strict=True)]
+
+
+def scanned(key: np.ndarray, context: np.ndarray, owner: np.ndarray, levels: list[tuple[np.ndarray, ...]], hot: np.ndarray) -> tuple[tuple, tuple, tuple]:
+    """Merge-scans a batch's suffixes against levels of sorted (key, context, owner), whose owners are smaller.
+
+    Returns (owner, context) of suffixes whose context an earlier document has; (owner, context) of those, in the batch or a level,
+    whose key has several contexts; and the sorted (key, context, owner) of contexts that no level has.
+    """
+    order = np.lexsort((owner, context, key))
+    key, context, owner = key[order], context[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
+    first = owner[new]
+    group, k, c = np.cumsum(new) - 1, key[new], context[new]
+    many = np.isin(k, hot)
+    same = k[1:] == k[:-1]
+    many[1:] |= same
+    many[:-1] |= same
+    known, several = np.zeros(len(k), bool), []
+    for level_key, level_context, level_owner in levels:
+        # Places of the batch's keys in the level, both in one order; a key's run of contexts is walked from its start.
+        lo, hi = np.searchsorted(level_key, k, side="left"), np.searchsorted(level_key, k, side="right")
+        here, equal = np.flatnonzero(hi > lo), np.zeros(len(k), bool)
+        for step in range(int((hi - lo).max(initial=0)).bit_length()):  # halves each run: contexts are in order too
+            mid = (lo[here] + hi[here]) >> 1
+            live = lo[here] < hi[here]
+            below = live & (level_context[np.minimum(mid, len(level_key) - 1)] < c[here])
+            lo[here] = np.where(below, mid + 1, lo[here])
+            hi[here] = np.where(live & ~below, mid, hi[here])
+        at = np.minimum(lo, len(level_key) - 1) if len(level_key) else lo
+        if len(level_key):
+            equal = (level_key[at] == k) & (level_context[at] == c)
+        first[equal] = np.minimum(first[equal], level_owner[at[equal]])
+        known |= equal
+        differ = np.zeros(len(k), bool)
+        differ[here] = ~equal[here]
+        many |= differ
+        old = np.isin(level_key, k[differ])
+        several.append((level_owner[old], level_context[old]))
+    removed = owner > first[group]
+    several.append((first[many & ~known], c[many & ~known]))
+    return (owner[removed], context[removed]), tuple(np.concatenate(x) for x in zip(*several, strict=True)), (k[~known], c[~known], first[~known])
+
+
+FOUND = "kind int, bucket int, doc_id long, keys binary, contexts binary, owners binary"
+KNOWN, OPEN, LEVEL = range(3)
+
+
+def _read_level(path: str, bucket: int) -> tuple[np.ndarray, ...]:
+    """A level's array of one bucket."""
+    place, at = arrow_fs.FileSystem.from_uri(f"{path}/kind={LEVEL}/bucket={bucket}")
+    files = [f for f in place.get_file_info(arrow_fs.FileSelector(at, allow_not_found=True)) if f.base_name.endswith(".parquet")]
+    parts = [r for f in files for r in pq.ParquetFile(place.open_input_file(f.path)).read(["keys", "contexts", "owners"]).to_pylist()]
+    keys, contexts, owners = (np.concatenate([_unplaned(r[c], n) for r in parts]) if parts else np.zeros(0, np.uint64) for c, n in (("keys", 6), ("contexts", 7), ("owners", 8)))
+    return keys, contexts, owners.view(np.int64)
+
+
+class SuffixIndex:
+    """A logarithmic family of levels in a folder. levels are (path, rank), and a level of rank r holds 2^r batches; with them, the same
+    buckets and hot marks, an index is opened again."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 64, levels: list[tuple[str, int]] | None = None, hot: np.ndarray | None = None, least: int = LEAST, key: int = KEY):
+        self.spark, self.folder, self.buckets, self.least, self.key = spark, folder or f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}", buckets, least, key
+        self.levels, self.hot = list(levels or []), np.zeros(0, np.uint64) if hot is None else hot
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Adds a batch docs(doc_id, text) whose ids are greater than all before. Returns rows (doc_id, kind, contexts): KNOWN, contexts of
+        the document that an earlier one has; OPEN, contexts, of this batch or an earlier one, whose marks have others too."""
+        hot, least, key, low_hot = self.hot, self.least, self.key, np.unique(self.hot & np.uint64((1 << 48) - 1))
+        levels, merged, rank = list(self.levels), [], 0
+        for path, r in reversed(levels):
+            if r != rank:
+                break
+            merged.append(path)
+            rank += 1
+
+        def run(key_: tuple, t: pa.Table) -> pa.Table:
+            bucket = key_[0].as_py()
+            rows = []
+            if bucket < 0:
+                rows = [(KNOWN, bucket, who, None, c, None) for who, c in zip(t.column("doc_id").to_pylist(), t.column("contexts").to_pylist(), strict=True)]
+            else:
+                keys = np.concatenate([_unplaned(x, 6) for x in t.column("keys").to_pylist()])
+                contexts = np.concatenate([_unplaned(x, 7) for x in t.column("contexts").to_pylist()])
+                owners = np.concatenate([_unplaned(x, 8).view(np.int64) + b for x, b in zip(t.column("owners").to_pylist(), t.column("base").to_pylist(), strict=True)])
+                have = {path: _read_level(path, bucket) for path, _ in levels}
+                known, several, fresh = scanned(keys, contexts, owners, list(have.values()), low_hot)
+                for kind, pairs in ((KNOWN, known), (OPEN, several)):
+                    rows += [(kind, bucket, who, None, c, None) for who, c in zip(*_by_owner(*pairs), strict=True)]
+                parts = [fresh, *(have[p] for p in merged)]
+                k, c, o = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.lexsort((c, k))
+                rows.append((LEVEL, bucket, None, _planes(k[order], 6), _planes(c[order], 7), _planes(o[order].view(np.uint64), 8)))
+            return pa.Table.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "doc_id", "keys", "contexts", "owners"])
+
+        # Buckets of a merged level that the batch has nothing for still move: an empty row stands for each.
+        empty = self.spark.range(self.buckets).selectExpr("int(id) AS bucket", "0L AS base", "X'' AS keys", "X'' AS contexts", "X'' AS owners", "CAST(NULL AS LONG) AS doc_id")
+        path = f"{self.folder}/level-{uuid.uuid4().hex}"
+        packed = packed_suffixes(docs, self.buckets, hot, least, key).unionByName(empty)
+        packed.groupBy("bucket").applyInArrow(run, FOUND).write.partitionBy("kind", "bucket").parquet(path)
+        self.levels = [x for x in levels if x[0] not in merged] + [(path, rank)]
+        for old in merged:  # what the level found stays
+            gone = self.spark._jvm.org.apache.hadoop.fs.Path(f"{old}/kind={LEVEL}")
+            gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+        found = self.spark.read.schema(FOUND).parquet(path)
+        return found.where(F.col("kind") < LEVEL).select("doc_id", "kind", "contexts")
 
 
 def _runs(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -195,68 +295,59 @@ def _runs(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.stack((lo[starts], hi[np.append(starts[1:], len(lo)) - 1]), axis=1).astype(np.int64)
 
 
+def _hashed(data: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the strings of a width at ascending starts, a stretch of data at a time."""
+    out, lo = np.empty(len(start), np.uint64), 0
+    while lo < len(start):
+        hi = int(np.searchsorted(start, start[lo] + HASHED, side="right"))
+        base = start[lo]
+        part = data[base : start[hi - 1] + width]
+        out[lo:hi] = span_hash(prefix_hash(part), start[lo:hi] - base, start[lo:hi] - base + width)
+        lo = hi
+    return out
+
+
 def apply_contexts(docs: DataFrame, found: DataFrame, least: int, key: int) -> DataFrame:
-    """Rows (doc_id, version, runs, places, keys, texts): what the known contexts remove, and where and what the contexts are whose strings are to be compared."""
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("contexts"))).alias("known"), F.collect_list(F.when(F.col("kind") == 1, F.col("contexts"))).alias("open"))
+    """Rows (doc_id, version, runs, places, strings): what the known contexts remove, and where and what (by hash) the strings are that are to be compared."""
+    lists = found.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == KNOWN, F.col("contexts"))).alias("known"), F.collect_list(F.when(F.col("kind") == OPEN, F.col("contexts"))).alias("open"))
     joined = docs.join(lists, "doc_id").select("doc_id", "version", "text", "known", "open")
-    schema = "doc_id long, version long, runs binary, places array<long>, keys array<long>, texts array<binary>"
+    schema = "doc_id long, version long, runs binary, places array<long>, strings array<long>"
 
     def run(batches):
         for b in batches:
             for part, data, offsets in steps(b, "text", PACK_BYTES):
-                at, row, grams, lo, hi, context = anchors(data, offsets, least, key)
+                at, row, grams, lo, hi, context = marks(data, offsets, least, key)
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                raw, out = data.tobytes(), []
+                runs, left = [], []
                 for k, (known, opened) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
-                    own = slice(cuts[k], cuts[k + 1])
-                    base = int(offsets[k])
+                    own, base = slice(cuts[k], cuts[k + 1]), int(offsets[k])
                     gone = np.isin(context[own], np.frombuffer(b"".join(known), np.uint64))
-                    left = np.flatnonzero(np.isin(context[own], np.frombuffer(b"".join(opened), np.uint64)) & ~gone) + cuts[k]
-                    runs = _runs(lo[own][gone] - base, hi[own][gone] - base)
-                    out.append((runs.tobytes(), (lo[left] - base).tolist(), grams[left].view(np.int64).tolist(), [raw[x:y] for x, y in zip(lo[left].tolist(), hi[left].tolist(), strict=True)]))
-                columns = list(zip(*out, strict=True))
-                types = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "version", "runs", "places", "keys", "texts"])
+                    left.append(np.flatnonzero(np.isin(context[own], np.frombuffer(b"".join(opened), np.uint64)) & ~gone) + cuts[k])
+                    runs.append(_runs(lo[own][gone] - base, hi[own][gone] - base).tobytes())
+                left = np.concatenate(left)
+                n = hi[left] - lo[left] - least + 1
+                start = np.unique(np.repeat(lo[left] - np.cumsum(n) + n, n) + np.arange(n.sum()))
+                edge = np.searchsorted(start, offsets).astype(np.int32)
+                places = pa.ListArray.from_arrays(edge, start - np.repeat(offsets[:-1], np.diff(edge)))
+                strings = pa.ListArray.from_arrays(edge, _hashed(data, start, least).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(runs, pa.binary()), places, strings], names=["doc_id", "version", "runs", "places", "strings"])
 
     return joined.mapInArrow(run, schema)
 
 
-def compare_strings(opened: DataFrame, buckets: int, least: int) -> DataFrame:
-    """Rows (doc_id, version, runs) from rows (doc_id, version, key, place, text): strings that also are in a smaller document's text."""
-    sizes = opened.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CONTEXTS).select("key", F.ceil(F.col("n") / CONTEXTS).cast("int").alias("parts"))
-    dealt = opened.join(sizes, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(F.pmod(F.xxhash64("key", "part"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "version", "place", "text", "parts", "part")
-
-    def run(t: pa.Table) -> pa.Table:
-        ids, versions, places = (t.column(c).to_numpy() for c in ("doc_id", "version", "place"))
-        parts, part = t.column("parts").to_numpy().astype(np.uint64), t.column("part").to_numpy().astype(np.uint64)
-        texts = t.column("text").to_pylist()
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        n = np.maximum(np.diff(offsets) - least + 1, 0)
-        row = np.repeat(np.arange(len(texts)), n)
-        shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = offsets[row] + shift
-        strings = span_hash(prefix_hash(data), start, start + least)
-        mine = (strings >> np.uint64(20)) % parts[row] == part[row]
-        row, shift, strings = row[mine], shift[mine], strings[mine]
-        order = np.lexsort((ids[row], strings))
-        row, shift, strings = row[order], shift[order], strings[order]
-        new = np.ones(len(row), bool)
-        new[1:] = strings[1:] != strings[:-1]
-        first = ids[row][np.flatnonzero(new)][np.cumsum(new) - 1] if len(row) else ids[:0]
-        gone = ids[row] > first
-        row, at = row[gone], places[row[gone]] + shift[gone]
-        order = np.lexsort((at, versions[row], ids[row]))
-        row, at = row[order], at[order]
-        who = np.ones(len(row), bool)
-        who[1:] = (ids[row][1:] != ids[row][:-1]) | (versions[row][1:] != versions[row][:-1])
-        cuts = np.append(np.flatnonzero(who), len(row)) if len(row) else np.zeros(1, np.int64)
-        runs = [_runs(at[i:j], at[i:j] + least).tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        head = row[cuts[:-1]] if len(row) else row
-        return pa.table({"doc_id": pa.array(ids[head]), "version": pa.array(versions[head]), "runs": pa.array(runs, pa.binary())})
-
-    return dealt.groupBy("bucket").applyInArrow(run, "doc_id long, version long, runs binary")
+def compare_strings(applied: DataFrame, least: int) -> DataFrame:
+    """Rows (doc_id, version, runs) of the strings in applied that a smaller document has too. Strings are dealt one by one, so a common one is no task's alone."""
+    each = applied.select("doc_id", "version", F.explode(F.arrays_zip("places", "strings")).alias("x"))
+    each = each.select("doc_id", "version", F.col("x.places").alias("place"), F.col("x.strings").alias("string"))
+    first = each.groupBy("string").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("string", "first")
+    gone = each.join(first, "string").where("doc_id > first").groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+    def run(batches):
+        for b in batches:
+            starts = [np.array(x, np.int64) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_runs(x, x + least).tobytes() for x in starts], pa.binary())], names=["doc_id", "version", "runs"])
+
+    return gone.mapInArrow(run, "doc_id long, version long, runs binary")
 
 
 def _release(spark: SparkSession) -> None:
@@ -265,20 +356,25 @@ def _release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def repeated_runs(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
+def repeated_runs(docs: DataFrame, least: int = LEAST, key: int = KEY, batches: int = BATCHES) -> DataFrame:
     """Rows (doc_id, version, runs) of documents with bytes to remove: runs lists 64-bit (start, end) pairs that may overlap between list entries; version is the xxhash64 of the text."""
     spark = docs.sparkSession
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    found = materialize(scan_suffixes(packed_suffixes(docs, buckets, least, key)), "contexts")
-    _release(spark)
+    size, cuts = docs.agg(F.sum(F.octet_length("text").cast("long")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()
+    buckets = max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // BUCKET_BYTES))
+    index, found = SuffixIndex(spark, buckets=buckets, hot=hot_marks(docs, least, key), least=least, key=key), None
+    edges = [None, *sorted(set(cuts or [])), None]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        part = docs if lo is None else docs.where(F.col("doc_id") > lo)
+        new = index.add(part if hi is None else part.where(F.col("doc_id") <= hi))
+        found = new if found is None else found.unionByName(new)
+        _release(spark)
     applied = materialize(apply_contexts(docs, found, least, key), "applied")
     _release(spark)
-    each = applied.select("doc_id", "version", F.explode(F.arrays_zip("places", "keys", "texts")).alias("x"))
-    opened = each.select("doc_id", "version", F.col("x.keys").alias("key"), F.col("x.places").alias("place"), F.col("x.texts").alias("text"))
-    runs = compare_strings(opened, buckets, least).unionByName(applied.select("doc_id", "version", "runs"))
+    runs = compare_strings(applied, least).unionByName(applied.select("doc_id", "version", "runs"))
     runs = runs.where(F.octet_length("runs") > 0).groupBy("doc_id", "version").agg(F.collect_list("runs").alias("runs"))
     runs = materialize(runs, "runs")
+    drop_tables(applied)
     _release(spark)
     return runs
 
