@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.shared import LOWER, components, drop_tables, hash_spans, materialize, mix, steps, table, words
 
-#: Before any list is made, grams of a share of the hash range, this many times the share of grams that a linked set can have for
-#: itself, tell which documents have too many grams of their own.
-SAMPLED = 1.75
-#: Share of the hash range whose grams are ordered by how many sets have them.
-ORDERED = 0.5
+#: Grams of a share of the hash range, this many times the share of grams that a linked set can have for itself, are counted before any
+#: list is made: they tell which documents have too many grams of their own, and their counts order the lists.
+COUNTED = 1.75
 #: Lists of up to this many sets are compared pair by pair; in longer ones, answers follow from a representative's.
 SHORT = 6
 
@@ -77,9 +75,15 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
 
-def own_grams(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows (doc_id, own): how many grams of the sampled hash range occur in no other document. Grams of several documents are combined before the shuffle."""
-    limit = np.uint64(int(min(0.99, SAMPLED * (100 - percent) / 100) * 2**64))
+def _limit(percent: int) -> np.uint64:
+    """The end of the hash range whose grams are counted."""
+    return np.uint64(int(min(0.99, COUNTED * (100 - percent) / 100) * 2**64))
+
+
+def gram_counts(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the grams of the counted hash range, rows (own, key, c): own, how many grams c the document key has that no other has; not own,
+    the binary logarithm c of the number of documents that have the gram key. Grams of several documents are combined before the shuffle."""
+    limit = _limit(percent)
 
     def run(batches):
         for b in batches:
@@ -91,14 +95,16 @@ def own_grams(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 if not len(grams):
                     continue
                 new = np.concatenate(([True], grams[1:] != grams[:-1]))
-                many = np.diff(np.append(np.flatnonzero(new), len(grams))) > 1
-                owner = pa.array(part.column(0).to_numpy(zero_copy_only=False)[rows[new]].astype(np.int64), mask=many)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(grams[new])), owner], names=["gram", "owner"])
+                many = np.diff(np.append(np.flatnonzero(new), len(grams)))
+                owner = part.column(0).to_numpy(zero_copy_only=False)[rows[new]].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(grams[new])), pa.array(owner), pa.array(many.astype(np.int32))], names=["gram", "owner", "many"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "gram long, owner long")
+    found = docs.select("doc_id", "text").mapInArrow(run, "gram long, owner long, many int")
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    single = found.repartition(shards, "gram").groupBy("gram").agg(F.count("*").alias("c"), F.min("owner").alias("doc_id")).where("c = 1 AND doc_id IS NOT NULL")
-    return single.groupBy("doc_id").agg(F.count("*").alias("own"))
+    counted = found.repartition(shards, "gram").groupBy("gram").agg(F.sum("many").alias("c"), F.min("owner").alias("owner"))
+    own = F.col("c") == 1
+    keyed = counted.select(own.alias("own"), F.when(own, F.col("owner")).otherwise(F.col("gram")).alias("key"), F.when(own, F.lit(1)).otherwise(F.floor(F.log2("c"))).alias("c"))
+    return keyed.groupBy("own", "key").agg(F.sum("c").alias("c"))
 
 
 def _needed(n: Column, percent: int) -> Column:
@@ -108,8 +114,8 @@ def _needed(n: Column, percent: int) -> Column:
 
 def full_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Rows (doc_id, grams, near, extra) of docs(doc_id, s1, text) whose set has the sum s1: the whole set, ascending; how many of its
-    grams are in the ordered hash range; and, where those are fewer than its prefix, the grams after them that the prefix needs."""
-    limit = np.uint64(int(ORDERED * 2**64))
+    grams are in the counted hash range; and, where those are fewer than its prefix, the grams after them that the prefix needs."""
+    limit = _limit(percent)
 
     def run(batches):
         for b in batches:
@@ -134,17 +140,16 @@ def _by_count(rows: DataFrame, *key: str) -> DataFrame:
     return rows.join(shared, list(key), "left")
 
 
-def prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (gram, doc_id, n, pos) of the prefixes in an order of all grams: those of the ordered range first, by the binary
-    logarithm of the number of sets that have them, rare ones first, then by hash. pos is how many grams of the set come before.
-    Grams that one set alone has take their places in its prefix, but make no list."""
+def prefix_lists(sets: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Rows (gram, doc_id, n, pos) of the prefixes in an order of all grams: those of the counted range first, by the binary
+    logarithm k of the number of sets that have them, from shared(gram, k), rare ones first, then by hash. pos is how many grams of the
+    set come before. Grams that one set alone has take their places in its prefix, but make no list."""
     n = F.size("grams").cast("long")
-    rows = sets.select("doc_id", n.alias("n"), F.explode(F.slice("grams", F.lit(1), F.col("near"))).alias("gram"))
-    counted = _by_count(rows, "gram")
-    order = F.sort_array(F.collect_list(F.when(F.col("c").isNotNull(), F.struct(F.floor(F.log2("c")).alias("k"), "gram"))))
-    each = counted.groupBy("doc_id").agg(F.first("n").alias("n"), F.count_if(F.col("c").isNull()).cast("int").alias("own"), order.alias("rest"))
-    room = F.greatest(_needed(F.col("n"), percent) - F.col("own"), F.lit(0))
-    near = each.select("doc_id", "n", "own", F.posexplode(F.slice("rest", F.lit(1), room)).alias("i", "g")).select(F.col("g.gram").alias("gram"), "doc_id", "n", (F.col("own") + F.col("i")).alias("pos"))
+    rows = sets.select("doc_id", n.alias("n"), "near", F.explode(F.slice("grams", F.lit(1), F.col("near"))).alias("gram"))
+    each = rows.join(shared, "gram").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("near").alias("near"), F.sort_array(F.collect_list(F.struct("k", "gram"))).alias("rest"))
+    own = F.col("near") - F.size("rest")
+    room = F.greatest(_needed(F.col("n"), percent) - own, F.lit(0)).cast("int")
+    near = each.select("doc_id", "n", own.alias("own"), F.posexplode(F.slice("rest", F.lit(1), room)).alias("i", "g")).select(F.col("g.gram").alias("gram"), "doc_id", "n", (F.col("own") + F.col("i")).alias("pos"))
     far = sets.where(F.size("extra") > 0).select("doc_id", n.alias("n"), "near", F.posexplode("extra").alias("i", "gram")).select("gram", "doc_id", "n", (F.col("near") + F.col("i")).alias("pos"))
     return near.unionByName(far)
 
@@ -199,32 +204,39 @@ def _near(percent: int, diff: Column | None = None) -> Column:
     return (100 + percent) * (F.size("diff") if diff is None else diff) <= (100 - percent) * (F.col("na") + F.col("nb"))
 
 
-def link(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """(rows (doc_id, n, rep) of docs(doc_id, text), rows (a, b) that link representatives with the same components as all links).
-
-    rep is the least doc_id with the same set; a document without words is its own. Null doc_ids are left out.
-    """
+def link(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """Rows (doc_id, n, component) of docs(doc_id, text): the size of its set, and the least doc_id that links reach. Null doc_ids are left out."""
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     each = materialize(signatures(docs, size), "signatures")
+    count = each.count()
     # Rows of one doc_id are one document, with the greatest of their sets.
     one = each.groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2")).alias("s"), (F.min("s1") != F.max("s1")).alias("several")).select("doc_id", "s.*", "several")
     groups = one.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(one.join(groups, ["n", "s1", "s2"], "left").select("doc_id", "n", "s1", "several", F.coalesce("rep", "doc_id").alias("rep")), "representatives")
+    # rep is the least doc_id with the same set; a document without words is its own.
+    reps = materialize(one.join(groups, ["n", "s1", "s2"], "left").select("doc_id", "n", "s1", "several", F.coalesce("rep", "doc_id").alias("rep")), "representatives", count)
     heads = reps.where("n > 0 AND doc_id = rep")
     # A linked set has at most 100 - percent of its grams outside the other one.
+    counts = materialize(gram_counts(docs, size, percent), "gram-counts")
+    own, shared = counts.where("own").select(F.col("key").alias("doc_id"), F.col("c").alias("own")), counts.where("NOT own").select(F.col("key").alias("gram"), F.col("c").alias("k"))
     few = 100 * F.coalesce("own", F.lit(0)) <= (100 - percent) * F.col("n")
-    hopeful = heads.join(own_grams(docs, size, percent), "doc_id", "left").where(F.col("several") | few).select("doc_id", "s1")
-    sets = materialize(full_sets(docs.join(hopeful, "doc_id"), size, percent).dropDuplicates(["doc_id"]), "sets")
-
-    lists = materialize(_by_count(prefix_lists(sets, percent), "gram").where("c IS NOT NULL"), "lists")
-    direct = compare(short_pairs(lists, percent), sets).where(_near(percent)).select("a", "b")
-    known = materialize(compare(block_stars(lists, percent), sets), "stars")
-    sure = materialize(direct.unionByName(known.where(_near(percent)).select("a", "b")).unionByName(_certain(known, percent)), "sure")
-    found = materialize(components(sure, "linked"), "found")
-    derived = _derived(known, found, percent)
-    links = materialize(sure.unionByName(derived), "links")
-    drop_tables(sets, lists, known, sure, found, derived)
-    return each.select("doc_id", "n").join(reps.select("doc_id", "rep"), "doc_id"), links
+    hopeful = heads.join(own, "doc_id", "left").where(F.col("several") | few).select("doc_id", "s1")
+    sets = materialize(full_sets(docs.join(hopeful, "doc_id"), size, percent).dropDuplicates(["doc_id"]), "sets", count)
+
+    lists = materialize(_by_count(prefix_lists(sets, shared, percent), "gram").where("c IS NOT NULL"), "lists", 4 * count)
+    drop_tables(counts)
+    direct = materialize(compare(short_pairs(lists, percent), sets).where(_near(percent)).select("a", "b"), "direct", 4 * count)
+    known = materialize(compare(block_stars(lists, percent), sets), "stars", 4 * count)
+    drop_tables(lists, sets)
+    sure = direct.unionByName(known.where(_near(percent)).select("a", "b")).unionByName(_certain(known, percent))
+    found = materialize(components(sure, "linked"), "found", count)
+    derived = _derived(known, found, percent, count)
+    labels = [found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
+    over = derived.join(labels[0], "a", "left").join(labels[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = materialize(components(over, "over"), "over", count)
+    drop_tables(direct, known, derived)
+    named = reps.select("doc_id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("node"))
+    named = named.join(over, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    return each.select("doc_id", "n").join(named, "doc_id")
 
 
 def _gap(percent: int) -> Column:
@@ -241,7 +253,7 @@ def _certain(known: DataFrame, percent: int) -> DataFrame:
     return own.join(least, "family").where("gap + least <= 0 AND a <> b").select("a", "b").distinct()
 
 
-def _derived(known: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _derived(known: DataFrame, found: DataFrame, percent: int, count: int) -> DataFrame:
     """Links (a, b) between members of a family, the sets compared with one representative, that are in different components yet.
 
     Sets x and y differ by what is in one of their differences from the representative, but not in the other. So a link that is
@@ -251,7 +263,7 @@ def _derived(known: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     labels = found.select(F.col("node").alias("a"), "component")
     member = known.join(labels, "a", "left").select(F.col("b").alias("family"), F.col("a").alias("x"), F.col("na").alias("n"), "diff", F.coalesce("component", "a").alias("comp"), F.size("diff").alias("d"), _gap(percent))
     mixed = member.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("family")
-    member = materialize(member.join(mixed, "family"), "members")
+    member = materialize(member.join(mixed, "family"), "members", 4 * count)
     most = F.floor((100 - percent) * (F.col("n") * (100 + percent) / percent) / (100 + percent)).cast("int") + 2
     rows = member.select("family", "x", "n", "d", "gap", "comp", most.alias("most"), F.explode("diff").alias("gram"))
     counted = _by_count(rows, "family", "gram")
@@ -263,7 +275,7 @@ def _derived(known: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     least = member.groupBy("family").agg(F.min("gap").alias("least"))
     heads = heads.join(least, "family").select("family", F.col("g.gram").alias("gram"), "x", "n", "d", "gap", "comp", (F.col("own") + F.col("i")).alias("pos"), "least")
     heads = heads.where(F.col("pos") <= F.col("d") - F.ceil((F.col("gap") + F.col("least")) / (2 * (100 + percent)))).drop("least")
-    heads = materialize(heads, "heads")
+    heads = materialize(heads, "heads", 4 * count)
     several = heads.groupBy("family", "gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("family", "gram")
     left = heads.join(several, ["family", "gram"])
     a, b = left.toDF("family", "gram", "a", "na", "da", "ga", "ca", "ia"), left.toDF("family", "gram", "b", "nb", "db", "gb", "cb", "ib")
@@ -276,7 +288,7 @@ def _derived(known: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     right = member.select("family", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("diff").alias("db"))
     both = pairs.join(left, ["family", "a"]).join(right, ["family", "b"])
     apart = F.size(F.array_except("da", "db")) + F.size(F.array_except("db", "da"))
-    derived = materialize(both.where(_near(percent, apart)).select("a", "b"), "derived")
+    derived = materialize(both.where(_near(percent, apart)).select("a", "b"), "derived", count)
     drop_tables(member, heads)
     return derived
 
@@ -288,10 +300,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     texts without words have an empty set and link with nothing. A repeated doc_id gives a row for each of its rows, which count
     as one document with the greatest of their sets, by size; rows without doc_id are left out. An empty table gives none; other columns are ignored.
     """
-    each, links = link(docs, size, percent)
-    found = components(links, "components")
-    out = each.join(found, each["rep"] == found["node"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return link(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:

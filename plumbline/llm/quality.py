@@ -260,7 +260,7 @@ def _judged(docs: DataFrame, keep: tuple[str, ...], share: float = 0.75, cutoff:
     fits = placed.select("_both", F.explode(F.array("_both", "_lang", F.lit(""))).alias("grp")).join(used, "grp")
     fits = materialize(_few(fits.groupBy("_both").agg(F.collect_list("grp").alias("grps"))), "fits")  # three at most
     rows = transformed(join_small(counts.where("NOT base_failed").drop("row"), fits, "_both"))
-    features = materialize(rows.select(F.explode("grps").alias("grp"), *FEATURES), "features")
+    features = materialize(rows.select(F.explode("grps").alias("grp"), *FEATURES), "features", 3 * counts.count())
     fitted = fit_mcd(features, share)
     estimates = materialize(join_small(placed.select("_both", "grp"), fitted, "grp", "left").select("_both", "mu", "inv"), "estimates")
     drop_tables(features, fitted, placed, fits)

@@ -33,8 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage of df by a Parquet table in the shared folder."""
+#: Rows of a file, where a table's number of rows is bounded by what is known; and the least number of files for each core.
+FILE_ROWS, FILES_A_CORE = 20_000, 2
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cuts the lineage of df by a Parquet table in the shared folder. With a bound on its rows it gets no more files than they need, however
+    many partitions the session sets for shuffles: many rounds of many tiny files cost more than their rows."""
+    if rows is not None:
+        df = df.coalesce(max(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -71,20 +78,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     are ignored; a node that only has loops is not returned. Repeated edges count once.
     """
     now = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
-    now, mark = materialize(now, name), None
+    now, mark, bound = materialize(now, name), None, None
     while True:
         n, x = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if n == 0 or (n, x) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        mark = (n, x)
+        mark, bound = (n, x), 2 * n
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, name)
+        large = materialize(large, name, bound)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        following = materialize(small, name)
+        following = materialize(small, name, bound)
         drop_tables(now, large)
         now = following
 

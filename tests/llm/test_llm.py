@@ -220,15 +220,55 @@ def test_suffixes(spark, docs, none):
     assert suffixes.without_repeats(none).count() == 0
 
 
-def test_suffixes_split_hot_anchors(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "CONTEXTS", 4)
+@pytest.mark.parametrize("hot", [False, True])
+def test_suffixes_of_a_hot_passage(spark, monkeypatch, hot):
+    """A passage in all texts, shorter and longer than a string; hot marks are dealt by context, with the same results."""
+    if hot:
+        monkeypatch.setattr(suffixes, "SAMPLE", 120)
+        monkeypatch.setattr(suffixes, "HOT", 0.5)
     rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("pqrs") for _ in range(n))
     common = "a common phrase of fifty-five bytes that all texts have. "
-    made = [(k, "".join(rng.choice("pqrs") for _ in range(40)) + common + "".join(rng.choice("pqrs") for _ in range(40))) for k in range(60)]
+    made = [(k, noise(40) + common + noise(40) + common[:30] + noise(30)) for k in range(240)]
     df = spark.createDataFrame(made, "doc_id long, text string")
+    if hot:
+        assert len(suffixes.hot_marks(df, 50, 20)) > 0
     assert rows(suffixes.without_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffixes(made)
 
 
+def test_suffix_index_takes_a_new_batch(spark):
+    """Batches added one by one, the index opened again before the last; ranks of levels are those of a binary counter; a new batch's
+    copies of old documents are found."""
+    rng = random.Random(6)
+    base = "".join(rng.choice("abc é") for _ in range(4000))
+    made = [(k, "".join(base[s : s + rng.randint(20, 150)] + "-" for s in rng.sample(range(3800), 5))) for k in range(60)]
+    index, ranks, found = suffixes.SuffixIndex(spark, buckets=5), [], []
+    for k in range(6):
+        if k == 5:
+            index = suffixes.SuffixIndex(spark, index.folder, 5, index.levels)
+        found += index.add(spark.createDataFrame(made[10 * k : 10 * k + 10], "doc_id long, text string")).collect()
+        ranks.append([r for _, r in index.levels])
+    assert ranks == [[0], [1], [1, 0], [2], [2, 0], [2, 1]]
+    once = suffixes.SuffixIndex(spark, buckets=5).add(spark.createDataFrame(made, "doc_id long, text string")).collect()
+
+    def contexts(rows_, kind):
+        return {(r["doc_id"], c) for r in rows_ if r["kind"] == kind for c in np.frombuffer(r["contexts"], np.uint64).tolist()}
+
+    assert contexts(found, suffixes.KNOWN) == contexts(once, suffixes.KNOWN) and contexts(found, suffixes.OPEN) >= contexts(once, suffixes.OPEN)
+    for path, _ in index.levels:  # every level's arrays are in order
+        for bucket in range(5):
+            keys, contexts_, owners = suffixes._read_level(path, bucket)
+            assert (np.lexsort((contexts_, keys)) == np.arange(len(keys))).all()
+
+
+def test_marks_of_a_long_text(monkeypatch):
+    rng = random.Random(4)
+    data, offsets = np.frombuffer("".join(rng.choice("abcd") for _ in range(9000)).encode(), np.uint8), np.array([0, 5, 4100, 4100, 9000])
+    whole = [x.tolist() for x in suffixes.marks(data, offsets)]
+    monkeypatch.setattr(suffixes, "HASHED", 700)
+    assert [x.tolist() for x in suffixes.marks(data, offsets)] == whole
+
+
 # ---------------------------------------------------------------- 4 and 10 tokens
 
 
