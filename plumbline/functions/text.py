@@ -162,7 +162,11 @@ def snippet(text: Column, size: int = 240) -> Column:
 
 
 def two_places(x: Column) -> Column:
-    return F.coalesce(F.format_number(x, 2), F.lit("-"))
+    return F.when(x.isNull(), "-").otherwise(F.format_string("%.2f", x.cast("double")))
+
+
+def four_places(x: Column) -> Column:
+    return F.when(x.isNull(), "-").otherwise(F.format_string("%.4f", x.cast("double")))
 
 
 def percent(x: Column) -> Column:

@@ -14,6 +14,12 @@ CELL = ("strategy", "mode", "rerank")
 PRICES = (("large", 5.0, 25.0), ("medium", 2.0, 10.0), ("small", 1.0, 5.0))
 
 
+def outcomes(hits: DataFrame, cell=CELL, item: str = "chunk_id") -> DataFrame:
+    """Rows (cell..., query_id, retrieved_paths) of hits(cell..., query_id, rank, item): what each query retrieved, best first."""
+    listed = F.sort_array(F.collect_list(F.struct("rank", F.col(item).alias("item"))))
+    return hits.groupBy(*cell, "query_id").agg(F.transform(listed, lambda x: x["item"]).alias("retrieved_paths"))
+
+
 def recall_grid(outcomes: DataFrame, ks=RECALL_AT, cell=CELL) -> DataFrame:
     """Rows (cell..., k, recall, graded) of outcomes(cell..., retrieved_paths, expected_paths); questions without expectation count in neither."""
     at = outcomes.select(*cell, "retrieved_paths", "expected_paths", F.explode(F.array(*map(F.lit, ks))).alias("k"))

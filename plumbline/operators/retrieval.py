@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from plumbline.functions.scores import cosine
 from plumbline.functions.text import terms
 from plumbline.operators.fusion import ranked, reciprocal_rank_fusion, top_k
 
@@ -21,27 +24,61 @@ STOP_WORDS = tuple("a an and are as at be by for from has have in is it of on or
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 50, digits: int | None = None) -> DataFrame:
     """Exact cosine search: (query_id, rank, chunk_id, score) of queries(query_id, vector) and corpus(chunk_id, vector).
 
-    Queries are broadcast, which their checked number bounds; with more, blocks of them follow one another. digits rounds the
-    scores before they rank. Ties go to the smaller chunk_id.
+    Queries go in blocks of QUERY_BLOCK; each task multiplies its batches of the corpus with a block's matrix, of vectors brought to
+    length one once, and hands on k rows for each query. digits rounds the scores before they rank. Ties go to the smaller chunk_id;
+    a zero vector's score is 0; null vectors, and those of another length than the queries', take no part.
     """
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
+    names = ["query_id", "chunk_id", "score"]
+    schema = StructType([queries.schema["query_id"], corpus.schema["chunk_id"]]).add("score", "double")
+    rows = corpus.where("vector IS NOT NULL").select("chunk_id", "vector")
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        part = part.select("query_id", F.col("vector").alias("_q"))
-        score = cosine(F.col("_q"), F.col("vector"))
-        score = score if digits is None else F.round(score, digits)
-        scored = corpus.where("vector IS NOT NULL").crossJoin(F.broadcast(part)).select("query_id", "chunk_id", score.alias("score"))
-        best = top_k(scored, ["query_id"], k, F.desc("score"), F.asc("chunk_id"))
-        out = best if out is None else out.unionByName(best)
-    return out.select("query_id", "rank", "chunk_id", "score")
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """Rows (term, chunk_id, positions) of chunks(chunk_id, text); positions from 1, stop words counted but not listed."""
-    at = chunks.select("chunk_id", F.posexplode(terms(F.col("text"))).alias("pos", "term"))
-    return at.where(~F.col("term").isin(*STOP_WORDS)).groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+        asked = part.where("vector IS NOT NULL").select("query_id", "vector").toArrow().combine_chunks()  # one block
+        found = rows.mapInArrow(_block_search(asked, k, digits, names), schema)
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, ["query_id"], k, F.desc("score"), F.asc("chunk_id")).select("query_id", "rank", "chunk_id", "score")
+
+
+def _block_search(asked: pa.Table, k: int, digits: int | None, names: list[str]):
+    """For mapInArrow: each batch's k best rows for each query of a block."""
+    lengths = pc.list_value_length(asked["vector"]).to_numpy() if asked.num_rows else np.zeros(0)
+    dim = int(lengths[0]) if len(lengths) else 0
+    if (lengths != dim).any():
+        raise ValueError("query vectors differ in length")
+
+    def matrix(column) -> np.ndarray:
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        size = np.sqrt((x**2).sum(axis=1, keepdims=True))
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    ids = asked["query_id"].combine_chunks() if asked.num_rows else None
+    q = matrix(asked["vector"].combine_chunks()) if asked.num_rows and dim else np.zeros((0, dim))
+
+    def run(batches):
+        for b in batches:
+            b = b.filter(pc.equal(pc.list_value_length(b.column(1)), dim))
+            if not b.num_rows or not len(q):
+                continue
+            scores = q @ matrix(b.column(1)).T
+            scores = scores if digits is None else np.round(scores, digits)
+            order = np.argsort(pc.rank(b.column(0), tiebreaker="dense").to_numpy())
+            best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+            at = np.repeat(np.arange(len(q)), best.shape[1])
+            taken = pa.array(best.ravel())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), b.column(0).take(taken), pa.array(scores[at, best.ravel()])], names=names)
+
+    return run
+
+
+def postings(chunks: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Rows (term, chunk_id, positions) of chunks(chunk_id, text); positions from 1, stop words counted but not listed. With words(term)
+    only those are listed, and others go before anything is shuffled. A whole index is to be stored, partitioned by term."""
+    at = chunks.select("chunk_id", F.posexplode(terms(F.col("text"))).alias("pos", "term")).where(~F.col("term").isin(*STOP_WORDS))
+    at = at if words is None else at.join(words.select("term").distinct(), "term", "left_semi")
+    return at.groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
 
 
 def parse_query(query: str) -> list[tuple[int, list[str], bool]]:
@@ -60,26 +97,37 @@ def parse_query(query: str) -> list[tuple[int, list[str], bool]]:
     return out
 
 
-def lexical_search(index: DataFrame, queries: list[tuple[str, str]], k: int = 50) -> DataFrame:
-    """Rows (query_id, rank, chunk_id, score): chunks that match all groups of a web-search query and no negated clause.
+def clauses(queries: DataFrame) -> DataFrame:
+    """Rows (query_id, clause, grp, neg, nth, size, term) of queries(query_id, query): the words of each clause of web-search queries."""
+    names = ["query_id", "clause", "grp", "neg", "nth", "size", "term"]
+    schema = StructType([queries.schema["query_id"]]).add("clause", "integer").add("grp", "integer").add("neg", "boolean").add("nth", "integer").add("size", "integer").add("term", "string")
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, i, g, neg, n, len(words), w) for k, text in enumerate(b.column(1).to_pylist()) for i, (g, words, neg) in enumerate(parse_query(text or "")) for n, w in enumerate(words)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=names)
+
+    return queries.select("query_id", "query").mapInArrow(run, schema)
+
+
+def lexical_search(index: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+    """Rows (query_id, rank, chunk_id, score) of queries(query_id, query): chunks that match all groups of a web-search query and no negated clause.
 
     Score: cover density over the words of the query that are not negated (Clarke, Cormack and Tudhope 2000): each shortest
-    stretch that holds all the chunk's matched words adds 0.1 / (1 + words of the stretch that are none of them). Queries are a
-    short list in the driver; the index is read once, restricted to their words. An empty query matches nothing.
+    stretch that holds all the chunk's matched words adds 0.1 / (1 + words of the stretch that are none of them). An empty query
+    matches nothing. index: rows of postings(), of all words or of the queries' words.
     """
-    spark = index.sparkSession
-    clauses = [(q, i, g, words, neg) for q, text in queries for i, (g, words, neg) in enumerate(parse_query(text))]
-    if not clauses:
-        return spark.createDataFrame([], "query_id string, rank int, chunk_id long, score double")
-    wanted = spark.createDataFrame([(q, i, g, neg, n, len(words), w) for q, i, g, words, neg in clauses for n, w in enumerate(words)], "query_id string, clause int, grp int, neg boolean, nth int, size int, term string")
-    hits = index.join(F.broadcast(wanted), "term")
+    wanted = clauses(queries)
+    hits = index.join(wanted, "term")
     shifted = hits.select("query_id", "clause", "grp", "neg", "size", "chunk_id", "nth", F.transform("positions", lambda p: p - F.col("nth")).alias("starts"))
     matched = shifted.groupBy("query_id", "clause", "grp", "neg", "size", "chunk_id").agg(F.collect_list("starts").alias("all"), F.count("*").alias("found"))
     common = F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), F.col("all")[0], lambda acc, x: F.array_intersect(acc, x))
     matched = matched.where((F.col("found") == F.col("size")) & (F.size(common) > 0))
-    groups = spark.createDataFrame([(q, len({g for p, _, g, _, neg in clauses if p == q and not neg})) for q in dict.fromkeys(c[0] for c in clauses)], "query_id string, groups long")
+    groups = wanted.where("NOT neg").groupBy("query_id").agg(F.countDistinct("grp").alias("groups"))
     chunks = matched.groupBy("query_id", "chunk_id").agg(F.countDistinct(F.when(~F.col("neg"), F.col("grp"))).alias("got"), F.max(F.col("neg").cast("int")).alias("bad"))
-    chunks = chunks.join(F.broadcast(groups), "query_id").where("got = groups AND groups > 0 AND bad = 0").select("query_id", "chunk_id")
+    chunks = chunks.join(groups, "query_id").where("got = groups AND bad = 0").select("query_id", "chunk_id")
     words = hits.where("NOT neg").groupBy("query_id", "chunk_id", "term").agg(F.first("positions").alias("positions"))
     marks = words.join(chunks, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "term", F.explode("positions").alias("pos"))
     listed = marks.groupBy("query_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("marks"), F.sort_array(F.collect_set("term")).alias("words"))
@@ -87,18 +135,24 @@ def lexical_search(index: DataFrame, queries: list[tuple[str, str]], k: int = 50
     return top_k(scored, ["query_id"], k, F.desc("score"), F.asc("chunk_id")).select("query_id", "rank", "chunk_id", "score")
 
 
+def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+    """lexical_search over chunks(chunk_id, text) without a stored index: only the words that queries ask for are listed."""
+    return lexical_search(postings(chunks, clauses(queries)), queries, k)
+
+
 def cover_density(marks: Column, words: Column) -> Column:
-    """The cover density of marks (struct(pos, term) by pos) over the sorted array words."""
-    start = F.struct(F.transform(words, lambda _: F.lit(0)).alias("last"), F.lit(0).alias("begin"), F.lit(0.0).alias("score"))
+    """The cover density of marks (struct(pos, term) by pos) over the sorted array words: one pass, which keeps each word's last mark."""
+    numbered = F.transform(marks, lambda m, i: F.struct(m["pos"].alias("pos"), m["term"].alias("term"), i.alias("i")))
+    start = F.struct(F.transform(words, lambda _: F.lit(-1)).alias("last"), F.lit(-1).alias("begin"), F.lit(0.0).alias("score"))
 
     def step(acc: Column, m: Column) -> Column:
-        last = F.transform(acc["last"], lambda p, i: F.when(F.get(words, i) == m["term"], m["pos"]).otherwise(p))
+        last = F.transform(acc["last"], lambda p, i: F.when(F.get(words, i) == m["term"], m["i"]).otherwise(p))
         begin = F.array_min(last)
-        inside = F.size(F.filter(marks, lambda x: (x["pos"] >= begin) & (x["pos"] <= m["pos"])))
-        gain = F.when(begin > acc["begin"], F.lit(0.1) / (1 + (m["pos"] - begin) - (inside - 1))).otherwise(0.0)
+        width = m["pos"] - F.get(marks, begin)["pos"]
+        gain = F.when(begin > acc["begin"], F.lit(0.1) / (1 + width - (m["i"] - begin))).otherwise(0.0)
         return F.struct(last.alias("last"), F.greatest(begin, acc["begin"]).alias("begin"), (acc["score"] + gain).alias("score"))
 
-    return F.aggregate(marks, start, step, lambda acc: acc["score"])
+    return F.aggregate(numbered, start, step, lambda acc: acc["score"])
 
 
 def overlap_score(query: Column, text: Column) -> Column:
@@ -113,23 +167,30 @@ def rerank(hits: DataFrame, top_n: int = 5, score: Callable[[Column, Column], Co
     return top_k(again, ["query_id"], top_n, F.desc("score"), F.asc("chunk_id"))
 
 
-def search(dense: DataFrame | None, sparse: DataFrame | None, chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", use_rerank: bool = True, limit: int | None = None, rrf_k: int = 60, fused: int = 20, top_n: int = 5) -> DataFrame:
-    """Rows (query_id, rank, chunk_id, score) by mode dense, sparse or hybrid from ranked lists, which are computed once for all modes.
+MODES = ("dense", "sparse", "hybrid")
+
+
+def search(dense: DataFrame | None, sparse: DataFrame | None, chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", use_rerank: bool = True, limit: int | None = None, rrf_k: int = 60, fused: int = 20, top_n: int = 5, score: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
+    """Rows (query_id, rank, chunk_id, score, ...) by mode dense, sparse or hybrid from ranked lists, with the other columns of chunks(chunk_id, text, ...).
 
-    Without a limit a dense or sparse search returns its whole list and a hybrid one its first fused rows; top_n holds only where
-    reranking does, which is hybrid alone.
+    Lists are computed once for all modes, from chunks of one strategy. Reranking holds for dense and hybrid; it scores (query, text) of
+    queries(query_id, query) and keeps limit rows, or top_n. Otherwise the list, or the first fused rows of a hybrid one, is cut to the limit.
     """
-    if mode not in ("dense", "sparse", "hybrid"):
+    if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
-    if mode != "hybrid":
-        out = dense if mode == "dense" else sparse
-        return out if limit is None else out.where(F.col("rank") <= limit)
-    lists = dense.select("query_id", F.lit("dense").alias("source"), "rank", "chunk_id").unionByName(sparse.select("query_id", F.lit("sparse").alias("source"), "rank", "chunk_id"))
-    best = reciprocal_rank_fusion(lists, rrf_k, fused)
-    if use_rerank:
-        texts = best.select("query_id", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
-        return rerank(texts, limit or top_n).select("query_id", "rank", "chunk_id", "score")
-    return best.where(F.col("rank") <= (limit or fused)).select("query_id", "rank", "chunk_id", "score")
-
-
-__all__ = ["cover_density", "dense_topk", "lexical_search", "overlap_score", "parse_query", "postings", "ranked", "rerank", "search"]
+    if mode == "hybrid":
+        lists = dense.select("query_id", F.lit("dense").alias("source"), "rank", "chunk_id").unionByName(sparse.select("query_id", F.lit("sparse").alias("source"), "rank", "chunk_id"))
+        hits = reciprocal_rank_fusion(lists, rrf_k, fused)
+    else:
+        hits = dense if mode == "dense" else sparse
+    hits = hits.select("query_id", "rank", "chunk_id", "score")
+    payload = [c for c in chunks.columns if c not in ("query_id", "rank", "score", "vector", "query")]
+    found = hits.join(chunks.select(*payload), "chunk_id")
+    if use_rerank and mode != "sparse":
+        found = rerank(found.join(queries.select("query_id", "query"), "query_id"), top_n if limit is None else limit, score)
+    elif limit is not None:
+        found = found.where(F.col("rank") <= limit)
+    return found.select("query_id", "rank", "score", *payload)
+
+
+__all__ = ["clauses", "cover_density", "dense_topk", "lexical_search", "overlap_score", "parse_query", "postings", "ranked", "rerank", "search", "search_texts"]

@@ -49,145 +49,187 @@ def sql_values(rows: list) -> str:
 
 # ---------------------------------------------------------------- retrieval
 
-QUERY_IDS = tuple(range(10))
-LEXICAL = (("q1", "the of"), ("q2", "that with"), ("q3", "and thth"), ("q4", "les des or der"), ("q5", '"of the"'), ("q6", "de -la"))
+#: Queries are the rows whose id is divisible by this, against all rows.
+EVERY = 50
+#: The corpora: embeddings of documents, in two strategies that are never searched together.
+STRATEGIES = ("fixed", "structure_aware")
+STOPPED = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
 
 
-def _queries(e: DataFrame) -> DataFrame:
-    return e.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def _corpus(spark, sf_dir) -> DataFrame:
+    """Chunks (chunk_id, label, strategy, vector, text): every embedding with its document's text."""
+    e, d = read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "documents")
+    strategy = F.when(F.col("label") % 2 == 0, STRATEGIES[0]).otherwise(STRATEGIES[1])
+    rows = e.join(d.select(F.col("doc_id").alias("vec_id"), "text", "source"), "vec_id")
+    return rows.select(F.col("vec_id").alias("chunk_id"), "label", strategy.alias("strategy"), F.col("embedding").alias("vector"), "text", F.col("source").alias("source_path"))
 
 
-def _corpus(e: DataFrame) -> DataFrame:
-    return e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+def _asked(corpus: DataFrame) -> DataFrame:
+    """Queries (query_id, label, vector, query): two short words of the query's own text, the first and last in order."""
+    words = F.array_sort(F.array_distinct(F.filter(text.terms(F.col("text")), lambda w: F.length(w).between(2, 4) & ~w.isin(*retrieval.STOP_WORDS))))
+    own = corpus.where(F.col("chunk_id") % EVERY == 0).withColumn("w", words).where(F.size("w") > 1)
+    return own.select(F.col("chunk_id").alias("query_id"), "label", "vector", F.concat_ws(" ", F.get("w", 0), F.element_at("w", -1)).alias("query"))
 
 
-DENSE_CTE = f"""
-dense_all AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings q, embeddings c WHERE q.vec_id < {len(QUERY_IDS)}),
-dense AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM dense_all),
-byLabel AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(chunk_id - query_id * 7), chunk_id) AS rank, chunk_id FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id < {len(QUERY_IDS)})),
-lists AS (SELECT query_id, 'dense' AS source, rank, chunk_id FROM dense WHERE rank <= 50 UNION ALL SELECT query_id, 'sparse', rank, chunk_id FROM byLabel WHERE rank <= 50),
-fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM lists GROUP BY ALL),
-hybrid AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM fused)
+CORPUS_CTE = f"""
+corpus AS (SELECT vec_id AS chunk_id, label, CASE WHEN label % 2 = 0 THEN 'fixed' ELSE 'structure_aware' END AS strategy, embedding, text, source FROM embeddings JOIN documents ON doc_id = vec_id),
+asked0 AS (SELECT chunk_id AS query_id, label, embedding, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) BETWEEN 2 AND 4 AND w NOT IN ({STOPPED})))) AS w FROM corpus WHERE chunk_id % {EVERY} = 0),
+asked AS (SELECT query_id, label, embedding, w[1] AS t1, w[len(w)] AS t2 FROM asked0 WHERE len(w) > 1),
+dense_all AS (SELECT strategy, query_id, chunk_id, c.label, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM asked q, corpus c),
+dense AS (SELECT strategy, query_id, row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM dense_all QUALIFY rank <= 50)
+"""
+LEX_CTE = CORPUS_CTE + """,
+cpos AS (SELECT strategy, chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS p FROM corpus),
+u AS (SELECT query_id, strategy, chunk_id, p, 1 AS t FROM asked JOIN cpos ON term = t1 UNION ALL SELECT query_id, strategy, chunk_id, p, 2 FROM asked JOIN cpos ON term = t2),
+w AS (SELECT *, lag(t) OVER x AS pt, lag(p) OVER x AS pp FROM u WINDOW x AS (PARTITION BY query_id, strategy, chunk_id ORDER BY p)),
+lex AS (SELECT strategy, query_id, chunk_id, round(sum(0.1::DOUBLE / (p - pp)), 6) AS score FROM w WHERE pt <> t GROUP BY ALL),
+sparse AS (SELECT strategy, query_id, row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM lex QUALIFY rank <= 50),
+lists AS (SELECT strategy, query_id, 'dense' AS source, rank, chunk_id FROM dense UNION ALL SELECT strategy, query_id, 'sparse', rank, chunk_id FROM sparse),
+fused AS (SELECT strategy, query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score, max(CASE WHEN source = 'dense' THEN rank END)::INT AS dense_rank, max(CASE WHEN source = 'sparse' THEN rank END)::INT AS sparse_rank FROM lists GROUP BY ALL),
+hybrid AS (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC, chunk_id) AS rank FROM fused QUALIFY rank <= 20),
+pool AS (SELECT 'hybrid' AS mode, strategy, query_id, chunk_id FROM hybrid UNION ALL SELECT 'dense', strategy, query_id, chunk_id FROM dense),
+again AS (SELECT mode, strategy, query_id, chunk_id, (list_contains(c.tw, t1)::INT + list_contains(c.tw, t2)::INT) / 2.0::DOUBLE AS score FROM pool JOIN asked USING (query_id) JOIN (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tw FROM corpus) c USING (chunk_id)),
+reranked AS (SELECT *, row_number() OVER (PARTITION BY mode, strategy, query_id ORDER BY score DESC, chunk_id) AS rank FROM again)
 """
 
 
-def _dense(e: DataFrame, k: int = 50) -> DataFrame:
-    return retrieval.dense_topk(_queries(e), _corpus(e), k, 6)
+def _both(q: DataFrame, corpus: DataFrame, f) -> DataFrame:
+    """f(queries, chunks) of each strategy; query_id becomes strategy and id, so that no list mixes two."""
+    return reduce(DataFrame.unionByName, (f(q.withColumn("query_id", F.concat(F.lit(name + "|"), "query_id")), corpus.where(F.col("strategy") == name)) for name in STRATEGIES))
+
+
+def _dense(q: DataFrame, corpus: DataFrame, k: int = 50) -> DataFrame:
+    return _both(q, corpus, lambda asked, chunks: retrieval.dense_topk(asked, chunks, k, 6))
 
 
-def _by_label(e: DataFrame, k: int = 50) -> DataFrame:
-    """A second ranked list: the query's label, nearest to seven times its id first."""
-    q = e.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), "label")
-    pairs = e.select(F.col("vec_id").alias("chunk_id"), "label").join(F.broadcast(q), "label")
-    return fusion.top_k(pairs, ["query_id"], k, F.abs(F.col("chunk_id") - F.col("query_id") * 7), F.col("chunk_id")).select("query_id", "rank", "chunk_id")
+def _sparse(q: DataFrame, corpus: DataFrame, k: int = 50) -> DataFrame:
+    return _both(q, corpus, lambda asked, chunks: retrieval.search_texts(chunks, asked, k))
 
 
-def _lists(e: DataFrame) -> DataFrame:
-    dense = _dense(e).select("query_id", F.lit("dense").alias("source"), "rank", "chunk_id")
-    return dense.unionByName(_by_label(e).select("query_id", F.lit("sparse").alias("source"), "rank", "chunk_id"))
+def _asked_by_strategy(q: DataFrame) -> DataFrame:
+    return _both(q, q.withColumn("strategy", F.lit("")), lambda asked, _: asked)
 
 
-def _fused(e: DataFrame) -> DataFrame:
-    out = fusion.reciprocal_rank_fusion(_lists(e), 60, None).withColumn("score", F.round("score", 10)).drop("rank")
-    return fusion.top_k(out, ["query_id"], 20, F.desc("score"), F.asc("chunk_id"))
+def _apart(df: DataFrame) -> DataFrame:
+    """strategy and query_id as columns of their own again."""
+    parts = F.split("query_id", r"\|")
+    return df.withColumns({"strategy": parts[0], "query_id": parts[1].cast("long")})
 
 
-@query(f"WITH {DENSE_CTE} SELECT query_id, rank, chunk_id, score FROM dense WHERE rank <= 5")
+def _search(spark, sf_dir, mode: str, use_rerank: bool, limit: int | None) -> DataFrame:
+    corpus = _corpus(spark, sf_dir)
+    q = _asked(corpus)
+    chunks = corpus.drop("strategy", "label", "vector")
+    found = retrieval.search(_dense(q, corpus), _sparse(q, corpus), chunks, _asked_by_strategy(q), mode, use_rerank, limit)
+    return _apart(found.withColumn("score", F.round("score", 10)))
+
+
+@query(f"WITH {CORPUS_CTE} SELECT strategy, query_id, rank, chunk_id, score FROM dense WHERE rank <= 5")
 def dense_topk(spark, sf_dir):
-    return _dense(read(spark, sf_dir, "embeddings"), 5)
+    corpus = _corpus(spark, sf_dir)
+    return _apart(_dense(_asked(corpus), corpus, 5)).select("strategy", "query_id", "rank", "chunk_id", "score")
 
 
-@query(f"WITH {DENSE_CTE} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM dense_all WHERE label = 3 QUALIFY rank <= 5")
+@query(f"WITH {CORPUS_CTE} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM dense_all WHERE label = 3 QUALIFY rank <= 5")
 def dense_topk_filtered(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    return retrieval.dense_topk(_queries(e), _corpus(e.where("label = 3")), 5, 6)
+    corpus = _corpus(spark, sf_dir)
+    return retrieval.dense_topk(_asked(corpus), corpus.where("label = 3"), 5, 6)
+
 
+@query(f"WITH {LEX_CTE} SELECT strategy, query_id, rank, chunk_id, score FROM sparse WHERE rank <= 10")
+def sparse_topk(spark, sf_dir):
+    return _search(spark, sf_dir, "sparse", True, 10).select("strategy", "query_id", "rank", "chunk_id", "score")
 
-@query(f"WITH {DENSE_CTE} SELECT query_id, rank, chunk_id, score FROM hybrid WHERE rank <= 20")
+
+@query(f"WITH {LEX_CTE} SELECT strategy, query_id, rank, chunk_id, score FROM hybrid")
 def rrf_fusion(spark, sf_dir):
-    return _fused(read(spark, sf_dir, "embeddings")).select("query_id", "rank", "chunk_id", "score")
+    return _search(spark, sf_dir, "hybrid", False, None).select("strategy", "query_id", "rank", "chunk_id", "score")
 
 
-@query(f"WITH {DENSE_CTE}, r AS (SELECT query_id, chunk_id, max(CASE WHEN source = 'dense' THEN rank END)::INT AS dense_rank, max(CASE WHEN source = 'sparse' THEN rank END)::INT AS sparse_rank FROM lists GROUP BY ALL) SELECT query_id, chunk_id, dense_rank, sparse_rank FROM r JOIN hybrid USING (query_id, chunk_id) WHERE hybrid.rank <= 20")
+@query(f"WITH {LEX_CTE} SELECT strategy, query_id, chunk_id, dense_rank, sparse_rank FROM hybrid")
 def rrf_ranks(spark, sf_dir):
-    out = _fused(read(spark, sf_dir, "embeddings"))
-    return out.select("query_id", "chunk_id", F.try_element_at("ranks", F.lit("dense")).alias("dense_rank"), F.try_element_at("ranks", F.lit("sparse")).alias("sparse_rank"))
+    corpus = _corpus(spark, sf_dir)
+    q = _asked(corpus)
+    lists = [df.select("query_id", F.lit(name).alias("source"), "rank", "chunk_id") for name, df in (("dense", _dense(q, corpus)), ("sparse", _sparse(q, corpus)))]
+    out = fusion.reciprocal_rank_fusion(lists[0].unionByName(lists[1]), 60, None).withColumn("score", F.round("score", 10)).drop("rank")
+    out = _apart(fusion.top_k(out, ["query_id"], 20, F.desc("score"), F.asc("chunk_id")))
+    return out.select("strategy", "query_id", "chunk_id", F.try_element_at("ranks", F.lit("dense")).alias("dense_rank"), F.try_element_at("ranks", F.lit("sparse")).alias("sparse_rank"))
+
+
+def _lexical(spark, sf_dir, asked: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return retrieval.search_texts(d, values(spark, [("q", asked)], "query_id string, query string"), 1_000_000_000)
 
 
 LEX_TOKENS = f"""
 pos AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS p FROM documents),
-tok AS (SELECT DISTINCT chunk_id, term FROM pos WHERE term NOT IN ({", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)}))
+tok AS (SELECT DISTINCT chunk_id, term FROM pos WHERE term NOT IN ({STOPPED}))
 """
 
 
 @query(f"WITH {LEX_TOKENS} SELECT a.chunk_id FROM tok a JOIN tok b USING (chunk_id) WHERE a.term = 'thth' AND b.term = 'onre'")
 def sparse_and_search(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.lexical_search(retrieval.postings(d), [("q", "thth onre")], 1_000_000_000).select("chunk_id")
+    return _lexical(spark, sf_dir, "thth onre").select("chunk_id")
 
 
 @query(f"WITH {LEX_TOKENS} SELECT DISTINCT chunk_id FROM tok WHERE term IN ('thth', 'onre') AND chunk_id NOT IN (SELECT chunk_id FROM tok WHERE term = 'les')")
 def sparse_or_not_search(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.lexical_search(retrieval.postings(d), [("q", "thth or onre -les")], 1_000_000_000).select("chunk_id")
+    return _lexical(spark, sf_dir, "thth or onre -les").select("chunk_id")
 
 
 @query(f"WITH {LEX_TOKENS} SELECT DISTINCT a.chunk_id FROM pos a JOIN pos b ON a.chunk_id = b.chunk_id AND b.p = a.p + 1 WHERE a.term = 'que' AND b.term = 'les'")
 def sparse_phrase_search(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.lexical_search(retrieval.postings(d), [("q", '"que les"')], 1_000_000_000).select("chunk_id")
+    return _lexical(spark, sf_dir, '"que les"').select("chunk_id")
 
 
 @query(f"WITH {LEX_TOKENS}, m AS (SELECT chunk_id, p FROM pos WHERE term = 'thth'), n AS (SELECT chunk_id, p FROM pos WHERE term = 'onre'), u AS (SELECT chunk_id, p, 1 AS t FROM m UNION ALL SELECT chunk_id, p, 2 FROM n), w AS (SELECT chunk_id, p, t, lag(t) OVER x AS pt, lag(p) OVER x AS pp FROM u WINDOW x AS (PARTITION BY chunk_id ORDER BY p)) SELECT chunk_id, round(sum(0.1::DOUBLE / (p - pp)), 6) AS score FROM w WHERE pt <> t GROUP BY chunk_id")
 def cover_density_rank(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.lexical_search(retrieval.postings(d), [("q", "thth onre")], 1_000_000_000).select("chunk_id", "score")
+    return _lexical(spark, sf_dir, "thth onre").select("chunk_id", "score")
 
 
-def _hybrid(spark, sf_dir) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings")
-    return retrieval.search(_dense(e), _by_label(e), None, None, "hybrid", False, 10)
-
-
-@query(f"WITH {DENSE_CTE} SELECT query_id, rank, chunk_id, score FROM hybrid WHERE rank <= 10")
+@query(f"WITH {LEX_CTE} SELECT strategy, query_id, h.rank, chunk_id, h.score, source AS source_path, md5(text) AS text FROM hybrid h JOIN corpus USING (strategy, chunk_id) WHERE h.rank <= 10")
 def hybrid_search(spark, sf_dir):
-    return _hybrid(spark, sf_dir).withColumn("score", F.round("score", 10))
+    return _search(spark, sf_dir, "hybrid", False, 10).select("strategy", "query_id", "rank", "chunk_id", "score", "source_path", F.md5("text").alias("text"))
 
 
-@query(f"""WITH {DENSE_CTE}, asked AS (SELECT doc_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents WHERE doc_id < {len(QUERY_IDS)}),
-c AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
-s AS (SELECT h.query_id, h.chunk_id, round(coalesce(len(list_intersect(a.w, c.w))::DOUBLE / nullif(len(a.w), 0), 0), 6) AS score FROM hybrid h JOIN asked a USING (query_id) JOIN c USING (chunk_id) WHERE h.rank <= 20)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM s QUALIFY rank <= 5""")
+@query(f"WITH {LEX_CTE} SELECT strategy, query_id, rank, chunk_id, score FROM reranked WHERE mode = 'hybrid' AND rank <= 5")
 def hybrid_rerank(spark, sf_dir):
-    e, d = read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "documents")
-    asked = d.where(F.col("doc_id") < len(QUERY_IDS)).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    best = _fused(e).select("query_id", "chunk_id").join(d.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").join(asked, "query_id")
-    score = lambda q, t: F.round(retrieval.overlap_score(q, t), 6)
-    return retrieval.rerank(best, 5, score).select("query_id", "rank", "chunk_id", "score")
+    return _search(spark, sf_dir, "hybrid", True, None).select("strategy", "query_id", "rank", "chunk_id", "score")
+
+
+@query(f"WITH {LEX_CTE} SELECT strategy, query_id, rank, chunk_id, score FROM reranked WHERE mode = 'dense' AND rank <= 5")
+def dense_rerank(spark, sf_dir):
+    return _search(spark, sf_dir, "dense", True, None).select("strategy", "query_id", "rank", "chunk_id", "score")
 
 
 # ---------------------------------------------------------------- evaluation
 
-OUTCOMES_CTE = f"""{DENSE_CTE},
-cells AS (SELECT 'a' AS strategy, 'dense' AS mode, false AS rerank, query_id, rank, chunk_id FROM dense WHERE rank <= 20
-  UNION ALL SELECT 'a', 'hybrid', false, query_id, rank, chunk_id FROM hybrid WHERE rank <= 20
-  UNION ALL SELECT 'a', 'sparse', false, query_id, rank, chunk_id FROM byLabel WHERE rank <= 20),
-expected AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.vec_id % 5 = 0 WHERE q.vec_id < {len(QUERY_IDS)}),
+#: The cells of the sweep in each strategy: (mode, rerank).
+CELLS = (("dense", False), ("sparse", False), ("hybrid", False), ("hybrid", True))
+# Every other query expects an id that no corpus has, so it is never found.
+OUTCOMES_CTE = f"""{LEX_CTE},
+cells AS (SELECT strategy, 'dense' AS mode, false AS rerank, query_id, rank, chunk_id FROM dense WHERE rank <= 20
+  UNION ALL SELECT strategy, 'hybrid', false, query_id, rank, chunk_id FROM hybrid
+  UNION ALL SELECT strategy, 'hybrid', true, query_id, rank, chunk_id FROM reranked WHERE mode = 'hybrid' AND rank <= 20
+  UNION ALL SELECT strategy, 'sparse', false, query_id, rank, chunk_id FROM sparse WHERE rank <= 20),
+expected AS (SELECT DISTINCT q.query_id, CASE WHEN q.query_id % {2 * EVERY} = {EVERY} THEN -1 ELSE c.chunk_id END AS chunk_id FROM asked q JOIN corpus c ON c.chunk_id % 5 = 0 AND (c.label = q.label OR c.label = (q.label + 1) % 10)),
 n_expected AS (SELECT query_id, count(*) AS n FROM expected GROUP BY ALL),
 ks AS (SELECT unnest([1, 3, 5, 10, 20]) AS k),
 per_query AS (SELECT c.strategy, c.mode, c.rerank, c.query_id, k, count(x.chunk_id)::DOUBLE / any_value(n) AS r FROM cells c CROSS JOIN ks JOIN n_expected USING (query_id) LEFT JOIN expected x ON x.query_id = c.query_id AND x.chunk_id = c.chunk_id AND c.rank <= k GROUP BY ALL),
-hits AS (SELECT c.strategy, c.mode, c.rerank, c.query_id, min(CASE WHEN x.chunk_id IS NOT NULL THEN c.rank END)::INT AS first_hit FROM cells c LEFT JOIN expected x USING (query_id, chunk_id) GROUP BY ALL)
+hits AS (SELECT c.strategy, c.mode, c.rerank, c.query_id, min(CASE WHEN x.chunk_id IS NOT NULL THEN c.rank END)::INT AS first_hit FROM cells c JOIN n_expected USING (query_id) LEFT JOIN expected x USING (query_id, chunk_id) GROUP BY ALL)
 """
 
 
 def _outcomes(spark, sf_dir) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings")
-    cells = {"dense": _dense(e, 20), "hybrid": _fused(e), "sparse": _by_label(e, 20)}
-    rows = reduce(DataFrame.unionByName, (df.select(F.lit("a").alias("strategy"), F.lit(m).alias("mode"), F.lit(False).alias("rerank"), "query_id", "rank", "chunk_id") for m, df in cells.items()))
-    got = rows.groupBy("strategy", "mode", "rerank", "query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved_paths"))
-    q = e.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), "label")
-    want = e.where("vec_id % 5 = 0").join(F.broadcast(q), "label").groupBy("query_id").agg(F.sort_array(F.collect_list("vec_id")).alias("expected_paths"))
+    """All eight cells: two strategies, each by CELLS, to depth 20."""
+    corpus = _corpus(spark, sf_dir)
+    q = _asked(corpus)
+    dense, sparse, chunks, asked = _dense(q, corpus), _sparse(q, corpus), corpus.select("chunk_id", "text"), _asked_by_strategy(q)
+    cells = (retrieval.search(dense, sparse, chunks, asked, mode, again, 20).select(F.lit(mode).alias("mode"), F.lit(again).alias("rerank"), "query_id", "rank", "chunk_id") for mode, again in CELLS)
+    got = _apart(evaluation.outcomes(reduce(DataFrame.unionByName, cells), ("mode", "rerank")))
+    near = corpus.where("chunk_id % 5 = 0").select("chunk_id", F.explode(F.array("label", (F.col("label") + 9) % 10)).alias("label"))
+    absent = F.col("query_id") % (2 * EVERY) == EVERY
+    want = q.select("query_id", "label").join(near, "label").groupBy("query_id").agg(F.sort_array(F.collect_set(F.when(absent, F.lit(-1).cast("long")).otherwise(F.col("chunk_id")))).alias("expected_paths"))
     return got.join(want, "query_id")
 
 
@@ -211,11 +253,11 @@ def never_anywhere(spark, sf_dir):
     return evaluation.never_anywhere(_outcomes(spark, sf_dir))
 
 
-@query(f"""WITH {OUTCOMES_CTE}, p AS (SELECT count(*) FILTER (a.r > b.r) AS a_wins, count(*) FILTER (a.r < b.r) AS b_wins, count(*) FILTER (a.r = b.r) AS ties FROM per_query a JOIN per_query b USING (query_id, k) WHERE a.mode = 'hybrid' AND b.mode = 'dense' AND k = 10)
+@query(f"""WITH {OUTCOMES_CTE}, p AS (SELECT count(*) FILTER (a.r > b.r) AS a_wins, count(*) FILTER (a.r < b.r) AS b_wins, count(*) FILTER (a.r = b.r) AS ties FROM per_query a JOIN per_query b USING (query_id, k) WHERE a.strategy = 'structure_aware' AND b.strategy = 'fixed' AND a.mode = 'hybrid' AND b.mode = 'hybrid' AND a.rerank AND b.rerank AND k = 10)
 SELECT a_wins, b_wins, ties, CASE WHEN a_wins + b_wins > 0 THEN round(least(1.0, 2.0 * (SELECT sum(factorial((a_wins + b_wins)::INT)::DOUBLE / (factorial(i::INT) * factorial((a_wins + b_wins - i)::INT))) FROM range(0, least(a_wins, b_wins) + 1) t(i)) / pow(2.0, a_wins + b_wins)), 8) END AS p FROM p""")
 def paired_sign_test(spark, sf_dir):
-    o = _outcomes(spark, sf_dir)
-    return evaluation.paired(o.where("mode = 'hybrid'"), o.where("mode = 'dense'"), 10).withColumn("p", F.round("p", 8))
+    o = _outcomes(spark, sf_dir).where("mode = 'hybrid' AND rerank")
+    return evaluation.paired(o.where("strategy = 'structure_aware'"), o.where("strategy = 'fixed'"), 10).withColumn("p", F.round("p", 8))
 
 
 SIGNS = [(11, 0), (0, 11), (5, 5), (1, 0), (0, 0), (15, 0), (13, 3), (8, 0)]
@@ -226,7 +268,7 @@ def sign_test_values(spark, sf_dir):
     return values(spark, SIGNS, "w int, l int").select("w", "l", F.round(scores.sign_test(F.col("w"), F.col("l")), 10).alias("p"))
 
 
-@query(f"WITH {OUTCOMES_CTE}, g AS (SELECT mode, avg(r) AS recall FROM per_query WHERE k = 5 GROUP BY mode) SELECT round(max(coalesce(recall, 0)), 6) AS best, max(coalesce(recall, 0)) >= 0.05 AS passed FROM g")
+@query(f"WITH {OUTCOMES_CTE}, g AS (SELECT strategy, mode, rerank, avg(r) AS recall FROM per_query WHERE k = 5 GROUP BY ALL) SELECT round(max(coalesce(recall, 0)), 6) AS best, max(coalesce(recall, 0)) >= 0.05 AS passed FROM g")
 def floor_gate(spark, sf_dir):
     return evaluation.floor_gate(evaluation.recall_grid(_outcomes(spark, sf_dir)), 5, 0.05).withColumn("best", F.round("best", 6))
 
@@ -256,46 +298,76 @@ def oversized_split(spark, sf_dir):
 
 
 def _marked(d: DataFrame) -> DataFrame:
-    """Markup made of each document: its first lines below headings and in a fence."""
-    line = lambda k: F.coalesce(F.get(F.split("text", "\n"), k), F.lit("none"))
-    return d.select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n"), line(0), F.lit("\n\n## "), "lang", F.lit("\n\n```bash\n"), line(1), F.lit("\n```\n\n"), line(2)).alias("text"))
-
-
-MARKED = """marked AS (SELECT doc_id, '# ' || source || chr(10) || chr(10) || l1 || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || '```bash' || chr(10) || l2 || chr(10) || '```' || chr(10) || chr(10) || l3 AS text, source, lang, l1, l2, l3
-  FROM (SELECT *, coalesce(p[1], 'none') AS l1, coalesce(p[2], 'none') AS l2, coalesce(p[3], 'none') AS l3 FROM (SELECT *, string_split(text, chr(10)) AS p FROM documents)))"""
-
-
-@query(f"""WITH {MARKED}, b AS (SELECT doc_id, unnest([
-  {{'kind': 'heading', 'body': source, 'level': 1}}, {{'kind': 'text', 'body': l1, 'level': 0}}, {{'kind': 'heading', 'body': lang, 'level': 2}}, {{'kind': 'code', 'body': '```bash' || chr(10) || l2 || chr(10) || '```', 'level': 0}}, {{'kind': 'text', 'body': l3, 'level': 0}}]) AS x, generate_subscripts([1, 2, 3, 4, 5], 1) AS i FROM marked WHERE trim(l1) <> '' AND trim(l3) <> '')
-SELECT doc_id, (i - 1)::INT AS ordinal, x.kind AS kind, trim(x.body) AS text, x.level AS level FROM b""")
+    """Markup made of each whole document: its lines in turn as a heading of one of three levels, two of prose, one of fenced code."""
+    def line(x, i):
+        head = F.concat(F.repeat(F.lit("#"), (F.floor(i / 4) % 3).cast("int") + 1), F.lit(" "), x)
+        return F.when(i % 4 == 0, F.when(F.trim(x) == "", F.lit("")).otherwise(head)).when(i % 4 == 3, F.concat(F.lit("```bash\n"), x, F.lit("\n```"))).otherwise(x)
+
+    return d.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n\n").alias("text"))
+
+
+# The blocks that the markup above has: headings are trimmed lines, prose lines join across blank ones, code stands in its fence.
+MARKED = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+typed AS (SELECT doc_id, i, CASE WHEN i % 4 = 0 AND trim(x) <> '' THEN 'heading' WHEN i % 4 = 3 THEN 'code' ELSE 'text' END AS kind, CASE WHEN i % 4 = 3 THEN '```bash' || chr(10) || x || chr(10) || '```' WHEN i % 4 = 0 THEN trim(x) ELSE x END AS body, CASE WHEN i % 4 = 0 AND trim(x) <> '' THEN (i // 4) % 3 + 1 ELSE 0 END AS level FROM lines),
+runs AS (SELECT *, sum(CASE WHEN kind <> 'text' OR prev <> 'text' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY i), '') AS prev FROM typed)),
+joined AS (SELECT doc_id, run, any_value(kind) AS kind, trim(string_agg(body, chr(10) || chr(10) ORDER BY i), chr(10) || chr(9) || ' ') AS text, max(level)::INT AS level, min(i) AS i FROM runs GROUP BY doc_id, run),
+md AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1)::INT AS ordinal, kind, text, level, i FROM joined WHERE text <> '')"""
+
+PATHS = r"""upto AS (SELECT *, max(CASE WHEN level = 1 THEN ordinal END) OVER w AS a1, max(CASE WHEN level = 2 THEN ordinal END) OVER w AS a2, max(CASE WHEN level = 3 THEN ordinal END) OVER w AS a3 FROM md WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)),
+pathed AS (SELECT upto.*, concat_ws(' > ', h1.text, CASE WHEN a2 > coalesce(a1, -1) THEN h2.text END, CASE WHEN a3 > greatest(coalesce(a1, -1), coalesce(a2, -1)) THEN h3.text END) AS path
+  FROM upto LEFT JOIN md h1 ON h1.doc_id = upto.doc_id AND h1.ordinal = a1 LEFT JOIN md h2 ON h2.doc_id = upto.doc_id AND h2.ordinal = a2 LEFT JOIN md h3 ON h3.doc_id = upto.doc_id AND h3.ordinal = a3)"""
+
+# Chunks of 64 tokens at most, sections of under 8 riding along, block by block.
+PACKED = r"""sized AS (SELECT *, len(regexp_extract_all(text, '\S+')) AS n FROM pathed),
+steps AS (SELECT doc_id, -1 AS o, 0 AS used, 0 AS chunk, '' AS prev, NULL::INT AS own, NULL::INT AS ended, NULL::VARCHAR AS ended_path FROM (SELECT DISTINCT doc_id FROM sized)
+  UNION ALL SELECT s.doc_id, s.ordinal,
+    CASE WHEN s.kind = 'heading' THEN CASE WHEN t.used >= 8 THEN 0 ELSE t.used END WHEN s.n > 64 AND s.kind <> 'code' THEN 0 WHEN s.kind = 'code' AND CASE WHEN t.used > 0 AND t.used + s.n > 64 THEN 0 ELSE t.used END + s.n >= 64 THEN 0 WHEN t.used > 0 AND t.used + s.n > 64 THEN s.n ELSE t.used + s.n END,
+    t.chunk + CASE WHEN t.used > 0 AND CASE WHEN s.kind = 'heading' THEN t.used >= 8 ELSE t.used + s.n > 64 END THEN 1 ELSE 0 END + CASE WHEN s.kind <> 'heading' AND (s.n > 64 AND s.kind <> 'code' OR s.kind = 'code' AND CASE WHEN t.used > 0 AND t.used + s.n > 64 THEN 0 ELSE t.used END + s.n >= 64) THEN 1 ELSE 0 END,
+    s.path,
+    CASE WHEN s.kind <> 'heading' THEN t.chunk + CASE WHEN t.used > 0 AND t.used + s.n > 64 THEN 1 ELSE 0 END END,
+    CASE WHEN t.used > 0 AND CASE WHEN s.kind = 'heading' THEN t.used >= 8 ELSE t.used + s.n > 64 END THEN t.chunk END,
+    CASE WHEN s.kind = 'heading' THEN t.prev ELSE s.path END
+  FROM steps t JOIN sized s ON s.doc_id = t.doc_id AND s.ordinal = t.o + 1),
+ends AS (SELECT doc_id, ended AS chunk, ended_path AS path FROM steps WHERE ended IS NOT NULL),
+made AS (SELECT s.doc_id, t.own AS chunk, string_agg(s.text, chr(10) || chr(10) ORDER BY s.ordinal) AS body, bool_and(s.kind = 'code') AS code, arg_max(s.path, s.ordinal) AS own_path, bool_and(s.n > 64 AND s.kind <> 'code') AS split,
+  (SELECT arg_max(l.path, l.ordinal) FROM sized l WHERE l.doc_id = s.doc_id) AS last_path, max(t.own) OVER (PARTITION BY s.doc_id) AS last_chunk, any_value(z.open) AS open
+  FROM steps t JOIN sized s ON s.doc_id = t.doc_id AND s.ordinal = t.o JOIN (SELECT doc_id, arg_max(used, o) > 0 AS open FROM steps GROUP BY doc_id) z ON z.doc_id = s.doc_id WHERE t.own IS NOT NULL GROUP BY s.doc_id, t.own),
+named AS (SELECT m.doc_id, m.chunk, m.body, m.code, m.split, nullif(coalesce(e.path, CASE WHEN m.chunk = m.last_chunk AND m.open THEN m.last_path ELSE m.own_path END), '') AS path FROM made m LEFT JOIN ends e ON e.doc_id = m.doc_id AND e.chunk = m.chunk),
+parts AS (SELECT doc_id, chunk, path, body, code, split, regexp_extract_all(body, '\S+\s*') AS w FROM named),
+pieces AS (SELECT doc_id, chunk, 0 AS part, path, body, code FROM parts WHERE NOT split UNION ALL SELECT doc_id, chunk, b // 64, path, regexp_replace(array_to_string(w[b + 1 : b + 64], ''), '\s+$', ''), false FROM (SELECT *, unnest(range(0, len(w), 64)) AS b FROM parts WHERE split)),
+structured AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk, part) - 1)::INT AS ordinal, CASE WHEN path IS NOT NULL THEN path || chr(10) || chr(10) || body ELSE body END AS text, path AS heading_path, code AS is_code_block FROM pieces)"""
+
+
+@query(f"WITH {MARKED} SELECT doc_id, ordinal, kind, text, level FROM md")
 def md_blocks(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    full = lambda k: F.trim(F.coalesce(F.get(F.split("text", "\n"), k), F.lit("none"))) != ""
-    return chunking.blocks(_marked(docs.where(full(0) & full(2)))).select("doc_id", "ordinal", "kind", "text", "level")
+    return chunking.blocks(_marked(read(spark, sf_dir, "documents"))).select("doc_id", "ordinal", "kind", "text", "level")
 
 
-@query(f"""WITH {MARKED}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, source, lang FROM marked)
-SELECT doc_id, n::INT AS line, CASE WHEN n >= 4 THEN source || ' > ' || lang ELSE source END AS path FROM l""")
+@query(f"WITH {MARKED}, {PATHS} SELECT doc_id, ordinal AS line, path FROM pathed")
 def heading_path(spark, sf_dir):
-    lines = _marked(read(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return chunking.heading_paths(lines)
+    found = chunking.blocks(_marked(read(spark, sf_dir, "documents")))
+    hashes = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "text")).otherwise("")
+    return chunking.heading_paths(found.select("doc_id", F.col("ordinal").alias("line"), hashes.alias("text")))
 
 
-@query()
+@query(f"WITH RECURSIVE {MARKED}, {PATHS}, {PACKED} SELECT doc_id, 'structure_aware' AS strategy, ordinal, md5(text) AS h, len(regexp_extract_all(text, '\\S+'))::INT AS token_count, heading_path, is_code_block FROM structured")
 def structure_chunks(spark, sf_dir):
-    return chunking.structured_chunks(_marked(read(spark, sf_dir, "documents")), 64, 8)
+    out = chunking.structured_chunks(_marked(read(spark, sf_dir, "documents")), 64, 8)
+    return out.select("doc_id", "strategy", "ordinal", F.md5("text").alias("h"), "token_count", "heading_path", "is_code_block")
 
 
 @query("WITH" + WINDOWS.format(table="documents", target=128, stride=112) + "SELECT 'fixed' AS strategy, count(*) AS chunks, 0::BIGINT AS code_only FROM chunks")
 def chunk_stats(spark, sf_dir):
     made = chunking.build_chunks(read(spark, sf_dir, "documents"), ("fixed",), target=128, overlap=16)
-    return made.groupBy("strategy").agg(F.count("*").alias("chunks"), F.count_if("is_code_block").alias("code_only"))
+    return chunking.chunk_counts(made)
 
 
-@query()
+@query(f"""WITH RECURSIVE {MARKED}, {PATHS}, {PACKED}, whole AS (SELECT doc_id, regexp_extract_all(string_agg(body, chr(10) || chr(10) ORDER BY i), '\\S+\\s*') AS w FROM (SELECT doc_id, i, CASE WHEN kind = 'heading' THEN repeat('#', level) || ' ' || body ELSE body END AS body FROM typed) GROUP BY doc_id)
+SELECT 'structure_aware' AS strategy, count(*) AS chunks, count(*) FILTER (is_code_block) AS code_only FROM structured
+UNION ALL SELECT 'fixed', sum(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(ceil((len(w) - 64) / 56.0), 0) + 1 END)::BIGINT, 0 FROM whole""")
 def chunk_stats_both(spark, sf_dir):
     made = chunking.build_chunks(_marked(read(spark, sf_dir, "documents")), target=64, overlap=8, max_tokens=64, min_tokens=8)
-    return made.groupBy("strategy").agg(F.count("*").alias("chunks"), F.count_if("is_code_block").alias("code_only"))
+    return chunking.chunk_counts(made)
 
 
 @query("WITH" + WINDOWS.format(table="documents", target=128, stride=112) + """, pairs AS (SELECT d.doc_id, b.item_id, b.text AS body, len(regexp_extract_all(b.text, '\\S+')) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
@@ -415,8 +487,8 @@ def context_remark_flag(spark, sf_dir):
 
 
 ATTRIBUTION = """
-claims AS (SELECT vec_id // 5 AS answer_id, (vec_id % 5)::INT AS ordinal, embedding, label, vec_id % 7 = 0 AS about_context, list_filter([vec_id % 3 + 1, label % 4 + 1, 9], lambda x: vec_id % 4 > 0) AS cited FROM embeddings WHERE vec_id < 200),
-spans AS (SELECT a AS answer_id, n AS span_no, e.embedding FROM range(40) t(a), range(1, 5) s(n), embeddings e WHERE e.vec_id = (a * 11 + n * 3) % 200),
+claims AS (SELECT vec_id // 5 AS answer_id, (vec_id % 5)::INT AS ordinal, embedding, label, vec_id % 7 = 0 AS about_context, list_filter([vec_id % 3 + 1, label % 4 + 1, 9], lambda x: vec_id % 4 > 0) AS cited FROM embeddings),
+spans AS (SELECT a AS answer_id, n AS span_no, e.embedding FROM (SELECT DISTINCT answer_id AS a FROM claims) t, range(1, 5) s(n), embeddings e WHERE e.vec_id = (a * 11 + n * 3) % (SELECT count(*) FROM embeddings)),
 x AS (SELECT c.answer_id, c.ordinal, s.span_no, round(list_cosine_similarity(c.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) AS score FROM (SELECT DISTINCT answer_id, ordinal, embedding, unnest(cited) AS span_no FROM claims) c JOIN spans s USING (answer_id, span_no)),
 best AS (SELECT answer_id, ordinal, span_no, score FROM x QUALIFY row_number() OVER (PARTITION BY answer_id, ordinal ORDER BY score DESC, span_no) = 1),
 att AS (SELECT c.answer_id, c.ordinal, b.span_no::INT AS best_span, coalesce(b.score, 0) AS score, len(c.cited) > 0 AS cited, b.span_no IS NOT NULL AND b.score >= 0.1 AS supported, c.about_context FROM claims c LEFT JOIN best b USING (answer_id, ordinal)),
@@ -425,16 +497,17 @@ sa AS (SELECT answer_id, avg(CASE WHEN NOT about_context THEN supported::INT::DO
 
 
 def _attributions(spark, sf_dir) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").where("vec_id < 200")
+    e = read(spark, sf_dir, "embeddings")
     cited = F.when(F.col("vec_id") % 4 > 0, F.array((F.col("vec_id") % 3 + 1).cast("int"), (F.col("label") % 4 + 1).cast("int"), F.lit(9))).otherwise(F.array().cast("array<int>"))
     claims = e.select(F.floor(F.col("vec_id") / 5).alias("answer_id"), (F.col("vec_id") % 5).cast("int").alias("ordinal"), F.array_sort(F.array_distinct(cited)).alias("cited_spans"), (F.col("vec_id") % 7 == 0).alias("about_context"), F.col("embedding").alias("vector"))
-    slots = spark.range(40).select(F.col("id").alias("answer_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("span_no")).withColumn("vec_id", (F.col("answer_id") * 11 + F.col("span_no") * 3) % 200)
+    slots = claims.select("answer_id").distinct().select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("span_no")).withColumn("vec_id", (F.col("answer_id") * 11 + F.col("span_no") * 3) % e.count())
     spans = slots.join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("answer_id", "span_no", "vector")
     return grounding.attribute(claims, spans, 0.1, 6)
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    return grounding.scored_answers(_attributions(spark, sf_dir), spark.range(0, 40, 6).select(F.col("id").alias("answer_id")))
+    a = _attributions(spark, sf_dir)
+    return grounding.scored_answers(a, a.where("answer_id % 6 = 0").select("answer_id"))
 
 
 @query(f"WITH {ATTRIBUTION} SELECT answer_id, ordinal, best_span, score, cited, supported, about_context FROM att")

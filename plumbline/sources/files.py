@@ -128,7 +128,7 @@ def read_version(files: DataFrame, paths: tuple[str, ...]) -> DataFrame:
     order = F.lit(None).cast("int")
     for k, p in enumerate(paths):
         order = F.when(F.col("path") == p, k).otherwise(order)
-    found = F.regexp_extract("content", r"""(?m)^__version__\s*=\s*['"]([^'"]+)['"]""", 1)
+    found = F.regexp_extract("content", r"""(?m)^__version__\s*[:=]\s*['"]([^'"]+)['"]""", 1)
     ok = files.withColumns({"_k": order, "_v": found}).where("_k IS NOT NULL AND _v <> '' AND _v <> 'dev'")
     return ok.agg(F.coalesce(F.min_by("_v", "_k"), F.lit("unknown")).alias("version"))
 

@@ -130,7 +130,7 @@ def test_tradeoff_invariants(spark):
 def test_lexical_clauses(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta alpha"), (3, "alpha delta")], "chunk_id long, text string")
     index = retrieval.postings(docs)
-    ids = lambda q: sorted(r["chunk_id"] for r in retrieval.lexical_search(index, [("q", q)]).collect())
+    ids = lambda q: sorted(r["chunk_id"] for r in retrieval.lexical_search(index, spark.createDataFrame([("q", q)], "query_id string, query string")).collect())
     assert ids("alpha beta") == [1, 2] and ids('"alpha beta"') == [1] and ids("gamma or delta") == [1, 3]
     assert ids("alpha -beta") == [3] and ids("the") == [] and ids("missing alpha") == []
 
@@ -141,7 +141,10 @@ def test_search_modes(spark):
     queries = spark.createDataFrame([("q", "one two")], "query_id string, query string")
     best = retrieval.search(ranked, ranked, chunks, queries, "hybrid", True, top_n=2).orderBy("rank").collect()
     assert [r["chunk_id"] for r in best] == [1, 2]
-    assert retrieval.search(ranked, None, chunks, queries, "dense").count() == 3
+    assert [r["chunk_id"] for r in retrieval.search(ranked, None, chunks, queries, "dense", False).orderBy("rank").collect()] == [3, 1, 2]
+    again = retrieval.search(ranked, None, chunks, queries, "dense").orderBy("rank").collect()
+    assert [(r["chunk_id"], r["score"], r["text"]) for r in again] == [(1, 1.0, "one two"), (2, 0.5, "two"), (3, 0.0, "three")]
+    assert [r["chunk_id"] for r in retrieval.search(None, ranked, chunks, queries, "sparse", True, 2).orderBy("rank").collect()] == [3, 1]
     with pytest.raises(ValueError, match="unknown mode"):
         retrieval.search(ranked, ranked, chunks, queries, "other")
 
