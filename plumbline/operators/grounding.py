@@ -33,11 +33,13 @@ def ordered_spans(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.withColumn("span_no", F.row_number().over(Window.partitionBy("answer_id").orderBy("_pos"))).drop("_pos")
 
 
-def build_prompts(spans: DataFrame) -> DataFrame:
-    """Rows (query_id, context) of spans(query_id, span_no, heading_path, source_path, version, text), in span order."""
+def build_prompts(spans: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Rows (query_id, context) of spans(query_id, span_no, heading_path, source_path, version, text), in span order; of queries(query_id)
+    those without a span get NO_CONTEXT."""
     line = span_text(F.col("span_no"), citation_label(F.col("heading_path"), F.col("source_path"), F.col("version")), F.col("text"))
     listed = spans.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.col("span_no").alias("no"), line.alias("line")))).alias("lines"))
-    return listed.select("query_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("context"))
+    made = listed.select("query_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("context"))
+    return made if queries is None else queries.select("query_id").join(made, "query_id", "left").na.fill(NO_CONTEXT, ["context"])
 
 
 def attribute(claims: DataFrame, spans: DataFrame, threshold: float = 0.55, digits: int | None = None) -> DataFrame:

@@ -40,6 +40,12 @@ def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return items.join(done.select(key), key, "left_anti")
 
 
+def ordered_texts(chunks: DataFrame, strategy: str, key: str = "doc_id") -> DataFrame:
+    """Rows (key, texts): the texts of each document's chunks of a strategy, in order."""
+    listed = F.sort_array(F.collect_list(F.struct("ordinal", "text")))
+    return chunks.where(F.col("strategy") == strategy).groupBy(key).agg(F.transform(listed, lambda x: x["text"]).alias("texts"))
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in tables.items()]
     return reduce(DataFrame.unionByName, counts)

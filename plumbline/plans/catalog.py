@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scores, text
-from plumbline.operators import chunking, evaluation, fusion, grounding, retrieval, store, symbols
+from plumbline.operators import answering, chunking, embedding, evaluation, fusion, grounding, retrieval, store, symbols
 from plumbline.sources import files
 
 QUERIES: dict = {}
@@ -410,17 +410,19 @@ def html_heading_extract(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"), F.regexp_count("html", F.lit("<h2>")).cast("long").alias("n_h2"))
 
 
-@query("""WITH o AS (SELECT doc_id, n_chars FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, n_chars * 2 AS n_chars FROM documents WHERE doc_id % 2 = 0)
+@query("""WITH o AS (SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), n AS (SELECT doc_id, n_chars * 2 AS n_chars FROM documents WHERE lang <> 'en' OR source = 'src1')
 SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.n_chars ELSE o.n_chars END AS n_chars, CASE WHEN n.doc_id IS NULL THEN 'kept' WHEN o.doc_id IS NULL THEN 'inserted' ELSE 'updated' END AS change FROM o FULL JOIN n USING (doc_id)""")
 def upsert_merge(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return store.upsert(d.where("doc_id % 3 <> 0"), d.where("doc_id % 2 = 0").withColumn("n_chars", F.col("n_chars") * 2), ["doc_id"])
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
+    labels = read(spark, sf_dir, "labels").select("doc_id")
+    old, new = d.join(labels, "doc_id", "left_semi"), d.where("lang <> 'en' OR source = 'src1'").withColumn("n_chars", F.col("n_chars") * 2)
+    return store.upsert(old.select("doc_id", "n_chars"), new.select("doc_id", "n_chars"), ["doc_id"])
 
 
-@query("SELECT source, lang, doc_id FROM documents WHERE lang <> 'en' UNION ALL SELECT source, lang, doc_id + 1000000 FROM documents WHERE lang = 'en' AND doc_id % 2 = 0")
+@query("SELECT source, lang, doc_id FROM documents WHERE lang <> 'en' UNION ALL SELECT source, lang, doc_id + 1000000 FROM documents WHERE lang = 'en'")
 def replace_chunks(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("source", "lang", "doc_id")
-    return store.replace_by_key(d, d.where("lang = 'en' AND doc_id % 2 = 0").withColumn("doc_id", F.col("doc_id") + 1000000), ["lang"])
+    return store.replace_by_key(d, d.where("lang = 'en'").withColumn("doc_id", F.col("doc_id") + 1000000), ["lang"])
 
 
 @query("SELECT arg_max(event_type, (ts, event_id)) AS event_type FROM events")
@@ -487,8 +489,8 @@ def context_remark_flag(spark, sf_dir):
 
 
 ATTRIBUTION = """
-claims AS (SELECT vec_id // 5 AS answer_id, (vec_id % 5)::INT AS ordinal, embedding, label, vec_id % 7 = 0 AS about_context, list_filter([vec_id % 3 + 1, label % 4 + 1, 9], lambda x: vec_id % 4 > 0) AS cited FROM embeddings),
-spans AS (SELECT a AS answer_id, n AS span_no, e.embedding FROM (SELECT DISTINCT answer_id AS a FROM claims) t, range(1, 5) s(n), embeddings e WHERE e.vec_id = (a * 11 + n * 3) % (SELECT count(*) FROM embeddings)),
+claims AS (SELECT vec_id, vec_id // 5 AS answer_id, (vec_id % 5)::INT AS ordinal, embedding, label, vec_id % 7 = 0 AS about_context, list_filter([vec_id % 3 + 1, label % 4 + 1, 9], lambda x: vec_id % 4 > 0) AS cited FROM embeddings),
+spans AS (SELECT a AS answer_id, n AS span_no, e.vec_id AS chunk_id, e.embedding FROM (SELECT DISTINCT answer_id AS a FROM claims) t, range(1, 5) s(n), embeddings e WHERE e.vec_id = (a * 11 + n * 3) % (SELECT count(*) FROM embeddings)),
 x AS (SELECT c.answer_id, c.ordinal, s.span_no, round(list_cosine_similarity(c.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) AS score FROM (SELECT DISTINCT answer_id, ordinal, embedding, unnest(cited) AS span_no FROM claims) c JOIN spans s USING (answer_id, span_no)),
 best AS (SELECT answer_id, ordinal, span_no, score FROM x QUALIFY row_number() OVER (PARTITION BY answer_id, ordinal ORDER BY score DESC, span_no) = 1),
 att AS (SELECT c.answer_id, c.ordinal, b.span_no::INT AS best_span, coalesce(b.score, 0) AS score, len(c.cited) > 0 AS cited, b.span_no IS NOT NULL AND b.score >= 0.1 AS supported, c.about_context FROM claims c LEFT JOIN best b USING (answer_id, ordinal)),
@@ -496,13 +498,19 @@ sa AS (SELECT answer_id, avg(CASE WHEN NOT about_context THEN supported::INT::DO
 """
 
 
-def _attributions(spark, sf_dir) -> DataFrame:
+def _claims_and_spans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Claims, five for each answer, and four numbered spans for each; every embedding is a claim."""
     e = read(spark, sf_dir, "embeddings")
     cited = F.when(F.col("vec_id") % 4 > 0, F.array((F.col("vec_id") % 3 + 1).cast("int"), (F.col("label") % 4 + 1).cast("int"), F.lit(9))).otherwise(F.array().cast("array<int>"))
-    claims = e.select(F.floor(F.col("vec_id") / 5).alias("answer_id"), (F.col("vec_id") % 5).cast("int").alias("ordinal"), F.array_sort(F.array_distinct(cited)).alias("cited_spans"), (F.col("vec_id") % 7 == 0).alias("about_context"), F.col("embedding").alias("vector"))
+    claims = e.select(F.floor(F.col("vec_id") / 5).alias("answer_id"), (F.col("vec_id") % 5).cast("int").alias("ordinal"), F.concat(F.lit("claim "), "vec_id").alias("text"), F.array_sort(F.array_distinct(cited)).alias("cited_spans"), (F.col("vec_id") % 7 == 0).alias("about_context"), F.col("embedding").alias("vector"))
     slots = claims.select("answer_id").distinct().select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("span_no")).withColumn("vec_id", (F.col("answer_id") * 11 + F.col("span_no") * 3) % e.count())
-    spans = slots.join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("answer_id", "span_no", "vector")
-    return grounding.attribute(claims, spans, 0.1, 6)
+    spans = slots.join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("answer_id", "span_no", F.col("vec_id").alias("chunk_id"), F.concat(F.lit("span "), "vec_id").alias("text"), "vector")
+    return claims, spans
+
+
+def _attributions(spark, sf_dir) -> DataFrame:
+    claims, spans = _claims_and_spans(spark, sf_dir)
+    return grounding.attribute(claims.drop("text"), spans.select("answer_id", "span_no", "vector"), 0.1, 6)
 
 
 def _scored(spark, sf_dir) -> DataFrame:
@@ -548,28 +556,148 @@ def judge_agreement(spark, sf_dir):
     return grounding.agreement(a, a.select("answer_id", "ordinal", F.expr(JUDGED).alias("verdict")).where("verdict IS NOT NULL"))
 
 
+VERDICT_SQL = f"CASE WHEN answer_id % 6 = 0 THEN 'contradicted' WHEN NOT cited THEN 'unverifiable' WHEN supported THEN 'supported' ELSE 'unsupported' END"
+
+
+def _ground_run(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Run 1 of two, scored again; every answer has an old claim."""
+    claims, spans = _claims_and_spans(spark, sf_dir)
+    answers = claims.select("answer_id").distinct().select("answer_id", (F.col("answer_id") % 2).alias("run_id"), F.concat(F.lit("answer "), "answer_id").alias("answer_text"))
+    old = answers.select("answer_id", F.lit(0).alias("ordinal"), F.lit("old").alias("claim_text"), F.lit(None).cast("long").alias("supporting_chunk_id"), F.lit(0.0).alias("support_score"), F.lit("unverifiable").alias("verdict"))
+    bad = answers.where("answer_id % 6 = 0").select("answer_id")
+    return answering.ground_run(answers, claims, spans, 1, old, 0.1, 0.5, bad, 6)
+
+
+@query(f"""WITH {ATTRIBUTION} SELECT answer_id, ordinal, 'claim ' || (answer_id * 5 + ordinal) AS claim_text, s.chunk_id AS supporting_chunk_id, score AS support_score, {VERDICT_SQL} AS verdict FROM att LEFT JOIN spans s USING (answer_id) WHERE answer_id % 2 = 1 AND (s.span_no = best_span OR best_span IS NULL AND s.span_no IS NULL)
+UNION ALL SELECT answer_id, ordinal, 'claim ' || (answer_id * 5 + ordinal), NULL, score, {VERDICT_SQL} FROM att WHERE answer_id % 2 = 1 AND best_span IS NULL
+UNION ALL SELECT DISTINCT answer_id, 0, 'old', NULL::BIGINT, 0.0::DOUBLE, 'unverifiable' FROM claims WHERE answer_id % 2 = 0""")
+def ground_run_claims(spark, sf_dir):
+    return _ground_run(spark, sf_dir)[0]
+
+
+@query(f"""WITH {ATTRIBUTION}, r AS (SELECT answer_id, round(fraction, 6) AS fraction, CASE WHEN contradicted THEN 'contradicted by the symbol table' WHEN fraction IS NULL THEN 'no claim could be judged' WHEN fraction < 0.5 THEN 'support below threshold' END AS reason FROM sa WHERE answer_id % 2 = 1)
+SELECT answer_id, fraction, reason, reason IS NOT NULL AS abstained, CASE WHEN reason IS NULL THEN 'answer ' || answer_id ELSE '{grounding.ABSTAIN_TEXT}' END AS delivered FROM r""")
+def ground_run_answers(spark, sf_dir):
+    return _ground_run(spark, sf_dir)[1].select("answer_id", F.round("fraction", 6).alias("fraction"), "reason", "abstained", "delivered")
+
+
+@query(f"""WITH {ATTRIBUTION}, l AS (SELECT c.answer_id, c.ordinal, c.vec_id, n, '  Cited span [' || n || ']: ' || coalesce('span ' || s.chunk_id, '{answering.NOT_SUPPLIED}') AS line FROM (SELECT DISTINCT answer_id, ordinal, vec_id, unnest(cited) AS n FROM claims) c LEFT JOIN spans s ON s.answer_id = c.answer_id AND s.span_no = c.n),
+b AS (SELECT c.answer_id, c.ordinal, 'Claim ' || c.ordinal || ': claim ' || c.vec_id || chr(10) || coalesce((SELECT string_agg(line, chr(10) ORDER BY n) FROM l WHERE l.answer_id = c.answer_id AND l.ordinal = c.ordinal), '{answering.NOT_CITED}') || chr(10) AS block FROM claims c)
+SELECT answer_id, string_agg(block, chr(10) ORDER BY ordinal) AS prompt FROM b GROUP BY answer_id""")
+def judge_prompt(spark, sf_dir):
+    return answering.judge_prompts(*_claims_and_spans(spark, sf_dir))
+
+
+@query(f"""WITH {ATTRIBUTION} SELECT answer_id, 'Question: why ' || answer_id || '?' || chr(10) || chr(10) || 'Answer: so' || chr(10) || chr(10) || 'Context spans:' || chr(10) || string_agg('[' || span_no || '] span ' || chunk_id, chr(10) ORDER BY span_no) AS prompt FROM spans GROUP BY answer_id""")
+def triad_prompt(spark, sf_dir):
+    _, spans = _claims_and_spans(spark, sf_dir)
+    answers = spans.select("answer_id").distinct().select("answer_id", F.concat(F.lit("why "), "answer_id", F.lit("?")).alias("question"), F.lit("so").alias("answer_text"))
+    return answering.triad_prompts(answers, spans)
+
+
+@query("""SELECT doc_id AS answer_id, 0 AS ordinal, CASE WHEN quality = 1 THEN 'supported' ELSE 'sure' END AS verdict, CASE WHEN quality = 1 THEN NULL ELSE 'unknown verdict' END AS problem FROM labels WHERE toxic = 0
+UNION ALL SELECT doc_id, NULL, NULL, 'not readable' FROM labels WHERE toxic = 1""")
+def judge_contract(spark, sf_dir):
+    word = F.when(F.col("quality") == 1, "supported").otherwise("sure")
+    value = F.when(F.col("toxic") == 1, "no JSON").otherwise(F.concat(F.lit('{"judgements": [{"ordinal": 0, "verdict": "'), word, F.lit('", "reason": "r"}]}')))
+    return answering.parse_judgements(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("answer_id"), value.alias("value"))).select("answer_id", "ordinal", "verdict", "problem")
+
+
+@query("""SELECT doc_id AS answer_id, CASE WHEN quality = 1 THEN 0.5::DOUBLE END AS answer_relevance, (1 + toxic)::INT AS relevant_spans, 3 AS total_spans, CASE WHEN quality = 1 THEN NULL ELSE 'unknown relevance' END AS problem FROM labels""")
+def triad_contract(spark, sf_dir):
+    d = read(spark, sf_dir, "labels")
+    value = F.concat(F.lit('{"answer_relevance": "'), F.when(F.col("quality") == 1, "0.5").otherwise("0.7"), F.lit('", "spans": [{"span": 1, "relevant": true}, {"span": 1, "relevant": true}, {"span": 9, "relevant": true}, {"span": 2, "relevant": '), (F.col("toxic") == 1).cast("string"), F.lit('}], "reason": "r"}'))
+    return answering.parse_triad(d.select(F.col("doc_id").alias("answer_id"), F.lit(3).alias("total_spans"), value.alias("value")))
+
+
+@query("""WITH a AS (SELECT doc_id AS query_id, quality = 1 AS has, toxic = 1 AS refused, doc_id % 100 AS i, doc_id % 7 AS o, CASE doc_id % 4 WHEN 0 THEN 'large' WHEN 1 THEN 'medium' WHEN 2 THEN 'small' ELSE 'local' END AS model FROM labels),
+p(model, ip, op) AS (VALUES ('large', 5.0, 25.0), ('medium', 2.0, 10.0), ('small', 1.0, 5.0))
+SELECT 7::BIGINT AS run_id, query_id, CASE WHEN has AND NOT refused THEN 'answer ' || query_id ELSE '{abstain}' END AS answer_text, CASE WHEN has THEN query_id || ',' || (query_id + 1) ELSE '' END AS ids, CASE WHEN has THEN (query_id % 97 * 250)::INT END AS latency_ms, CASE WHEN has THEN i END AS input_tokens, CASE WHEN has THEN o END AS output_tokens,
+  CASE WHEN has THEN ((i * ip + o * op) / 1e6)::DOUBLE END AS cost, NOT has OR refused AS abstained, CASE WHEN NOT has THEN 'retrieval returned no spans' WHEN refused THEN 'the model declined the request' END AS abstain_reason FROM a LEFT JOIN p USING (model)""".replace("{abstain}", grounding.ABSTAIN_TEXT))
+def answer_run(spark, sf_dir):
+    d = read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "query_id")
+    spans = d.where("quality = 1").select("query_id", F.explode(F.array(F.lit(2), F.lit(1))).alias("span_no")).withColumn("chunk_id", F.col("query_id") + F.col("span_no") - 1)
+    model = F.when(F.col("query_id") % 4 == 0, "large").when(F.col("query_id") % 4 == 1, "medium").when(F.col("query_id") % 4 == 2, "small").otherwise("local")
+    done = d.select("query_id", model.alias("model"), F.concat(F.lit("answer "), "query_id").alias("text"), F.when(F.col("toxic") == 1, "refusal").otherwise("end").alias("stop_reason"), (F.col("query_id") % 97 / 4).alias("seconds"), (F.col("query_id") % 100).alias("input_tokens"), (F.col("query_id") % 7).alias("output_tokens"))
+    out = answering.answers_of(d, spans, done, 7)
+    return out.select("run_id", "query_id", "answer_text", F.array_join("retrieved_chunk_ids", ",").alias("ids"), "latency_ms", "input_tokens", "output_tokens", F.col("cost_usd").cast("double").alias("cost"), "abstained", "abstain_reason")
+
+
+@query(f"""WITH {ATTRIBUTION} SELECT answer_id, span_no::INT AS span_no, 'span ' || chunk_id AS snippet, answer_id % 3 > 0 AND span_no IN (1, 3) AS cited FROM spans""")
+def response_spans(spark, sf_dir):
+    _, spans = _claims_and_spans(spark, sf_dir)
+    answers = spans.select("answer_id").distinct().select("answer_id", F.lit("So it is [1, 3]. Not `[2]`.").alias("answer_text"), (F.col("answer_id") % 3 == 0).alias("abstained"))
+    return answering.response(answers, spans)
+
+
+@query(f"WITH {CORPUS_CTE}, f AS (SELECT strategy, query_id, source AS source_path, min(rank) AS r FROM dense JOIN corpus USING (strategy, chunk_id) GROUP BY ALL) SELECT strategy, query_id, row_number() OVER (PARTITION BY strategy, query_id ORDER BY r, source_path)::INT AS rank, source_path FROM f")
+def source_paths_best_first(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    q = _asked(corpus)
+    hits = retrieval.search(_dense(q, corpus), None, corpus.select("chunk_id", "text", "source_path"), _asked_by_strategy(q), "dense", False)
+    return _apart(answering.source_paths(hits))
+
+
+@query(f"""WITH {CORPUS_CTE}, l AS (SELECT query_id, rank, score, '  [' || rank || '] ' || printf('%.4f', score) || '  ' || source || chr(10) || '      -' || chr(10) || '      ' || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 240) AS line FROM dense JOIN corpus USING (strategy, chunk_id) WHERE strategy = 'fixed' AND rank <= 3)
+SELECT query_id AS number, any_value(score) FILTER (rank = 1) AS best_score, '#' || query_id || '  ask ' || query_id || chr(10) || '  u' || query_id || chr(10) || '  best_score=' || printf('%.4f', any_value(score) FILTER (rank = 1)) || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS report FROM l GROUP BY query_id""")
+def evidence_report(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir).where("strategy = 'fixed'")
+    q = _asked(_corpus(spark, sf_dir))
+    chunks = corpus.select("chunk_id", "text", "source_path", F.lit(None).cast("string").alias("heading_path"))
+    hits = retrieval.search(retrieval.dense_topk(q, corpus, 50, 6), None, chunks, q, "dense", False, 3).withColumnRenamed("query_id", "number")
+    asked = q.select(F.col("query_id").alias("number"), F.concat(F.lit("u"), "query_id").alias("url"), F.lit("  ").alias("title"), F.concat(F.lit("ask "), "query_id").alias("question"))
+    return answering.evidence_lines(asked, hits)
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents), b AS (SELECT doc_id, list_sum(list_transform(range(1, length(t) + 1), lambda i: ascii(substr(t, i::INT, 1)) * i))::BIGINT % 64 AS bucket FROM w),
+c AS (SELECT doc_id, bucket::INT AS bucket, count(*) AS n FROM b GROUP BY ALL) SELECT doc_id, bucket, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, bucket)::INT AS rank FROM c""")
+def embed_documents(spark, sf_dir):
+    found = embedding.embed(read(spark, sf_dir, "documents").select("doc_id", "text"), embedding.WordBuckets(64))
+    each = found.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight > 0")
+    return fusion.ranked(each, ["doc_id"], F.desc("weight"), F.asc("bucket")).select("doc_id", "bucket", "rank")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def embed_pending(spark, sf_dir):
+    d, e = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
+    chunks = d.join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").select(F.col("doc_id").alias("id"), F.lit("fixed").alias("strategy"), "text", "embedding")
+    return embedding.embed_pending(chunks, embedding.WordBuckets(16), "fixed").where(F.size("embedding") == 16).select("id")
+
+
+@query("WITH" + WINDOWS.format(table="documents", target=128, stride=112) + "SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY ordinal)) AS h FROM chunks GROUP BY doc_id")
+def chunk_texts(spark, sf_dir):
+    made = chunking.fixed_chunks(read(spark, sf_dir, "documents"), 128, 16)
+    return store.ordered_texts(made, "fixed").select("doc_id", F.md5(F.array_join("texts", "\n")).alias("h"))
+
+
+@query("SELECT * FROM (VALUES (1, 'done', true), (2, NULL, false)) v(id, notes, finished)")
+def run_lifecycle(spark, sf_dir):
+    runs = answering.open_run(spark, 1, "{}").unionByName(answering.open_run(spark, 2, "{}"))
+    return answering.close_run(runs, 1, "done").select(F.col("id").cast("int").alias("id"), "notes", F.col("finished_at").isNotNull().alias("finished"))
+
+
 @query("SELECT CASE WHEN toxic = 1 THEN 'unsupported' WHEN quality = 1 THEN 'supported' ELSE 'unverifiable' END AS verdict, count(*) AS n FROM labels GROUP BY 1")
 def verdict_hist(spark, sf_dir):
     v = F.when(F.col("toxic") == 1, "unsupported").when(F.col("quality") == 1, "supported").otherwise("unverifiable")
-    return read(spark, sf_dir, "labels").groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
+    return answering.histogram(read(spark, sf_dir, "labels").select(v.alias("verdict")), "verdict")
 
 
-@query("""WITH RECURSIVE s AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, len(regexp_extract_all(text, '\\S+')) AS cost FROM documents QUALIFY rank <= 40),
+@query("""WITH RECURSIVE s AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, len(regexp_extract_all(text, '\\S+')) AS cost FROM documents ),
 f AS (SELECT query_id, 0::BIGINT AS rank, 0::BIGINT AS used, false AS keep FROM (SELECT DISTINCT query_id FROM s) UNION ALL SELECT s.query_id, s.rank, CASE WHEN used + cost <= 2000 THEN used + cost ELSE used END, used + cost <= 2000 FROM f JOIN s ON s.query_id = f.query_id AND s.rank = f.rank + 1)
 SELECT query_id, rank::INT AS rank FROM f WHERE keep""")
 def fit_spans_budget(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    first = fusion.top_k(d.select(F.col("source").alias("query_id"), "doc_id", text.n_tokens(F.col("text")).alias("cost")), ["query_id"], 40, F.col("doc_id"))
+    first = fusion.ranked(d.select(F.col("source").alias("query_id"), "doc_id", text.n_tokens(F.col("text")).alias("cost")), ["query_id"], F.col("doc_id"))
     return fusion.fit_budget(first, 2000).select("query_id", "rank")
 
 
-@query("""WITH s AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, CASE WHEN doc_id % 2 = 0 THEN lang END AS h, text FROM documents QUALIFY n <= 3)
-SELECT query_id, string_agg('[' || n || '] ' || coalesce(h, query_id || '.md') || ' (v1)' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS context FROM s GROUP BY query_id""")
+@query("""WITH s AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, CASE WHEN doc_id % 2 = 0 THEN lang END AS h, text FROM documents)
+SELECT query_id, md5(string_agg('[' || n || '] ' || coalesce(h, query_id || '.md') || ' (v1)' || chr(10) || text, chr(10) || chr(10) ORDER BY n)) AS context FROM s GROUP BY query_id""")
 def prompt_assembly(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    first = fusion.top_k(d.select(F.col("source").alias("query_id"), "doc_id", "lang", "text"), ["query_id"], 3, F.col("doc_id"))
+    first = fusion.ranked(d.select(F.col("source").alias("query_id"), "doc_id", "lang", "text"), ["query_id"], F.col("doc_id"))
     spans = first.select("query_id", F.col("rank").alias("span_no"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("heading_path"), F.concat("query_id", F.lit(".md")).alias("source_path"), F.lit("v1").alias("version"), "text")
-    return grounding.build_prompts(spans)
+    return grounding.build_prompts(spans).withColumn("context", F.md5("context"))
 
 
 @query("""WITH a AS (SELECT label AS answer_id, list(CASE WHEN vec_id % 5 = 0 THEN -vec_id ELSE vec_id END ORDER BY vec_id DESC) AS ids FROM embeddings GROUP BY label), p AS (SELECT answer_id, unnest(ids) AS chunk_id, generate_subscripts(ids, 1) AS pos FROM a)
@@ -655,15 +783,15 @@ def docstring_docs(spark, sf_dir):
 # ---------------------------------------------------------------- golden questions, costs, issues
 
 
-@query("""WITH g AS (SELECT DISTINCT source AS id, lang AS source_path FROM documents WHERE doc_id % 10 = 0), d AS (SELECT doc_id AS id, lang AS source_path FROM documents WHERE doc_id % 50 = 0)
-SELECT g.id, count(DISTINCT d.id) AS n, min(d.id) AS least FROM g JOIN d USING (source_path) GROUP BY g.id""")
+@query("""WITH g AS (SELECT DISTINCT source AS id, lang AS source_path FROM documents)
+SELECT g.id, md5(string_agg(d.doc_id::VARCHAR, ',' ORDER BY d.doc_id)) AS chunk_ids FROM (SELECT id, source_path FROM g) g JOIN documents d ON d.lang = g.source_path GROUP BY g.id""")
 def golden_link(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    golden = d.where("doc_id % 10 = 0").groupBy(F.col("source").alias("id")).agg(F.collect_set("lang").alias("expected_source_paths"))
-    docs = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("source_path"))
+    golden = d.groupBy(F.col("source").alias("id")).agg(F.collect_set("lang").alias("expected_source_paths"))
+    docs = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("source_path"))
     chunks = docs.select(F.col("id"), F.col("id").alias("document_id"), F.lit("fixed").alias("strategy"))
     out = files.link_golden(golden, docs, chunks, "fixed").where("expected_chunk_ids IS NOT NULL")
-    return out.select("id", F.size("expected_chunk_ids").cast("long").alias("n"), F.get("expected_chunk_ids", 0).alias("least"))
+    return out.select("id", F.md5(F.array_join("expected_chunk_ids", ",")).alias("chunk_ids"))
 
 
 @query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
