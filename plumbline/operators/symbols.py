@@ -99,23 +99,20 @@ def symbols_by_kind(symbols: DataFrame) -> DataFrame:
     return counted.unionByName(counted.agg(F.lit("total").alias("kind"), F.sum("n").alias("n")))
 
 
-def derive_flags(spark: SparkSession, annotations: DataFrame, depth: int = 200) -> DataFrame:
-    """Rows (flag): the fields of flag-making classes and of all their bases, by a recursive query that carries the classes it has seen.
+def derive_flags(spark: SparkSession, annotations: DataFrame) -> DataFrame:
+    """Rows (flag): the fields of flag-making classes and of all their bases, a round of joins for each step up the bases.
 
-    Of several classes of one name the one in the last file counts. A cycle of bases ends.
+    Of several classes of one name the one in the last file counts. A cycle of bases ends, as a class is taken up once.
     """
     merged = annotations.groupBy("class").agg(F.max_by(F.struct("fields", "bases"), F.struct("source_file", "seq")).alias("x")).select("class", "x.fields", "x.bases")
-    merged.createOrReplaceTempView("plumbline_annotations")
-    annotations.select(F.explode("makes_flags").alias("class")).distinct().createOrReplaceTempView("plumbline_flag_classes")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(depth))
-    closed = spark.sql("""
-        WITH RECURSIVE reach(class, seen) AS (
-          SELECT class, array(class) FROM plumbline_flag_classes
-          UNION ALL
-          SELECT base, array_append(seen, base)
-          FROM (SELECT r.seen, explode(a.bases) AS base FROM reach r JOIN plumbline_annotations a ON a.class = r.class)
-          WHERE NOT array_contains(seen, base))
-        SELECT DISTINCT a.fields FROM reach r JOIN plumbline_annotations a ON a.class = r.class""")
+    bases = merged.select("class", F.explode("bases").alias("base"))
+    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)
+    new = cut(annotations.select(F.explode("makes_flags").alias("class")).distinct())
+    reached = new
+    while not new.isEmpty():
+        new = cut(new.join(bases, "class").select(F.col("base").alias("class")).distinct().join(reached, "class", "left_anti"))
+        reached = reached.unionByName(new)
+    closed = merged.join(reached, "class", "left_semi")
     return closed.select(F.explode("fields").alias("field")).select(flag_name(F.col("field")).alias("flag")).distinct()
 
 
@@ -128,6 +125,7 @@ def build_symbols(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 def command_lines(texts: DataFrame, command: str = "vllm") -> DataFrame:
     """Rows (id, line, text): lines of texts(id, text) that start a command, or continue one over trailing backslashes."""
+    # Fixed value: how a command line begins.
     starts = rf"^\s*(?:\$\s*)?(?:[A-Za-z0-9_]+=\S+\s+)*(?:{command}\b|python\s+-m\s+{command}\b)"
     lines = texts.select("id", F.posexplode(F.split("text", r"\r?\n")).alias("line", "text"))
     order = Window.partitionBy("id").orderBy("line")
