@@ -21,10 +21,10 @@ from plumbline.llm.shared import materialize, table
 
 #: Slots of a pattern that repeats; a source gets at least one of them. mix() has no period.
 PERIOD = 1024
-#: Characters of a block.
-BLOCK = 1 << 18
+#: Characters of a block, and the number of blocks that the driver schedules at most: blocks of a corpus of over 50 GB are larger.
+BLOCK, SCHEDULED = 1 << 18, 200_000
 #: Documents of a source that one task puts into blocks.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 4000
 
 
 def quantised(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -75,10 +75,19 @@ def pattern(slots: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
     return schedule(slots, slots)
 
 
-def supply_weights(docs: DataFrame, flatten: float = 0.7) -> dict[str, float]:
-    """Target weights from each source's characters to the power flatten: one row per source reaches the driver. A null source is the empty one."""
-    sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).alias("n")).collect()
-    return {r["s"]: float(r["n"]) ** flatten for r in sizes}
+def source_sizes(docs: DataFrame) -> dict[str, int]:
+    """Each source's characters, plus one for each row: one row per source reaches the driver. A null source is the empty one."""
+    sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1).alias("n")).collect()
+    return {r["s"]: r["n"] for r in sizes}
+
+
+def supply_weights(sizes: Mapping[str, int], flatten: float = 0.7) -> dict[str, float]:
+    """Target weights from each source's characters to the power flatten."""
+    return {s: float(n) ** flatten for s, n in sizes.items()}
+
+
+def block_size(sizes: Mapping[str, int]) -> int:
+    return max(BLOCK, -(-sum(sizes.values()) // SCHEDULED))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float], block: int = BLOCK) -> DataFrame:
@@ -91,37 +100,40 @@ def mix(docs: DataFrame, weights: Mapping[str, float], block: int = BLOCK) -> Da
     character. Repeated rows are placed one by one; an empty table gives none. Other columns stay, save the four names.
     """
     spark, names = docs.sparkSession, [c for c in docs.columns if c not in ("block", "release", "deadline", "slot")]
-    rows = docs.select(*names).withColumn("_source", F.coalesce("source", F.lit("")))
-    sizes = rows.groupBy("_source").agg(F.count("*").alias("_n"))
-    unknown = [r[0] for r in sizes.select("_source").collect() if r[0] not in weights][:5]
+    key = {"source": F.coalesce(F.col("source"), F.lit("")), "doc": F.col("doc_id"), "hash": F.xxhash64("text")}
+    size = F.coalesce(F.length("text"), F.lit(0)) + 1
+    light = docs.select(*(c.alias(n) for n, c in key.items()), size.alias("size"))
+    counts = light.groupBy("source").agg(F.count("*").alias("n"))
+    unknown = [r[0] for r in counts.select("source").collect() if r[0] not in weights][:5]
     if unknown:
         raise ValueError(f"sources without a weight: {unknown}")
-    shards = sizes.select("_source", F.ceil(F.col("_n") / SHARD_ROWS).alias("_shards"))
-    light = rows.select("_source", "doc_id", (F.coalesce(F.length("text"), F.lit(0)) + 1).alias("_size"), F.xxhash64("text").alias("_text"))
-    sharded = light.join(F.broadcast(shards), "_source").withColumn("_shard", F.pmod(F.xxhash64("doc_id"), "_shards"))  # one row per source
-    upto = F.expr("sum(_size) OVER (PARTITION BY _source, _shard ORDER BY doc_id, _text, _size ROWS UNBOUNDED PRECEDING)")
-    local = materialize(sharded.withColumn("_local", F.floor((upto - F.col("_size")) / block)).groupBy("_source", "_shard", "doc_id", "_text").agg(F.min("_local").alias("_local")), "mix-blocks")
-    counts = local.groupBy("_source", "_shard").agg((F.max("_local") + 1).alias("_blocks"))
-    bases = counts.selectExpr("_source", "_shard", "sum(_blocks) OVER (PARTITION BY _source ORDER BY _shard) - _blocks AS _base")  # one row per shard
-    placed = local.join(bases, ["_source", "_shard"]).withColumn("block", F.col("_base") + F.col("_local")).select("_source", "doc_id", "_text", "block")
-    blocks = {r[0]: r[1] for r in counts.groupBy("_source").agg(F.sum("_blocks")).collect()}
-    slots = pd.DataFrame(schedule(weights, blocks), columns=["_of", "_number", "release", "deadline", "slot"])
-    slots = spark.createDataFrame(slots, "_of string, _number long, release long, deadline long, slot long")
-    at = placed.join(slots, (F.col("_source") == F.col("_of")) & (F.col("block") == F.col("_number")))
-    at = at.select(F.col("_source").alias("_s"), F.col("doc_id").alias("_d"), F.col("_text").alias("_t"), "block", "release", "deadline", "slot")
-    keyed = rows.withColumn("_text", F.xxhash64("text"))
-    joined = keyed.join(at, (F.col("_source") == F.col("_s")) & F.equal_null(F.col("doc_id"), F.col("_d")) & (F.col("_text") == F.col("_t")))
-    return joined.select(*names, "block", "release", "deadline", "slot")
+    shards = counts.select("source", F.ceil(F.col("n") / SHARD_ROWS).alias("shards"))
+    sharded = light.join(F.broadcast(shards), "source").withColumn("shard", F.pmod(F.xxhash64("doc"), "shards"))  # one row per source
+    upto = F.expr("sum(size) OVER (PARTITION BY source, shard ORDER BY doc, hash, size ROWS UNBOUNDED PRECEDING)")
+    local = sharded.withColumn("local", F.floor((upto - F.col("size")) / block)).groupBy("source", "shard", "doc", "hash").agg(F.min("local").alias("local"))
+    local = materialize(local, "mix-blocks")
+    held = local.groupBy("source", "shard").agg((F.max("local") + 1).alias("blocks"))
+    bases = held.selectExpr("source", "shard", "sum(blocks) OVER (PARTITION BY source ORDER BY shard) - blocks AS base")  # one row per shard
+    placed = local.join(bases, ["source", "shard"]).withColumn("block", F.col("base") + F.col("local")).select("source", "doc", "hash", "block")
+    blocks = {r[0]: r[1] for r in held.groupBy("source").agg(F.sum("blocks")).collect()}
+    slots = pd.DataFrame(schedule(weights, blocks), columns=["source", "block", "release", "deadline", "slot"])
+    slots = spark.createDataFrame(slots, "source string, block long, release long, deadline long, slot long")
+    at = placed.join(slots, ["source", "block"])
+    keyed = docs.select(F.struct(*names).alias("row"), *(c.alias(n) for n, c in key.items()))
+    same = (keyed["source"] == at["source"]) & keyed["doc"].eqNullSafe(at["doc"]) & keyed["hash"].eqNullSafe(at["hash"])
+    return keyed.join(at, same).select("row.*", "block", "release", "deadline", "slot")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs in mixed order: partitions are ranges of slots, sorted, so that files and the packing of each file hold the mixture."""
     columns = docs.columns
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = mix(docs, supply_weights(docs))
+    sizes = source_sizes(docs)
+    out = mix(docs, supply_weights(sizes), block_size(sizes))
     return out.repartitionByRange(shards, "slot", "doc_id").sortWithinPartitions("slot", "doc_id").select(*columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs, supply_weights(docs)).select("doc_id", "source", "block", "release", "deadline", "slot")
+    sizes = source_sizes(docs)
+    return mix(docs, supply_weights(sizes), block_size(sizes)).select("doc_id", "source", "block", "release", "deadline", "slot")

@@ -407,9 +407,10 @@ def test_mixing_follows_weights_of_many_sources(spark):
 
 
 def test_mixing(spark, docs, none):
-    out = mixing.mix(docs, mixing.supply_weights(docs), block=500)
+    out = mixing.mix(docs.withColumns({c: F.lit("x") for c in ("shard", "local", "row", "hash", "_s", "slot")}), mixing.supply_weights(mixing.source_sizes(docs)), block=500)
     assert rows(out, "doc_id") == rows(docs, "doc_id")
     assert set(r["source"] for r in out.select("source").collect()) == {"s0", "s1", None}
+    assert {"shard", "local", "row", "hash", "_s"} <= set(out.columns)
     blocks = out.select("source", "block", "slot").distinct().collect()
     assert len({r["slot"] for r in blocks}) == len(blocks)
     assert mixing.mix(none, {"a": 1.0}).count() == 0
@@ -418,6 +419,36 @@ def test_mixing(spark, docs, none):
         mixing.mix(docs, {"s0": 1.0})
 
 
+def test_mixing_equals_brute_force(spark):
+    """Block, release, deadline and slot of every row, against blocks cut row by row and a schedule by exact fractions, slot by slot."""
+    from fractions import Fraction
+    from math import ceil, floor
+
+    rng = random.Random(12)
+    data = [(k, "x" * rng.randint(0, 80), rng.choice(["a", "a", "a", "b", "c"])) for k in range(300)]
+    sizes = Counter()
+    for _, t, s in data:
+        sizes[s] += len(t) + 1
+    weights = mixing.supply_weights(sizes)
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    assert mixing.source_sizes(df) == dict(sizes) and mixing.block_size({"a": 10**12}) == 5_000_000
+    own, upto = {}, Counter()
+    for k, t, s in data:
+        own[k] = s, upto[s] // 150
+        upto[s] += len(t) + 1
+    share = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+    last, served, want, slot = {s: max(b for x, b in own.values() if x == s) for s in sizes}, Counter(), {}, 0
+    while any(served[s] <= last[s] for s in sizes):
+        ready = [(ceil((served[s] + 1) / share[s]), -floor(served[s] / share[s]), s) for s in sizes if served[s] <= last[s] and floor(served[s] / share[s]) <= slot]
+        if ready:
+            deadline, release, s = min(ready)
+            want[s, served[s]] = -release, deadline, slot
+            served[s] += 1
+        slot += 1
+    got = mixing.mix(df, weights, block=150).collect()
+    assert {r["doc_id"]: (r["source"], r["block"], r["release"], r["deadline"], r["slot"]) for r in got} == {k: (s, b, *want[s, b]) for k, (s, b) in own.items()}
+
+
 # ---------------------------------------------------------------- 6 neighbours
 
 
