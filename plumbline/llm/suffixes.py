@@ -38,6 +38,8 @@ HASHED = 1 << 20
 REMEMBERED = 200_000
 #: Documents whose marks tell which are hot, and the share of them that a hot mark is in; hot marks are dealt by context.
 SAMPLE, HOT = 20_000, 0.005
+#: Differing contexts of one mark that a task compares; those of a mark with more are dealt string by string.
+CONTEXTS = 10_000
 ALL = np.uint64((1 << 64) - 1)
 
 
@@ -308,46 +310,99 @@ def _hashed(data: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
 
 
 def apply_contexts(docs: DataFrame, found: DataFrame, least: int, key: int) -> DataFrame:
-    """Rows (doc_id, version, runs, places, strings): what the known contexts remove, and where and what (by hash) the strings are that are to be compared."""
+    """Rows (doc_id, version, runs, places, keys, texts): what the known contexts remove, and where and what the contexts are whose strings are to be compared."""
     lists = found.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == KNOWN, F.col("contexts"))).alias("known"), F.collect_list(F.when(F.col("kind") == OPEN, F.col("contexts"))).alias("open"))
     joined = docs.join(lists, "doc_id").select("doc_id", "version", "text", "known", "open")
-    schema = "doc_id long, version long, runs binary, places array<long>, strings array<long>"
+    schema = "doc_id long, version long, runs binary, places array<long>, keys array<long>, texts array<binary>"
 
     def run(batches):
         for b in batches:
             for part, data, offsets in steps(b, "text", PACK_BYTES):
                 at, row, grams, lo, hi, context = marks(data, offsets, least, key)
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                runs, left = [], []
+                raw, out = data.tobytes(), []
                 for k, (known, opened) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
                     own, base = slice(cuts[k], cuts[k + 1]), int(offsets[k])
                     gone = np.isin(context[own], np.frombuffer(b"".join(known), np.uint64))
-                    left.append(np.flatnonzero(np.isin(context[own], np.frombuffer(b"".join(opened), np.uint64)) & ~gone) + cuts[k])
-                    runs.append(_runs(lo[own][gone] - base, hi[own][gone] - base).tobytes())
-                left = np.concatenate(left)
-                n = hi[left] - lo[left] - least + 1
-                start = np.unique(np.repeat(lo[left] - np.cumsum(n) + n, n) + np.arange(n.sum()))
-                edge = np.searchsorted(start, offsets).astype(np.int32)
-                places = pa.ListArray.from_arrays(edge, start - np.repeat(offsets[:-1], np.diff(edge)))
-                strings = pa.ListArray.from_arrays(edge, _hashed(data, start, least).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(runs, pa.binary()), places, strings], names=["doc_id", "version", "runs", "places", "strings"])
+                    left = np.flatnonzero(np.isin(context[own], np.frombuffer(b"".join(opened), np.uint64)) & ~gone) + cuts[k]
+                    runs = _runs(lo[own][gone] - base, hi[own][gone] - base)
+                    out.append((runs.tobytes(), (lo[left] - base).tolist(), grams[left].view(np.int64).tolist(), [raw[x:y] for x, y in zip(lo[left].tolist(), hi[left].tolist(), strict=True)]))
+                columns, types = list(zip(*out, strict=True)), (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "version", "runs", "places", "keys", "texts"])
 
     return joined.mapInArrow(run, schema)
 
 
-def compare_strings(applied: DataFrame, least: int) -> DataFrame:
-    """Rows (doc_id, version, runs) of the strings in applied that a smaller document has too. Strings are dealt one by one, so a common one is no task's alone."""
-    each = applied.select("doc_id", "version", F.explode(F.arrays_zip("places", "strings")).alias("x"))
-    each = each.select("doc_id", "version", F.col("x.places").alias("place"), F.col("x.strings").alias("string"))
-    first = each.groupBy("string").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("string", "first")
-    gone = each.join(first, "string").where("doc_id > first").groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("place")).alias("places"))
+def _strings(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All strings of some texts: (number of the text, place in it, hash)."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
+    n = np.maximum(np.diff(offsets) - least + 1, 0)
+    row = np.repeat(np.arange(len(texts)), n)
+    shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return row, shift, _hashed(np.frombuffer(b"".join(texts), np.uint8), offsets[row] + shift, least)
+
+
+def _later_strings(ids: np.ndarray, versions: np.ndarray, places: np.ndarray, texts: list[bytes], least: int) -> list[tuple[int, int, bytes]]:
+    """Rows (doc_id, version, runs) of the strings in some documents' texts that a smaller one of them has too."""
+    row, shift, strings = _strings(texts, least)
+    order = np.lexsort((ids[row], strings))
+    row, shift, strings = row[order], shift[order], strings[order]
+    if not len(row):
+        return []
+    new = np.append(True, strings[1:] != strings[:-1])
+    gone = ids[row] > ids[row][np.flatnonzero(new)][np.cumsum(new) - 1]
+    row, at = row[gone], places[row[gone]] + shift[gone]
+    order = np.lexsort((at, versions[row], ids[row]))
+    row, at = row[order], at[order]
+    if not len(row):
+        return []
+    cuts = np.flatnonzero(np.append(True, (ids[row][1:] != ids[row][:-1]) | (versions[row][1:] != versions[row][:-1])))
+    ends = np.append(cuts, len(row))[1:]
+    return [(int(ids[row[i]]), int(versions[row[i]]), _runs(at[i:j], at[i:j] + least).tobytes()) for i, j in zip(cuts.tolist(), ends.tolist(), strict=True)]
+
+
+RUNS = "doc_id long, version long, runs binary"
+
+
+def _runs_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "version", "runs"])
+
+
+def compare_strings(applied: DataFrame, buckets: int, least: int) -> DataFrame:
+    """Rows (doc_id, version, runs) of the strings in applied's contexts that a smaller document has too. Contexts of one mark are compared
+    together; where a mark has over CONTEXTS, their strings are dealt one by one, so that no task has all of them."""
+    each = applied.select("doc_id", "version", F.explode(F.arrays_zip("places", "keys", "texts")).alias("x"))
+    opened = each.select("doc_id", "version", F.col("x.keys").alias("key"), F.col("x.places").alias("place"), F.col("x.texts").alias("text"))
+    crowded = materialize(opened.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CONTEXTS).select("key"), "crowded")
+    few = opened.join(crowded, "key", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+
+    def together(t: pa.Table) -> pa.Table:
+        t = t.sort_by("key")
+        keys = t.column("key").to_numpy()
+        ends, out, lo = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)), [], 0
+        while lo < len(keys):  # whole marks, up to twice CONTEXTS of their contexts at a time
+            hi = int(ends[min(np.searchsorted(ends, lo + CONTEXTS), len(ends) - 1)])
+            part = t.slice(lo, hi - lo)
+            out += _later_strings(*(part.column(c).to_numpy() for c in ("doc_id", "version", "place")), part.column("text").to_pylist(), least)
+            lo = hi
+        return _runs_table(out)
+
+    def one_by_one(batches):
+        for b in batches:
+            row, shift, strings = _strings(b.column(3).to_pylist(), least)
+            taken = [b.column(k).take(pa.array(row)) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(b.column(2).to_numpy()[row] + shift), pa.array(strings.view(np.int64))], names=["doc_id", "version", "place", "string"])
 
-    def run(batches):
+    def joined(batches):
         for b in batches:
             starts = [np.array(x, np.int64) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_runs(x, x + least).tobytes() for x in starts], pa.binary())], names=["doc_id", "version", "runs"])
 
-    return gone.mapInArrow(run, "doc_id long, version long, runs binary")
+    many = opened.join(crowded, "key", "left_semi").select("doc_id", "version", "place", "text").mapInArrow(one_by_one, "doc_id long, version long, place long, string long")
+    first = many.groupBy("string").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("string", "first")
+    gone = many.join(first, "string").where("doc_id > first").groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    return few.groupBy("bucket").applyInArrow(together, RUNS).unionByName(gone.mapInArrow(joined, RUNS))
 
 
 def _release(spark: SparkSession) -> None:
@@ -371,7 +426,7 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, key: int = KEY, batches:
         _release(spark)
     applied = materialize(apply_contexts(docs, found, least, key), "applied")
     _release(spark)
-    runs = compare_strings(applied, least).unionByName(applied.select("doc_id", "version", "runs"))
+    runs = compare_strings(applied, buckets, least).unionByName(applied.select("doc_id", "version", "runs"))
     runs = runs.where(F.octet_length("runs") > 0).groupBy("doc_id", "version").agg(F.collect_list("runs").alias("runs"))
     runs = materialize(runs, "runs")
     drop_tables(applied)

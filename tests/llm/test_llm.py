@@ -224,6 +224,7 @@ def test_suffixes(spark, docs, none):
 def test_suffixes_of_a_hot_passage(spark, monkeypatch, hot):
     """A passage in all texts, shorter and longer than a string; hot marks are dealt by context, with the same results."""
     if hot:
+        monkeypatch.setattr(suffixes, "CONTEXTS", 30)
         monkeypatch.setattr(suffixes, "SAMPLE", 120)
         monkeypatch.setattr(suffixes, "HOT", 0.5)
     rng = random.Random(5)
@@ -757,6 +758,53 @@ def test_quality_with_clashing_names(docs):
     assert rows(quality.keep_quality(named), "doc_id") == rows(quality.keep_quality(docs), "doc_id")
 
 
+# ---------------------------------------------------------------- registered queries on whole tables
+
+
+def documents(spark):
+    return {i: t or "" for i, t in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_suffix_query(spark):
+    got = rows(suffixes.op3_suffix_dedup(spark, DATA), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_suffixes(list(documents(spark).items()))
+
+
+def test_token_query(spark):
+    _, library_ = library("byte_bpe_50k.json")
+    want, start = [], 0
+    for i, t in sorted(documents(spark).items()):
+        ids = np.array([*library_.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_files.op4_token_files(spark, DATA).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
+
+
+def test_pii_query(spark):
+    texts = documents(spark)
+    passages = pii.sampled_passages(spark.read.parquet(f"{DATA}/documents.parquet"))
+    model, lang = pii.trained(passages), dict(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang").collect())
+    mark = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+    for r in pii.op7_pii(spark, DATA).collect():
+        base = brute_spans(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(mark(base).encode()).hexdigest()
+        assert r["spans"] == mark((s["kind"], s["start"], s["end"]) for s in pii.spans_of(texts[r["doc_id"]], *model, lang[r["doc_id"]]))
+
+
+def test_jaccard_query(spark):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.op8_jaccard(spark, DATA).collect()}
+    assert got == brute_components(list(documents(spark).items()), 4, 85)
+
+
+def test_quality_query(spark):
+    """Of the labelled documents that pass the base rules, all good ones are kept and all bad ones are not."""
+    sf = "/root/testdata/sf0.01"
+    judged = quality.op9_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed")
+    found = {(r["quality"], r["kept"]): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert set(found) == {(1, True), (0, False)} and found[1, True] > 100
+
+
 # ---------------------------------------------------------------- registration
 
 
