@@ -1,23 +1,27 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical k-means tree, walked best bin first.
 
 Vectors get one more coordinate, sqrt(M^2 - |x|^2) with M the greatest norm, so that the largest inner product is the least
-Euclidean distance. The tree is fitted on a bounded sample; every vector is put into a leaf. A query walks the tree through a priority
+Euclidean distance. The tree is fitted on a bounded sample, and leaves that get many vectors are split again, each on a sample of its
+own; every vector is put into a leaf. A query walks the tree through a priority
 queue; how many leaves all queries visit is calibrated against brute force over all vectors on a bounded set of queries.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import materialize, table
+from plumbline.llm.shared import drop_tables, materialize, table
 
 #: Bound on the rows the tree is fitted on, children of a node, sample rows of a leaf.
 SAMPLE, BRANCHES, LEAF = 20_000, 16, 40
+#: A leaf with more rows is split again by a tree on a sample of its own of that size; nodes of the whole tree, which tasks get by broadcast, at most.
+LEAF_ROWS, NODES = 2000, 200_000
 #: Bound on the calibration queries, and the share of their true neighbours that the visited leaves must hold.
 CALIBRATION, RECALL = 400, 0.93
 #: Rows of a leaf that one task compares with queries; larger leaves are split.
@@ -61,6 +65,16 @@ class Tree:
             centres = np.array([x[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(len(centres))])
         return np.unique((((centres**2).sum(axis=1)) - 2 * x @ centres.T).argmin(axis=1), return_inverse=True)[1]
 
+    def graft(self, leaf: int, below: Tree) -> None:
+        """Puts a tree in the place of a leaf; the leaf's number is not used again."""
+        node, offset = self.leaf_of.index(leaf), len(self.children)
+        self.centres = np.concatenate((self.centres, below.centres))
+        self.children += [[c + offset for c in kids] for kids in below.children]
+        self.leaf_of += [x + self.n_leaves if x >= 0 else -1 for x in below.leaf_of]
+        self.children[node], self.leaf_of[node] = self.children[offset], -1
+        self.children[offset], self.leaf_of[offset] = [], -1
+        self.n_leaves += below.n_leaves
+
     def place(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row, by the nearest child at each node."""
         out, todo = np.zeros(len(x), np.int32), [(0, np.arange(len(x)))]
@@ -166,17 +180,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
     rows, kind = rows.where(F.size("x") == dim), dict(rows.dtypes)["x"]
     sample = _first(rows, SAMPLE, 3).select("x").toArrow()
     tree = Tree(_lifted(_matrix(sample.column(0), dim), most))
-    model = spark.sparkContext.broadcast(tree)  # of the bounded sample
-
-    def place(batches):
-        for b in batches:
-            leaf = model.value.place(_lifted(_matrix(b.column(1), dim), most))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf)], names=["vec_id", "x", "leaf"])
-
-    placed = materialize(rows.mapInArrow(place, f"vec_id long, x {kind}, leaf int"), "leaves")
-    counts = np.zeros(max(1, tree.n_leaves), np.int64)
-    for r in placed.groupBy("leaf").count().collect():  # one row per leaf of the bounded tree
-        counts[r["leaf"]] = r["count"]
+    placed, counts = grown(rows, tree, dim, most)
+    model = spark.sparkContext.broadcast(tree)  # of at most NODES nodes
     queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0)
 
     asked = _first(queries, CALIBRATION, 7).select("vec_id", "x").collect()
@@ -208,6 +213,49 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = RE
     return _topped(found, k).select("query_id", "rank", "vec_id", "score")
 
 
+def _placed(rows: DataFrame, tree: Tree, dim: int, most: float) -> tuple[DataFrame, np.ndarray]:
+    """Every row with its leaf, as a stored table, and the number of rows of each leaf."""
+    spark, kind = rows.sparkSession, dict(rows.dtypes)["x"]
+    model = spark.sparkContext.broadcast(tree)  # of at most NODES nodes
+
+    def place(batches):
+        for b in batches:
+            leaf = model.value.place(_lifted(_matrix(b.column(1), dim), most))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaf)], names=["vec_id", "x", "leaf"])
+
+    placed = materialize(rows.select("vec_id", "x").mapInArrow(place, f"vec_id long, x {kind}, leaf int"), "leaves")
+    counts = np.zeros(max(1, tree.n_leaves), np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # one row per leaf
+        counts[r["leaf"]] = r["count"]
+    return placed, counts
+
+
+def grown(rows: DataFrame, tree: Tree, dim: int, most: float) -> tuple[DataFrame, np.ndarray]:
+    """Splits leaves of more than LEAF_ROWS rows again, level by level, so that the number of leaves follows the number of rows. Each is
+    fitted in a task of its own, on its rows that come first in the order of hashes. Returns what _placed gives."""
+    whole: set[int] = set()
+    while True:
+        placed, counts = _placed(rows, tree, dim, most)
+        large = [int(x) for x in np.flatnonzero(counts > LEAF_ROWS) if int(x) not in whole]
+        if not large or len(tree.children) + len(large) * 2 * LEAF_ROWS // LEAF > NODES:
+            return placed, counts
+        order = Window.partitionBy("leaf").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id")
+        sample = placed.where(F.col("leaf").isin(large)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEAF_ROWS)
+
+        def fit(t: pa.Table) -> pa.Table:
+            below = Tree(_lifted(_matrix(t.column("x"), dim), most))
+            below.rng = None
+            return pa.table([pa.array([t.column("leaf")[0].as_py()], pa.int32()), pa.array([pickle.dumps(below)], pa.binary())], names=["leaf", "tree"])
+
+        for r in sample.select("leaf", "x").groupBy("leaf").applyInArrow(fit, "leaf int, tree binary").collect():  # NODES nodes at most
+            below = pickle.loads(r["tree"])
+            if below.n_leaves > 1:
+                tree.graft(r["leaf"], below)
+            else:
+                whole.add(r["leaf"])
+        drop_tables(placed)
+
+
 def measured_recall(found: DataFrame, vectors: DataFrame, queries: int = 400, k: int = 20) -> float:
     """The share of the true k nearest, by brute force over all vectors, that found has, over at most that many of its queries."""
     rows = usable(vectors)

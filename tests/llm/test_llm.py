@@ -480,6 +480,25 @@ def test_neighbours_of_the_table(spark):
     assert neighbours.measured_recall(found, spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")) >= 0.9
 
 
+def test_neighbours_leaves_follow_the_rows(spark, monkeypatch):
+    """Leaves past the bound are split again by trees of their own; duplicates that cannot be split stay; all rows are in a leaf."""
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 100)
+    monkeypatch.setattr(neighbours, "SAMPLE", 150)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 6))
+    x[:400] = x[0]
+    df = neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    most = float((x**2).sum(axis=1).max())
+    tree = neighbours.Tree(neighbours._lifted(x[rng.choice(2000, 150, replace=False)], most))
+    before = tree.n_leaves
+    placed, counts = neighbours.grown(df, tree, 6, most)
+    assert counts.sum() == 2000 == placed.count() and tree.n_leaves > 3 * before and sorted(counts)[-2] <= 100
+    q = np.append(x[1500], 0.0)
+    assert sorted(tree.walk(q, 10**6, counts, 0)) == sorted({k for k in tree.leaf_of if k >= 0})
+    found = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert neighbours.measured_recall(found, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")) >= 0.9
+
+
 def test_neighbours_of_long_vectors_are_exact(spark):
     """Ties and near ties among vectors of length 1e8 are ordered by their exact scores."""
     rng = np.random.default_rng(1)
