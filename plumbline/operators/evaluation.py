@@ -78,6 +78,24 @@ def report_lines(grid: DataFrame, ks=RECALL_AT, cell=CELL) -> DataFrame:
     return listed.select(F.concat(F.lit("| "), F.concat_ws(" | ", *names, *figures), F.lit(" |")).alias("line"))
 
 
+def tradeoff_lines(points: DataFrame) -> DataFrame:
+    """Rows (threshold, line): the tradeoff curve as rows of a Markdown table; rates that are missing are -."""
+    cells = [two_places(F.col("threshold")), *(F.col(c).cast("string") for c in ("answered", "abstained", "delivered_claims", "unsupported", "uncited", "contradicted")), *(two_places(F.col(c)) for c in ("answer_rate", "unsupported_rate", "uncited_rate"))]
+    return points.select("threshold", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def integrity_lines(table: DataFrame) -> DataFrame:
+    """Rows (strategy, bucket, line) of chunking.integrity's table; the total's bucket is all."""
+    name = F.coalesce("bucket", F.lit("all"))
+    return table.select("strategy", name.alias("bucket"), F.concat(F.lit("| "), F.concat_ws(" | ", "strategy", name, F.col("intact").cast("string"), F.col("blocks").cast("string"), two_places(F.col("rate"))), F.lit(" |")).alias("line"))
+
+
+def metric_rows(grid: DataFrame, best=("structure_aware", "hybrid", True), cell=CELL) -> DataFrame:
+    """Rows (name, value) for a tracker of the grid's full cell: best/recall@k; figures that are missing are left out."""
+    mine = grid.where((F.col(cell[0]) == best[0]) & (F.col(cell[1]) == best[1]) & (F.col(cell[2]) == best[2]) & F.col("recall").isNotNull())
+    return mine.select(F.concat(F.lit("best/recall@"), F.col("k").cast("string")).alias("name"), F.col("recall").alias("value"))
+
+
 def run_row(spark, config: DataFrame, summary: DataFrame, run_id: int, git_sha: str = "unknown") -> DataFrame:
     """A row of the runs table: the configuration and the summary as JSON."""
     left = config.select(F.to_json(F.struct("*")).alias("config_json"))

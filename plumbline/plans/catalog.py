@@ -838,3 +838,81 @@ ISSUE_ROWS = [(1, "How to batch?", "I want batches.", "usage"), (2, "Plain", "Wh
 def issue_candidates(spark, sf_dir):
     out = files.parse_issues(values(spark, ISSUES, "value string"))
     return out.select(F.col("number").cast("int").alias("number"), "title", "question", F.array_join("labels", ",").alias("labels"))
+
+
+# ---------------------------------------------------------------- text functions, upserts and reports
+
+
+@query("SELECT doc_id, 'https://x/y/blob/abc/docs/' || source || '.md' AS url, 'pkg.' || lang || '.' || source AS module, 'multi node ' || source AS title, 'pkg/multi-node_' || source || '.md (v1)' AS label FROM documents")
+def source_names(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    path = F.concat(F.lit("pkg/multi-node_"), "source", F.lit(".md"))
+    module = text.module_name(F.concat(F.lit("pkg/"), "lang", F.lit("/"), "source", F.lit(".py")))
+    url = text.permalink(F.lit("https://x/y.git"), F.lit("abc"), F.concat(F.lit("docs/"), "source", F.lit(".md")))
+    return d.select("doc_id", url.alias("url"), module.alias("module"), text.stem_title(path).alias("title"), text.citation_label(F.lit(""), path, F.lit("v1")).alias("label"))
+
+
+@query("SELECT doc_id, CASE WHEN source < lang THEN '--' || source || ',--use-' || lang ELSE '--' || source || ',--use-' || lang END AS flags, 'max_' || lang AS keys FROM documents")
+def flags_and_keys(spark, sf_dir):
+    t = F.concat(F.lit("Set --use-"), "lang", F.lit("=3, or (--"), "source", F.lit("). Keys: `max_"), "lang", F.lit("`, `Max_X`, `plain`."))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(text.flags_in(t), ",").alias("flags"), F.array_join(text.config_keys_in(t), ",").alias("keys"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars % 5 = 0 THEN '-' ELSE printf('%.2f', n_chars / 7.0) END AS two, CASE WHEN n_chars % 5 = 0 THEN '-' ELSE printf('%.4f', n_chars / 7.0) END AS four, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 40) AS snippet FROM documents")
+def formatted_numbers(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    x = F.when(F.col("n_chars") % 5 != 0, F.col("n_chars") / 7.0)
+    return d.select("doc_id", text.two_places(x).alias("two"), text.four_places(x).alias("four"), text.snippet(F.col("text"), 40).alias("snippet"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS total FROM embeddings")
+def unit_vectors(spark, sf_dir):
+    u = read(spark, sf_dir, "embeddings").select("vec_id", scores.unit(F.col("embedding")).alias("u"))
+    return u.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda t, x: t + x), 6).alias("total"))
+
+
+@query("""WITH o AS (SELECT DISTINCT p_brand AS name, p_type AS kind, 'v1' AS version, 'old' AS signature FROM part), n AS (SELECT p_brand AS name, p_type AS kind, 'v1' AS version, 'new' AS signature FROM part GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT p_brand, 'config_key', 'v1', 'new' FROM part GROUP BY ALL)
+SELECT name, kind, version, coalesce(n.signature, o.signature) AS signature, CASE WHEN n.name IS NULL THEN 'kept' WHEN o.name IS NULL THEN 'inserted' ELSE 'updated' END AS change FROM o FULL JOIN n USING (name, kind, version)""")
+def upsert_symbols(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("kind"), F.lit("v1").alias("version"))
+    counted = p.groupBy("name", "kind", "version").count()
+    old = counted.drop("count").withColumn("signature", F.lit("old"))
+    new = counted.where("count > 1").drop("count").unionByName(p.select("name", F.lit("config_key").alias("kind"), "version").distinct()).withColumn("signature", F.lit("new"))
+    return store.upsert(old, new, ["name", "kind", "version"])
+
+
+@query("SELECT doc_id AS query_id, 1::BIGINT AS run_id, CASE WHEN quality = 1 THEN NULL ELSE toxic END AS input_tokens, CASE WHEN quality = 1 THEN 'updated' ELSE 'kept' END AS change FROM labels")
+def upsert_answers(spark, sf_dir):
+    d = read(spark, sf_dir, "labels")
+    old = d.select(F.col("doc_id").alias("query_id"), F.lit(1).cast("long").alias("run_id"), F.col("toxic").alias("input_tokens"))
+    new = d.where("quality = 1").select(F.col("doc_id").alias("query_id"), F.lit(1).cast("long").alias("run_id"), F.lit(None).cast(dict(d.dtypes)["toxic"]).alias("input_tokens"))
+    return store.upsert(old, new, ["run_id", "query_id"])
+
+
+@query("SELECT l_orderkey AS number, l_partkey AS title FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1")
+def first_label_wins(spark, sf_dir):
+    issues = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("number"), F.col("l_partkey").alias("title"), "l_linenumber")
+    return files.dedupe_candidates(issues, "l_linenumber", "title").select("number", "title")
+
+
+@query("""SELECT count(*) FILTER (n_chars >= 500 AND doc_id NOT IN (SELECT doc_id FROM labels)) AS inserted, count(*) FILTER (n_chars >= 500 AND doc_id IN (SELECT doc_id FROM labels)) AS updated, count(*) FILTER (n_chars < 500) AS skipped_short, count(*) FILTER (lang <> 'en') AS unparseable
+FROM (SELECT doc_id, lang, length(text) AS n_chars FROM documents)""")
+def ingest_counters(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_path"), F.lit("c").alias("commit_sha"), "text", (F.col("lang") == "en").alias("parsed"))
+    known = read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("source_path"), F.lit("c").alias("commit_sha"))
+    return files.ingest_counters(d, d, 500, known)
+
+
+@query(f"WITH {OUTCOMES_CTE} SELECT 'best/recall@' || k AS name, round(avg(r), 6) AS value FROM per_query WHERE strategy = 'structure_aware' AND mode = 'hybrid' AND rerank GROUP BY k")
+def metric_rows(spark, sf_dir):
+    return evaluation.metric_rows(evaluation.recall_grid(_outcomes(spark, sf_dir))).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {OUTCOMES_CTE} SELECT DISTINCT strategy || ' / ' || mode || CASE WHEN rerank THEN ' + rerank' ELSE '' END AS label FROM cells")
+def cell_labels(spark, sf_dir):
+    return _outcomes(spark, sf_dir).select(answering.cell_label(F.col("strategy"), F.col("mode"), F.col("rerank")).alias("label")).distinct()
+
+
+@query(ORACLES["tradeoff_curve"].replace("SELECT *, round(answered", "SELECT threshold, '| ' || concat_ws(' | ', printf('%.2f', threshold), answered, abstained, delivered_claims, unsupported, uncited, contradicted, printf('%.2f', round(answered").replace(", 6) AS answer_rate, round(unsupported / nullif(delivered_claims, 0), 6) AS unsupported_rate, round(uncited / nullif(delivered_claims, 0), 6) AS uncited_rate FROM p", ", 6)), coalesce(printf('%.2f', round(unsupported / nullif(delivered_claims, 0), 6)), '-'), coalesce(printf('%.2f', round(uncited / nullif(delivered_claims, 0), 6)), '-')) || ' |' AS line FROM p"))
+def tradeoff_table(spark, sf_dir):
+    return evaluation.tradeoff_lines(tradeoff_curve(spark, sf_dir))

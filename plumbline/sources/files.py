@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import content_hash, issue_question, issue_title, local_commit, markdown_title, stem_title, strip, strip_front_matter
+from plumbline.functions.text import content_hash, issue_question, issue_title, local_commit, markdown_title, module_name, permalink, stem_title, strip, strip_front_matter
 
 GOLDEN = "id string, question string, source_url string, category string, difficulty string, expected_source_paths array<string>, expected_answer string, notes string, expected_chunk_ids array<long>"
 CATEGORIES = ("api", "config", "concept", "troubleshooting", "cli_flag")
@@ -22,7 +22,8 @@ RST_RULE = r"""^([=\-`:.'"~^_*+#])\1{2,}\s*$"""
 
 def scan_files(spark: SparkSession, root: str, globs: Iterable[str]) -> DataFrame:
     """Rows (path, content) of the files under root that match a glob on the name or on the path below root, each once; bad UTF-8 is replaced."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    names = "{" + ",".join(sorted({g.rsplit("/", 1)[-1] for g in globs})) + "}"  # other files are listed, not read
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
     path = F.regexp_replace("path", rf"^(?:file:)?/*{root.strip('/')}/", "")
     wanted = reduce(lambda a, b: a | b, (path.rlike(_glob(g)) for g in globs))
     return files.where(wanted).select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")).dropDuplicates(["path"])
@@ -103,24 +104,49 @@ def attribute_docs(node: ast.ClassDef) -> list[tuple[str, str, str]]:
     return out
 
 
-def parse_docstrings(files: DataFrame) -> DataFrame:
-    """Rows (source_path, title, text, content_hash) of the modules among files(path, content) with something public and documented."""
+def read_modules(files: DataFrame) -> DataFrame:
+    """Rows (source_path, text, parsed): each module's docstring document, null without anything public and documented, and whether it parses."""
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({"source_path": f["path"], "text": [docstring_text(p, c) for p, c in zip(f["path"], f["content"], strict=True)]})
+            yield pd.DataFrame({"source_path": f["path"], "text": [docstring_text(p, c) for p, c in zip(f["path"], f["content"], strict=True)], "parsed": [parses(c) for c in f["content"]]})
+
+    return files.select("path", "content").mapInPandas(run, "source_path string, text string, parsed boolean")
+
+
+def parses(code: str | None) -> bool:
+    try:
+        ast.parse(code or "")
+    except (SyntaxError, ValueError):
+        return False
+    return True
+
+
+def parse_docstrings(files: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """Rows (source_path, title, text, content_hash) of the modules among files(path, content) with something public and documented."""
+    docs = (read_modules(files) if modules is None else modules).where("text IS NOT NULL")
+    return docs.select("source_path", module_name(F.col("source_path")).alias("title"), "text", content_hash(F.col("text")).alias("content_hash"))
+
 
-    docs = files.select("path", "content").mapInPandas(run, "source_path string, text string").where("text IS NOT NULL")
-    title = F.replace(F.regexp_replace("source_path", r"\.[^./]*$", ""), F.lit("/"), F.lit("."))
-    return docs.select("source_path", title.alias("title"), "text", content_hash(F.col("text")).alias("content_hash"))
+def ingest(spark: SparkSession, root: str, version: str, doc_globs=("docs/**/*.md", "docs/**/*.rst", "README.md"), code_globs=("**/*.py",), least: int = 200, known: DataFrame | None = None, repo: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents of a local tree, tagged with version, commit and, for a repository's address, a link; and one row of counters
+    (inserted, updated, skipped_short, unparseable) against the known(source_path, commit_sha)."""
+    modules = read_modules(scan_files(spark, root, code_globs))
+    parsed = parse_markup(scan_files(spark, root, doc_globs)).unionByName(parse_docstrings(None, modules))
+    long_enough, sha = F.length("text") >= least, local_commit(F.lit(root))
+    link = F.lit(None).cast("string") if repo is None else permalink(F.lit(repo), sha, F.col("source_path"))
+    tagged = parsed.where(long_enough).withColumns({"version": F.lit(version), "commit_sha": sha, "url": link})
+    return tagged.withColumn("id", F.xxhash64("source_path", "commit_sha")), ingest_counters(parsed.withColumn("commit_sha", sha), modules, least, known)
 
 
-def ingest(spark: SparkSession, root: str, version: str, doc_globs=("docs/**/*.md", "docs/**/*.rst", "README.md"), code_globs=("**/*.py",), least: int = 200) -> tuple[DataFrame, DataFrame]:
-    """The documents of a local tree, tagged with version and commit, and one row of counters (kept, skipped_short)."""
-    parsed = parse_markup(scan_files(spark, root, doc_globs)).unionByName(parse_docstrings(scan_files(spark, root, code_globs)))
+def ingest_counters(parsed: DataFrame, modules: DataFrame, least: int, known: DataFrame | None = None) -> DataFrame:
+    """One row (inserted, updated, skipped_short, unparseable) of parsed(source_path, commit_sha, text) and modules(parsed)."""
     long_enough = F.length("text") >= least
-    counters = parsed.agg(F.count_if(long_enough).alias("kept"), F.count_if(~long_enough).alias("skipped_short"))
-    tagged = parsed.where(long_enough).withColumns({"version": F.lit(version), "commit_sha": local_commit(F.lit(root))})
-    return tagged.withColumn("id", F.xxhash64("source_path", "commit_sha")), counters
+    if known is None:
+        met = parsed.withColumn("_known", F.lit(False))
+    else:
+        met = parsed.join(known.select("source_path", "commit_sha").distinct().withColumn("_known", F.lit(True)), ["source_path", "commit_sha"], "left").na.fill(False, ["_known"])
+    counts = met.agg(F.count_if(long_enough & ~F.col("_known")).alias("inserted"), F.count_if(long_enough & F.col("_known")).alias("updated"), F.count_if(~long_enough).alias("skipped_short"))
+    return counts.crossJoin(modules.agg(F.count_if(~F.col("parsed")).alias("unparseable")))  # one row each
 
 
 def read_version(files: DataFrame, paths: tuple[str, ...]) -> DataFrame:
@@ -160,17 +186,32 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def load_golden(spark: SparkSession, path: str) -> DataFrame:
     """The golden questions of a YAML file in the driver; a missing or empty one has none."""
+    import json
+
     entries = []
     if os.path.exists(path):
-        import yaml  # optional, for this source alone
-
         with open(path, encoding="utf-8") as f:
-            entries = yaml.safe_load(f) or []
+            text = f.read()
+        try:  # the lines that dump_golden writes
+            entries = [json.loads(line[2:]) for line in text.splitlines() if line.strip()]
+        except ValueError:
+            import yaml  # optional, for other files
+
+            entries = yaml.safe_load(text) or []
         entries = entries.get("queries", []) if isinstance(entries, dict) else entries
     names = [c.split()[0] for c in GOLDEN.split(", ")]
     return spark.createDataFrame([tuple(e.get(n) for n in names) for e in entries], GOLDEN)
 
 
+def dump_golden(golden: DataFrame, path: str) -> None:
+    """Writes golden questions, a curated set of bounded size, as YAML in the driver: one flow mapping a line, keys in the table's order, characters as they are."""
+    import json
+
+    rows = golden.select(*(c.split()[0] for c in GOLDEN.split(", "))).orderBy("id").collect()
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines("- " + json.dumps({k: v for k, v in r.asDict().items() if v is not None}, ensure_ascii=False) + "\n" for r in rows)
+
+
 def golden_violations(golden: DataFrame, url_prefix: str = "https://github.com/") -> DataFrame:
     """Rows (id, problem): missing fields, unknown categories or difficulties, foreign URLs, repeated ids."""
     def missing(c: str) -> Column:

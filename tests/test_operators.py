@@ -159,7 +159,7 @@ def test_sources(spark, tmp_path):
     docs, counters = files.ingest(spark, str(tmp_path), "v1", least=100)
     titles = {r["source_path"]: r["title"] for r in files.parse_markup(files.scan_files(spark, str(tmp_path), ["docs/**/*.md", "docs/**/*.rst"])).collect()}
     assert titles == {"docs/a.md": "Title A", "docs/b.rst": "Title B", "docs/multi-node_serving.md": "multi node serving", "docs/short.md": "short"}
-    assert tuple(counters.first()) == (3, 2) and docs.select("commit_sha").first()[0].startswith("local-")
+    assert tuple(counters.first()) == (3, 0, 2, 0) and docs.select("commit_sha").first()[0].startswith("local-")
     doc = files.parse_docstrings(files.scan_files(spark, str(tmp_path), ["**/*.py"])).first()
     assert doc["title"] == "m" and "### A.x" in doc["text"] and "x: int = 1" in doc["text"]
     path = f"file://{tmp_path}/out"
@@ -204,3 +204,44 @@ def test_incremental_stream(spark, tmp_path):
 def test_symbol_cycle(spark):
     rows = [("f", 0, "A", ["a_b"], ["B"], ["A"]), ("f", 1, "B", ["c"], ["A"], [])]
     assert {r[0] for r in symbols.derive_flags(spark, spark.createDataFrame(rows, symbols.ANNOTATION)).collect()} == {"--a-b", "--c"}
+
+
+def test_settings():
+    from plumbline.settings import Settings, git_revision
+
+    assert Settings(api_key="  ").api_key is None and "api_key" not in Settings(api_key="x").public()
+    for bad in ({"dimension": 3}, {"lexical_config": "klingon"}, {"overlap_tokens": 512}, {"min_tokens": 512}):
+        with pytest.raises(ValueError):
+            Settings(**bad)
+    assert git_revision("/") == "unknown"
+
+
+def test_golden_round_trip(spark, tmp_path):
+    row = ("a", "Wie groß?", "https://github.com/x/1", "api", "easy", ["docs/ä.md"], None, None, None)
+    golden = spark.createDataFrame([row], files.GOLDEN)
+    files.dump_golden(golden, str(tmp_path / "g.yaml"))
+    assert "groß" in (tmp_path / "g.yaml").read_text(encoding="utf-8")
+    assert [tuple(r) for r in files.load_golden(spark, str(tmp_path / "g.yaml")).collect()] == [row]
+
+
+def test_last_run_and_lifecycle(spark):
+    from plumbline.operators import answering
+
+    with pytest.raises(ValueError, match="no answer run"):
+        answering.last_run(spark.createDataFrame([], "run_id long"))
+    assert answering.last_run(spark.createDataFrame([(3,), (7,)], "run_id long")) == 7
+    runs = answering.close_run(answering.open_run(spark, 1, "{}"), 1, "a")
+    assert answering.close_run(runs, 1, "b").first()["notes"] == "a"
+
+
+def test_prompt_without_spans(spark):
+    spans = spark.createDataFrame([("q", 1, None, "a.md", "v1", "text")], "query_id string, span_no int, heading_path string, source_path string, version string, text string")
+    got = dict(grounding.build_prompts(spans, spark.createDataFrame([("q",), ("p",)], "query_id string")).collect())
+    assert got == {"q": "[1] a.md (v1)\ntext", "p": grounding.NO_CONTEXT}
+
+
+def test_command_line(capsys):
+    from plumbline.__main__ import main
+
+    assert main(["list"]) == 0 and "hybrid_search" in capsys.readouterr().out
+    assert main(["run", "nothing", "x"]) == 2
