@@ -18,8 +18,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs as arrow_fs
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ HASHED = 1 << 20
 #: Contexts that a task remembers as held by several documents, so that it passes each on once; when full, it begins again.
 REMEMBERED = 200_000
 #: Documents whose marks tell which are hot, and the share of them that a hot mark is in; hot marks are dealt by context.
-SAMPLE, HOT = 20_000, 0.005
+SAMPLE, HOT = 4000, 0.02
 #: Differing contexts of one mark that a task compares; those of a mark with more are dealt string by string.
 CONTEXTS = 10_000
 ALL = np.uint64((1 << 64) - 1)
@@ -71,10 +70,9 @@ def _marks_of(data: np.ndarray, offsets: np.ndarray, begin: int, stop: int, leas
     none = np.zeros(0, np.int64)
     if len(data) < least:
         return none, none, none.astype(np.uint64), none, none, none.astype(np.uint64)
-    prefix, starts = prefix_hash(data), np.arange(len(data) - key + 1)
     end_of = np.repeat(offsets[1:], np.diff(offsets))
-    grams = span_hash(prefix, starts, starts + key)
-    grams = np.where(starts + key <= end_of[: len(starts)], grams, ALL)
+    grams = _order_of(data, key)
+    grams[np.arange(len(grams)) + key > end_of[: len(grams)]] = ALL
     span = least - key + 1
     mins = _slide(grams, span, np.minimum)
     own = np.arange(len(mins))
@@ -83,7 +81,20 @@ def _marks_of(data: np.ndarray, offsets: np.ndarray, begin: int, stop: int, leas
     at = np.flatnonzero((_slide(np.concatenate((edge, mins, edge)), span, np.maximum) == grams) & (grams != ALL))
     row = np.searchsorted(whole, at + base, side="right") - 1
     lo, hi = np.maximum(at - (least - key), whole[row] - base), np.minimum(at + least, whole[row + 1] - base)
-    return at + base, row, grams[at], lo + base, hi + base, span_hash(prefix, lo, hi) >> np.uint64(8)
+    prefix = prefix_hash(data)
+    return at + base, row, span_hash(prefix, at, at + key), lo + base, hi + base, span_hash(prefix, lo, hi) >> np.uint64(8)
+
+
+def _order_of(data: np.ndarray, key: int) -> np.ndarray:
+    """A number for the key bytes from each position on, which only decides where marks are: mixed from the 8-byte words in them."""
+    words = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    out = np.zeros(len(data) - key + 1, np.uint64)
+    for k, at in enumerate([*range(0, key - 8, 8), key - 8]):
+        out += words[at : at + len(out)] * np.uint64(0x9E3779B97F4A7C15 + 2 * (k * 0x632BE59BD9B4E019 & 0x3FFFFFFFFFFFFFFF))
+        out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return np.minimum(out, ALL - np.uint64(1))
 
 
 def _planes(a: np.ndarray, n: int) -> bytes:
@@ -225,15 +236,6 @@ FOUND = "kind int, bucket int, doc_id long, keys binary, contexts binary, owners
 KNOWN, OPEN, LEVEL = range(3)
 
 
-def _read_level(path: str, bucket: int) -> tuple[np.ndarray, ...]:
-    """A level's array of one bucket."""
-    place, at = arrow_fs.FileSystem.from_uri(f"{path}/kind={LEVEL}/bucket={bucket}")
-    files = [f for f in place.get_file_info(arrow_fs.FileSelector(at, allow_not_found=True)) if f.base_name.endswith(".parquet")]
-    parts = [r for f in files for r in pq.ParquetFile(place.open_input_file(f.path)).read(["keys", "contexts", "owners"]).to_pylist()]
-    keys, contexts, owners = (np.concatenate([_unplaned(r[c], n) for r in parts]) if parts else np.zeros(0, np.uint64) for c, n in (("keys", 6), ("contexts", 7), ("owners", 8)))
-    return keys, contexts, owners.view(np.int64)
-
-
 class SuffixIndex:
     """A logarithmic family of levels in a folder. levels are (path, rank), and a level of rank r holds 2^r batches; with them, the same
     buckets and hot marks, an index is opened again."""
@@ -259,30 +261,39 @@ class SuffixIndex:
             if bucket < 0:
                 rows = [(KNOWN, bucket, who, None, c, None) for who, c in zip(t.column("doc_id").to_pylist(), t.column("contexts").to_pylist(), strict=True)]
             else:
-                keys = np.concatenate([_unplaned(x, 6) for x in t.column("keys").to_pylist()])
-                contexts = np.concatenate([_unplaned(x, 7) for x in t.column("contexts").to_pylist()])
-                owners = np.concatenate([_unplaned(x, 8).view(np.int64) + b for x, b in zip(t.column("owners").to_pylist(), t.column("base").to_pylist(), strict=True)])
-                have = {path: _read_level(path, bucket) for path, _ in levels}
-                known, several, fresh = scanned(keys, contexts, owners, list(have.values()), low_hot)
+                batch, *have = (_arrays(t.filter(pc.equal(t.column("level"), k))) for k in range(-1, len(levels)))
+                known, several, fresh = scanned(*batch, have, low_hot)
                 for kind, pairs in ((KNOWN, known), (OPEN, several)):
                     rows += [(kind, bucket, who, None, c, None) for who, c in zip(*_by_owner(*pairs), strict=True)]
-                parts = [fresh, *(have[p] for p in merged)]
-                k, c, o = (np.concatenate(x) for x in zip(*parts, strict=True))
+                k, c, o = (np.concatenate(x) for x in zip(fresh, *have[len(levels) - rank :], strict=True))
                 order = np.lexsort((c, k))
                 rows.append((LEVEL, bucket, None, _planes(k[order], 6), _planes(c[order], 7), _planes(o[order].view(np.uint64), 8)))
             return pa.Table.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "doc_id", "keys", "contexts", "owners"])
 
-        # Buckets of a merged level that the batch has nothing for still move: an empty row stands for each.
-        empty = self.spark.range(self.buckets).selectExpr("int(id) AS bucket", "0L AS base", "X'' AS keys", "X'' AS contexts", "X'' AS owners", "CAST(NULL AS LONG) AS doc_id")
         path = f"{self.folder}/level-{uuid.uuid4().hex}"
-        packed = packed_suffixes(docs, self.buckets, hot, least, key).unionByName(empty)
-        packed.groupBy("bucket").applyInArrow(run, FOUND).write.partitionBy("kind", "bucket").parquet(path)
+        packed = packed_suffixes(docs, self.buckets, hot, least, key).withColumn("level", F.lit(-1))
+        for k, (old, _) in enumerate(levels):
+            packed = packed.unionByName(self.arrays(old).select("bucket", F.lit(0).cast("long").alias("base"), "keys", "contexts", "owners", F.lit(None).cast("long").alias("doc_id"), F.lit(k).alias("level")))
+        packed.groupBy("bucket").applyInArrow(run, FOUND).write.partitionBy("kind").parquet(path)
         self.levels = [x for x in levels if x[0] not in merged] + [(path, rank)]
         for old in merged:  # what the level found stays
             gone = self.spark._jvm.org.apache.hadoop.fs.Path(f"{old}/kind={LEVEL}")
             gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
-        found = self.spark.read.schema(FOUND).parquet(path)
-        return found.where(F.col("kind") < LEVEL).select("doc_id", "kind", "contexts")
+        return self.spark.read.schema(FOUND).parquet(path).where(F.col("kind") < LEVEL).select("doc_id", "kind", "contexts")
+
+    def arrays(self, path: str) -> DataFrame:
+        """Rows (bucket, keys, contexts, owners) of a level: one sorted array a bucket."""
+        return self.spark.read.schema(FOUND).parquet(path).where(F.col("kind") == LEVEL).select("bucket", "keys", "contexts", "owners")
+
+
+def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, contexts and owners of packed rows."""
+    if not t.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys = np.concatenate([_unplaned(x, 6) for x in t.column("keys").to_pylist()])
+    contexts = np.concatenate([_unplaned(x, 7) for x in t.column("contexts").to_pylist()])
+    owners = np.concatenate([_unplaned(x, 8).view(np.int64) + b for x, b in zip(t.column("owners").to_pylist(), t.column("base").to_pylist(), strict=True)])
+    return keys, contexts, owners
 
 
 def _runs(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
