@@ -68,7 +68,8 @@ def _asked(corpus: DataFrame) -> DataFrame:
     """Queries (query_id, label, vector, query): two short words of the query's own text, the first and last in order."""
     words = F.array_sort(F.array_distinct(F.filter(text.terms(F.col("text")), lambda w: F.length(w).between(2, 4) & ~w.isin(*retrieval.STOP_WORDS))))
     own = corpus.where(F.col("chunk_id") % EVERY == 0).withColumn("w", words).where(F.size("w") > 1)
-    return own.select(F.col("chunk_id").alias("query_id"), "label", "vector", F.concat_ws(" ", F.get("w", 0), F.element_at("w", -1)).alias("query"))
+    # Read several times by each query: kept for the session, a row for each question.
+    return own.select(F.col("chunk_id").alias("query_id"), "label", "vector", F.concat_ws(" ", F.get("w", 0), F.element_at("w", -1)).alias("query")).cache()
 
 
 CORPUS_CTE = f"""
@@ -224,7 +225,7 @@ def _outcomes(spark, sf_dir) -> DataFrame:
     """All eight cells: two strategies, each by CELLS, to depth 20."""
     corpus = _corpus(spark, sf_dir)
     q = _asked(corpus)
-    dense, sparse, chunks, asked = _dense(q, corpus), _sparse(q, corpus), corpus.select("chunk_id", "text"), _asked_by_strategy(q)
+    dense, sparse, chunks, asked = _dense(q, corpus).cache(), _sparse(q, corpus).cache(), corpus.select("chunk_id", "text"), _asked_by_strategy(q)
     cells = (retrieval.search(dense, sparse, chunks, asked, mode, again, 20).select(F.lit(mode).alias("mode"), F.lit(again).alias("rerank"), "query_id", "rank", "chunk_id") for mode, again in CELLS)
     got = _apart(evaluation.outcomes(reduce(DataFrame.unionByName, cells), ("mode", "rerank")))
     near = corpus.where("chunk_id % 5 = 0").select("chunk_id", F.explode(F.array("label", (F.col("label") + 9) % 10)).alias("label"))
@@ -376,24 +377,17 @@ f AS (SELECT CASE WHEN n <= 32 THEN '<=32' WHEN n <= 64 THEN '33-64' WHEN n <= 1
 SELECT 'fixed' AS strategy, bucket, count(*) AS blocks, count(*) FILTER (hit) AS intact, round(count(*) FILTER (hit) / count(*), 6) AS rate FROM f GROUP BY ROLLUP (bucket) HAVING count(*) > 0""")
 def passage_integrity(spark, sf_dir):
     d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    # Passages share words with the documents that hold them, so an equi-join on their first five words precedes the containment test.
-    key = lambda t: F.concat_ws(" ", F.slice(F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0)), F.lit(1), F.lit(5)))
-    grams = d.select("doc_id", F.explode(F.array_distinct(_grams("text", 5))).alias("key"))
-    asked = b.select("item_id", F.col("text").alias("body"), key("text").alias("key"))
-    pairs = grams.join(asked, "key").select("doc_id", "item_id", "body").distinct().join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", "body"))
+    # A document that holds a passage has the longest of its inner words, so an equi-join on that precedes the containment test.
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
+    inner = F.when(F.size(words(F.col("text"))) > 2, F.slice(words(F.col("text")), F.lit(2), F.size(words(F.col("text"))) - 2)).otherwise(words(F.col("text")))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = b.select("item_id", F.col("text").alias("body"), longest.alias("key"))
+    tokens = d.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("key"))
+    pairs = tokens.join(asked, "key").select("doc_id", "item_id", "body").join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", "body"))
     bodies = pairs.select("doc_id", F.col("item_id").alias("ordinal"), "body")
     return chunking.integrity(bodies, chunking.fixed_chunks(d, 128, 16)).withColumn("rate", F.round("rate", 6))
 
 
-def _grams(column: str, n: int):
-    """Runs of n words joined by spaces; the words are found once, not for each run."""
-    words = F.regexp_extract_all(column, F.lit(r"\S+"), F.lit(0))
-    out = words
-    for k in range(1, n):
-        out = F.zip_with(out, F.slice(words, F.lit(k + 1), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return out
-
-
 # ---------------------------------------------------------------- ingest and store
 
 
