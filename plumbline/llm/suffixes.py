@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 import uuid
 
 import numpy as np
@@ -26,7 +27,7 @@ from plumbline.llm.shared import drop_tables, materialize, mix, prefix_hash, sha
 
 LEAST, KEY = 50, 20
 #: Batches in which a whole table is added, in doc_id order.
-BATCHES = 4
+BATCHES = 2
 #: Buckets for each shuffle partition, and bytes of text for each bucket: the larger number counts.
 BUCKETS, BUCKET_BYTES = 2, 1 << 26
 #: Text bytes whose suffixes are found and packed together.
@@ -276,11 +277,21 @@ class SuffixIndex:
             packed = packed.unionByName(self.arrays(old).select("bucket", F.lit(0).cast("long").alias("base"), "keys", "contexts", "owners", F.lit(None).cast("long").alias("doc_id"), F.lit(k).alias("level")))
         packed.groupBy("bucket").applyInArrow(run, FOUND).write.partitionBy("kind").parquet(path)
         self.levels = [x for x in levels if x[0] not in merged] + [(path, rank)]
-        for old in merged:  # what the level found stays
-            gone = self.spark._jvm.org.apache.hadoop.fs.Path(f"{old}/kind={LEVEL}")
-            gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+        for old in merged:
+            self._delete(old)
         return self.spark.read.schema(FOUND).parquet(path).where(F.col("kind") < LEVEL).select("doc_id", "kind", "contexts")
 
+    def _delete(self, path: str) -> None:
+        """Removes a level's arrays; what it found stays."""
+        gone = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={LEVEL}")
+        gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+    def drop(self) -> None:
+        """Removes all levels."""
+        for path, _ in self.levels:
+            self._delete(path)
+        self.levels = []
+
     def arrays(self, path: str) -> DataFrame:
         """Rows (bucket, keys, contexts, owners) of a level: one sorted array a bucket."""
         return self.spark.read.schema(FOUND).parquet(path).where(F.col("kind") == LEVEL).select("bucket", "keys", "contexts", "owners")
@@ -418,8 +429,10 @@ def compare_strings(applied: DataFrame, buckets: int, least: int) -> DataFrame:
 
 def _release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that are done, which stay until the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the driver's Python lets go of a plan first, the JVM's collector after that
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def repeated_runs(docs: DataFrame, least: int = LEAST, key: int = KEY, batches: int = BATCHES) -> DataFrame:
@@ -435,6 +448,7 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, key: int = KEY, batches:
         new = index.add(part if hi is None else part.where(F.col("doc_id") <= hi))
         found = new if found is None else found.unionByName(new)
         _release(spark)
+    index.drop()
     applied = materialize(apply_contexts(docs, found, least, key), "applied")
     _release(spark)
     runs = compare_strings(applied, buckets, least).unionByName(applied.select("doc_id", "version", "runs"))
