@@ -309,7 +309,7 @@ def _marked(d: DataFrame) -> DataFrame:
 
 # The blocks that the markup above has: headings are trimmed lines, prose lines join across blank ones, code stands in its fence.
 MARKED = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-typed AS (SELECT doc_id, i, CASE WHEN i % 4 = 0 AND trim(x) <> '' THEN 'heading' WHEN i % 4 = 3 THEN 'code' ELSE 'text' END AS kind, CASE WHEN i % 4 = 3 THEN '```bash' || chr(10) || x || chr(10) || '```' WHEN i % 4 = 0 THEN trim(x) ELSE x END AS body, CASE WHEN i % 4 = 0 AND trim(x) <> '' THEN (i // 4) % 3 + 1 ELSE 0 END AS level FROM lines),
+typed AS (SELECT doc_id, i, CASE WHEN i % 4 = 0 AND trim(x) <> '' THEN 'heading' WHEN i % 4 = 3 THEN 'code' ELSE 'text' END AS kind, CASE WHEN i % 4 = 3 THEN '```bash' || chr(10) || x || chr(10) || '```' WHEN i % 4 = 0 THEN trim(regexp_replace(trim(x), '\s*#*\s*$', '')) ELSE x END AS body, CASE WHEN i % 4 = 0 AND trim(x) <> '' THEN (i // 4) % 3 + 1 ELSE 0 END AS level FROM lines),
 runs AS (SELECT *, sum(CASE WHEN kind <> 'text' OR prev <> 'text' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY i), '') AS prev FROM typed)),
 joined AS (SELECT doc_id, run, any_value(kind) AS kind, trim(string_agg(body, chr(10) || chr(10) ORDER BY i), chr(10) || chr(9) || ' ') AS text, max(level)::INT AS level, min(i) AS i FROM runs GROUP BY doc_id, run),
 md AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1)::INT AS ordinal, kind, text, level, i FROM joined WHERE text <> '')"""
@@ -484,7 +484,7 @@ def context_remark_flag(spark, sf_dir):
 
 ATTRIBUTION = """
 claims AS (SELECT vec_id, vec_id // 5 AS answer_id, (vec_id % 5)::INT AS ordinal, embedding, label, vec_id % 7 = 0 AS about_context, list_filter([vec_id % 3 + 1, label % 4 + 1, 9], lambda x: vec_id % 4 > 0) AS cited FROM embeddings),
-spans AS (SELECT a AS answer_id, n AS span_no, e.vec_id AS chunk_id, e.embedding FROM (SELECT DISTINCT answer_id AS a FROM claims) t, range(1, 5) s(n), embeddings e WHERE e.vec_id = (a * 11 + n * 3) % (SELECT count(*) FROM embeddings)),
+spans AS (SELECT a AS answer_id, n AS span_no, e.vec_id AS chunk_id, e.embedding FROM (SELECT a, n, (a * 11 + n * 3) % (SELECT count(*) FROM embeddings) AS vec_id FROM (SELECT DISTINCT answer_id AS a FROM claims) t, range(1, 5) s(n)) JOIN embeddings e USING (vec_id)),
 x AS (SELECT c.answer_id, c.ordinal, s.span_no, round(list_cosine_similarity(c.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) AS score FROM (SELECT DISTINCT answer_id, ordinal, embedding, unnest(cited) AS span_no FROM claims) c JOIN spans s USING (answer_id, span_no)),
 best AS (SELECT answer_id, ordinal, span_no, score FROM x QUALIFY row_number() OVER (PARTITION BY answer_id, ordinal ORDER BY score DESC, span_no) = 1),
 att AS (SELECT c.answer_id, c.ordinal, b.span_no::INT AS best_span, coalesce(b.score, 0) AS score, len(c.cited) > 0 AS cited, b.span_no IS NOT NULL AND b.score >= 0.1 AS supported, c.about_context FROM claims c LEFT JOIN best b USING (answer_id, ordinal)),
