@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.shared import drop_tables, materialize, table
 
-#: Bound on the rows the tree is fitted on, children of a node, sample rows of a leaf.
-SAMPLE, BRANCHES, LEAF = 20_000, 16, 200
+#: Bound on the rows the tree is fitted on, children of a node.
+SAMPLE, BRANCHES = 20_000, 16
 #: A leaf with more rows is split again by a tree on a sample of its own of that size; nodes of the whole tree, which tasks get by broadcast, at most.
-LEAF_ROWS, NODES = 2000, 200_000
+LEAF_ROWS, NODES = 500, 200_000
+#: Sample rows of a leaf, as a part of LEAF_ROWS.
+LEAF_SHARE = 2.5
 #: Bound on the calibration queries, and the share of their true neighbours that the visited leaves must hold.
 CALIBRATION, RECALL = 400, 0.93
 #: Rows of a leaf that one task compares with queries; larger leaves are split.
@@ -30,13 +32,18 @@ SPLIT = 20_000
 NEAR = 1e-12
 
 
+def leaf_sample() -> int:
+    """Sample rows of a leaf."""
+    return max(1, int(LEAF_ROWS / LEAF_SHARE))
+
+
 class Tree:
     """Centroids of all nodes; children of inner nodes; leaf numbers."""
 
-    def __init__(self, x: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF, seed: int = 5):
+    def __init__(self, x: np.ndarray, branches: int = BRANCHES, leaf: int | None = None, seed: int = 5):
         self.rng, self.centres, self.children, self.leaf_of, self.n_leaves = np.random.default_rng(seed), [], [], [], 0
         if len(x):
-            self._grow(x, branches, leaf)
+            self._grow(x, branches, leaf or leaf_sample())
         self.centres = np.array(self.centres) if self.centres else np.zeros((0, x.shape[1]))
 
     def _grow(self, x: np.ndarray, branches: int, leaf: int) -> int:
@@ -233,17 +240,17 @@ def _placed(rows: DataFrame, tree: Tree, dim: int, most: float) -> tuple[DataFra
 def grown(rows: DataFrame, tree: Tree, dim: int, most: float) -> tuple[DataFrame, np.ndarray]:
     """Splits leaves of more than LEAF_ROWS rows again, level by level, so that the number of leaves follows the number of rows. Each is
     fitted in a task of its own, on its rows that come first in the order of hashes. Returns what _placed gives."""
-    whole: set[int] = set()
+    whole, leaf = set(), leaf_sample()
     while True:
         placed, counts = _placed(rows, tree, dim, most)
         large = [int(x) for x in np.flatnonzero(counts > LEAF_ROWS) if int(x) not in whole]
-        if not large or len(tree.children) + len(large) * 2 * LEAF_ROWS // LEAF > NODES:
+        if not large or len(tree.children) + len(large) * BRANCHES > NODES:
             return placed, counts
         order = Window.partitionBy("leaf").orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id")
         sample = placed.where(F.col("leaf").isin(large)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEAF_ROWS)
 
         def fit(t: pa.Table) -> pa.Table:
-            below = Tree(_lifted(_matrix(t.column("x"), dim), most))
+            below = Tree(_lifted(_matrix(t.column("x"), dim), most), leaf=leaf)
             below.rng = None
             return pa.table([pa.array([t.column("leaf")[0].as_py()], pa.int32()), pa.array([pickle.dumps(below)], pa.binary())], names=["leaf", "tree"])
 
