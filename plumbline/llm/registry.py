@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import conversations, filter_audit, html_extract, jaccard, mixing, neighbours, packing, pii, quality, suffixes, token_files, url_filter
+from plumbline.llm import conversations, filter_audit, html_extract, jaccard, mixing, neighbours, packing, pii, quality, sharding, suffixes, token_files, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_packing": packing.op10_packing,
+    "op11_sharding": sharding.op11_sharding,
     "op12_conversation_repair": conversations.op12_conversation_repair,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
