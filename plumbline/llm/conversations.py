@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import drop_tables, materialize, table
+from plumbline.llm.shared import CRC_SQL, crc32_sql, drop_tables, materialize, table
 
 #: Bits of the number of rows in a block; UTF-8 bytes of text that a partition of the layout holds, about.
 BLOCK_BITS, PART_BYTES = 12, 1 << 27
@@ -401,3 +401,27 @@ def repaired(rows: DataFrame, ids: DataFrame | None = None, turns: bool = False)
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations")
     return repaired(damaged(given), given)
+
+
+#: Turn by turn forwards, with the cheapest, ASCII-least audit and its text for each state of the grammar.
+SQL = rf"""WITH RECURSIVE {CRC_SQL},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM c, range(2) t(r) WHERE f <> 0 AND (r = 0 OR f = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS seen FROM o),
+g AS (SELECT *, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS prior, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM p),
+ins AS (SELECT * FROM (VALUES (0, 0, 0, ''), (0, 1, 2, 'u'), (0, 2, 3, 'ua'), (1, 0, 1, ''), (1, 1, 2, 'u'), (1, 2, 3, 'ua'), (2, 0, 2, ''), (2, 1, 3, 'a'), (2, 2, 2, 'au'), (3, 0, 3, ''), (3, 1, 2, 'u'), (3, 2, 3, 'ua')) v(state, n, mid, put)),
+moves AS (SELECT * FROM (VALUES (0, 'D', NULL, 0, 2), (1, 'D', NULL, 1, 2), (2, 'D', NULL, 2, 2), (3, 'D', NULL, 3, 2), (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0), (0, 'R', NULL, 2, 1), (1, 'R', NULL, 2, 1), (2, 'R', NULL, 3, 1), (3, 'R', NULL, 2, 1)) v(mid, edit, wanted, upto, cost)),
+w AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, 0 AS state, 0::BIGINT AS cost, '' AS audit, '' AS made FROM g
+  UNION ALL SELECT conv_id, k, state, cost, audit, made FROM (
+    SELECT w.conv_id, g.k, m.upto AS state, w.cost + 5 * i.n + m.cost + CASE WHEN m.edit <> 'D' AND g.fault = 'truncated' THEN 5 ELSE 0 END AS cost, w.audit || repeat('I', i.n) || m.edit AS audit,
+      w.made || replace(replace(i.put, 'u', 'user:' || chr(10)), 'a', 'assistant:' || chr(10)) || CASE m.edit WHEN 'D' THEN '' ELSE CASE WHEN m.edit = 'K' THEN g.role WHEN m.upto = 2 THEN 'user' ELSE 'assistant' END || ':' || g.text || chr(10) END AS made
+    FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.k = w.k + 1 JOIN ins i ON i.state = w.state JOIN moves m ON m.mid = i.mid
+    WHERE m.edit = 'D' OR g.fault NOT IN ('blank', 'duplicate') AND (m.wanted IS NULL OR m.wanted = g.initial))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+s AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (prior IS NOT NULL AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+best AS (SELECT s.*, w.cost + 5 * i.n AS cost, w.audit || repeat('I', i.n) AS audit, w.made || replace(replace(i.put, 'u', 'user:' || chr(10)), 'a', 'assistant:' || chr(10)) AS made FROM s JOIN w ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND w.k = s.n JOIN ins i ON i.state = w.state
+  WHERE i.mid IN (0, 3) QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY w.cost + 5 * i.n, w.audit || repeat('I', i.n)) = 1)
+SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(left(made, greatest(length(made) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM x.conv_id"""

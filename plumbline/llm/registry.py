@@ -20,4 +20,4 @@ QUERIES = {
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
-ORACLES = {"op1_url_filter": url_filter.SQL, "op13_filter_audit": filter_audit.SQL}
+ORACLES = {"op1_url_filter": url_filter.SQL, "op11_sharding": sharding.SQL, "op12_conversation_repair": conversations.SQL, "op13_filter_audit": filter_audit.SQL}

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import drop_tables, materialize, table
+from plumbline.llm.shared import CRC_SQL, crc32_sql, drop_tables, materialize, table
 
 #: Virtual nodes of a shard; bits of a place on the ring and of a place in the order of keys.
 NODES, BITS = 64, 48
@@ -162,3 +162,15 @@ def sharded(docs: DataFrame, shards: int = 8, law: str = "rows", slack: float =
 
 def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
+
+
+#: Keys dealt one by one, each to the nearest virtual node clockwise of a shard that is not full.
+SQL = f"""WITH RECURSIVE {CRC_SQL},
+k AS (SELECT doc_id, coalesce(text, '') AS t, ('0x' || substr(md5(coalesce(text, '')), 1, 12))::BIGINT AS place, row_number() OVER (ORDER BY substr(md5(coalesce(text, '')), 13, 12), doc_id NULLS FIRST) AS rn FROM documents),
+nodes AS (SELECT s, ('0x' || substr(md5(s || ':' || v), 1, 12))::BIGINT AS p FROM range(8) a(s), range({NODES}) b(v)),
+ways AS (SELECT rn, list(s ORDER BY away, s) AS way FROM (SELECT rn, s, min((p - place + {1 << BITS}) % {1 << BITS}) AS away FROM k, nodes GROUP BY rn, s) GROUP BY rn),
+room AS (SELECT list_transform(range(8), lambda s: n // 8 + (s < n % 8)::BIGINT) AS room FROM (SELECT count(*) AS n FROM documents)),
+dealt AS (SELECT 0::BIGINT AS rn, list_transform(range(8), lambda s: 0::BIGINT) AS held, NULL::BIGINT AS shard
+  UNION ALL SELECT rn, list_transform(held, lambda h, i: h + (i = shard + 1)::BIGINT), shard FROM (SELECT w.rn, e.held, list_filter(w.way, lambda s: e.held[s + 1] < room[s + 1])[1] AS shard FROM dealt e JOIN ways w ON w.rn = e.rn + 1, room))
+SELECT doc_id, strlen(t) + 1 AS size, {crc32_sql("t")} AS text_crc32, 'rows' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY rn) - 1 AS slot, NULL::INT AS grown_shard, way[1]::INT AS home
+FROM k JOIN dealt USING (rn) JOIN ways USING (rn), crc"""

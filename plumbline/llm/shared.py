@@ -96,6 +96,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         now = following
 
 
+#: For DuckDB: a table of one row, the 256 remainders of the checksum that crc32 gives.
+CRC_SQL = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n)) AS remainders)"""
+
+
+def crc32_sql(text: str) -> str:
+    """For DuckDB: the unsigned crc32 of a string's UTF-8 bytes, beside the table of CRC_SQL."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda a, b: xor(a >> 8, remainders[1 + (xor(a, b) & 255)]), 4294967295::BIGINT), 4294967295)"
+
+
 # ---------------------------------------------------------------- texts as flat byte arrays
 
 #: ASCII white space: space, tab to carriage return.

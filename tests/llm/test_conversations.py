@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from plumbline.llm import conversations
@@ -140,3 +141,12 @@ def test_repair_of_nothing(spark):
 def test_query_whole_table(spark):
     table = [tuple(r) for r in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert made(conversations.op12_conversation_repair(spark, DATA)) == repaired(damaged(table), sorted({r[0] for r in table}))
+
+
+def test_query_and_sql(spark):
+    c = duckdb.connect()
+    c.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet'")
+    rel = c.sql(conversations.SQL)
+    got = conversations.op12_conversation_repair(spark, "/root/testdata/sf0.01")
+    assert sorted(rel.columns) == sorted(got.columns)
+    assert sorted((tuple(r) for r in got.select(*rel.columns).collect()), key=repr) == sorted(rel.fetchall(), key=repr)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import pytest
 
 from plumbline.llm import sharding
@@ -90,3 +91,12 @@ def test_query_whole_table(spark):
     by_shard = {s: sorted((r.slot, r.doc_id) for r in got if r.shard == s) for s in range(8)}
     dealt = {s: [i for i, _, x in one_by_one(docs, 8, "rows") if x == s] for s in range(8)}
     assert {s: [i for _, i in v] for s, v in by_shard.items()} == dealt
+
+
+def test_query_and_sql(spark):
+    c = duckdb.connect()
+    c.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    rel = c.sql(sharding.SQL)
+    got = sharding.op11_sharding(spark, "/root/testdata/sf0.01")
+    assert sorted(rel.columns) == sorted(got.columns)
+    assert sorted((tuple(r) for r in got.select(*rel.columns).collect()), key=repr) == sorted(rel.fetchall(), key=repr)
