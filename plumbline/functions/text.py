@@ -46,6 +46,31 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+# The rules of Porter's stemmer, step 1 (M.F. Porter, An algorithm for suffix stripping, 1980), over lower-case ASCII words. A
+# vowel is one of aeiou, or y after a letter that is none of them.
+HAS_VOWEL = "[aeiou]|[^aeiou]y"
+HAS_MEASURE = "[aeiou][^aeiou]|[^aeiou]y[^aeiou]"
+SHORT_STEM = "^[^aeiou]+[aeiouy][^aeiouwxy]$"
+DOUBLED = "(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx)$"
+
+
+def stem(word: Column) -> Column:
+    """A word without its plural, -ed or -ing, by the first step of Porter's rules; words of under three letters stay."""
+    cut = lambda w, n: F.left(w, F.length(w) - n)
+    plural = F.when(word.endswith("sses") | word.endswith("ies"), cut(word, 2)).when(word.endswith("s") & ~word.endswith("ss"), cut(word, 1)).otherwise(word)
+
+    def ending(w: Column) -> Column:
+        bare = F.when(w.endswith("ing"), cut(w, 3)).otherwise(cut(w, 2))
+        again = F.when(bare.endswith("at") | bare.endswith("bl") | bare.endswith("iz") | bare.rlike(SHORT_STEM), F.concat(bare, F.lit("e"))).when(bare.rlike(DOUBLED), cut(bare, 1)).otherwise(bare)
+        ends = w.endswith("ing") | (w.endswith("ed") & ~w.endswith("eed"))
+        return F.when(w.endswith("eed"), F.when(cut(w, 3).rlike(HAS_MEASURE), cut(w, 1)).otherwise(w)).when(ends & bare.rlike(HAS_VOWEL), again).otherwise(w)
+
+    def last(w: Column) -> Column:
+        return F.when(w.endswith("y") & cut(w, 1).rlike(HAS_VOWEL), F.concat(cut(w, 1), F.lit("i"))).otherwise(w)
+
+    return F.when(F.length(word) > 2, last(ending(plural))).otherwise(word)
+
+
 def strip_front_matter(text: Column) -> Column:
     return F.regexp_replace(text, FRONT_MATTER, "")
 

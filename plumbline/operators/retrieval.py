@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.functions.text import terms
+from plumbline.functions.text import stem, terms
 from plumbline.operators.fusion import ranked, reciprocal_rank_fusion, top_k
 
 #: Queries that are compared with the corpus in one pass; more are taken block by block.
@@ -73,12 +73,13 @@ def _block_search(asked: pa.Table, k: int, digits: int | None, names: list[str])
     return run
 
 
-def postings(chunks: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """Rows (term, chunk_id, positions) of chunks(chunk_id, text); positions from 1, stop words counted but not listed. With words(term)
-    only those are listed, and others go before anything is shuffled. A whole index is to be stored, partitioned by term."""
-    at = chunks.select("chunk_id", F.posexplode(terms(F.col("text"))).alias("pos", "term")).where(~F.col("term").isin(*STOP_WORDS))
-    at = at if words is None else at.join(words.select("term").distinct(), "term", "left_semi")
-    return at.groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+def postings(chunks: DataFrame, words: DataFrame | None = None, by: tuple[str, ...] = (), config: str = "simple") -> DataFrame:
+    """Rows (*by, term, chunk_id, positions) of chunks(*by, chunk_id, text); positions from 1, stop words counted but not listed. With
+    words(*by, term) only those are listed, and others go before anything is shuffled. A whole index is stored by lexical_index."""
+    at = chunks.select(*by, "chunk_id", F.posexplode(terms(F.col("text"))).alias("pos", "term")).where(~F.col("term").isin(*STOP_WORDS))
+    at = at.withColumn("term", stem(F.col("term"))) if config == "english" else at
+    at = at if words is None else at.join(words.select(*by, "term").distinct(), [*by, "term"], "left_semi")
+    return at.groupBy(*by, "term", "chunk_id").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
 
 
 def parse_query(query: str) -> list[tuple[int, list[str], bool]]:
@@ -97,47 +98,55 @@ def parse_query(query: str) -> list[tuple[int, list[str], bool]]:
     return out
 
 
-def clauses(queries: DataFrame) -> DataFrame:
-    """Rows (query_id, clause, grp, neg, nth, size, term) of queries(query_id, query): the words of each clause of web-search queries."""
-    names = ["query_id", "clause", "grp", "neg", "nth", "size", "term"]
-    schema = StructType([queries.schema["query_id"]]).add("clause", "integer").add("grp", "integer").add("neg", "boolean").add("nth", "integer").add("size", "integer").add("term", "string")
+def clauses(queries: DataFrame, by: tuple[str, ...] = (), config: str = "simple") -> DataFrame:
+    """Rows (*by, query_id, clause, grp, neg, nth, size, term) of queries(*by, query_id, query): the words of each clause of web-search queries."""
+    names = [*by, "query_id", "clause", "grp", "neg", "nth", "size", "term"]
+    schema = StructType([queries.schema[c] for c in (*by, "query_id")]).add("clause", "integer").add("grp", "integer").add("neg", "boolean").add("nth", "integer").add("size", "integer").add("term", "string")
 
     def run(batches):
         for b in batches:
-            rows = [(k, i, g, neg, n, len(words), w) for k, text in enumerate(b.column(1).to_pylist()) for i, (g, words, neg) in enumerate(parse_query(text or "")) for n, w in enumerate(words)]
+            rows = [(k, i, g, neg, n, len(words), w) for k, text in enumerate(b.column("query").to_pylist()) for i, (g, words, neg) in enumerate(parse_query(text or "")) for n, w in enumerate(words)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=names)
+            at = pa.array(columns[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in (*by, "query_id")), *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=names)
 
-    return queries.select("query_id", "query").mapInArrow(run, schema)
+    found = queries.select(*by, "query_id", "query").mapInArrow(run, schema)
+    return found.withColumn("term", stem(F.col("term"))) if config == "english" else found
 
 
-def lexical_search(index: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
-    """Rows (query_id, rank, chunk_id, score) of queries(query_id, query): chunks that match all groups of a web-search query and no negated clause.
+def lexical_search(index: DataFrame, queries: DataFrame, k: int = 50, by: tuple[str, ...] = (), config: str = "simple") -> DataFrame:
+    """Rows (*by, query_id, rank, chunk_id, score) of queries(*by, query_id, query): chunks that match all groups of a web-search query and no negated clause.
 
     Score: cover density over the words of the query that are not negated (Clarke, Cormack and Tudhope 2000): each shortest
     stretch that holds all the chunk's matched words adds 0.1 / (1 + words of the stretch that are none of them). An empty query
-    matches nothing. index: rows of postings(), of all words or of the queries' words.
+    matches nothing. index: rows of postings(), of all words or of the queries' words. by: columns, such as the strategy, whose values a
+    query and its chunks share; all are searched in one pass.
     """
-    wanted = clauses(queries)
-    hits = index.join(wanted, "term")
-    shifted = hits.select("query_id", "clause", "grp", "neg", "size", "chunk_id", "nth", F.transform("positions", lambda p: p - F.col("nth")).alias("starts"))
-    matched = shifted.groupBy("query_id", "clause", "grp", "neg", "size", "chunk_id").agg(F.collect_list("starts").alias("all"), F.count("*").alias("found"))
+    wanted = clauses(queries, by, config)
+    hits = index.join(wanted, [*by, "term"])
+    return top_k(scored_hits(hits, wanted, by), [*by, "query_id"], k, F.desc("score"), F.asc("chunk_id")).select(*by, "query_id", "rank", "chunk_id", "score")
+
+
+def scored_hits(hits: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (*by, query_id, chunk_id, score) of the chunks that match: hits are postings(term, chunk_id, positions) joined with the clauses wanted."""
+    key = [*by, "query_id"]
+    shifted = hits.select(*key, "clause", "grp", "neg", "size", "chunk_id", "nth", F.transform("positions", lambda p: p - F.col("nth")).alias("starts"))
+    matched = shifted.groupBy(*key, "clause", "grp", "neg", "size", "chunk_id").agg(F.collect_list("starts").alias("all"), F.count("*").alias("found"))
     common = F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), F.col("all")[0], lambda acc, x: F.array_intersect(acc, x))
     matched = matched.where((F.col("found") == F.col("size")) & (F.size(common) > 0))
-    groups = wanted.where("NOT neg").groupBy("query_id").agg(F.countDistinct("grp").alias("groups"))
-    chunks = matched.groupBy("query_id", "chunk_id").agg(F.countDistinct(F.when(~F.col("neg"), F.col("grp"))).alias("got"), F.max(F.col("neg").cast("int")).alias("bad"))
-    chunks = chunks.join(groups, "query_id").where("got = groups AND bad = 0").select("query_id", "chunk_id")
-    words = hits.where("NOT neg").groupBy("query_id", "chunk_id", "term").agg(F.first("positions").alias("positions"))
-    marks = words.join(chunks, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "term", F.explode("positions").alias("pos"))
-    listed = marks.groupBy("query_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("marks"), F.sort_array(F.collect_set("term")).alias("words"))
-    scored = listed.select("query_id", "chunk_id", F.round(cover_density(F.col("marks"), F.col("words")), 6).alias("score"))
-    return top_k(scored, ["query_id"], k, F.desc("score"), F.asc("chunk_id")).select("query_id", "rank", "chunk_id", "score")
+    groups = wanted.where("NOT neg").groupBy(*key).agg(F.countDistinct("grp").alias("groups"))
+    chunks = matched.groupBy(*key, "chunk_id").agg(F.countDistinct(F.when(~F.col("neg"), F.col("grp"))).alias("got"), F.max(F.col("neg").cast("int")).alias("bad"))
+    chunks = chunks.join(groups, key).where("got = groups AND bad = 0").select(*key, "chunk_id")
+    words = hits.where("NOT neg").groupBy(*key, "chunk_id", "term").agg(F.first("positions").alias("positions"))
+    marks = words.join(chunks, [*key, "chunk_id"]).select(*key, "chunk_id", "term", F.explode("positions").alias("pos"))
+    listed = marks.groupBy(*key, "chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("marks"), F.sort_array(F.collect_set("term")).alias("words"))
+    return listed.select(*key, "chunk_id", F.round(cover_density(F.col("marks"), F.col("words")), 6).alias("score"))
 
 
-def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
-    """lexical_search over chunks(chunk_id, text) without a stored index: only the words that queries ask for are listed."""
-    return lexical_search(postings(chunks, clauses(queries)), queries, k)
+def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 50, by: tuple[str, ...] = (), config: str = "simple") -> DataFrame:
+    """lexical_search over chunks(*by, chunk_id, text) without a stored index: only the words that queries ask for are listed."""
+    return lexical_search(postings(chunks, clauses(queries, by, config), by, config), queries, k, by, config)
 
 
 def cover_density(marks: Column, words: Column) -> Column:
@@ -193,4 +202,4 @@ def search(dense: DataFrame | None, sparse: DataFrame | None, chunks: DataFrame,
     return found.select("query_id", "rank", "score", *payload)
 
 
-__all__ = ["clauses", "cover_density", "dense_topk", "lexical_search", "overlap_score", "parse_query", "postings", "ranked", "rerank", "search", "search_texts"]
+__all__ = ["clauses", "cover_density", "dense_topk", "lexical_search", "overlap_score", "parse_query", "postings", "ranked", "rerank", "scored_hits", "search", "search_texts"]
