@@ -15,60 +15,115 @@ from pyspark.sql.types import StructType
 from plumbline.functions.text import stem, terms
 from plumbline.operators.fusion import ranked, reciprocal_rank_fusion, top_k
 
-#: Queries that are compared with the corpus in one pass; more are taken block by block.
-QUERY_BLOCK = 2048
+#: Queries that go to every task as they are; more, and rows of the corpus, are dealt into blocks of about so many that meet in pairs.
+QUERY_BLOCK, CORPUS_BLOCK = 4096, 65_536
+#: Scores held at a time.
+SCORES = 4_000_000
 #: Words that lexical queries ignore: fixed values.
 STOP_WORDS = tuple("a an and are as at be by for from has have in is it of on or that the this to was were will with".split())
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 50, digits: int | None = None) -> DataFrame:
-    """Exact cosine search: (query_id, rank, chunk_id, score) of queries(query_id, vector) and corpus(chunk_id, vector).
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 50, digits: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact cosine search: (*by, query_id, rank, chunk_id, score) of queries(*by, query_id, vector) and corpus(*by, chunk_id, vector).
 
-    Queries go in blocks of QUERY_BLOCK; each task multiplies its batches of the corpus with a block's matrix, of vectors brought to
-    length one once, and hands on k rows for each query. digits rounds the scores before they rank. Ties go to the smaller chunk_id;
-    a zero vector's score is 0; null vectors, and those of another length than the queries', take no part.
+    Up to QUERY_BLOCK queries go to the tasks that read the corpus, each of which hands on k rows a query. More are dealt into blocks by
+    a hash, as the corpus is, and each pair of blocks is one task's work: both sides are sent once for each block of the other. digits
+    rounds the scores before they rank. Ties go to the smaller chunk_id; a zero vector's score is 0; null vectors, and those of another
+    length than the queries', take no part. by: columns whose values a query and its rows share.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    names = ["query_id", "chunk_id", "score"]
-    schema = StructType([queries.schema["query_id"], corpus.schema["chunk_id"]]).add("score", "double")
-    rows = corpus.where("vector IS NOT NULL").select("chunk_id", "vector")
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        asked = part.where("vector IS NOT NULL").select("query_id", "vector").toArrow().combine_chunks()  # one block
-        found = rows.mapInArrow(_block_search(asked, k, digits, names), schema)
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, ["query_id"], k, F.desc("score"), F.asc("chunk_id")).select("query_id", "rank", "chunk_id", "score")
-
-
-def _block_search(asked: pa.Table, k: int, digits: int | None, names: list[str]):
-    """For mapInArrow: each batch's k best rows for each query of a block."""
-    lengths = pc.list_value_length(asked["vector"]).to_numpy() if asked.num_rows else np.zeros(0)
+    key = [*by, "query_id"]
+    asked = queries.where("vector IS NOT NULL").select(*key, "vector")
+    rows = corpus.where("vector IS NOT NULL").select(*by, "chunk_id", "vector")
+    schema = StructType([*(queries.schema[c] for c in key), corpus.schema["chunk_id"]]).add("score", "double")
+    names = [*key, "chunk_id", "score"]
+    if asked.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK:
+        found = rows.mapInArrow(_with_queries(asked.toArrow().combine_chunks(), by, k, digits, names), schema)
+    else:
+        dims = asked.select(F.size("vector")).distinct().limit(2).count()
+        if dims > 1:
+            raise ValueError("query vectors differ in length")
+        found = pair_search(asked, rows, k, digits, by, schema)
+    return top_k(found, key, k, F.desc("score"), F.asc("chunk_id")).select(*key, "rank", "chunk_id", "score")
+
+
+def pair_search(asked: DataFrame, rows: DataFrame, k: int, digits: int | None, by: tuple[str, ...], schema: StructType) -> DataFrame:
+    """The best rows of each pair of a block of queries and a block of the corpus."""
+    q_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    c_blocks = max(1, -(-rows.count() // CORPUS_BLOCK))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumns({"q_block": block("query_id", q_blocks), "c_block": every(c_blocks)})
+    right = rows.withColumns({"c_block": block("chunk_id", c_blocks), "q_block": every(q_blocks)})
+    return cogrouped(left, right, [*by, "q_block", "c_block"], k, digits, by, schema)
+
+
+def cogrouped(left: DataFrame, right: DataFrame, on: list[str], k: int, digits: int | None, by: tuple[str, ...], schema: StructType) -> DataFrame:
+    """The k best rows of right(*on, chunk_id, vector) for each query of left(*on, query_id, vector) that shares the columns on."""
+    names = [f.name for f in schema]
+
+    def search(q: pa.Table, c: pa.Table) -> pa.Table:
+        parts = [b for b in _best_rows(q.combine_chunks(), c.combine_chunks(), k, digits, by, names)] if q.num_rows and c.num_rows else []
+        kinds = [q.schema.field(n).type if n in q.schema.names else c.schema.field(n).type if n in c.schema.names else pa.float64() for n in names]
+        return pa.Table.from_batches(parts, pa.schema(list(zip(names, kinds, strict=True))))
+
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(search, schema)
+
+
+def _column(table, name: str) -> pa.Array:
+    found = table.column(name)
+    return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+
+def unit_matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows of length one; a zero vector stays."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    size = np.sqrt((x**2).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _best_rows(asked, rows, k: int, digits: int | None, by: tuple[str, ...], names: list[str]):
+    """The k best rows for each query; all share the values of by."""
+    lengths = pc.list_value_length(_column(asked, "vector")).to_numpy()
     dim = int(lengths[0]) if len(lengths) else 0
     if (lengths != dim).any():
         raise ValueError("query vectors differ in length")
-
-    def matrix(column) -> np.ndarray:
-        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        size = np.sqrt((x**2).sum(axis=1, keepdims=True))
-        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-
-    ids = asked["query_id"].combine_chunks() if asked.num_rows else None
-    q = matrix(asked["vector"].combine_chunks()) if asked.num_rows and dim else np.zeros((0, dim))
+    rows = rows.filter(pc.equal(pc.list_value_length(_column(rows, "vector")), dim))
+    if not rows.num_rows or not dim:
+        return
+    q, x, ids = unit_matrix(_column(asked, "vector"), dim), unit_matrix(_column(rows, "vector"), dim), _column(rows, "chunk_id")
+    place = np.argsort(pc.rank(ids, tiebreaker="first").to_numpy())
+    x, ids = x[place].T, ids.take(pa.array(place))
+    for lo in range(0, len(q), step := max(1, SCORES // len(place))):
+        scores = q[lo : lo + step] @ x
+        scores = scores if digits is None else np.round(scores, digits)
+        if len(place) > 4 * k:  # only rows that reach the k-th score are put in order
+            least = np.partition(scores, -k, axis=1)[:, -k]
+            best = [np.flatnonzero(s >= m) for s, m in zip(scores, least, strict=True)]
+            best = [b[np.argsort(-s[b], kind="stable")[:k]] for s, b in zip(scores, best, strict=True)]
+        else:
+            best = list(np.argsort(-scores, axis=1, kind="stable")[:, :k])
+        at = np.repeat(np.arange(len(best)), [len(b) for b in best])
+        taken = np.concatenate(best)
+        own = [_column(asked, c).take(pa.array(at + lo)) for c in (*by, "query_id")]
+        yield pa.RecordBatch.from_arrays([*own, ids.take(pa.array(taken)), pa.array(scores[at, taken])], names=names)
+
+
+def _with_queries(asked: pa.Table, by: tuple[str, ...], k: int, digits: int | None, names: list[str]):
+    """For mapInArrow: each batch's best rows for a bounded table of queries."""
+
+    def same(table, values) -> pa.Array:
+        marks = pa.array(np.ones(table.num_rows, bool))
+        for c, v in zip(by, values, strict=True):
+            marks = pc.and_(marks, pc.fill_null(pc.equal(_column(table, c), pa.scalar(v, _column(table, c).type)), False))
+        return marks
+
+    groups = asked.select(list(by)).group_by(list(by)).aggregate([]).to_pylist() if by and asked.num_rows else [{}] * bool(asked.num_rows)
+    parts = [(tuple(g.values()), asked.filter(same(asked, tuple(g.values()))) if by else asked) for g in groups if None not in g.values()]
 
     def run(batches):
         for b in batches:
-            b = b.filter(pc.equal(pc.list_value_length(b.column(1)), dim))
-            if not b.num_rows or not len(q):
-                continue
-            scores = q @ matrix(b.column(1)).T
-            scores = scores if digits is None else np.round(scores, digits)
-            order = np.argsort(pc.rank(b.column(0), tiebreaker="dense").to_numpy())
-            best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
-            at = np.repeat(np.arange(len(q)), best.shape[1])
-            taken = pa.array(best.ravel())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), b.column(0).take(taken), pa.array(scores[at, best.ravel()])], names=names)
+            for values, own in parts:
+                yield from _best_rows(own, b.filter(same(b, values)) if by else b, k, digits, by, names)
 
     return run
 

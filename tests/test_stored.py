@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
-from plumbline.operators import lexical_index, retrieval
+from plumbline.operators import dense_index, lexical_index, retrieval
+from plumbline.operators.dense_index import DenseIndex
 from plumbline.operators.lexical_index import LexicalIndex
 from plumbline.sources.stored import StoredTable
 
@@ -117,3 +118,49 @@ def test_english_search_meets_other_forms(spark):
     asked = spark.createDataFrame([("q", "model fails")], "query_id string, query string")
     found = lambda config: [r.chunk_id for r in retrieval.search_texts(chunks, asked, 5, (), config).collect()]
     assert sorted(found("english")) == [1, 2] and found("simple") == []
+
+
+def vectors(spark, n, seed, extra=()):
+    rng = random.Random(seed)
+    rows = [(rng.choice("ab"), k, [round(rng.gauss(0, 1), 3) for _ in range(6)]) for k in range(n)]
+    return spark.createDataFrame([*rows, *extra], "strategy string, chunk_id long, vector array<float>")
+
+
+def test_dense_search_of_blocks_equals_one_block(spark, monkeypatch):
+    corpus = vectors(spark, 150, 1, [("a", 500, None), ("b", 501, [0.0] * 6), ("a", 502, [1.0]), ("a", 503, [1.0, *[0.0] * 5]), ("a", 504, [2.0, *[0.0] * 5])])
+    asked = vectors(spark, 40, 2).withColumnRenamed("chunk_id", "query_id")
+    one = rows(retrieval.dense_topk(asked, corpus, 4, 6, ("strategy",)))
+    assert len(one) == 160
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 20)
+    monkeypatch.setattr(retrieval, "SCORES", 50)
+    assert rows(retrieval.dense_topk(asked, corpus, 4, 6, ("strategy",))) == one
+
+
+def test_dense_index_by_breadth(spark, tmp_path):
+    corpus = vectors(spark, 300, 3, [("a", 500, None), ("b", 501, [0.0] * 6)])
+    asked = vectors(spark, 30, 4).withColumnRenamed("chunk_id", "query_id")
+    index = DenseIndex(spark, f"{tmp_path}/dense", ("strategy",))
+    index.build(corpus, 12)
+    exact = retrieval.dense_topk(asked, corpus, 5, 6, ("strategy",))
+    assert rows(index.search(asked, 5, 12, 6)) == rows(exact)
+    got = [dense_index.recall(index.search(asked, 5, n, 6), exact, ("strategy",)).first()["recall"] for n in (1, 6)]
+    assert 0.2 < got[0] < got[1] and got[1] > 0.8
+    spark.conf.set(dense_index.BREADTH, "12")
+    try:
+        assert rows(index.search(asked, 5, None, 6)) == rows(exact)
+        spark.conf.set(dense_index.BREADTH, "0")
+        with pytest.raises(ValueError):
+            index.search(asked, 5)
+    finally:
+        spark.conf.unset(dense_index.BREADTH)
+
+
+def test_dense_index_reads_the_strategy_asked_for(spark, tmp_path):
+    index = DenseIndex(spark, f"{tmp_path}/dense", ("strategy",))
+    index.build(vectors(spark, 60, 5), 3)
+    plan = index.rows().where("strategy = 'a'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(strategy" in plan and index.rows().where("strategy = 'a'").select("strategy").distinct().count() == 1
+    none = DenseIndex(spark, f"{tmp_path}/none", ("strategy",))
+    none.build(vectors(spark, 0, 5))
+    assert none.search(vectors(spark, 3, 6).withColumnRenamed("chunk_id", "query_id")).collect() == []
