@@ -100,8 +100,7 @@ def gram_counts(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(grams[new])), pa.array(owner), pa.array(many.astype(np.int32))], names=["gram", "owner", "many"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, "gram long, owner long, many int")
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = found.repartition(shards, "gram").groupBy("gram").agg(F.sum("many").alias("c"), F.min("owner").alias("owner"))
+    counted = found.groupBy("gram").agg(F.sum("many").alias("c"), F.min("owner").alias("owner"))
     own = F.col("c") == 1
     keyed = counted.select(own.alias("own"), F.when(own, F.col("owner")).otherwise(F.col("gram")).alias("key"), F.when(own, F.lit(1)).otherwise(F.floor(F.log2("c"))).alias("c"))
     return keyed.groupBy("own", "key").agg(F.sum("c").alias("c"))
