@@ -149,10 +149,11 @@ def response(answers: DataFrame, spans: DataFrame) -> DataFrame:
     return marked.select("answer_id", "span_no", snippet(F.col("text")).alias("snippet"), (~F.col("abstained") & F.array_contains("_c", F.col("span_no").cast("int"))).alias("cited"))
 
 
-def source_paths(hits: DataFrame) -> DataFrame:
-    """Rows (query_id, rank, source_path) of hits(query_id, rank, source_path): distinct documents, best first."""
-    first = hits.groupBy("query_id", "source_path").agg(F.min("rank").alias("_r"))
-    return first.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("_r", "source_path")).alias("rank"), "source_path")
+def source_paths(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (*by, query_id, rank, source_path) of hits(*by, query_id, rank, source_path): distinct documents, best first."""
+    key = [*by, "query_id"]
+    first = hits.groupBy(*key, "source_path").agg(F.min("rank").alias("_r"))
+    return first.select(*key, F.row_number().over(Window.partitionBy(*key).orderBy("_r", "source_path")).alias("rank"), "source_path")
 
 
 def evidence_lines(candidates: DataFrame, hits: DataFrame, size: int = 240) -> DataFrame:

@@ -15,15 +15,15 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
     return ranked(df, keys, *order).where(F.col("rank") <= k)
 
 
-def reciprocal_rank_fusion(lists: DataFrame, k: int = 60, limit: int | None = 20) -> DataFrame:
-    """Rows (query_id, chunk_id, score, ranks, rank) of lists(query_id, source, rank, chunk_id), best first; ties to the smaller chunk_id."""
+def reciprocal_rank_fusion(lists: DataFrame, k: int = 60, limit: int | None = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (*by, query_id, chunk_id, score, ranks, rank) of lists(*by, query_id, source, rank, chunk_id), best first; ties to the smaller chunk_id."""
     if k <= 0:
         raise ValueError("k must be positive")
-    fused = lists.groupBy("query_id", "chunk_id").agg(
+    fused = lists.groupBy(*by, "query_id", "chunk_id").agg(
         F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", F.col("rank").cast("int"))))).alias("ranks"),
     )
-    out = ranked(fused, ["query_id"], F.desc("score"), F.asc("chunk_id"))
+    out = ranked(fused, [*by, "query_id"], F.desc("score"), F.asc("chunk_id"))
     return out if limit is None else out.where(F.col("rank") <= limit)
 
 

@@ -225,36 +225,37 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(asked, terms(text))), F.size(asked)), F.lit(0.0))
 
 
-def rerank(hits: DataFrame, top_n: int = 5, score: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
-    """hits(query_id, chunk_id, query, text, ...) scored anew, best first, cut to top_n; ties to the smaller chunk_id."""
+def rerank(hits: DataFrame, top_n: int = 5, score: Callable[[Column, Column], Column] = overlap_score, by: tuple[str, ...] = ()) -> DataFrame:
+    """hits(*by, query_id, chunk_id, query, text, ...) scored anew, best first, cut to top_n; ties to the smaller chunk_id."""
     again = hits.drop("rank", "score").withColumn("score", score(F.col("query"), F.col("text")))
-    return top_k(again, ["query_id"], top_n, F.desc("score"), F.asc("chunk_id"))
+    return top_k(again, [*by, "query_id"], top_n, F.desc("score"), F.asc("chunk_id"))
 
 
 MODES = ("dense", "sparse", "hybrid")
 
 
-def search(dense: DataFrame | None, sparse: DataFrame | None, chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", use_rerank: bool = True, limit: int | None = None, rrf_k: int = 60, fused: int = 20, top_n: int = 5, score: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
-    """Rows (query_id, rank, chunk_id, score, ...) by mode dense, sparse or hybrid from ranked lists, with the other columns of chunks(chunk_id, text, ...).
+def search(dense: DataFrame | None, sparse: DataFrame | None, chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", use_rerank: bool = True, limit: int | None = None, rrf_k: int = 60, fused: int = 20, top_n: int = 5, score: Callable[[Column, Column], Column] = overlap_score, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (*by, query_id, rank, chunk_id, score, ...) by mode dense, sparse or hybrid from ranked lists, with the other columns of chunks(chunk_id, text, ...).
 
-    Lists are computed once for all modes, from chunks of one strategy. Reranking holds for dense and hybrid; it scores (query, text) of
-    queries(query_id, query) and keeps limit rows, or top_n. Otherwise the list, or the first fused rows of a hybrid one, is cut to the limit.
+    Lists are computed once for all modes; by names columns, such as the strategy, whose values a list is made for. Reranking holds for dense and hybrid; it scores (query, text) of
+    queries(*by, query_id, query) and keeps limit rows, or top_n. Otherwise the list, or the first fused rows of a hybrid one, is cut to the limit.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
+    key = [*by, "query_id"]
     if mode == "hybrid":
-        lists = dense.select("query_id", F.lit("dense").alias("source"), "rank", "chunk_id").unionByName(sparse.select("query_id", F.lit("sparse").alias("source"), "rank", "chunk_id"))
-        hits = reciprocal_rank_fusion(lists, rrf_k, fused)
+        lists = dense.select(*key, F.lit("dense").alias("source"), "rank", "chunk_id").unionByName(sparse.select(*key, F.lit("sparse").alias("source"), "rank", "chunk_id"))
+        hits = reciprocal_rank_fusion(lists, rrf_k, fused, by)
     else:
         hits = dense if mode == "dense" else sparse
-    hits = hits.select("query_id", "rank", "chunk_id", "score")
-    payload = [c for c in chunks.columns if c not in ("query_id", "rank", "score", "vector", "query")]
+    hits = hits.select(*key, "rank", "chunk_id", "score")
+    payload = [c for c in chunks.columns if c not in (*key, "rank", "score", "vector", "query")]
     found = hits.join(chunks.select(*payload), "chunk_id")
     if use_rerank and mode != "sparse":
-        found = rerank(found.join(queries.select("query_id", "query"), "query_id"), top_n if limit is None else limit, score)
+        found = rerank(found.join(queries.select(*key, "query"), key), top_n if limit is None else limit, score, by)
     elif limit is not None:
         found = found.where(F.col("rank") <= limit)
-    return found.select("query_id", "rank", "score", *payload)
+    return found.select(*key, "rank", "score", *payload)
 
 
 __all__ = ["clauses", "cover_density", "dense_topk", "lexical_search", "overlap_score", "parse_query", "postings", "ranked", "rerank", "scored_hits", "search", "search_texts"]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scores, text
-from plumbline.operators import answering, chunking, embedding, evaluation, fusion, grounding, retrieval, store, symbols
-from plumbline.sources import files
+from plumbline.operators import answering, chunking, dense_index, embedding, evaluation, fusion, grounding, retrieval, store, symbols
+from plumbline.operators.lexical_index import LexicalIndex
+from plumbline.sources import files, stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -53,23 +55,55 @@ def sql_values(rows: list) -> str:
 EVERY = 50
 #: The corpora: embeddings of documents, in two strategies that are never searched together.
 STRATEGIES = ("fixed", "structure_aware")
+BY = ("strategy",)
 STOPPED = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
 
 
+#: What queries share, once made in a session: folders by application, data and name.
+_made: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, make) -> str:
+    """The folder of something that make(folder) writes in the working folder once for a session and its data."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made or not stored.exists(spark, _made[key]):
+        folder = f"{stored.working_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        make(folder)
+        _made[key] = folder
+    return _made[key]
+
+
 def _corpus(spark, sf_dir) -> DataFrame:
-    """Chunks (chunk_id, label, strategy, vector, text): every embedding with its document's text."""
-    e, d = read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "documents")
-    strategy = F.when(F.col("label") % 2 == 0, STRATEGIES[0]).otherwise(STRATEGIES[1])
-    rows = e.join(d.select(F.col("doc_id").alias("vec_id"), "text", "source"), "vec_id")
-    return rows.select(F.col("vec_id").alias("chunk_id"), "label", strategy.alias("strategy"), F.col("embedding").alias("vector"), "text", F.col("source").alias("source_path"))
+    """Chunks (chunk_id, label, strategy, vector, text, source_path): every embedding with its document's text, stored by strategy."""
+
+    def make(folder):
+        e, d = read(spark, sf_dir, "embeddings"), read(spark, sf_dir, "documents")
+        strategy = F.when(F.col("label") % 2 == 0, STRATEGIES[0]).otherwise(STRATEGIES[1])
+        rows = e.join(d.select(F.col("doc_id").alias("vec_id"), "text", "source"), "vec_id")
+        rows.select(F.col("vec_id").alias("chunk_id"), "label", strategy.alias("strategy"), F.col("embedding").alias("vector"), "text", F.col("source").alias("source_path")).write.partitionBy("strategy").parquet(folder)
+
+    return spark.read.parquet(_stored(spark, sf_dir, "corpus", make))
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """Queries (query_id, label, vector, query) made of every EVERY-th chunk: two short words of its own text, the first and last in order; a text with fewer than two such words asks nothing."""
+
+    def make(folder):
+        words = F.array_sort(F.array_distinct(F.filter(text.terms(F.col("text")), lambda w: F.length(w).between(2, 4) & ~w.isin(*retrieval.STOP_WORDS))))
+        own = _corpus(spark, sf_dir).where(F.col("chunk_id") % EVERY == 0).withColumn("w", words).where(F.size("w") > 1)
+        own.select(F.col("chunk_id").alias("query_id"), "label", "vector", F.concat_ws(" ", F.get("w", 0), F.element_at("w", -1)).alias("query")).write.parquet(folder)
 
+    return spark.read.parquet(_stored(spark, sf_dir, "asked", make))
 
-def _asked(corpus: DataFrame) -> DataFrame:
-    """Queries (query_id, label, vector, query): two short words of the query's own text, the first and last in order."""
-    words = F.array_sort(F.array_distinct(F.filter(text.terms(F.col("text")), lambda w: F.length(w).between(2, 4) & ~w.isin(*retrieval.STOP_WORDS))))
-    own = corpus.where(F.col("chunk_id") % EVERY == 0).withColumn("w", words).where(F.size("w") > 1)
-    # Read several times by each query: kept for the session, a row for each question.
-    return own.select(F.col("chunk_id").alias("query_id"), "label", "vector", F.concat_ws(" ", F.get("w", 0), F.element_at("w", -1)).alias("query")).cache()
+
+def _dense_index(spark, sf_dir) -> dense_index.DenseIndex:
+    folder = _stored(spark, sf_dir, "dense", lambda folder: dense_index.DenseIndex(spark, folder, BY).build(_corpus(spark, sf_dir)))
+    return dense_index.DenseIndex(spark, folder, BY)
+
+
+def _index(spark, sf_dir) -> LexicalIndex:
+    folder = _stored(spark, sf_dir, "lexical", lambda folder: LexicalIndex(spark, folder, BY).add(_corpus(spark, sf_dir), 0))
+    return LexicalIndex(spark, folder, BY)
 
 
 CORPUS_CTE = f"""
@@ -94,47 +128,50 @@ reranked AS (SELECT *, row_number() OVER (PARTITION BY mode, strategy, query_id
 """
 
 
-def _both(q: DataFrame, corpus: DataFrame, f) -> DataFrame:
-    """f(queries, chunks) of each strategy; query_id becomes strategy and id, so that no list mixes two."""
-    return reduce(DataFrame.unionByName, (f(q.withColumn("query_id", F.concat(F.lit(name + "|"), "query_id")), corpus.where(F.col("strategy") == name)) for name in STRATEGIES))
-
-
-def _dense(q: DataFrame, corpus: DataFrame, k: int = 50) -> DataFrame:
-    return _both(q, corpus, lambda asked, chunks: retrieval.dense_topk(asked, chunks, k, 6))
-
-
-def _sparse(q: DataFrame, corpus: DataFrame, k: int = 50) -> DataFrame:
-    return _both(q, corpus, lambda asked, chunks: retrieval.search_texts(chunks, asked, k))
+def _asked_by_strategy(q: DataFrame) -> DataFrame:
+    """Every query once for each strategy, so that no list mixes two."""
+    return q.withColumn("strategy", F.explode(F.array(*map(F.lit, STRATEGIES))))
 
 
-def _asked_by_strategy(q: DataFrame) -> DataFrame:
-    return _both(q, q.withColumn("strategy", F.lit("")), lambda asked, _: asked)
+def _dense(spark, sf_dir, k: int = 50) -> DataFrame:
+    return retrieval.dense_topk(_asked_by_strategy(_asked(spark, sf_dir)), _corpus(spark, sf_dir), k, 6, BY)
 
 
-def _apart(df: DataFrame) -> DataFrame:
-    """strategy and query_id as columns of their own again."""
-    parts = F.split("query_id", r"\|")
-    return df.withColumns({"strategy": parts[0], "query_id": parts[1].cast("long")})
+def _sparse(spark, sf_dir, k: int = 50) -> DataFrame:
+    return _index(spark, sf_dir).search(_asked_by_strategy(_asked(spark, sf_dir)), k)
 
 
 def _search(spark, sf_dir, mode: str, use_rerank: bool, limit: int | None) -> DataFrame:
-    corpus = _corpus(spark, sf_dir)
-    q = _asked(corpus)
-    chunks = corpus.drop("strategy", "label", "vector")
-    found = retrieval.search(_dense(q, corpus), _sparse(q, corpus), chunks, _asked_by_strategy(q), mode, use_rerank, limit)
-    return _apart(found.withColumn("score", F.round("score", 10)))
+    chunks, q = _corpus(spark, sf_dir).drop("strategy", "label", "vector"), _asked_by_strategy(_asked(spark, sf_dir))
+    dense = None if mode == "sparse" else _dense(spark, sf_dir)
+    sparse = None if mode == "dense" else _sparse(spark, sf_dir)
+    return retrieval.search(dense, sparse, chunks, q, mode, use_rerank, limit, by=BY).withColumn("score", F.round("score", 10))
 
 
 @query(f"WITH {CORPUS_CTE} SELECT strategy, query_id, rank, chunk_id, score FROM dense WHERE rank <= 5")
 def dense_topk(spark, sf_dir):
-    corpus = _corpus(spark, sf_dir)
-    return _apart(_dense(_asked(corpus), corpus, 5)).select("strategy", "query_id", "rank", "chunk_id", "score")
+    return _dense(spark, sf_dir, 5)
 
 
 @query(f"WITH {CORPUS_CTE} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM dense_all WHERE label = 3 QUALIFY rank <= 5")
 def dense_topk_filtered(spark, sf_dir):
-    corpus = _corpus(spark, sf_dir)
-    return retrieval.dense_topk(_asked(corpus), corpus.where("label = 3"), 5, 6)
+    return retrieval.dense_topk(_asked(spark, sf_dir), _corpus(spark, sf_dir).where("label = 3"), 5, 6)
+
+
+@query(f"WITH {CORPUS_CTE} SELECT strategy, query_id, rank, chunk_id, score FROM dense WHERE rank <= 5")
+def dense_probe(spark, sf_dir):
+    """The stored dense index at full breadth."""
+    index = _dense_index(spark, sf_dir)
+    return index.search(_asked_by_strategy(_asked(spark, sf_dir)), 5, dense_index.CELLS, 6)
+
+
+@query(f"WITH {CORPUS_CTE} SELECT 5 AS k, count(*) AS n, true AS reached FROM dense WHERE rank <= 5")
+def dense_probe_recall(spark, sf_dir):
+    """Half of the cells for each query: over three quarters of the exact lists are found."""
+    asked, index = _asked_by_strategy(_asked(spark, sf_dir)), _dense_index(spark, sf_dir)
+    most = spark.read.parquet(f"{index.path}/centroids").agg(F.max("cell")).first()[0] + 1
+    got = dense_index.recall(index.search(asked, 5, -(-most // 2), 6), _dense(spark, sf_dir, 5), BY)
+    return got.select(F.lit(5).alias("k"), "n", (F.col("recall") > 0.75).alias("reached"))
 
 
 @query(f"WITH {LEX_CTE} SELECT strategy, query_id, rank, chunk_id, score FROM sparse WHERE rank <= 10")
@@ -149,14 +186,49 @@ def rrf_fusion(spark, sf_dir):
 
 @query(f"WITH {LEX_CTE} SELECT strategy, query_id, chunk_id, dense_rank, sparse_rank FROM hybrid")
 def rrf_ranks(spark, sf_dir):
-    corpus = _corpus(spark, sf_dir)
-    q = _asked(corpus)
-    lists = [df.select("query_id", F.lit(name).alias("source"), "rank", "chunk_id") for name, df in (("dense", _dense(q, corpus)), ("sparse", _sparse(q, corpus)))]
-    out = fusion.reciprocal_rank_fusion(lists[0].unionByName(lists[1]), 60, None).withColumn("score", F.round("score", 10)).drop("rank")
-    out = _apart(fusion.top_k(out, ["query_id"], 20, F.desc("score"), F.asc("chunk_id")))
+    lists = [df.select("strategy", "query_id", F.lit(name).alias("source"), "rank", "chunk_id") for name, df in (("dense", _dense(spark, sf_dir)), ("sparse", _sparse(spark, sf_dir)))]
+    out = fusion.reciprocal_rank_fusion(lists[0].unionByName(lists[1]), 60, None, BY).withColumn("score", F.round("score", 10)).drop("rank")
+    out = fusion.top_k(out, ["strategy", "query_id"], 20, F.desc("score"), F.asc("chunk_id"))
     return out.select("strategy", "query_id", "chunk_id", F.try_element_at("ranks", F.lit("dense")).alias("dense_rank"), F.try_element_at("ranks", F.lit("sparse")).alias("sparse_rank"))
 
 
+# Three batches: two thirds of the documents; those divisible by six again, changed; the rest, while those divisible by seven go.
+BATCHED = """batches AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 6 = 0 THEN text || ' thth les' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 3 = 2),
+bpos AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS p FROM batches)"""
+
+
+@query(f"WITH {BATCHED} SELECT term, count(DISTINCT chunk_id) AS chunks, count(*) AS places, sum(chunk_id)::BIGINT AS ids, sum(p)::BIGINT AS positions FROM bpos WHERE term NOT IN ({STOPPED}) GROUP BY term")
+def index_segments(spark, sf_dir):
+    """A stored lexical index after three batches, one of which replaces and one removes documents, equals one of what is left."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    index = LexicalIndex(spark, f"{stored.working_folder(spark)}/segments-{uuid.uuid4().hex}")
+    index.add(d.where("chunk_id % 3 <> 2"), 0)
+    index.add(d.where("chunk_id % 6 = 0").withColumn("text", F.concat("text", F.lit(" thth les"))), 1)
+    index.add(d.where("chunk_id % 3 = 2"), 2, d.where("chunk_id % 7 = 0 AND chunk_id % 3 <> 2"))
+    each = index.postings()
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p)
+    places = F.size("positions").cast("long")
+    return each.groupBy("term").agg(F.count("*").alias("chunks"), F.sum(places).alias("places"), F.sum(F.col("chunk_id") * places).alias("ids"), F.sum(total).alias("positions"))
+
+
+STEMMED = """words AS (SELECT DISTINCT term FROM pos),
+s1 AS (SELECT term, CASE WHEN length(term) < 3 THEN term WHEN suffix(term, 'sses') OR suffix(term, 'ies') THEN left(term, length(term) - 2) WHEN suffix(term, 's') AND NOT suffix(term, 'ss') THEN left(term, length(term) - 1) ELSE term END AS a FROM words),
+s2 AS (SELECT *, CASE WHEN suffix(a, 'ing') THEN left(a, length(a) - 3) WHEN suffix(a, 'ed') AND NOT suffix(a, 'eed') THEN left(a, length(a) - 2) END AS bare FROM s1),
+s3 AS (SELECT term, CASE WHEN length(term) < 3 THEN term WHEN suffix(a, 'eed') THEN CASE WHEN regexp_matches(left(a, length(a) - 3), '[aeiou][^aeiou]|[^aeiou]y[^aeiou]') THEN left(a, length(a) - 1) ELSE a END
+  WHEN bare IS NULL OR NOT regexp_matches(bare, '[aeiou]|[^aeiou]y') THEN a WHEN suffix(bare, 'at') OR suffix(bare, 'bl') OR suffix(bare, 'iz') OR regexp_matches(bare, '^[^aeiou]+[aeiouy][^aeiouwxy]$') THEN bare || 'e'
+  WHEN length(bare) > 1 AND bare[-1] = bare[-2] AND NOT contains('aeiouylsz0123456789', bare[-1]) THEN left(bare, length(bare) - 1) ELSE bare END AS b FROM s2),
+stems AS (SELECT term, CASE WHEN length(term) > 2 AND suffix(b, 'y') AND regexp_matches(left(b, length(b) - 1), '[aeiou]|[^aeiou]y') THEN left(b, length(b) - 1) || 'i' ELSE b END AS stem FROM s3)"""
+
+
+@query(f"WITH {{LEX_TOKENS}}, {STEMMED} SELECT stem AS term, count(DISTINCT chunk_id) AS chunks, count(*) AS places, sum(p)::BIGINT AS positions FROM pos JOIN stems USING (term) WHERE term NOT IN ({STOPPED}) GROUP BY stem".replace("{LEX_TOKENS}", f"""
+pos AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS p FROM documents)"""))
+def stemmed_postings(spark, sf_dir):
+    """The postings of the english configuration."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p)
+    return retrieval.postings(d, config="english").groupBy("term").agg(F.count("*").alias("chunks"), F.sum(F.size("positions").cast("long")).alias("places"), F.sum(total).alias("positions"))
+
+
 def _lexical(spark, sf_dir, asked: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return retrieval.search_texts(d, values(spark, [("q", asked)], "query_id string, query string"), 1_000_000_000)
@@ -223,11 +295,12 @@ hits AS (SELECT c.strategy, c.mode, c.rerank, c.query_id, min(CASE WHEN x.chunk_
 
 def _outcomes(spark, sf_dir) -> DataFrame:
     """All eight cells: two strategies, each by CELLS, to depth 20."""
-    corpus = _corpus(spark, sf_dir)
-    q = _asked(corpus)
-    dense, sparse, chunks, asked = _dense(q, corpus).cache(), _sparse(q, corpus).cache(), corpus.select("chunk_id", "text"), _asked_by_strategy(q)
-    cells = (retrieval.search(dense, sparse, chunks, asked, mode, again, 20).select(F.lit(mode).alias("mode"), F.lit(again).alias("rerank"), "query_id", "rank", "chunk_id") for mode, again in CELLS)
-    got = _apart(evaluation.outcomes(reduce(DataFrame.unionByName, cells), ("mode", "rerank")))
+    corpus, q = _corpus(spark, sf_dir), _asked(spark, sf_dir)
+    chunks, asked = corpus.select("chunk_id", "text"), _asked_by_strategy(q)
+    # Read by several cells each: lists of 50 rows a question, stored.
+    dense, sparse = stored.kept(_dense(spark, sf_dir), "dense-lists"), stored.kept(_sparse(spark, sf_dir), "sparse-lists")
+    cells = (retrieval.search(dense, sparse, chunks, asked, mode, again, 20, by=BY).select("strategy", F.lit(mode).alias("mode"), F.lit(again).alias("rerank"), "query_id", "rank", "chunk_id") for mode, again in CELLS)
+    got = evaluation.outcomes(reduce(DataFrame.unionByName, cells))
     near = corpus.where("chunk_id % 5 = 0").select("chunk_id", F.explode(F.array("label", (F.col("label") + 9) % 10)).alias("label"))
     absent = F.col("query_id") % (2 * EVERY) == EVERY
     want = q.select("query_id", "label").join(near, "label").groupBy("query_id").agg(F.sort_array(F.collect_set(F.when(absent, F.lit(-1).cast("long")).otherwise(F.col("chunk_id")))).alias("expected_paths"))
@@ -626,17 +699,14 @@ def response_spans(spark, sf_dir):
 
 @query(f"WITH {CORPUS_CTE}, f AS (SELECT strategy, query_id, source AS source_path, min(rank) AS r FROM dense JOIN corpus USING (strategy, chunk_id) GROUP BY ALL) SELECT strategy, query_id, row_number() OVER (PARTITION BY strategy, query_id ORDER BY r, source_path)::INT AS rank, source_path FROM f")
 def source_paths_best_first(spark, sf_dir):
-    corpus = _corpus(spark, sf_dir)
-    q = _asked(corpus)
-    hits = retrieval.search(_dense(q, corpus), None, corpus.select("chunk_id", "text", "source_path"), _asked_by_strategy(q), "dense", False)
-    return _apart(answering.source_paths(hits))
+    return answering.source_paths(_search(spark, sf_dir, "dense", False, None), BY)
 
 
 @query(f"""WITH {CORPUS_CTE}, l AS (SELECT query_id, rank, score, '  [' || rank || '] ' || printf('%.4f', score) || '  ' || source || chr(10) || '      -' || chr(10) || '      ' || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 240) AS line FROM dense JOIN corpus USING (strategy, chunk_id) WHERE strategy = 'fixed' AND rank <= 3)
 SELECT query_id AS number, any_value(score) FILTER (rank = 1) AS best_score, '#' || query_id || '  ask ' || query_id || chr(10) || '  u' || query_id || chr(10) || '  best_score=' || printf('%.4f', any_value(score) FILTER (rank = 1)) || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS report FROM l GROUP BY query_id""")
 def evidence_report(spark, sf_dir):
     corpus = _corpus(spark, sf_dir).where("strategy = 'fixed'")
-    q = _asked(_corpus(spark, sf_dir))
+    q = _asked(spark, sf_dir)
     chunks = corpus.select("chunk_id", "text", "source_path", F.lit(None).cast("string").alias("heading_path"))
     hits = retrieval.search(retrieval.dense_topk(q, corpus, 50, 6), None, chunks, q, "dense", False, 3).withColumnRenamed("query_id", "number")
     asked = q.select(F.col("query_id").alias("number"), F.concat(F.lit("u"), "query_id").alias("url"), F.lit("  ").alias("title"), F.concat(F.lit("ask "), "query_id").alias("question"))
@@ -658,6 +728,31 @@ def embed_pending(spark, sf_dir):
     return embedding.embed_pending(chunks, embedding.WordBuckets(16), "fixed").where(F.size("embedding") == 16).select("id")
 
 
+@query("""WITH o AS (SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), n AS (SELECT doc_id, n_chars * 2 AS n_chars FROM documents WHERE lang <> 'en' OR source = 'src1')
+SELECT doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.n_chars ELSE o.n_chars END AS n_chars FROM o FULL JOIN n USING (doc_id) WHERE doc_id % 9 <> 0""")
+def stored_merge(spark, sf_dir):
+    """Two merges into a stored table and a removal; each reads and writes the partitions of its rows alone."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
+    t = stored.StoredTable(spark, f"{stored.working_folder(spark)}/documents-{uuid.uuid4().hex}", "doc_id long, n_chars long", ("doc_id",), 16)
+    t.merge(d.join(read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi"))
+    t.merge(d.where("lang <> 'en' OR source = 'src1'").withColumn("n_chars", F.col("n_chars") * 2))
+    t.delete(d.where("doc_id % 9 = 0"))
+    return t.read()
+
+
+@query("WITH" + WINDOWS.format(table="documents", target=128, stride=112) + """, longer AS (SELECT * FROM chunks WHERE doc_id % 4 <> 0),
+d4 AS (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS w FROM documents WHERE doc_id % 4 = 0)
+SELECT doc_id, ordinal, md5(text) AS h FROM longer UNION ALL SELECT doc_id, 0, md5(regexp_replace(array_to_string(w[1:16], ''), '\s+$', '')) FROM d4 WHERE len(w) > 0""")
+def stored_replace(spark, sf_dir):
+    """The chunks of every document stored, then those of every fourth replaced by its first sixteen words: the old ones go, whatever their number."""
+    d = read(spark, sf_dir, "documents")
+    t = stored.StoredTable(spark, f"{stored.working_folder(spark)}/chunks-{uuid.uuid4().hex}", "doc_id long, strategy string, ordinal int, text string", ("doc_id", "strategy", "ordinal"), 16, ("doc_id",))
+    name = lambda df: df.withColumn("strategy", F.lit("fixed"))
+    t.replace(name(chunking.fixed_chunks(d, 128, 16)), ("doc_id", "strategy"))
+    t.replace(name(chunking.fixed_chunks(d.where("doc_id % 4 = 0"), 16, 0).where("ordinal = 0")), ("doc_id", "strategy"))
+    return t.read().select("doc_id", "ordinal", F.md5("text").alias("h"))
+
+
 @query("WITH" + WINDOWS.format(table="documents", target=128, stride=112) + "SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY ordinal)) AS h FROM chunks GROUP BY doc_id")
 def chunk_texts(spark, sf_dir):
     made = chunking.fixed_chunks(read(spark, sf_dir, "documents"), 128, 16)
