@@ -127,13 +127,14 @@ class LexicalIndex:
         places, and of m words no more than m hold one place of a word that every match must have.
         """
         key = [*self.by, "query_id"]
-        single = wanted.where("NOT neg").groupBy(*key, "grp").agg(F.countDistinct("clause").alias("ways"))
-        words = wanted.where("NOT neg").join(single, [*key, "grp"]).groupBy(*key, "term").agg(F.max((F.col("ways") == 1).cast("int")).alias("needed"))
-        needs = words.groupBy(*key).agg(F.sum("needed").alias("needs"), F.count("*").alias("m"))
+        asked = wanted.where("NOT neg").groupBy(*key).agg(F.collect_list(F.struct("grp", "clause", "term")).alias("w"))
+        must = F.filter("w", lambda x: F.forall("w", lambda y: (y["grp"] != x["grp"]) | (y["clause"] == x["clause"])))  # words of groups without alternatives
+        asked = asked.select(*key, F.array_distinct(F.transform("w", lambda x: x["term"])).alias("words"), F.array_distinct(F.transform(must, lambda x: x["term"])).alias("must"))
+        words = asked.select(*key, F.size("words").alias("m"), F.size("must").alias("needs"), "must", F.explode("words").alias("term")).withColumn("needed", F.array_contains("must", F.col("term"))).drop("must")
         found = blocks.select(*self.by, "term", "upto", "cell", "most").join(words, [*self.by, "term"])
-        found = found.groupBy(*key, "upto", "cell").agg(F.sum("needed").alias("got"), F.min(F.when(F.col("needed") == 1, F.col("most"))).alias("least"), F.sum("most").alias("all"))
+        found = found.groupBy(*key, "upto", "cell", "m", "needs").agg(F.count_if("needed").alias("got"), F.min(F.when(F.col("needed"), F.col("most"))).alias("least"), F.sum("most").alias("all"))
         places = F.least(F.col("m") * F.col("least"), F.col("all"))
-        return found.join(needs, key).where("got = needs").select(*key, "upto", "cell", F.round(0.1 * places, 6).alias("bound"))
+        return found.where("got = needs").select(*key, "upto", "cell", F.round(0.1 * places, 6).alias("bound"))
 
     def search(self, queries: DataFrame, k: int = 50) -> DataFrame:
         """lexical_search of queries(*by, query_id, query) over the stored index, exact.
@@ -149,7 +150,7 @@ class LexicalIndex:
         key, live = [*self.by, "query_id"], self.segments()
         wanted = kept(clauses(queries, self.by, self.config), "clauses")
         if not live:
-            none = scored_hits(postings(self.spark.createDataFrame([], wanted.select(*self.by, F.lit(0).cast("long").alias("chunk_id"), F.lit("").alias("text")).schema), None, self.by).join(wanted, [*self.by, "term"]), wanted, self.by)
+            none = scored_hits(postings(self.spark.createDataFrame([], self._schema("ids") + ", text string"), None, self.by).join(wanted, [*self.by, "term"]), self.by)
             return top_k(none, key, k, F.desc("score"), F.asc("chunk_id")).select(*key, "rank", "chunk_id", "score"), wanted.limit(0)
         blocks = self._read("segments", live)
         removed = self._removed(live[-1][1])
@@ -159,8 +160,8 @@ class LexicalIndex:
 
         def read(chosen: DataFrame) -> DataFrame:
             rows = blocks.join(wanted, [*self.by, "term"]).join(chosen, [*key, "upto", "cell"])
-            hits = rows.select(*key, "clause", "grp", "neg", "nth", "size", "term", "upto", F.explode("postings").alias("p")).select("*", "p.chunk_id", "p.positions")
-            return top_k(scored_hits(self._live(hits, removed), wanted, self.by), key, k, F.desc("score"), F.asc("chunk_id"))
+            hits = rows.select(*key, "clause", "grp", "neg", "nth", "size", "term", "groups", "upto", F.explode("postings").alias("p")).select("*", "p.chunk_id", "p.positions")
+            return top_k(scored_hits(self._live(hits, removed), self.by), key, k, F.desc("score"), F.asc("chunk_id"))
 
         begun = kept(read(first), "begun")
         beat = begun.where(F.col("rank") == k).select(*key, F.col("score").alias("beat"))

@@ -154,15 +154,17 @@ def parse_query(query: str) -> list[tuple[int, list[str], bool]]:
 
 
 def clauses(queries: DataFrame, by: tuple[str, ...] = (), config: str = "simple") -> DataFrame:
-    """Rows (*by, query_id, clause, grp, neg, nth, size, term) of queries(*by, query_id, query): the words of each clause of web-search queries."""
-    names = [*by, "query_id", "clause", "grp", "neg", "nth", "size", "term"]
-    schema = StructType([queries.schema[c] for c in (*by, "query_id")]).add("clause", "integer").add("grp", "integer").add("neg", "boolean").add("nth", "integer").add("size", "integer").add("term", "string")
+    """Rows (*by, query_id, clause, grp, neg, nth, size, term, groups) of queries(*by, query_id, query): the words of each clause of web-search
+    queries; groups: how many groups a match has to meet."""
+    names = [*by, "query_id", "clause", "grp", "neg", "nth", "size", "term", "groups"]
+    schema = StructType([queries.schema[c] for c in (*by, "query_id")]).add("clause", "integer").add("grp", "integer").add("neg", "boolean").add("nth", "integer").add("size", "integer").add("term", "string").add("groups", "integer")
 
     def run(batches):
         for b in batches:
-            rows = [(k, i, g, neg, n, len(words), w) for k, text in enumerate(b.column("query").to_pylist()) for i, (g, words, neg) in enumerate(parse_query(text or "")) for n, w in enumerate(words)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string())
+            parsed = [parse_query(text or "") for text in b.column("query").to_pylist()]
+            rows = [(k, i, g, neg, n, len(words), w, len({x[0] for x in found if not x[2]})) for k, found in enumerate(parsed) for i, (g, words, neg) in enumerate(found) for n, w in enumerate(words)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.int32())
             at = pa.array(columns[0], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in (*by, "query_id")), *(pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True))], names=names)
 
@@ -180,23 +182,33 @@ def lexical_search(index: DataFrame, queries: DataFrame, k: int = 50, by: tuple[
     """
     wanted = clauses(queries, by, config)
     hits = index.join(wanted, [*by, "term"])
-    return top_k(scored_hits(hits, wanted, by), [*by, "query_id"], k, F.desc("score"), F.asc("chunk_id")).select(*by, "query_id", "rank", "chunk_id", "score")
+    return top_k(scored_hits(hits, by), [*by, "query_id"], k, F.desc("score"), F.asc("chunk_id")).select(*by, "query_id", "rank", "chunk_id", "score")
 
 
-def scored_hits(hits: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (*by, query_id, chunk_id, score) of the chunks that match: hits are postings(term, chunk_id, positions) joined with the clauses wanted."""
-    key = [*by, "query_id"]
-    shifted = hits.select(*key, "clause", "grp", "neg", "size", "chunk_id", "nth", F.transform("positions", lambda p: p - F.col("nth")).alias("starts"))
-    matched = shifted.groupBy(*key, "clause", "grp", "neg", "size", "chunk_id").agg(F.collect_list("starts").alias("all"), F.count("*").alias("found"))
-    common = F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), F.col("all")[0], lambda acc, x: F.array_intersect(acc, x))
-    matched = matched.where((F.col("found") == F.col("size")) & (F.size(common) > 0))
-    groups = wanted.where("NOT neg").groupBy(*key).agg(F.countDistinct("grp").alias("groups"))
-    chunks = matched.groupBy(*key, "chunk_id").agg(F.countDistinct(F.when(~F.col("neg"), F.col("grp"))).alias("got"), F.max(F.col("neg").cast("int")).alias("bad"))
-    chunks = chunks.join(groups, key).where("got = groups AND bad = 0").select(*key, "chunk_id")
-    words = hits.where("NOT neg").groupBy(*key, "chunk_id", "term").agg(F.first("positions").alias("positions"))
-    marks = words.join(chunks, [*key, "chunk_id"]).select(*key, "chunk_id", "term", F.explode("positions").alias("pos"))
-    listed = marks.groupBy(*key, "chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("marks"), F.sort_array(F.collect_set("term")).alias("words"))
-    return listed.select(*key, "chunk_id", F.round(cover_density(F.col("marks"), F.col("words")), 6).alias("score"))
+def scored_hits(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (*by, query_id, chunk_id, score) of the chunks that match: hits are postings(term, chunk_id, positions) joined with clauses().
+
+    All that a query and a chunk share meets in one group, of a query's words at most; clauses, groups and covers are judged within its row.
+    """
+    key = [*by, "query_id", "chunk_id"]
+    item = F.struct("clause", "grp", "neg", "nth", "size", "term", "positions")
+    met = hits.groupBy(*key).agg(F.collect_list(item).alias("h"), F.first("groups").alias("groups"))
+
+    def judged(clause: Column) -> Column:
+        own = F.filter("h", lambda x: x["clause"] == clause)
+        starts = F.transform(own, lambda x: F.transform(x["positions"], lambda p: p - x["nth"]))
+        common = F.aggregate(starts, F.get(starts, F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
+        one = F.get(own, F.lit(0))
+        return F.struct(((F.size(own) == one["size"]) & (F.size(common) > 0)).alias("ok"), one["neg"].alias("neg"), one["grp"].alias("grp"))
+
+    met = met.withColumn("judged", F.transform(F.array_distinct(F.transform("h", lambda x: x["clause"])), judged))
+    got = F.size(F.array_distinct(F.transform(F.filter("judged", lambda j: j["ok"] & ~j["neg"]), lambda j: j["grp"])))
+    met = met.where((got == F.col("groups")) & ~F.exists("judged", lambda j: j["ok"] & j["neg"]))
+    wanted = F.filter("h", lambda x: ~x["neg"])
+    marks = F.flatten(F.transform(wanted, lambda x: F.transform(x["positions"], lambda p: F.struct(p.alias("pos"), x["term"].alias("term")))))
+    words = F.array_sort(F.array_distinct(F.transform(wanted, lambda x: x["term"])))
+    listed = met.select(*key, F.array_sort(F.array_distinct(marks)).alias("marks"), words.alias("words"))
+    return listed.select(*key, F.round(cover_density(F.col("marks"), F.col("words")), 6).alias("score"))
 
 
 def search_texts(chunks: DataFrame, queries: DataFrame, k: int = 50, by: tuple[str, ...] = (), config: str = "simple") -> DataFrame:

@@ -741,8 +741,8 @@ def stored_merge(spark, sf_dir):
 
 
 @query("WITH" + WINDOWS.format(table="documents", target=128, stride=112) + """, longer AS (SELECT * FROM chunks WHERE doc_id % 4 <> 0),
-d4 AS (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS w FROM documents WHERE doc_id % 4 = 0)
-SELECT doc_id, ordinal, md5(text) AS h FROM longer UNION ALL SELECT doc_id, 0, md5(regexp_replace(array_to_string(w[1:16], ''), '\s+$', '')) FROM d4 WHERE len(w) > 0""")
+d4 AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS w FROM documents WHERE doc_id % 4 = 0)
+SELECT doc_id, ordinal, md5(text) AS h FROM longer UNION ALL SELECT doc_id, 0, md5(regexp_replace(array_to_string(w[1:16], ''), '\\s+$', '')) FROM d4 WHERE len(w) > 0""")
 def stored_replace(spark, sf_dir):
     """The chunks of every document stored, then those of every fourth replaced by its first sixteen words: the old ones go, whatever their number."""
     d = read(spark, sf_dir, "documents")
