@@ -69,16 +69,28 @@ def last_run(answers: DataFrame) -> int:
     return found
 
 
+def open_runs(runs: DataFrame, git_sha: str = "unknown") -> DataFrame:
+    """Rows of the runs table, while they go on, for runs(id, config_json)."""
+    none = F.lit(None)
+    return runs.select(F.col("id").cast("long").alias("id"), "config_json", F.lit(git_sha).alias("git_sha"), none.cast("string").alias("notes"), F.current_timestamp().alias("started_at"), none.cast("timestamp").alias("finished_at"))
+
+
 def open_run(spark: SparkSession, run_id: int, config_json: str, git_sha: str = "unknown") -> DataFrame:
     """A run's row while it goes on."""
-    row = spark.createDataFrame([(run_id, config_json, git_sha, None)], "id long, config_json string, git_sha string, notes string")
-    return row.withColumns({"started_at": F.current_timestamp(), "finished_at": F.lit(None).cast("timestamp")})
+    return open_runs(spark.createDataFrame([(run_id, config_json)], "id long, config_json string"), git_sha)
+
+
+def close_runs(runs: DataFrame, done: DataFrame) -> DataFrame:
+    """runs with the notes and end of those in done(id, notes), one row each; other runs, and those that are closed, stay."""
+    met = runs.join(done.select("id", F.col("notes").alias("_notes"), F.lit(True).alias("_done")), "id", "left")
+    mine = F.col("_done") & F.col("finished_at").isNull()
+    met = met.withColumns({"notes": F.when(mine, F.col("_notes")).otherwise(F.col("notes")), "finished_at": F.when(mine, F.current_timestamp()).otherwise(F.col("finished_at"))})
+    return met.select(*runs.columns)
 
 
 def close_run(runs: DataFrame, run_id: int, notes: str) -> DataFrame:
     """runs with the run's notes and end; other runs, and one that is closed, stay."""
-    mine = (F.col("id") == run_id) & F.col("finished_at").isNull()
-    return runs.withColumns({"notes": F.when(mine, F.lit(notes)).otherwise(F.col("notes")), "finished_at": F.when(mine, F.current_timestamp()).otherwise(F.col("finished_at"))})
+    return close_runs(runs, runs.sparkSession.createDataFrame([(run_id, notes)], "id long, notes string"))
 
 
 def judge_prompts(claims: DataFrame, spans: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import CLI_FLAG, flag_name
+from plumbline.sources.stored import kept
 
 KINDS = ("cli_flag", "class", "function", "config_key")
 SYMBOL = "source_file string, seq int, name string, kind string, signature string"
@@ -106,7 +107,8 @@ def derive_flags(spark: SparkSession, annotations: DataFrame) -> DataFrame:
     """
     merged = annotations.groupBy("class").agg(F.max_by(F.struct("fields", "bases"), F.struct("source_file", "seq")).alias("x")).select("class", "x.fields", "x.bases")
     bases = merged.select("class", F.explode("bases").alias("base"))
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)
+    cut = lambda df: kept(df, "flag-classes")
+    merged, bases = cut(merged), cut(bases)  # files are parsed once, not in each round
     new = cut(annotations.select(F.explode("makes_flags").alias("class")).distinct())
     reached = new
     while not new.isEmpty():

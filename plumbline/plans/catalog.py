@@ -334,12 +334,11 @@ def paired_sign_test(spark, sf_dir):
     return evaluation.paired(o.where("strategy = 'structure_aware'"), o.where("strategy = 'fixed'"), 10).withColumn("p", F.round("p", 8))
 
 
-SIGNS = [(11, 0), (0, 11), (5, 5), (1, 0), (0, 0), (15, 0), (13, 3), (8, 0)]
-
-
-@query(f"SELECT w, l, CASE WHEN w + l > 0 THEN round(least(1.0, 2.0 * (SELECT sum(factorial((w + l)::INT)::DOUBLE / (factorial(i::INT) * factorial((w + l - i)::INT))) FROM range(0, least(w, l) + 1) t(i)) / pow(2.0, w + l)), 10) END AS p FROM (VALUES {sql_values(SIGNS)}) v(w, l)")
+@query("WITH s AS (SELECT conv_id, count(*) FILTER (role = 'user') AS w, count(*) FILTER (role <> 'user' AND turn % 3 > 0) AS l FROM conversations GROUP BY conv_id) SELECT conv_id, w, l, CASE WHEN w + l > 0 THEN round(least(1.0, 2.0 * (SELECT sum(factorial((w + l)::INT)::DOUBLE / (factorial(i::INT) * factorial((w + l - i)::INT))) FROM range(0, least(w, l) + 1) t(i)) / pow(2.0, w + l)), 10) END AS p FROM s")
 def sign_test_values(spark, sf_dir):
-    return values(spark, SIGNS, "w int, l int").select("w", "l", F.round(scores.sign_test(F.col("w"), F.col("l")), 10).alias("p"))
+    """Wins and losses from each conversation's turns."""
+    counted = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("w"), F.count_if((F.col("role") != "user") & (F.col("turn") % 3 > 0)).alias("l"))
+    return counted.withColumn("p", F.round(scores.sign_test(F.col("w"), F.col("l")), 10))
 
 
 @query(f"WITH {OUTCOMES_CTE}, g AS (SELECT strategy, mode, rerank, avg(r) AS recall FROM per_query WHERE k = 5 GROUP BY ALL) SELECT round(max(coalesce(recall, 0)), 6) AS best, max(coalesce(recall, 0)) >= 0.05 AS passed FROM g")
@@ -547,12 +546,13 @@ def sentence_claims(spark, sf_dir):
     return grounding.extract_claims(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.col("text").alias("answer_text"))).select("answer_id", "ordinal", "text")
 
 
-REMARKS = [("The spans don't cover this option.",), ("I can't say which value is the default.",), ("The default is 256 tokens.",), ("From the provided context, use two workers.",), ("There is nothing in the manual about it.",), ("Increase the span width.",)]
+REMARKS = ("The spans don't cover this option.", "I can't say which value is the default.", "The default is 256 tokens.", "From the provided context, use two workers.", "There is nothing in the manual about it.", "Increase the width.")
 
 
-@query(f"SELECT t, regexp_matches(t, '(?i)\\b(?:provided\\s+|retrieved\\s+|given\\s+)?(?:spans?|context|documentation provided)\\b') OR regexp_matches(t, '(?i)\\b(?:I(?:''d| would)? (?:can''?t|cannot|could not|couldn''?t|need|rather not)|there is nothing in|I do not have|I don''?t have)\\b') AS remark FROM (VALUES {sql_values(REMARKS)}) v(t)")
+@query(f"WITH t AS (SELECT conv_id, turn, {sql_values([(list(REMARKS),)])[1:-1]}[turn % 6 + 1] || ' ' || text AS t FROM conversations) SELECT conv_id, turn, regexp_matches(t, '(?i)\\b(?:provided\\s+|retrieved\\s+|given\\s+)?(?:spans?|context|documentation provided)\\b') OR regexp_matches(t, '(?i)\\b(?:I(?:''d| would)? (?:can''?t|cannot|could not|couldn''?t|need|rather not)|there is nothing in|I do not have|I don''?t have)\\b') AS remark FROM t")
 def context_remark_flag(spark, sf_dir):
-    return values(spark, REMARKS, "t string").select("t", text.is_context_remark(F.col("t")).alias("remark"))
+    said = F.concat(F.get(F.array(*map(F.lit, REMARKS)), (F.col("turn") % 6).cast("int")), F.lit(" "), "text")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.is_context_remark(said).alias("remark"))
 
 
 ATTRIBUTION = """
@@ -759,10 +759,14 @@ def chunk_texts(spark, sf_dir):
     return store.ordered_texts(made, "fixed").select("doc_id", F.md5(F.array_join("texts", "\n")).alias("h"))
 
 
-@query("SELECT * FROM (VALUES (1, 'done', true), (2, NULL, false)) v(id, notes, finished)")
+@query("SELECT conv_id AS id, CASE WHEN bool_or(role = 'system') THEN count(*) || ' turns' END AS notes, bool_or(role = 'system') AS finished FROM conversations GROUP BY conv_id")
 def run_lifecycle(spark, sf_dir):
-    runs = answering.open_run(spark, 1, "{}").unionByName(answering.open_run(spark, 2, "{}"))
-    return answering.close_run(runs, 1, "done").select(F.col("id").cast("int").alias("id"), "notes", F.col("finished_at").isNotNull().alias("finished"))
+    """A run for each conversation; those with a system turn are closed, twice."""
+    c = read(spark, sf_dir, "conversations")
+    runs = answering.open_runs(c.select(F.col("conv_id").alias("id"), F.lit("{}").alias("config_json")).distinct())
+    ended = c.groupBy(F.col("conv_id").alias("id")).agg(F.concat(F.count("*").cast("string"), F.lit(" turns")).alias("notes"), F.max(F.col("role") == "system").alias("is_over")).where("is_over")
+    closed = answering.close_runs(answering.close_runs(runs, ended.select("id", "notes")), ended.select("id", F.lit("again").alias("notes")))
+    return closed.select("id", "notes", F.col("finished_at").isNotNull().alias("finished"))
 
 
 @query("SELECT CASE WHEN toxic = 1 THEN 'unsupported' WHEN quality = 1 THEN 'supported' ELSE 'unverifiable' END AS verdict, count(*) AS n FROM labels GROUP BY 1")
@@ -814,59 +818,90 @@ def symbols_by_kind(spark, sf_dir):
     return symbols.symbols_by_kind(read(spark, sf_dir, "part").select(kind.alias("kind")))
 
 
-TEXTS = [(1, "vllm serve my-model --max-num-seqs 256"), (2, "pip install --upgrade x"), (3, "$ vllm serve m \\\n  --tensor-parallel 2 \\\n  --made-up 1\nthen --not-here"), (4, "A=1 python -m vllm.entry --max-num-seqs 2"), (5, "In vllm you can pass --made-up-flag"), (6, "nothing")]
-KNOWN = [("--max-num-seqs",), ("--tensor-parallel",)]
-FOUND = [(1, "--max-num-seqs"), (3, "--tensor-parallel"), (3, "--made-up"), (4, "--max-num-seqs")]
+def _commands(spark, sf_dir) -> DataFrame:
+    """Texts (id, text) made of every turn: a command, one over several lines, another program's command, one behind a variable, or prose alone; the turn's own text follows."""
+    n, k = F.col("turn").cast("string"), (F.col("conv_id") % 7).cast("string")
+    made = (
+        F.when(F.col("turn") % 5 == 0, F.concat(F.lit("vllm serve my-model --n"), n, F.lit(" 256")))
+        .when(F.col("turn") % 5 == 1, F.concat(F.lit("$ vllm serve m \\\n  --long-"), k, F.lit(" 2 \\\n  --made-up 1\nthen --not-here")))
+        .when(F.col("turn") % 5 == 2, F.lit("pip install --upgrade x"))
+        .when(F.col("turn") % 5 == 3, F.concat(F.lit("A=1 python -m vllm.entry --n"), n, F.lit(" 2")))
+        .otherwise(F.lit("In vllm you can pass --made-up-flag"))
+    )
+    return read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(made, F.lit("\n"), "text").alias("text"))
+
+
+MENTIONED = "m AS (SELECT conv_id * 1000 + turn AS id, unnest(CASE turn % 5 WHEN 0 THEN ['--n' || turn] WHEN 1 THEN ['--long-' || conv_id % 7, '--made-up'] WHEN 3 THEN ['--n' || turn] ELSE []::VARCHAR[] END) AS name FROM conversations)"
 
 
-@query(f"SELECT * FROM (VALUES {sql_values(FOUND)}) v(id, name)")
+@query(f"WITH {MENTIONED} SELECT DISTINCT id, name FROM m")
 def command_line_flags(spark, sf_dir):
-    return symbols.mentions(values(spark, TEXTS, "id int, text string"))
+    return symbols.mentions(_commands(spark, sf_dir))
 
 
-@query(f"WITH t(id) AS (VALUES (1), (2), (3), (4), (5), (6)), m(id, name) AS (VALUES {sql_values(FOUND)}), k(name) AS (VALUES {sql_values(KNOWN)}), x AS (SELECT id, count(*) AS n, count(*) FILTER (name NOT IN (SELECT name FROM k)) AS bad, string_agg(name, ',') FILTER (name NOT IN (SELECT name FROM k)) AS missing FROM m GROUP BY id) SELECT id, CASE WHEN bad > 0 THEN 'contradicted' WHEN n > 0 THEN 'supported' ELSE 'unverifiable' END AS verdict, coalesce(missing, '') AS missing FROM t LEFT JOIN x USING (id)")
+@query(f"""WITH {MENTIONED}, k AS (SELECT '--n' || turn AS name FROM conversations WHERE turn % 2 = 0 UNION SELECT '--long-' || conv_id % 7 FROM conversations WHERE conv_id % 7 < 4),
+x AS (SELECT id, count(*) FILTER (name NOT IN (SELECT name FROM k)) AS bad, string_agg(name, ',' ORDER BY name) FILTER (name NOT IN (SELECT name FROM k)) AS missing FROM (SELECT DISTINCT id, name FROM m) GROUP BY id)
+SELECT conv_id * 1000 + turn AS id, CASE WHEN bad > 0 THEN 'contradicted' WHEN bad = 0 THEN 'supported' ELSE 'unverifiable' END AS verdict, coalesce(missing, '') AS missing FROM conversations LEFT JOIN x ON x.id = conv_id * 1000 + turn""")
 def missing_symbols(spark, sf_dir):
-    texts = values(spark, TEXTS, "id int, text string")
-    known = values(spark, KNOWN, "name string").withColumn("kind", F.lit("cli_flag"))
-    return symbols.symbol_verdicts(texts, symbols.mentions(texts), known).withColumn("missing", F.array_join("missing", ","))
+    texts, c = _commands(spark, sf_dir), read(spark, sf_dir, "conversations")
+    known = c.where("turn % 2 = 0").select(F.concat(F.lit("--n"), "turn").alias("name")).union(c.where("conv_id % 7 < 4").select(F.concat(F.lit("--long-"), F.col("conv_id") % 7)))
+    return symbols.symbol_verdicts(texts, symbols.mentions(texts), known.withColumn("kind", F.lit("cli_flag"))).withColumn("missing", F.array_join("missing", ","))
 
 
-CLASSES = [("f", 0, "Base", ["model_name"], ["Loop"], []), ("f", 1, "Loop", ["max_len"], ["Base"], []), ("f", 2, "Front", ["tool_parser"], ["Base"], ["Front"]), ("f", 3, "Other", ["unused_field"], [], [])]
+#: Parts in one file of the tree of source files.
+PARTS_A_FILE = 20
 
 
-@query(f"""WITH RECURSIVE c(f, s, class, fields, bases, makes) AS (VALUES {sql_values(CLASSES)}), r(class) AS (SELECT unnest(makes) FROM c UNION SELECT unnest(c.bases) FROM r JOIN c ON c.class = r.class)
-SELECT DISTINCT '--' || replace(unnest(fields), '_', '-') AS flag FROM r JOIN c USING (class)""")
+def _tree(spark, sf_dir) -> DataFrame:
+    """Source files (path, content) written as a tree and scanned again: a class and a function for each part, PARTS_A_FILE in a file.
+
+    A part's class is private for some, has the class of half the part's number as its base (the first has the third's: a cycle), an
+    annotated field with a docstring, a hidden field, and for some a method that makes flags of its fields. A function names a flag
+    literally, or for some computes one. Every ninth file does not parse.
+    """
+
+    def make(folder):
+        k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+        base = F.when(F.col("p_partkey") == 1, "(Part3)").when(F.col("p_partkey") > 1, F.concat(F.lit("(Part"), F.floor(F.col("p_partkey") / 2).cast("string"), F.lit(")"))).otherwise("")
+        makes = F.when(F.col("p_size") % 5 == 0, F.lit('    @classmethod\n    def add_cli_args(cls, parser):\n        for name in get_kwargs(cls):\n            parser.add_argument(f"--{name}")\n')).otherwise("")
+        flag = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit('    parser.add_argument(name, "--computed-'), k, F.lit('")\n'))).otherwise(F.concat(F.lit('    parser.add_argument("-f", "--flag-'), k, F.lit('", help="x")\n')))
+        code = F.concat(
+            F.lit("class "), F.when(F.col("p_size") % 7 == 0, "_").otherwise(""), F.lit("Part"), k, base, F.lit(':\n    """'), "p_brand", F.lit('."""\n    size_'), k, F.lit(": int = "), size, F.lit('\n    """Size of '), "p_name",
+            F.lit('."""\n    _hidden: int = 1\n'), makes, F.lit("\n\nasync def add_"), k, F.lit("(parser, n: int = "), size, F.lit('):\n    """Adds '), k, F.lit('."""\n'), flag, F.lit("\n\n"),
+        )
+        rows = read(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / PARTS_A_FILE).alias("f"), code.alias("code"))
+        listed = rows.groupBy("f").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "code"))), lambda x: x["code"]), "").alias("body"))
+        broken = F.when(F.col("f") % 9 == 4, "def (\n").otherwise("")
+        content = F.concat(F.lit('"""Module '), F.col("f").cast("string"), F.lit('."""\n\n'), "body", broken)
+        files.write_tree(listed.select(F.concat(F.lit("pkg/sub"), (F.col("f") % 3).cast("string"), F.lit("/m"), F.col("f").cast("string"), F.lit(".py")).alias("path"), content.alias("content")), folder)
+
+    return files.scan_files(spark, _stored(spark, sf_dir, "tree", make).removeprefix("file://"), ("**/*.py",))
+
+
+TREE = f"""parts AS (SELECT *, p_partkey // {PARTS_A_FILE} AS f, CASE WHEN p_size % 7 = 0 THEN '_' ELSE '' END || 'Part' || p_partkey AS class, CASE WHEN p_partkey = 1 THEN 'Part3' WHEN p_partkey > 1 THEN 'Part' || p_partkey // 2 END AS base FROM part WHERE (p_partkey // {PARTS_A_FILE}) % 9 <> 4),
+closed(class) AS (SELECT class FROM parts WHERE p_size % 5 = 0 UNION SELECT base FROM closed JOIN parts USING (class) WHERE base IS NOT NULL),
+derived AS (SELECT '--size-' || p_partkey AS flag FROM closed JOIN parts USING (class))"""
+
+
+@query(f"WITH RECURSIVE {TREE} SELECT DISTINCT flag FROM derived")
 def flag_closure(spark, sf_dir):
-    return symbols.derive_flags(spark, values(spark, CLASSES, symbols.ANNOTATION))
-
-
-SOURCE = '''
-"""A module."""
-parser.add_argument("-m", "--model", help="x")
-parser.add_argument(name, "--computed")
-class Config:
-    """Settings."""
-    max_len: int = 4
-    """The longest input."""
-    _hidden: int = 1
-    def run(self, a: int) -> str:
-        """Runs."""
-class _Private:
-    x: int = 1
-async def serve(port: int = 1):
-    """Serves."""
-'''
-
-
-@query(f"SELECT * FROM (VALUES {sql_values([('--model', 'cli_flag', None), ('max_len', 'config_key', 'max_len: int = 4'), ('Config', 'class', 'class Config'), ('serve', 'function', 'async def serve(port: int=1)')])}) v(name, kind, signature)")
+    return symbols.derive_flags(spark, symbols.class_annotations(_tree(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {TREE} SELECT '--flag-' || p_partkey AS name, 'cli_flag' AS kind, NULL AS signature FROM parts WHERE p_size % 4 <> 0
+UNION ALL SELECT 'size_' || p_partkey, 'config_key', 'size_' || p_partkey || ': int = ' || p_size FROM parts WHERE p_size % 7 <> 0
+UNION ALL SELECT class, 'class', 'class ' || class FROM parts WHERE p_size % 7 <> 0
+UNION ALL SELECT 'add_' || p_partkey, 'function', 'async def add_' || p_partkey || '(parser, n: int=' || p_size || ')' FROM parts
+UNION ALL SELECT DISTINCT flag, 'cli_flag', NULL FROM derived""")
 def ast_symbols(spark, sf_dir):
-    code = values(spark, [("pkg/a.py", SOURCE), ("pkg/bad.py", "def (")], "path string, content string")
-    return symbols.build_symbols(spark, code).select("name", "kind", "signature")
+    return symbols.build_symbols(spark, _tree(spark, sf_dir)).select("name", "kind", "signature")
 
 
-@query()
+@query(f"""WITH RECURSIVE {TREE}, d AS (SELECT f, p_partkey, CASE WHEN p_size % 7 <> 0 THEN '## class ' || class || chr(10) || chr(10) || p_brand || '.' || chr(10) || chr(10) || '### ' || class || '.size_' || p_partkey || chr(10) || chr(10) || '```python' || chr(10) || 'size_' || p_partkey || ': int = ' || p_size || chr(10) || '```' || chr(10) || chr(10) || 'Size of ' || p_name || '.' || chr(10) || chr(10) ELSE '' END
+  || '## add_' || p_partkey || chr(10) || chr(10) || '```python' || chr(10) || 'async def add_' || p_partkey || '(parser, n: int=' || p_size || ')' || chr(10) || '```' || chr(10) || chr(10) || 'Adds ' || p_partkey || '.' AS doc FROM parts)
+SELECT 'pkg/sub' || f % 3 || '/m' || f || '.py' AS source_path, 'pkg.sub' || f % 3 || '.m' || f AS title, md5('# pkg.sub' || f % 3 || '.m' || f || chr(10) || chr(10) || 'Module ' || f || '.' || chr(10) || chr(10) || string_agg(doc, chr(10) || chr(10) ORDER BY p_partkey)) AS text FROM d GROUP BY f""")
 def docstring_docs(spark, sf_dir):
-    return files.parse_docstrings(values(spark, [("pkg/a.py", SOURCE), ("pkg/bad.py", "def ("), ("pkg/none.py", "x = 1")], "path string, content string"))
+    return files.parse_docstrings(_tree(spark, sf_dir)).select("source_path", "title", F.md5("text").alias("text"))
 
 
 # ---------------------------------------------------------------- golden questions, costs, issues
@@ -890,13 +925,20 @@ def golden_missing(spark, sf_dir):
     return files.missing_paths(golden, docs).select(F.col("id").alias("doc_id"))
 
 
-GOLDEN_ROWS = [("a", "How?", "https://github.com/x/1", "api", "easy"), ("a", "Why?", "https://github.com/x/2", "config", "hard"), ("b", "", "http://other", "api", "easy"), ("c", "What?", "https://github.com/x/3", "cooking", "odd")]
-PROBLEMS = [("a", "id is repeated"), ("a", "id is repeated"), ("b", "question is missing"), ("b", "not an issue URL"), ("c", "unknown category"), ("c", "unknown difficulty")]
+GOLDEN_SQL = """g AS (SELECT doc_id, 'g' || (doc_id - (doc_id % 11 = 1)::INT) AS id, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'Why ' || source || '?' END AS question, CASE WHEN doc_id % 4 > 0 THEN 'https://github.com/x/' ELSE 'http://other/' END || doc_id AS source_url,
+  ['api', 'config', 'cooking'][doc_id % 3 + 1] AS category, ['easy', 'medium', 'hard', 'odd', NULL][doc_id % 5 + 1] AS difficulty FROM documents)"""
 
 
-@query(f"SELECT * FROM (VALUES {sql_values(PROBLEMS)}) v(id, problem)")
+@query(f"""WITH {GOLDEN_SQL} SELECT id, 'question is missing' AS problem FROM g WHERE trim(question) = '' UNION ALL SELECT id, 'difficulty is missing' FROM g WHERE difficulty IS NULL UNION ALL SELECT id, 'unknown category' FROM g WHERE category = 'cooking'
+UNION ALL SELECT id, 'unknown difficulty' FROM g WHERE difficulty = 'odd' UNION ALL SELECT id, 'not an issue URL' FROM g WHERE source_url LIKE 'http:%' UNION ALL SELECT id, 'id is repeated' FROM g QUALIFY count(*) OVER (PARTITION BY id) > 1""")
 def golden_validation(spark, sf_dir):
-    return files.golden_violations(values(spark, GOLDEN_ROWS, "id string, question string, source_url string, category string, difficulty string"))
+    k = F.col("doc_id")
+    pick = lambda of, n: F.get(F.array(*map(F.lit, of)), (k % n).cast("int"))
+    golden = read(spark, sf_dir, "documents").select(
+        F.concat(F.lit("g"), k - (k % 11 == 1).cast("int")).alias("id"), F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("Why "), "source", F.lit("?"))).alias("question"),
+        F.concat(F.when(k % 4 > 0, "https://github.com/x/").otherwise("http://other/"), k).alias("source_url"), pick(("api", "config", "cooking"), 3).alias("category"), pick(("easy", "medium", "hard", "odd", None), 5).alias("difficulty"),
+    )
+    return files.golden_violations(golden)
 
 
 @query("""WITH a AS (SELECT CASE conv_id % 4 WHEN 0 THEN 'large' WHEN 1 THEN 'medium' WHEN 2 THEN 'small' ELSE 'local' END AS model, len(regexp_extract_all(text, '\\S+')) AS i, turn AS o, CASE WHEN turn % 3 > 0 THEN length(text)::INT END AS ms, turn % 5 = 0 AS ab FROM conversations), p(model, ip, op) AS (VALUES ('large', 5.0, 25.0), ('medium', 2.0, 10.0), ('small', 1.0, 5.0)), c AS (SELECT a.*, (i * ip::DOUBLE + o * op::DOUBLE) / 1e6 AS cost FROM a LEFT JOIN p USING (model))
@@ -914,19 +956,17 @@ def triad_rollup(spark, sf_dir):
     return evaluation.triad_rollup(s).withColumns({c: F.round(c, 6) for c in ("answer_relevance", "context_relevance")})
 
 
-ISSUES = [
-    ('{"number": 1, "html_url": "u1", "title": "[Usage]: How to batch?", "body": "### Your current environment\\r\\ndump\\r\\n### How would you like to use vllm\\r\\nI want batches.\\r\\n### Before submitting a new issue...\\r\\n- x", "labels": [{"name": "usage"}]}',),
-    ('{"number": 2, "html_url": "u2", "title": "Plain", "body": "Whole body stays.", "labels": null}',),
-    ('{"number": 3, "html_url": "u3", "title": "[Doc] Gap", "body": null}',),
-    ('{"number": 4, "html_url": "u4", "title": "Env", "body": "### Your current environment\\ndump\\n### Rest\\nkept", "labels": []}',),
-]
-ISSUE_ROWS = [(1, "How to batch?", "I want batches.", "usage"), (2, "Plain", "Whole body stays.", ""), (3, "Gap", "", ""), (4, "Env", "### Rest\nkept", "")]
-
-
-@query(f"SELECT * FROM (VALUES {sql_values(ISSUE_ROWS)}) v(number, title, question, labels)")
+@query(r"""WITH d AS (SELECT doc_id, source, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id AS number, CASE doc_id % 4 WHEN 0 THEN 'How to use ' || source || '?' WHEN 1 THEN 'Plain ' || source WHEN 2 THEN 'Gap' ELSE 'Env' END AS title, CASE doc_id % 4 WHEN 0 THEN md5('I want ' || source || '. ' || t) WHEN 1 THEN md5(t) WHEN 2 THEN md5('') ELSE md5('### Rest' || chr(10) || 'kept ' || t) END AS question, CASE WHEN doc_id % 4 = 0 THEN 'usage,' || lang ELSE '' END AS labels FROM d""")
 def issue_candidates(spark, sf_dir):
-    out = files.parse_issues(values(spark, ISSUES, "value string"))
-    return out.select(F.col("number").cast("int").alias("number"), "title", "question", F.array_join("labels", ",").alias("labels"))
+    """Issues as JSON made of the documents: the template with its question section, a plain body, none, and one with an environment section alone."""
+    k, t = F.col("doc_id") % 4, F.trim(F.regexp_replace("text", r"\s+", " "))
+    title = F.when(k == 0, F.concat(F.lit("[Usage]: How to use "), "source", F.lit("?"))).when(k == 1, F.concat(F.lit("Plain "), "source")).when(k == 2, F.lit("[Doc] Gap")).otherwise("Env")
+    body = F.when(k == 0, F.concat(F.lit("### Your current environment\r\ndump\r\n### How would you like to use vllm\r\nI want "), "source", F.lit(". "), t, F.lit("\r\n### Before submitting a new issue...\r\n- x")))
+    body = body.when(k == 1, t).when(k == 3, F.concat(F.lit("### Your current environment\ndump\n### Rest\nkept "), t))
+    labels = F.when(k == 0, F.array(F.struct(F.lit("usage").alias("name")), F.struct(F.col("lang").alias("name")))).when(k == 3, F.array().cast("array<struct<name:string>>"))
+    raw = read(spark, sf_dir, "documents").select(F.to_json(F.struct(F.col("doc_id").alias("number"), F.lit("u").alias("html_url"), title.alias("title"), body.alias("body"), labels.alias("labels"))).alias("value"))
+    return files.parse_issues(raw).select("number", "title", F.md5("question").alias("question"), F.array_join("labels", ",").alias("labels"))
 
 
 # ---------------------------------------------------------------- text functions, upserts and reports

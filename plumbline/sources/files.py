@@ -8,6 +8,8 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,21 @@ def scan_files(spark: SparkSession, root: str, globs: Iterable[str]) -> DataFram
     return files.where(wanted).select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")).dropDuplicates(["path"])
 
 
+def write_tree(files: DataFrame, root: str) -> int:
+    """Writes each row of files(path, content) as a file below root, in the tasks; returns how many. A task that runs again replaces its files by equal ones."""
+
+    def run(batches):
+        place, at = arrow_fs.FileSystem.from_uri(root)
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                place.create_dir(f"{at}/{path}".rsplit("/", 1)[0], recursive=True)
+                with place.open_output_stream(f"{at}/{path}") as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def _glob(pattern: str) -> str:
     return "^" + pattern.replace(".", r"\.").replace("**/", "(?:.+/)?").replace("*", "[^/]*").replace("(?:.+/)?", "(?:.+/)?") + "$"
 
