@@ -62,6 +62,17 @@ def join_small(rows: DataFrame, small: DataFrame, on: str, how: str = "inner", l
     return rows.join(F.broadcast(small) if small.count() <= limit else small, on, how)
 
 
+#: Rows of whole texts in a batch between Spark and a Python worker, at most.
+BATCH_ROWS = 1500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's batches to Python workers: both sides hold several copies of a batch, and its rows are whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def spare(wanted: str, taken) -> str:
     """A column name like wanted that is none of those taken, in any case."""
     taken = {c.lower() for c in taken}
