@@ -9,31 +9,36 @@ from plumbline.llm.mixing import mixed_documents
 from plumbline.llm.packing import packed_documents
 from plumbline.llm.pii import redact_documents
 from plumbline.llm.quality import keep_quality
-from plumbline.llm.shared import materialize
+from plumbline.llm.shared import materialize, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    small_batches(spark)
     return keep_quality(docs)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates, five-word shingles at a similarity of 0.8, the document with the least doc_id."""
+    small_batches(spark)
     return one_of_each(docs, size=5, percent=80)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind."""
+    small_batches(spark)
     return redact_documents(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, in the order of the Pfair schedule; files hold consecutive slots, so each is a mixture by the target weights."""
+    small_batches(spark)
     return mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences; a partition's sequences come from its part of the mixture."""
+    small_batches(spark)
     return packed_documents(docs)
 
 
