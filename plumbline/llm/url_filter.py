@@ -93,29 +93,51 @@ def normal_path(path: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.when(last & (F.length(plain) > 1), F.concat(plain, F.lit("/"))).otherwise(plain)).otherwise(path)
 
 
+#: A link, meta or base tag: quoted values can hold any sign; where quotes do not pair, it ends at the next >. A tag that is not closed before
+#: the next < is none, so each sign is looked at a few times only. An attribute: its name, and its value with quotes.
+TAG = r"""(?is)<(?:link|meta|base)(?=[\s/>])(?:(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|[^<>]*+>)"""
+ATTRIBUTE = r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?"""
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of the name, without quotes; null without one."""
+    inside = F.regexp_replace(tag, r"^<\w+", "")
+    names = F.transform(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
+    found = F.try_element_at(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(2)), F.nullif(F.array_position(names, name).cast("int"), F.lit(0)))
+    return F.when(found.rlike("^[\"']"), F.substring(found, F.lit(2), F.length(found) - 2)).otherwise(found)
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """A reference as an absolute URL, by the URL that it stands in."""
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    own, rest = F.regexp_extract(href, r"(?s)^([^?#]*)", 1), F.regexp_extract(href, r"(?s)^[^?#]*(.*)", 1)
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+        .when(href.startswith("//"), F.concat(F.lit("http:"), href))
+        .when(href.startswith("/"), F.concat(site, normal_path(own), rest))
+        .when(href.startswith("?"), F.concat(site, path_of(base), rest))
+        .otherwise(F.concat(site, normal_path(F.concat(folder, own)), rest))
+    )
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """Edges (url, target) from canonical links and refresh redirects in html, targets made absolute.
+    """Edges (url, target) from canonical links and refresh redirects in html, targets made absolute, by the page's base element if it has one.
 
     Comments, scripts and other raw text hold no links. Pages without url or html give none; nor does a url or target without host."""
     seen = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|noscript|template|xmp)\b.*?(?:</\1\s*>|\z)", " ")
-    tags = F.regexp_extract_all(seen, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    wanted = F.filter(tags, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?\s*canonical\b|http-equiv\s*=\s*[\"']?\s*refresh\b"))
-    raw = pages.where(F.col("html").rlike(r"(?i)canonical|refresh") & F.col("url").contains("://") & (host_of(F.col("url")) != "")).select("url", F.explode(wanted).alias("tag"))
-    canonical = F.coalesce(F.nullif(F.regexp_extract("tag", r"(?is)\bhref\s*=\s*\"([^\"]*)\"", 1), F.lit("")), F.nullif(F.regexp_extract("tag", r"(?is)\bhref\s*=\s*'([^']*)'", 1), F.lit("")), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*([^\s\"'>]+)", 1))
-    refresh = F.regexp_extract("tag", r"(?is)content\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?([^\"'>]+)", 1)
-    href = F.trim(decoded(F.when(F.col("tag").rlike(r"(?i)^<meta"), refresh).otherwise(canonical)))
-    raw = raw.withColumn("href", href).where("href <> '' AND NOT startswith(href, '#')")
-    site = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(F.col("url")), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
-    own, rest = F.regexp_extract("href", r"(?s)^([^?#]*)", 1), F.regexp_extract("href", r"(?s)^[^?#]*(.*)", 1)
-    target = (
-        F.when(F.col("href").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("href"))
-        .when(F.col("href").startswith("//"), F.concat(F.lit("http:"), F.col("href")))
-        .when(F.col("href").startswith("/"), F.concat(site, normal_path(own), rest))
-        .when(F.col("href").startswith("?"), F.concat(site, path_of(F.col("url")), rest))
-        .otherwise(F.concat(site, normal_path(F.concat(folder, own)), rest))
-    )
-    return raw.where("NOT href RLIKE '^(?i)(?:javascript|data|mailto|about):'").select("url", target.alias("target")).where(host_of(F.col("target")) != "")
+    own = pages.where(F.col("html").rlike(r"(?i)canonical|refresh") & F.col("url").contains("://") & (host_of(F.col("url")) != ""))
+    own = own.select("url", F.regexp_extract_all(seen, F.lit(TAG), F.lit(0)).alias("tags"))
+    based = F.filter(F.transform(F.filter("tags", lambda t: t.rlike("(?i)^<base")), lambda t: F.trim(decoded(attribute(t, "href")))), lambda h: F.coalesce(h, F.lit("")) != "")
+    wanted = F.filter("tags", lambda t: t.rlike("(?i)^<(?:link|meta).*(?:canonical|refresh)"))
+    raw = own.select("url", F.get(based, F.lit(0)).alias("base"), F.explode(wanted).alias("tag"))
+    is_link, refresh = F.col("tag").rlike("(?i)^<link"), F.lower(F.trim(F.coalesce(attribute(F.col("tag"), "http-equiv"), F.lit(""))))
+    canonical = F.array_contains(F.split(F.lower(F.coalesce(attribute(F.col("tag"), "rel"), F.lit(""))), r"\s+"), "canonical")
+    after = F.regexp_extract(F.coalesce(decoded(attribute(F.col("tag"), "content")), F.lit("")), r"""(?is)\burl\s*=\s*["']?([^"']+)""", 1)
+    href = F.when(is_link & canonical, decoded(attribute(F.col("tag"), "href"))).when(~is_link & (refresh == "refresh"), after)
+    raw = raw.select("url", "base", F.trim(href).alias("href")).where("href <> '' AND NOT startswith(href, '#')").where("NOT href RLIKE '^(?i)(?:javascript|data|mailto|about):'")
+    raw = raw.withColumn("base", F.when(F.col("base").isNull(), F.col("url")).otherwise(resolved(F.col("url"), F.col("base"))))
+    return raw.select("url", resolved(F.col("base"), F.col("href")).alias("target")).where(host_of(F.col("target")) != "")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -156,14 +178,20 @@ WITH RECURSIVE p AS (
     coalesce(regexp_extract(url, '://[^/?#]*([^#]*)', 1), '') AS tail
   FROM pages),
 rules(rule, h, pre, v) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
-tags AS (SELECT host || tail AS a, regexp_extract(url, '^(.*?://[^/?#]*)', 1) AS site, path, unnest(regexp_extract_all(
-  regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<(?:script|style|textarea|title|noscript|template)\b.*?</(?:script|style|textarea|title|noscript|template)\s*>', ' ', 'g'), '(?i)<(?:link|meta)\b[^>]*>')) AS tag
+tags AS (SELECT host || tail AS a, page_id, regexp_extract(url, '^(.*?://[^/?#]*)', 1) AS site, path, regexp_extract_all(
+  regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<(?:script|style|textarea|title|noscript|template)\b.*?</(?:script|style|textarea|title|noscript|template)\s*>', ' ', 'g'), '(?i)<(?:link|meta|base)[\s/](?:(?:[^<>"'']|"[^"]*"|''[^'']*'')*>|[^<>]*>)') AS tags
   FROM p WHERE contains(url, '://') AND host <> ''),
-hrefs AS (SELECT a, site, path, CASE WHEN regexp_matches(tag, '(?i)rel\s*=\s*["'']?\s*canonical') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''>\s]+)', 1)
-  WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?\s*refresh') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?([^"''>\s]+)', 1) END AS href FROM tags),
+each AS (SELECT page_id, a, site, path, i, lower(regexp_extract(tag, '^<(\w+)', 1)) AS element, list_transform(regexp_extract_all(regexp_replace(tag, '^<\w+', ''), '([^\s"''<>/=]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?', 1), lambda x: lower(x)) AS names,
+  list_transform(regexp_extract_all(regexp_replace(tag, '^<\w+', ''), '([^\s"''<>/=]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?', 2), lambda x: CASE WHEN x[1] IN ('"', '''') THEN substr(x, 2, length(x) - 2) ELSE x END) AS vals FROM (SELECT * EXCLUDE (tags), unnest(tags) AS tag, generate_subscripts(tags, 1) AS i FROM tags)),
+given AS (SELECT *, vals[list_position(names, 'href')] AS href0, vals[list_position(names, 'content')] AS content FROM each),
+bases AS (SELECT page_id, arg_min(href0, i) AS b FROM given WHERE element = 'base' AND href0 <> '' GROUP BY page_id),
+hrefs AS (SELECT page_id, a, site, path, CASE WHEN element = 'link' AND list_contains(string_split_regex(lower(vals[list_position(names, 'rel')]), '\s+'), 'canonical') THEN href0
+  WHEN element = 'meta' AND lower(trim(vals[list_position(names, 'http-equiv')])) = 'refresh' THEN regexp_extract(content, '(?i)\burl\s*=\s*["'']?([^"'']+)', 1) END AS href FROM given),
+placed AS (SELECT a, h, CASE WHEN b IS NULL THEN site ELSE regexp_extract(full_base, '^(.*?://[^/?#]*)', 1) END AS site, CASE WHEN b IS NULL THEN path ELSE regexp_extract(full_base, '://[^/?#]*([^?#]*)', 1) END AS path
+  FROM (SELECT a, replace(trim(href), '&amp;', '&') AS h, site, path, b, CASE WHEN contains(b, '://') THEN b WHEN starts_with(b, '//') THEN 'http:' || b WHEN starts_with(b, '/') THEN site || b ELSE site || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || b END AS full_base
+    FROM hrefs LEFT JOIN bases USING (page_id) WHERE href <> '' AND NOT starts_with(href, '#'))),
 absolute AS (SELECT a, CASE WHEN contains(h, '://') THEN h WHEN starts_with(h, '//') THEN 'http:' || h WHEN starts_with(h, '/') THEN site || h
-  ELSE site || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || h END AS t
-  FROM (SELECT a, site, path, replace(href, '&amp;', '&') AS h FROM hrefs WHERE href <> '' AND NOT starts_with(href, '#'))),
+  ELSE site || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || h END AS t FROM placed),
 e AS (SELECT DISTINCT a, lower(regexp_extract(t, '://([^/?#]*)', 1)) || regexp_extract(t, '://[^/?#]*([^#]*)', 1) AS b FROM absolute WHERE regexp_extract(t, '://([^/?#]*)', 1) <> ''),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
