@@ -38,13 +38,20 @@ FRAME = frozenset("header footer".split())
 DOUBTFUL = frozenset("side rail alert signup login respond reply replies discussion related recommended recommendations share sharing social widget search form disclaimer".split())
 COMPANIONS = frozenset("bar bars block blocks body bottom box boxes btn buttons center column container desktop extra fixed global group holder inner item items js left links list main message mobile outer page panel policy primary reader readers right row secondary section site slot small sticky the thread top unit user users wrap wrapper zone area content article post entry story".split())
 PARTS = frozenset("article post entry story".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>", re.S)
-LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+#: A tag that is not closed before the next < outside quotes is text; so each sign is looked at a few times only.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/><]*+)((?:[^><\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^><]*+>", re.S)
+LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/><]*+)([^><]*+)>")
 NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Of a doubtful element's text, the share inside links from which it is no part of the article.
 LINKED = 0.5
-KEPT, SKIP, FRAMED, DOUBT = range(4)
+KEPT, SKIP, FRAMED, DOUBT, NAMED_ID = range(5)
+#: In an article or main element an id is often the slug of a heading; one with none of these words counts only where a doubtful name does.
+PLAIN_IDS = frozenset("ad ads advert adverts advertisement advertisements adsense adslot sponsor sponsored cookie cookies consent gdpr popup modal overlay subscribe subscription newsletter comment comments commentlist disqus".split())
+#: An element outside articles is the best container where it holds so many times what the best article does; so is a page's own best container against the host's path.
+OUTWEIGHED = 4
+#: Open elements of a page; deeper ones are parts of the last.
+DEEPEST = 120
 
 
 def _mark(name: str) -> int:
@@ -65,8 +72,12 @@ def _step(name: str, attributes: str) -> tuple[str, int]:
     if not attributes:
         return name, SKIP if name in SKIPPED else KEPT
     named = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(attributes)}
-    marks = {_mark(w) for k in ("class", "id", "role") for w in named.get(k, "").split()} if name not in ("html", "body", "article", "main") else set()
-    mark = SKIP if name in SKIPPED or SKIP in marks else FRAMED if FRAMED in marks else DOUBT if DOUBT in marks else KEPT
+    marks = {_mark(w) for k in ("class", "role") for w in named.get(k, "").split()} if name not in ("html", "body", "article", "main") else set()
+    by_id = {_mark(w) for w in named.get("id", "").split()} if name not in ("html", "body", "article", "main") else set()
+    if SKIP in by_id and not PLAIN_IDS.intersection(w.lower() for w in WORD.findall(named["id"])):
+        by_id = (by_id - {SKIP}) | {NAMED_ID}
+    marks |= by_id
+    mark = SKIP if name in SKIPPED or SKIP in marks else NAMED_ID if NAMED_ID in marks else FRAMED if FRAMED in marks else DOUBT if DOUBT in marks else KEPT
     return name + "".join("." + w for w in sorted({re.sub(r"\d+", "", w).lower() for w in named.get("class", "").split()} - {""})), mark
 
 
@@ -86,18 +97,23 @@ def _all_blocks(page: str, doubts: list[list[int]]) -> Iterator[tuple[tuple[str,
     """Blocks outside surely skipped parts, with the numbers of the doubtful elements around them; each of those gets an entry [0, 0, has a form] in doubts."""
     stack: list[tuple[str, str, bool, int | None]] = []  # element, path step, skipped, number of a doubtful one
     text: list[str] = []
-    linked, in_link, skipped, at, size = 0, 0, 0, 0, len(page)
+    linked, in_link, skipped, at, size, deeper = 0, 0, 0, 0, len(page), 0
+
+    around: list[tuple] = []  # of the stack as it stands, once made: the path and the doubtful elements
 
     def flush():
         nonlocal linked
         joined = " ".join(entities.unescape("".join(text)).split())
-        out = (tuple(step for name, step, _, _ in stack if name not in CLOSED_BY_BLOCK), joined, linked, tuple(k for _, _, _, k in stack if k is not None)) if joined else None
+        if joined and not around:
+            around.append((tuple(step for name, step, _, _ in stack if name not in CLOSED_BY_BLOCK), tuple(k for _, _, _, k in stack if k is not None)))
+        out = (around[0][0], joined, linked, around[0][1]) if joined else None
         text.clear()
         linked = 0
         return out
 
     def pop(to: int):
         nonlocal skipped
+        around.clear()
         while len(stack) > to:
             skipped -= stack.pop()[2]
 
@@ -131,6 +147,9 @@ def _all_blocks(page: str, doubts: list[list[int]]) -> Iterator[tuple[tuple[str,
             continue
         if (block := None if skipped else flush()) is not None:
             yield block
+        if closing and deeper and name not in CLOSED_BY_BLOCK:
+            deeper -= 1
+            continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -143,14 +162,20 @@ def _all_blocks(page: str, doubts: list[list[int]]) -> Iterator[tuple[tuple[str,
             pop(len(stack) - 1)
         if name in SAME_CLOSES and stack and stack[-1][0] in SAME_CLOSES[name]:
             pop(len(stack) - 1)
+        if len(stack) >= DEEPEST and name not in SKIPPED:
+            deeper += name not in CLOSED_BY_BLOCK
+            continue
         step, mark = _step(name, tag.group(3))
-        framed = (mark == FRAMED or name == "header") and not any(n in ("article", "main") for n, _, _, _ in stack)
+        inside = mark in (FRAMED, NAMED_ID) or name == "header"
+        inside = inside and any(n in ("article", "main") for n, _, _, _ in stack)
+        framed = (mark in (FRAMED, NAMED_ID) or name == "header") and not inside
         skip, doubt = mark == SKIP or framed, None
-        if mark == DOUBT and not skip:
+        if mark in (DOUBT, NAMED_ID) and not skip:
             doubt = len(doubts)
             doubts.append([0, 0, 0])
         if not tag.group(3).endswith("/"):
             stack.append((name, step, skip, doubt))
+            around.clear()
             skipped += skip
         if name in RAW:
             end = re.compile(rf"</{name}\b", re.I).search(page, at)
@@ -168,25 +193,30 @@ def best_path(page: str | None) -> str | None:
             if up:
                 scores[up] = scores.get(up, 0) + worth * share
     within = [p for p in scores if any(s.split(".")[0] in ("article", "main") for s in p)]
-    if within:  # an article element outranks what surrounds it; its own container stands for its parts
+    if within and OUTWEIGHED * max(scores[p] for p in within) >= max(scores.values()):  # an article element outranks what surrounds it; its own container stands for its parts
         scores = {p: scores[p] for p in within}
     best = max(scores, key=lambda p: (scores[p], p), default=None)
     return None if best is None else ">".join(best)
 
 
 def extract_text(page: str | None, path: str | None) -> str:
-    """The blocks below path, else below the page's own best container, else all of them; in an article or main element the whole element counts."""
+    """The blocks below path, else below the page's own best container, else all of them; in an article or main element the whole element counts.
+
+    Where the own best container holds over OUTWEIGHED times what stands below path, the page is not built as its host's others are, and its own counts."""
     found = list(_blocks(page or ""))
 
-    def below(wanted: str | None) -> list[str]:
+    def below(wanted: str | None) -> list[tuple[str, int]]:
         if not wanted:
             return []
         steps = tuple(wanted.split(">"))
         tops = [k for k, s in enumerate(steps) if s.split(".")[0] in ("article", "main")]
         steps = steps[: tops[0] + 1] if tops else steps
-        return [text for at, text, _ in found if at[: len(steps)] == steps]
+        return [(text, len(text) - linked) for at, text, linked in found if at[: len(steps)] == steps]
 
-    return "\n".join(below(path) or below(best_path(page)) or [text for _, text, _ in found])
+    voted, own = below(path), below(best_path(page))
+    if sum(n for _, n in own) > OUTWEIGHED * sum(n for _, n in voted):
+        voted = own
+    return "\n".join(text for text, _ in voted) or "\n".join(text for text, _ in own) or "\n".join(text for _, text, _ in found)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
