@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.operators.store import delete_by_key, replace_by_key, upsert
+from plumbline.operators.store import delete_by_key, upsert
 
 #: The column that partitions a stored table; callers never see it.
 BUCKET = "_bucket"
@@ -104,19 +104,24 @@ class StoredTable:
         self._put(upsert(self.touched(new), new, list(self.keys)).drop("change"))
         return {"inserted": inserted, "updated": updated}
 
-    def replace(self, new: DataFrame, by: tuple[str, ...]) -> None:
-        """Deletes all rows of every value of by that new has, and inserts new. by must hold the bucketed columns, so that those rows lie in the partitions read."""
+    def replace(self, new: DataFrame, by: tuple[str, ...], of: DataFrame | None = None) -> None:
+        """Deletes all rows of every value of by that new, or else of, has, and inserts new. by must hold the bucketed columns, so that those rows lie in the partitions read."""
         if not set(self.bucketed or self.keys) <= set(by):
             raise ValueError(f"{by} does not say which partitions to read")
-        self._put(replace_by_key(self.touched(new), new.select(*self._columns().names), list(by)))
+        new = new.select(*self._columns().names)
+        values = new.select(*by) if of is None else of.select(*by).unionByName(new.select(*by))
+        self._rewrite(values, delete_by_key(self.touched(values), values, list(by)).unionByName(new))
 
     def delete(self, gone: DataFrame) -> None:
         """Deletes the rows of the keys, or of the bucketed columns, that gone has; a partition that is left empty is removed."""
-        by = [c for c in (self.keys if set(self.keys) <= set(gone.columns) else self.bucketed or self.keys)]
-        numbers = [r[0] for r in self._with_bucket(gone.select(*by)).select(BUCKET).distinct().collect()]
-        left = delete_by_key(self.touched(gone), gone, by)
-        held = {r[0] for r in self._with_bucket(left).select(BUCKET).distinct().collect()}
-        self._put(left)
-        for k in numbers:
-            if k not in held and exists(self.spark, f"{self.path}/{BUCKET}={k}"):
+        by = list(self.keys if set(self.keys) <= set(gone.columns) else self.bucketed or self.keys)
+        self._rewrite(gone, delete_by_key(self.touched(gone), gone, by))
+
+    def _rewrite(self, values: DataFrame, rows: DataFrame) -> None:
+        """Writes rows as all that is left of the partitions that values fall into."""
+        numbers = lambda df: {r[0] for r in self._with_bucket(df.select(*(self.bucketed or self.keys))).select(BUCKET).distinct().collect()}  # noqa: E731 - no more than buckets
+        emptied = numbers(values) - numbers(rows)
+        self._put(rows)
+        for k in emptied:
+            if exists(self.spark, f"{self.path}/{BUCKET}={k}"):
                 remove(self.spark, f"{self.path}/{BUCKET}={k}")

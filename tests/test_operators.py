@@ -189,18 +189,6 @@ def test_plans_stay_in_the_jvm(spark):
         assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_incremental_stream(spark, tmp_path):
-    from plumbline.streaming.incremental import index_new_documents
-
-    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "doc_id long, text string")
-    docs.write.parquet(f"{tmp_path}/in/a")
-    for batch in ("a", "b"):
-        if batch == "b":
-            docs.selectExpr("doc_id + 10 AS doc_id", "text").write.parquet(f"{tmp_path}/in/b")
-        index_new_documents(spark, f"{tmp_path}/in/*", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(120)
-        assert spark.read.parquet(f"{tmp_path}/out/chunks").count() == (2 if batch == "a" else 4)
-
-
 def test_symbol_cycle(spark):
     rows = [("f", 0, "A", ["a_b"], ["B"], ["A"]), ("f", 1, "B", ["c"], ["A"], [])]
     assert {r[0] for r in symbols.derive_flags(spark, spark.createDataFrame(rows, symbols.ANNOTATION)).collect()} == {"--a-b", "--c"}
