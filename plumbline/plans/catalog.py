@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scores, text
-from plumbline.operators import answering, chunking, dense_index, embedding, evaluation, fusion, grounding, retrieval, store, symbols
+from plumbline.operators import answering, chunking, dense_index, embedding, evaluation, fusion, grounding, retrieval, scoring, store, symbols
 from plumbline.operators.lexical_index import LexicalIndex
 from plumbline.sources import files, stored
 
@@ -275,6 +275,39 @@ def dense_rerank(spark, sf_dir):
     return _search(spark, sf_dir, "dense", True, None).select("strategy", "query_id", "rank", "chunk_id", "score")
 
 
+class Flaky(scoring.WordOverlap):
+    """A scorer that always fails at texts of a length divisible by seven."""
+
+    model = "small"
+
+    def score(self, pairs):
+        if any(len(text) % 7 == 0 for _, text in pairs):
+            raise RuntimeError("seven")
+        return super().score(pairs)
+
+
+MODEL_CTE = LEX_CTE + """,
+scored AS (SELECT strategy, query_id, d.rank AS was, chunk_id, CASE WHEN length(text) % 7 > 0 THEN (list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), t1)::INT + list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), t2)::INT) / 2.0::DOUBLE END AS score,
+  2 + len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM dense d JOIN asked USING (query_id) JOIN corpus USING (strategy, chunk_id) WHERE d.rank <= 10)"""
+
+
+def _model_scored(spark, sf_dir) -> DataFrame:
+    hits = _search(spark, sf_dir, "dense", False, 10)
+    return scoring.score_pairs(hits.join(_asked_by_strategy(_asked(spark, sf_dir)).select("strategy", "query_id", "query"), ["strategy", "query_id"]), Flaky(), attempts=2)
+
+
+@query(f"WITH {MODEL_CTE} SELECT strategy, query_id, row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC NULLS LAST, CASE WHEN score IS NULL THEN was END, chunk_id)::INT AS rank, chunk_id, score, score IS NULL AS failed FROM scored")
+def model_rerank(spark, sf_dir):
+    """Dense hits reranked by a model that fails at some: those come last, without a score."""
+    return scoring.rerank_scored(_model_scored(spark, sf_dir), BY).select("strategy", "query_id", "rank", "chunk_id", "score", F.col("score").isNull().alias("failed"))
+
+
+@query(f"WITH {MODEL_CTE} SELECT 'small' AS model, count(*) AS calls, count(*) FILTER (score IS NULL) AS failed, 0::BIGINT AS skipped, sum(CASE WHEN score IS NULL THEN 0 ELSE n END)::BIGINT AS input_tokens, count(score) AS output_tokens, round(avg(score), 6) AS mean_score, round((sum(CASE WHEN score IS NULL THEN 0 ELSE n END) * 1.0 + count(score) * 5.0) / 1e6, 8) AS cost FROM scored")
+def model_ledger(spark, sf_dir):
+    """What those calls cost; failures are counted, and no zeros among the scores."""
+    return scoring.ledger(_model_scored(spark, sf_dir), "small").withColumns({"mean_score": F.round("mean_score", 6), "cost": F.round("cost", 8)})
+
+
 # ---------------------------------------------------------------- evaluation
 
 #: The cells of the sweep in each strategy: (mode, rerank).
