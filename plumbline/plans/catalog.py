@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scores, text
@@ -808,30 +808,35 @@ def verdict_hist(spark, sf_dir):
     return answering.histogram(read(spark, sf_dir, "labels").select(v.alias("verdict")), "verdict")
 
 
-@query("""WITH RECURSIVE s AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, len(regexp_extract_all(text, '\\S+')) AS cost FROM documents ),
+def _question() -> Column:
+    """A question for each source and 400 documents: the number of questions grows with the table, that of a question's spans does not."""
+    return F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 400)).alias("query_id")
+
+
+@query("""WITH RECURSIVE s AS (SELECT source || '-' || (doc_id // 400) AS query_id, row_number() OVER (PARTITION BY source, doc_id // 400 ORDER BY doc_id) AS rank, len(regexp_extract_all(text, '\\S+')) AS cost FROM documents ),
 f AS (SELECT query_id, 0::BIGINT AS rank, 0::BIGINT AS used, false AS keep FROM (SELECT DISTINCT query_id FROM s) UNION ALL SELECT s.query_id, s.rank, CASE WHEN used + cost <= 2000 THEN used + cost ELSE used END, used + cost <= 2000 FROM f JOIN s ON s.query_id = f.query_id AND s.rank = f.rank + 1)
 SELECT query_id, rank::INT AS rank FROM f WHERE keep""")
 def fit_spans_budget(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    first = fusion.ranked(d.select(F.col("source").alias("query_id"), "doc_id", text.n_tokens(F.col("text")).alias("cost")), ["query_id"], F.col("doc_id"))
+    first = fusion.ranked(d.select(_question(), "doc_id", text.n_tokens(F.col("text")).alias("cost")), ["query_id"], F.col("doc_id"))
     return fusion.fit_budget(first, 2000).select("query_id", "rank")
 
 
-@query("""WITH s AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, CASE WHEN doc_id % 2 = 0 THEN lang END AS h, text FROM documents)
+@query("""WITH s AS (SELECT source || '-' || (doc_id // 400) AS query_id, row_number() OVER (PARTITION BY source, doc_id // 400 ORDER BY doc_id) AS n, CASE WHEN doc_id % 2 = 0 THEN lang END AS h, text FROM documents)
 SELECT query_id, md5(string_agg('[' || n || '] ' || coalesce(h, query_id || '.md') || ' (v1)' || chr(10) || text, chr(10) || chr(10) ORDER BY n)) AS context FROM s GROUP BY query_id""")
 def prompt_assembly(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    first = fusion.ranked(d.select(F.col("source").alias("query_id"), "doc_id", "lang", "text"), ["query_id"], F.col("doc_id"))
+    first = fusion.ranked(d.select(_question(), "doc_id", "lang", "text"), ["query_id"], F.col("doc_id"))
     spans = first.select("query_id", F.col("rank").alias("span_no"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("heading_path"), F.concat("query_id", F.lit(".md")).alias("source_path"), F.lit("v1").alias("version"), "text")
     return grounding.build_prompts(spans).withColumn("context", F.md5("context"))
 
 
-@query("""WITH a AS (SELECT label AS answer_id, list(CASE WHEN vec_id % 5 = 0 THEN -vec_id ELSE vec_id END ORDER BY vec_id DESC) AS ids FROM embeddings GROUP BY label), p AS (SELECT answer_id, unnest(ids) AS chunk_id, generate_subscripts(ids, 1) AS pos FROM a)
+@query("""WITH a AS (SELECT vec_id // 20 AS answer_id, list(CASE WHEN vec_id % 5 = 0 THEN -vec_id ELSE vec_id END ORDER BY vec_id DESC) AS ids FROM embeddings GROUP BY vec_id // 20), p AS (SELECT answer_id, unnest(ids) AS chunk_id, generate_subscripts(ids, 1) AS pos FROM a)
 SELECT answer_id, (row_number() OVER (PARTITION BY answer_id ORDER BY pos))::INT AS span_no, chunk_id FROM p JOIN embeddings e ON e.vec_id = p.chunk_id""")
 def answers_roundtrip_spans(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     ids = F.transform(F.sort_array(F.collect_list("vec_id"), asc=False), lambda v: F.when(v % 5 == 0, -v).otherwise(v))
-    answers = e.groupBy(F.col("label").alias("answer_id")).agg(ids.alias("retrieved_chunk_ids"))
+    answers = e.groupBy(F.floor(F.col("vec_id") / 20).alias("answer_id")).agg(ids.alias("retrieved_chunk_ids"))
     return grounding.ordered_spans(answers, e.select(F.col("vec_id").alias("chunk_id"))).select("answer_id", "span_no", "chunk_id")
 
 
@@ -940,12 +945,13 @@ def docstring_docs(spark, sf_dir):
 # ---------------------------------------------------------------- golden questions, costs, issues
 
 
-@query("""WITH g AS (SELECT DISTINCT source AS id, lang AS source_path FROM documents)
-SELECT g.id, md5(string_agg(d.doc_id::VARCHAR, ',' ORDER BY d.doc_id)) AS chunk_ids FROM (SELECT id, source_path FROM g) g JOIN documents d ON d.lang = g.source_path GROUP BY g.id""")
+@query("""WITH p AS (SELECT doc_id, source || '/' || (doc_id // 50) AS id, lang || '/' || (doc_id // 50) AS source_path FROM documents)
+SELECT g.id, md5(string_agg(p.doc_id::VARCHAR, ',' ORDER BY p.doc_id)) AS chunk_ids FROM (SELECT DISTINCT id, source_path FROM p) g JOIN p USING (source_path) GROUP BY g.id""")
 def golden_link(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    golden = d.groupBy(F.col("source").alias("id")).agg(F.collect_set("lang").alias("expected_source_paths"))
-    docs = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("source_path"))
+    part = F.concat(F.lit("/"), F.floor(F.col("doc_id") / 50))  # a path has 50 documents at most
+    golden = d.groupBy(F.concat("source", part).alias("id")).agg(F.collect_set(F.concat("lang", part)).alias("expected_source_paths"))
+    docs = d.select(F.col("doc_id").alias("id"), F.concat("lang", part).alias("source_path"))
     chunks = docs.select(F.col("id"), F.col("id").alias("document_id"), F.lit("fixed").alias("strategy"))
     out = files.link_golden(golden, docs, chunks, "fixed").where("expected_chunk_ids IS NOT NULL")
     return out.select("id", F.md5(F.array_join("expected_chunk_ids", ",")).alias("chunk_ids"))
