@@ -27,7 +27,7 @@ from plumbline.llm.shared import drop_tables, materialize, mix, prefix_hash, sha
 
 LEAST, KEY = 50, 20
 #: Batches in which a whole table is added, in doc_id order.
-BATCHES = 2
+BATCHES = 4
 #: Buckets for each shuffle partition, and bytes of text for each bucket: the larger number counts.
 BUCKETS, BUCKET_BYTES = 2, 1 << 26
 #: Text bytes whose suffixes are found and packed together.
