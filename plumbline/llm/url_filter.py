@@ -99,12 +99,22 @@ TAG = r"""(?is)<(?:link|meta|base)(?=[\s/>])(?:(?:[^<>"']++|"[^"]*+"|'[^']*+')*+
 ATTRIBUTE = r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?"""
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """The value of a tag's first attribute of the name, without quotes; null without one."""
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are worked out at this place of the plan. Expressions that use a column many times would otherwise each repeat what it is made of."""
+    made = rows.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_settled"))
+    return made.select(*(c for c in rows.columns if c not in columns), *(F.col("_settled")[n].alias(n) for n in columns))
+
+
+def attribute(names: Column, values: Column, name: str) -> Column:
+    """The value of a tag's first attribute of the name, of its attributes' lower-case names and quoted values; null without one."""
+    found = F.try_element_at(values, F.nullif(F.array_position(names, name).cast("int"), F.lit(0)))
+    return F.regexp_replace(found, r"""(?s)^(["'])(.*)\1$""", "$2")
+
+
+def names_and_values(tag: Column) -> tuple[Column, Column]:
+    """The lower-case names of a tag's attributes, and their values with quotes, empty where there is none."""
     inside = F.regexp_replace(tag, r"^<\w+", "")
-    names = F.transform(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
-    found = F.try_element_at(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(2)), F.nullif(F.array_position(names, name).cast("int"), F.lit(0)))
-    return F.when(found.rlike("^[\"']"), F.substring(found, F.lit(2), F.length(found) - 2)).otherwise(found)
+    return F.transform(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(1)), F.lower), F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(2))
 
 
 def resolved(base: Column, href: Column) -> Column:
@@ -127,17 +137,21 @@ def links(pages: DataFrame) -> DataFrame:
     Comments, scripts and other raw text hold no links. Pages without url or html give none; nor does a url or target without host."""
     seen = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|noscript|template|xmp)\b.*?(?:</\1\s*>|\z)", " ")
     own = pages.where(F.col("html").rlike(r"(?i)canonical|refresh") & F.col("url").contains("://") & (host_of(F.col("url")) != ""))
-    own = own.select("url", F.regexp_extract_all(seen, F.lit(TAG), F.lit(0)).alias("tags"))
-    based = F.filter(F.transform(F.filter("tags", lambda t: t.rlike("(?i)^<base")), lambda t: F.trim(decoded(attribute(t, "href")))), lambda h: F.coalesce(h, F.lit("")) != "")
+    own = settled(own.select("url", "html"), tags=F.regexp_extract_all(seen, F.lit(TAG), F.lit(0))).drop("html")
+    bases = F.transform(F.filter("tags", lambda t: t.rlike("(?i)^<base")), lambda t: F.trim(decoded(attribute(*names_and_values(t), "href"))))
+    own = settled(own, base=F.get(F.filter(bases, lambda h: F.coalesce(h, F.lit("")) != ""), F.lit(0)))
+    own = settled(own, base=F.when(F.col("base").isNull(), F.col("url")).otherwise(resolved(F.col("url"), F.col("base"))))
     wanted = F.filter("tags", lambda t: t.rlike("(?i)^<(?:link|meta).*(?:canonical|refresh)"))
-    raw = own.select("url", F.get(based, F.lit(0)).alias("base"), F.explode(wanted).alias("tag"))
-    is_link, refresh = F.col("tag").rlike("(?i)^<link"), F.lower(F.trim(F.coalesce(attribute(F.col("tag"), "http-equiv"), F.lit(""))))
-    canonical = F.array_contains(F.split(F.lower(F.coalesce(attribute(F.col("tag"), "rel"), F.lit(""))), r"\s+"), "canonical")
-    after = F.regexp_extract(F.coalesce(decoded(attribute(F.col("tag"), "content")), F.lit("")), r"""(?is)\burl\s*=\s*["']?([^"']+)""", 1)
-    href = F.when(is_link & canonical, decoded(attribute(F.col("tag"), "href"))).when(~is_link & (refresh == "refresh"), after)
-    raw = raw.select("url", "base", F.trim(href).alias("href")).where("href <> '' AND NOT startswith(href, '#')").where("NOT href RLIKE '^(?i)(?:javascript|data|mailto|about):'")
-    raw = raw.withColumn("base", F.when(F.col("base").isNull(), F.col("url")).otherwise(resolved(F.col("url"), F.col("base"))))
-    return raw.select("url", resolved(F.col("base"), F.col("href")).alias("target")).where(host_of(F.col("target")) != "")
+    tags = own.select("url", "base", F.explode(wanted).alias("tag"))
+    names, values = names_and_values(F.col("tag"))
+    tags = settled(tags, names=names, values=values)
+    at = lambda name: attribute(F.col("names"), F.col("values"), name)
+    is_link = F.col("tag").rlike("(?i)^<link")
+    canonical = F.array_contains(F.split(F.lower(at("rel")), r"\s+"), "canonical")
+    after = F.regexp_extract(decoded(F.coalesce(at("content"), F.lit(""))), r"""(?is)\burl\s*=\s*["']?([^"']+)""", 1)
+    href = F.when(is_link & canonical, decoded(at("href"))).when(~is_link & (F.lower(F.trim(at("http-equiv"))) == "refresh"), after)
+    raw = settled(tags, href=F.trim(href)).select("url", "base", "href").where("href <> '' AND NOT startswith(href, '#') AND NOT href RLIKE '^(?i)(?:javascript|data|mailto|about):'")
+    return settled(raw, target=resolved(F.col("base"), F.col("href"))).select("url", "target").where(host_of(F.col("target")) != "")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
