@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -186,8 +186,12 @@ def _all_blocks(page: str, doubts: list[list[int]]) -> Iterator[tuple[tuple[str,
 
 def best_path(page: str | None) -> str | None:
     """The path of the container with the highest score: characters outside links of its own blocks, and half those of its children."""
+    return _best(_blocks(page or ""))
+
+
+def _best(blocks: Iterable[tuple[tuple[str, ...], str, int]]) -> str | None:
     scores: dict[tuple[str, ...], float] = {}
-    for path, text, linked in _blocks(page or ""):
+    for path, text, linked in blocks:
         worth = max(0, len(text) - 2 * linked)
         for up, share in ((path, 1.0), (path[:-1], 0.5)):
             if up:
@@ -213,7 +217,7 @@ def extract_text(page: str | None, path: str | None) -> str:
         steps = steps[: tops[0] + 1] if tops else steps
         return [(text, len(text) - linked) for at, text, linked in found if at[: len(steps)] == steps]
 
-    voted, own = below(path), below(best_path(page))
+    voted, own = below(path), below(_best(found))
     if sum(n for _, n in own) > OUTWEIGHED * sum(n for _, n in voted):
         voted = own
     return "\n".join(text for text, _ in voted) or "\n".join(text for text, _ in own) or "\n".join(text for _, text, _ in found)
