@@ -46,8 +46,10 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Of a doubtful element's text, the share inside links from which it is no part of the article.
 LINKED = 0.5
 KEPT, SKIP, FRAMED, DOUBT, NAMED_ID = range(5)
-#: In an article or main element an id is often the slug of a heading; one with none of these words counts only where a doubtful name does.
+#: In an article or main element an id of one word is often the slug of a heading; if it is none of these, it counts only where a doubtful name does.
 PLAIN_IDS = frozenset("ad ads advert adverts advertisement advertisements adsense adslot sponsor sponsored cookie cookies consent gdpr popup modal overlay subscribe subscription newsletter comment comments commentlist disqus".split())
+#: Characters outside links that a page's own best container must have to be taken in the place of what stands at the host's path.
+LEAST_OWN = 200
 #: An element outside articles is the best container where it holds so many times what the best article does; so is a page's own best container against the host's path.
 OUTWEIGHED = 4
 #: Open elements of a page; deeper ones are parts of the last.
@@ -74,7 +76,7 @@ def _step(name: str, attributes: str) -> tuple[str, int]:
     named = {k.lower(): a or b or c for k, a, b, c in NAMED.findall(attributes)}
     marks = {_mark(w) for k in ("class", "role") for w in named.get(k, "").split()} if name not in ("html", "body", "article", "main") else set()
     by_id = {_mark(w) for w in named.get("id", "").split()} if name not in ("html", "body", "article", "main") else set()
-    if SKIP in by_id and not PLAIN_IDS.intersection(w.lower() for w in WORD.findall(named["id"])):
+    if SKIP in by_id and named["id"].isalpha() and len(WORD.findall(named["id"])) == 1 and named["id"].lower() not in PLAIN_IDS:
         by_id = (by_id - {SKIP}) | {NAMED_ID}
     marks |= by_id
     mark = SKIP if name in SKIPPED or SKIP in marks else NAMED_ID if NAMED_ID in marks else FRAMED if FRAMED in marks else DOUBT if DOUBT in marks else KEPT
@@ -206,7 +208,7 @@ def _best(blocks: Iterable[tuple[tuple[str, ...], str, int]]) -> str | None:
 def extract_text(page: str | None, path: str | None) -> str:
     """The blocks below path, else below the page's own best container, else all of them; in an article or main element the whole element counts.
 
-    Where the own best container holds over OUTWEIGHED times what stands below path, the page is not built as its host's others are, and its own counts."""
+    Where the own best container holds over LEAST_OWN characters and OUTWEIGHED times what stands below path, the page is not built as its host's others are, and its own counts."""
     found = list(_blocks(page or ""))
 
     def below(wanted: str | None) -> list[tuple[str, int]]:
@@ -218,7 +220,7 @@ def extract_text(page: str | None, path: str | None) -> str:
         return [(text, len(text) - linked) for at, text, linked in found if at[: len(steps)] == steps]
 
     voted, own = below(path), below(_best(found))
-    if sum(n for _, n in own) > OUTWEIGHED * sum(n for _, n in voted):
+    if sum(n for _, n in own) > max(LEAST_OWN, OUTWEIGHED * sum(n for _, n in voted)):
         voted = own
     return "\n".join(text for text, _ in voted) or "\n".join(text for text, _ in own) or "\n".join(text for _, text, _ in found)
 
