@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scores import token_cost
-from plumbline.functions.text import citations, snippet
+from plumbline.functions.text import citations, four_places, snippet
 from plumbline.operators import grounding, store
 from plumbline.operators.evaluation import PRICES
 
@@ -170,11 +170,11 @@ def source_paths(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def evidence_lines(candidates: DataFrame, hits: DataFrame, size: int = 240) -> DataFrame:
     """Rows (number, best_score, report): a block to review for each candidate(number, url, title, question) with text, and its hits(number, rank, score, source_path, heading_path, text)."""
-    line = F.concat(F.lit("  ["), F.col("rank").cast("string"), F.lit("] "), F.format_string("%.4f", "score"), F.lit("  "), "source_path", F.lit("\n      "), F.coalesce("heading_path", F.lit("-")), F.lit("\n      "), snippet(F.col("text"), size))
+    line = F.concat(F.lit("  ["), F.col("rank").cast("string"), F.lit("] "), four_places(F.col("score")), F.lit("  "), "source_path", F.lit("\n      "), F.coalesce("heading_path", F.lit("-")), F.lit("\n      "), snippet(F.col("text"), size))
     listed = hits.groupBy("number").agg(F.min_by("score", "rank").alias("best_score"), F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]).alias("lines"))
     asked = candidates.withColumn("asked", question_text(F.col("title"), F.col("question"))).where("asked <> ''")
     joined = asked.join(listed, "number", "left").withColumn("best_score", F.coalesce("best_score", F.lit(0.0)))
-    head = F.array(F.concat(F.lit("#"), F.col("number").cast("string"), F.lit("  "), "asked"), F.concat(F.lit("  "), "url"), F.format_string("  best_score=%.4f", "best_score"))
+    head = F.array(F.concat(F.lit("#"), F.col("number").cast("string"), F.lit("  "), "asked"), F.concat(F.lit("  "), "url"), F.concat(F.lit("  best_score="), four_places(F.col("best_score"))))
     return joined.select("number", "best_score", F.array_join(F.concat(head, F.coalesce("lines", F.array().cast("array<string>"))), "\n").alias("report"))
 
 

@@ -222,6 +222,15 @@ def test_last_run_and_lifecycle(spark):
     assert answering.close_run(runs, 1, "b").first()["notes"] == "a"
 
 
+def test_places_are_rounded_by_the_binary_value(spark):
+    """As printf in C and DuckDB does: a decimal that looks like a tie lies above or below it, and a real tie goes to the even digit."""
+    values = [0.41405, 0.39875, 0.37955, 0.12335, 0.125, 0.375, 0.015, 1.0, 0.0, -0.25, 123456.78905, 1e-9]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", text.two_places(F.col("x")), text.four_places(F.col("x"))).collect()
+    assert [tuple(r)[1:] for r in got] == [(f"{r.x:.2f}", f"{r.x:.4f}") for r in got]
+    missing = spark.createDataFrame([(None,)], "x double").select(text.two_places(F.col("x")), text.four_places(F.col("x"))).first()
+    assert tuple(missing) == ("-", "-")
+
+
 def test_prompt_without_spans(spark):
     spans = spark.createDataFrame([("q", 1, None, "a.md", "v1", "text")], "query_id string, span_no int, heading_path string, source_path string, version string, text string")
     got = dict(grounding.build_prompts(spans, spark.createDataFrame([("q",), ("p",)], "query_id string")).collect())
