@@ -222,6 +222,28 @@ def test_last_run_and_lifecycle(spark):
     assert answering.close_run(runs, 1, "b").first()["notes"] == "a"
 
 
+def test_outcomes_by_topic_equal_outcomes_by_list(spark):
+    """Two queries share a topic, one expects what no cell has, one has a topic without items and is left out."""
+    hits = spark.createDataFrame([("a", "b", True, q, r, c) for q, cs in {1: [7, 5, 9], 2: [6, 7, 5], 3: [7], 4: [7]}.items() for r, c in enumerate(cs, 1)], "strategy string, mode string, rerank boolean, query_id long, rank int, chunk_id long")
+    relevant = spark.createDataFrame([(0, 5), (0, 9), (0, 8), (-1, -1)], "topic int, chunk_id long")
+    queries = spark.createDataFrame([(1, 0), (2, 0), (3, -1), (4, 5)], "query_id long, topic int")
+    lists = queries.join(relevant, "topic").groupBy("query_id").agg(F.collect_set("chunk_id").alias("expected_paths"))
+    by_list, by_topic = evaluation.outcomes(hits).join(lists, "query_id"), evaluation.topic_outcomes(hits, queries, relevant)
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+    for f in (evaluation.recall_grid, evaluation.first_hits, evaluation.never_found, evaluation.never_anywhere, lambda o: evaluation.paired(o, o.where("query_id < 3"), 2)):
+        assert rows(f(by_topic)) == rows(f(by_list))
+    assert rows(by_topic.select("query_id", "hit_ranks", "n_expected")) == [([2, 3], 3, 1), ([3], 3, 2), ([], 1, 3)]
+
+
+def test_outcomes_hold_no_list_that_grows_with_the_corpus(spark):
+    """A list holds retrieved rows, 20 at most, and never all that a query expects."""
+    from plumbline.plans import catalog
+
+    found = catalog._outcomes(spark, "/root/testdata/sf0.01")
+    lists = [c for c, kind in found.dtypes if kind.startswith("array")]
+    assert lists and found.select(F.max(F.greatest(*(F.size(c) for c in [*lists, lists[0]])))).first()[0] <= 20
+
+
 def test_places_are_rounded_by_the_binary_value(spark):
     """As printf in C and DuckDB does: a decimal that looks like a tie lies above or below it, and a real tie goes to the even digit."""
     values = [0.41405, 0.39875, 0.37955, 0.12335, 0.125, 0.375, 0.015, 1.0, 0.0, -0.25, 123456.78905, 1e-9]
