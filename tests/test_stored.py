@@ -91,6 +91,23 @@ def test_segments_equal_a_rebuilt_index(spark, tmp_path, monkeypatch, cell_rows)
     assert rows(one) == rows(retrieval.search_texts(now, asked, 3, ("strategy",)).where("strategy = 'a'"))
 
 
+def test_queries_of_one_text_are_searched_once(spark, tmp_path, monkeypatch):
+    """Cells are chosen for one query of each text; all get its rows, also where a segment holds removed chunks."""
+    monkeypatch.setattr(lexical_index, "CELL_ROWS", 2)
+    index = lexical_index.LexicalIndex(spark, str(tmp_path / "i"), ("strategy",))
+    rows = [(s, k, "red fox" if k % 3 else "red red blue fox") for s in ("x", "y") for k in range(12)]
+    chunks = spark.createDataFrame(rows, "strategy string, chunk_id long, text string")
+    index.add(chunks, 0)
+    index.add(chunks.where("chunk_id = 1").withColumn("text", F.lit("blue")), 1, chunks.where("chunk_id = 2").select("strategy", "chunk_id"))
+    asked = spark.createDataFrame([(s, q, t) for s in ("x", "y") for q, t in ((1, "red fox"), (2, "red fox"), (3, "blue -red"), (4, None), (5, None))], "strategy string, query_id long, query string")
+    found, cells = index._searched(asked, 4)
+    assert {r[0] for r in cells.select("query_id").distinct().collect()} == {1, 3}
+    left = chunks.where("chunk_id > 2 OR chunk_id = 0").unionByName(chunks.where("chunk_id = 1").withColumn("text", F.lit("blue")))
+    plain = retrieval.search_texts(left, asked, 4, ("strategy",))
+    columns = ["strategy", "query_id", "rank", "chunk_id", "score"]
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
+
+
 def test_search_of_an_empty_index(spark, tmp_path):
     asked = spark.createDataFrame([(1, "apple")], "query_id long, query string")
     index = LexicalIndex(spark, f"{tmp_path}/none")
