@@ -5,13 +5,17 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from plumbline.functions.text import CLI_FLAG, flag_name
 from plumbline.sources.stored import kept
 
+#: Files that a task holds as Python objects at a time.
+FILES = 64
 KINDS = ("cli_flag", "class", "function", "config_key")
 SYMBOL = "source_file string, seq int, name string, kind string, signature string"
 ANNOTATION = "source_file string, seq int, class string, fields array<string>, bases array<string>, makes_flags array<string>"
@@ -70,11 +74,17 @@ def annotations_in(code: str | None) -> Iterator[tuple[str, list[str], list[str]
 
 
 def _per_file(files: DataFrame, parse, schema: str, columns: list[str]) -> DataFrame:
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame([(p, k, *row) for p, c in zip(f["path"], f["content"], strict=True) for k, row in enumerate(parse(c))], columns=columns)
+    """Rows of each file's parse. A batch comes in as one Arrow table; its files become Python objects, and go out again, FILES at a time."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, FILES):
+                part = b.slice(lo, FILES)
+                rows = [(p, k, *row) for p, c in zip(*(part.column(i).to_pylist() for i in (0, 1)), strict=True) for k, row in enumerate(parse(c))]
+                yield pa.RecordBatch.from_pylist([dict(zip(columns, r, strict=True)) for r in rows], schema=kinds)
+
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:

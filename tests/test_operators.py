@@ -189,6 +189,22 @@ def test_plans_stay_in_the_jvm(spark):
         assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_files_are_parsed_a_few_at_a_time(spark):
+    """However many files a batch has, FILES of them and their symbols are held at once: no output batch has the symbols of more."""
+    import pyarrow as pa
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return list(run([pa.RecordBatch.from_pydict({"path": [f"m{k}.py" for k in range(500)], "content": [f"class C{k}: pass" for k in range(499)] + [None]})]))
+
+    found = symbols.extract_symbols(Files())
+    assert max(b.num_rows for b in found) <= symbols.FILES
+    assert [n for b in found for n in b.column("name").to_pylist()] == [f"C{k}" for k in range(499)]
+
+
 def test_symbol_cycle(spark):
     rows = [("f", 0, "A", ["a_b"], ["B"], ["A"]), ("f", 1, "B", ["c"], ["A"], [])]
     assert {r[0] for r in symbols.derive_flags(spark, spark.createDataFrame(rows, symbols.ANNOTATION)).collect()} == {"--a-b", "--c"}
