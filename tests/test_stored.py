@@ -181,3 +181,30 @@ def test_dense_index_reads_the_strategy_asked_for(spark, tmp_path):
     none = DenseIndex(spark, f"{tmp_path}/none", ("strategy",))
     none.build(vectors(spark, 0, 5))
     assert none.search(vectors(spark, 3, 6).withColumnRenamed("chunk_id", "query_id")).collect() == []
+
+
+def test_postings_are_made_where_the_text_is(spark):
+    """Words are grouped in the task of their text: the only shuffle is of texts, and none with words to list before they are found."""
+    odd = [(1, "The Ponies, poniesépony2 Kingİx A"), (1, "pony the ponies"), (2, None), (3, ""), (4, "é"), (None, "a b"), (5, "end"), (6, "begin9")]
+    chunks = spark.createDataFrame(odd, "chunk_id long, text string").coalesce(1)
+    at = chunks.select("chunk_id", F.posexplode(text.terms(F.col("text"))).alias("p", "term")).where(~F.col("term").isin(*retrieval.STOP_WORDS))
+    for config in ("simple", "english"):
+        plain = at.withColumn("term", text.stem(F.col("term"))) if config == "english" else at
+        want = plain.groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list(F.col("p") + 1)).alias("positions"))
+        for limit in (1, 4_000_000):
+            retrieval.TEXT_BYTES, was = limit, retrieval.TEXT_BYTES
+            try:
+                assert rows(retrieval.postings(chunks, None, (), config).select("term", "chunk_id", "positions")) == rows(want)
+                some = spark.createDataFrame([("poni",), ("pony",), ("ponies",)], "term string")
+                assert rows(retrieval.postings(chunks, some, (), config).select("term", "chunk_id", "positions")) == rows(want.join(some, "term", "left_semi"))
+            finally:
+                retrieval.TEXT_BYTES = was
+    plan = retrieval.postings(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and plan.count("Exchange") == 1
+
+
+def test_a_stemmed_word_equals_the_stemmed_column(spark):
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("aeystdnl9") for _ in range(rng.randint(0, 5))) + rng.choice(["", "s", "ies", "sses", "ss", "ed", "eed", "ing", "ating", "bled", "ized", "y", "tting"]) for _ in range(4000)})
+    found = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.stem(F.col("w")).alias("s")).collect()
+    assert [(r.w, text.stem_word(r.w)) for r in found] == [(r.w, r.s) for r in found]
