@@ -186,11 +186,12 @@ def test_dense_index_reads_the_strategy_asked_for(spark, tmp_path):
 def test_postings_are_made_where_the_text_is(spark):
     """Words are grouped in the task of their text: the only shuffle is of texts, and none with words to list before they are found."""
     odd = [(1, "The Ponies, poniesépony2 Kingİx A"), (1, "pony the ponies"), (2, None), (3, ""), (4, "é"), (None, "a b"), (5, "end"), (6, "begin9")]
-    chunks = spark.createDataFrame(odd, "chunk_id long, text string").coalesce(1)
+    dealt = spark.createDataFrame(odd, "chunk_id long, text string")
+    chunks = dealt.coalesce(1)
     at = chunks.select("chunk_id", F.posexplode(text.terms(F.col("text"))).alias("p", "term")).where(~F.col("term").isin(*retrieval.STOP_WORDS))
     for config in ("simple", "english"):
         plain = at.withColumn("term", text.stem(F.col("term"))) if config == "english" else at
-        want = plain.groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list(F.col("p") + 1)).alias("positions"))
+        want = plain.groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list(F.col("p") + 1)).alias("positions")).localCheckpoint()
         for limit in (1, 4_000_000):
             retrieval.TEXT_BYTES, was = limit, retrieval.TEXT_BYTES
             try:
@@ -199,10 +200,23 @@ def test_postings_are_made_where_the_text_is(spark):
                 assert rows(retrieval.postings(chunks, some, (), config).select("term", "chunk_id", "positions")) == rows(want.join(some, "term", "left_semi"))
             finally:
                 retrieval.TEXT_BYTES = was
-    plan = retrieval.postings(chunks)._jdf.queryExecution().executedPlan().toString()
+    plan = retrieval.postings(dealt)._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" not in plan and plan.count("Exchange") == 1
 
 
+def test_blocks_of_a_segment_are_made_where_the_text_is(spark, monkeypatch):
+    """Only texts are shuffled on their way into a segment; a word's rows of a cell hold what its postings do, by id."""
+    chunks = spark.createDataFrame([("ab"[k % 2], k, " ".join(["fig"] * (k % 4) + ["plum", "the"])) for k in range(40)] + [("a", 0, "kiwi fig")], "strategy string, chunk_id long, text string")
+    cell = F.pmod(F.xxhash64("chunk_id"), F.lit(3)).cast("int")
+    for limit in (1, 4_000_000):
+        monkeypatch.setattr(retrieval, "TEXT_BYTES", limit)
+        made = retrieval.blocks(chunks, ("strategy",), "simple", cell)
+        each = made.select("strategy", "term", "cell", F.explode("postings").alias("p")).select("strategy", "term", "p.chunk_id", "p.positions", "cell")
+        assert rows(each) == rows(retrieval.postings(chunks, None, ("strategy",)).withColumn("cell", cell).select("strategy", "term", "chunk_id", "positions", "cell"))
+        assert made.where("n <> size(postings) OR most <> aggregate(postings, 0, (m, p) -> greatest(m, size(p.positions)))").count() == 0
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_a_stemmed_word_equals_the_stemmed_column(spark):
     rng = random.Random(8)
     words = sorted({"".join(rng.choice("aeystdnl9") for _ in range(rng.randint(0, 5))) + rng.choice(["", "s", "ies", "sses", "ss", "ed", "eed", "ing", "ating", "bled", "ized", "y", "tting"]) for _ in range(4000)})
