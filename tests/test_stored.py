@@ -2,7 +2,10 @@
 
 import os
 import random
+import uuid
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +225,38 @@ def test_a_stemmed_word_equals_the_stemmed_column(spark):
     words = sorted({"".join(rng.choice("aeystdnl9") for _ in range(rng.randint(0, 5))) + rng.choice(["", "s", "ies", "sses", "ss", "ed", "eed", "ing", "ating", "bled", "ized", "y", "tting"]) for _ in range(4000)})
     found = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.stem(F.col("w")).alias("s")).collect()
     assert [(r.w, text.stem_word(r.w)) for r in found] == [(r.w, r.s) for r in found]
+
+
+def test_vectors_of_a_block_are_held_in_slices(monkeypatch):
+    """However many rows a block has, the vectors of SLICE are held at once, and what is found holds the best of all."""
+    rng = np.random.default_rng(4)
+    table = lambda name, n: pa.table({name: pa.array(range(n)), "vector": pa.array(list(rng.normal(size=(n, 6)).astype(np.float32)), pa.list_(pa.float32()))})
+    asked, corpus, names, held = table("query_id", 7), table("chunk_id", 100), ["query_id", "chunk_id", "score"], []
+    whole = retrieval.best_of_slices(asked, corpus, 3, 6, (), names).to_pylist()
+    monkeypatch.setattr(retrieval, "SLICE", 16)
+    plain = retrieval.unit_matrix
+    monkeypatch.setattr(retrieval, "unit_matrix", lambda c, d: held.append(len(c)) or plain(c, d))
+    found = retrieval.best_of_slices(asked, corpus, 3, 6, (), names).to_pylist()
+    order = lambda r: (r["query_id"], -r["score"], r["chunk_id"])
+    best = [r for q in range(7) for r in sorted((r for r in found if r["query_id"] == q), key=order)[:3]]
+    assert max(held) == 16 and best == sorted(whole, key=order)
+
+
+def test_a_query_goes_to_a_block_of_cells_once(spark, tmp_path, monkeypatch):
+    """A search shuffles a query for each block of cells, not for each cell, and hands on k rows of a block."""
+    calls = f"{tmp_path}/calls"
+    os.makedirs(calls)
+    index = DenseIndex(spark, f"{tmp_path}/dense", ("strategy",))
+    index.build(vectors(spark, 300, 3), 12)
+    plain = dense_index.best_in_cells
+
+    def noted(q, c, k, *a):
+        out = plain(q, c, k, *a)
+        open(f"{calls}/{q.num_rows}-{len(set(q.column('query_id').to_pylist()))}-{out.num_rows}-{uuid.uuid4().hex}", "w").close()
+        return out
+
+    monkeypatch.setattr(dense_index, "best_in_cells", noted)
+    asked = vectors(spark, 30, 4).withColumnRenamed("chunk_id", "query_id")
+    assert index.search(asked, 5, 12, 6).count() == 150
+    sent = [tuple(map(int, n.split("-")[:3])) for n in os.listdir(calls)]
+    assert sum(q for q, _, _ in sent) == 30 and all(q == ids and out == 5 * q for q, ids, out in sent)
