@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from plumbline.operators.fusion import top_k
-from plumbline.operators.retrieval import CORPUS_BLOCK, cogrouped, unit_matrix
+from plumbline.operators.retrieval import QUERY_BLOCK, best_in_cells, cogrouped, unit_matrix
 
 #: The session's setting of the breadth, cells that a query reads, and what holds where it is unset.
 BREADTH, DEFAULT_BREADTH = "plumbline.search.breadth", 10
 #: Rows that centroids are fitted on, about, and cells, at most, for each value of by; rounds of k-means.
 SAMPLE, CELLS, ROUNDS = 20_000, 1024, 10
+#: Rows, about, of a block of cells; a search sends a query to each block once, whatever cells it reads there.
+BLOCK_ROWS = 8192
 
 
 def breadth(spark: SparkSession) -> int:
@@ -100,25 +102,45 @@ class DenseIndex:
             centres.setdefault(tuple(r[c] for c in names), []).append(r["centroid"])
         centres = {v: np.array(c) for v, c in centres.items()}
         dim = len(table[0]["centroid"]) if table else 0
-        asked = queries.where(F.size("vector") == dim).select(*key, F.col("vector").cast("array<double>").alias("vector"))
+        asked = queries.where(F.size("vector") == dim).select(*key, "vector")
+        rows = self.rows(queries.sparkSession.read.parquet(f"{self.path}/rows").schema["chunk_id"].dataType.simpleString()) if dim else None
+        schema = StructType([queries.schema[c] for c in key])
+        if rows is None:
+            return self.spark.createDataFrame([], schema.add("rank", "integer").add("chunk_id", "long").add("score", "double"))
+        # A cell with many rows is compared by parts, each of which its queries go to; parts are dealt into blocks.
+        sizes = rows.groupBy(*names, "cell").count().collect()  # CELLS for each value of by
+        n_blocks = max(1, -(-sum(r["count"] for r in sizes) // BLOCK_ROWS))
+        listed = [(*(r[c] for c in names), r["cell"], -(-r["count"] // BLOCK_ROWS)) for r in sizes]
+        parts = self.spark.createDataFrame(listed, "".join(f"{c} string, " for c in names) + "cell int, parts int")
+        block = F.pmod(F.xxhash64("cell", "part"), F.lit(n_blocks)).cast("int").alias("block")
+        dealt: dict[tuple, dict[int, set[int]]] = {}
+        for r in parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*names, "cell", block).collect():
+            dealt.setdefault(tuple(r[c] for c in names), {}).setdefault(r["block"], set()).add(r["cell"])
+        in_blocks = {v: {n: np.array(sorted(cells), np.int32) for n, cells in own.items()} for v, own in dealt.items()}
 
         def nearest(batches):
             for b in batches:
                 x = unit_matrix(b.column("vector"), dim)
                 owners = list(zip(*(b.column(c).to_pylist() for c in names), strict=True)) if names else [()] * b.num_rows
-                found = [np.argsort(-(x[i] @ centres[o].T), kind="stable")[:probes].astype(np.int32) if o in centres else [] for i, o in enumerate(owners)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
-
-        rows = self.rows(queries.sparkSession.read.parquet(f"{self.path}/rows").schema["chunk_id"].dataType.simpleString()) if dim else None
-        schema = StructType([queries.schema[c] for c in key])
-        if rows is None:
-            return self.spark.createDataFrame([], schema.add("rank", "integer").add("chunk_id", "long").add("score", "double"))
-        # A cell with many rows is compared by parts, each of which its queries go to.
-        parts = rows.groupBy(*self.by, "cell").count().select(*self.by, "cell", F.ceil(F.col("count") / CORPUS_BLOCK).cast("int").alias("parts"))
-        probed = asked.mapInArrow(nearest, StructType([*asked.schema.fields]).add("cells", ArrayType(IntegerType()))).select(*key, "vector", F.explode("cells").alias("cell"))
-        left = probed.join(parts, [*self.by, "cell"]).select(*key, "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        right = rows.join(parts, [*self.by, "cell"]).select(*self.by, "chunk_id", "vector", "cell", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int").alias("part"))
-        found = cogrouped(left, right, [*self.by, "cell", "part"], k, digits, self.by, schema.add(rows.schema["chunk_id"]).add("score", "double"))
+                at, where, cells = [], [], []
+                for i, o in enumerate(owners):
+                    if o in centres:
+                        near = np.zeros(len(centres[o]), bool)
+                        near[np.argsort(-(x[i] @ centres[o].T), kind="stable")[:probes]] = True
+                        found = [(n, own[near[own]]) for n, own in in_blocks.get(o, {}).items()]
+                        found = [(n, own) for n, own in found if len(own)]
+                        at += [i] * len(found)
+                        where += [n for n, _ in found]
+                        cells += [own for _, own in found]
+                columns = b.take(pa.array(at, pa.int64())).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(where, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=[*b.schema.names, "block", "cells"])
+
+        q_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+        probed = asked.mapInArrow(nearest, StructType([*asked.schema.fields]).add("block", "integer").add("cells", ArrayType(IntegerType())))
+        left = probed.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
+        right = rows.join(parts, [*names, "cell"]).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int"))
+        right = right.select(*names, "chunk_id", "vector", "cell", block, F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"))
+        found = cogrouped(left, right, [*names, "q_block", "block"], k, digits, self.by, schema.add(rows.schema["chunk_id"]).add("score", "double"), best_in_cells)
         return top_k(found, key, k, F.desc("score"), F.asc("chunk_id")).select(*key, "rank", "chunk_id", "score")
 
 
