@@ -21,9 +21,9 @@ SYMBOL = "source_file string, seq int, name string, kind string, signature strin
 ANNOTATION = "source_file string, seq int, class string, fields array<string>, bases array<string>, makes_flags array<string>"
 
 
-def _parsed(code: str | None) -> ast.Module | None:
+def _parsed(code: str | ast.Module | None) -> ast.Module | None:
     try:
-        return ast.parse(code or "")
+        return code if isinstance(code, ast.Module) else ast.parse(code or "")
     except (SyntaxError, ValueError):
         return None
 
@@ -32,7 +32,7 @@ def _called(call: ast.Call) -> str:
     return call.func.attr if isinstance(call.func, ast.Attribute) else getattr(call.func, "id", "")
 
 
-def symbols_in(code: str | None) -> Iterator[tuple[str, str, str | None]]:
+def symbols_in(code: str | ast.Module | None) -> Iterator[tuple[str, str, str | None]]:
     """(name, kind, signature): literal long flags of add_argument, annotated public fields of public classes, public top-level classes and functions."""
     tree = _parsed(code)
     if tree is None:
@@ -58,7 +58,7 @@ def _fields(node: ast.ClassDef) -> list[ast.AnnAssign]:
     return [s for s in node.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name) and not s.target.id.startswith("_")]
 
 
-def annotations_in(code: str | None) -> Iterator[tuple[str, list[str], list[str], list[str]]]:
+def annotations_in(code: str | ast.Module | None) -> Iterator[tuple[str, list[str], list[str], list[str]]]:
     """(class, public annotated fields, base names, classes whose fields a method of this one turns into flags)."""
     tree = _parsed(code)
     for node in ast.walk(tree) if tree else ():
@@ -96,6 +96,20 @@ def class_annotations(files: DataFrame) -> DataFrame:
     return _per_file(files, annotations_in, ANNOTATION, ["source_file", "seq", "class", "fields", "bases", "makes_flags"])
 
 
+def symbols_and_annotations(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What extract_symbols and class_annotations give, from one reading and parsing of each file; kept as one table."""
+
+    def both(code: str | None) -> Iterator[tuple]:
+        if (tree := _parsed(code)) is not None:
+            yield from ((*row, k, None, None, None, None) for k, row in enumerate(symbols_in(tree)))
+            yield from ((None, None, None, k, *row) for k, row in enumerate(annotations_in(tree)))
+
+    columns = ["name", "kind", "signature", "own", "class", "fields", "bases", "makes_flags"]
+    schema = "source_file string, seq int, name string, kind string, signature string, own int, class string, fields array<string>, bases array<string>, makes_flags array<string>"
+    parsed = kept(_per_file(files, both, schema, ["source_file", "seq", *columns]), "parsed").withColumn("seq", F.col("own"))
+    return parsed.where("kind IS NOT NULL").select("source_file", "seq", *columns[:3]), parsed.where("class IS NOT NULL").select("source_file", "seq", *columns[4:])
+
+
 def first_seen(symbols: DataFrame) -> DataFrame:
     """One row per (name, kind): the first by source_file, then seq."""
     order = Window.partitionBy("name", "kind").orderBy("source_file", "seq")
@@ -130,8 +144,9 @@ def derive_flags(spark: SparkSession, annotations: DataFrame) -> DataFrame:
 
 def build_symbols(spark: SparkSession, files: DataFrame) -> DataFrame:
     """The symbol table: extracted symbols, first seen, and derived flags that are not literal ones."""
-    literal = first_seen(extract_symbols(files))
-    derived = derive_flags(spark, class_annotations(files)).join(literal.where("kind = 'cli_flag'").select(F.col("name").alias("flag")), "flag", "left_anti")
+    found, annotations = symbols_and_annotations(spark, files)
+    literal = first_seen(found)
+    derived = derive_flags(spark, annotations).join(literal.where("kind = 'cli_flag'").select(F.col("name").alias("flag")), "flag", "left_anti")
     return literal.select("name", "kind", "source_file", "signature").unionByName(derived.select(F.col("flag").alias("name"), F.lit("cli_flag").alias("kind"), F.lit(None).cast("string").alias("source_file"), F.lit(None).cast("string").alias("signature")))
 
 

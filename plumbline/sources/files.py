@@ -19,6 +19,8 @@ GOLDEN = "id string, question string, source_url string, category string, diffic
 CATEGORIES = ("api", "config", "concept", "troubleshooting", "cli_flag")
 DIFFICULTIES = ("easy", "medium", "hard")
 ISSUE = "number long, html_url string, title string, body string, labels array<struct<name:string>>, created_at string, state string"
+#: Spark's partitions of small files that one task reads.
+SCANS_A_TASK = 16
 RST_RULE = r"""^([=\-`:.'"~^_*+#])\1{2,}\s*$"""
 
 
@@ -26,6 +28,8 @@ def scan_files(spark: SparkSession, root: str, globs: Iterable[str]) -> DataFram
     """Rows (path, content) of the files under root that match a glob on the name or on the path below root, each once; bad UTF-8 is replaced."""
     names = "{" + ",".join(sorted({g.rsplit("/", 1)[-1] for g in globs})) + "}"  # other files are listed, not read
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root)
+    # Spark counts a small file as some MB, so a task of its own reads a few; many of those are read by one.
+    files = files.coalesce(max(4 * spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // SCANS_A_TASK))
     path = F.regexp_replace("path", rf"^(?:file:)?/*{root.strip('/')}/", "")
     wanted = reduce(lambda a, b: a | b, (path.rlike(_glob(g)) for g in globs))
     return files.where(wanted).select(path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")).dropDuplicates(["path"])

@@ -280,3 +280,23 @@ def test_command_line(capsys):
 
     assert main(["list"]) == 0 and "hybrid_search" in capsys.readouterr().out
     assert main(["run", "nothing", "x"]) == 2
+
+
+def test_files_are_read_and_parsed_once(spark, tmp_path):
+    """The symbol table reads each file once for literal symbols, derived flags and what it joins them with."""
+    reads = spark.sparkContext.accumulator(0)
+    code = "class A(B):\n    x_y: int = 1\n    @classmethod\n    def add(cls, p):\n        for n in get_kwargs(cls):\n            p.add_argument(f'--{n}')\nclass B:\n    z: int = 2\ndef f(p):\n    p.add_argument('--z')\n"
+    given = spark.createDataFrame([("a.py", code), ("b.py", "def ("), ("c.py", None), ("d.py", "def g(): pass\n")], "path string, content string").coalesce(1)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    files = given.mapInArrow(counted, given.schema)
+    found = symbols.build_symbols(spark, files).select("name", "kind", "signature").collect()
+    assert reads.value == 4
+    assert sorted(map(tuple, found), key=repr) == sorted([("--x-y", "cli_flag", None), ("--z", "cli_flag", None), ("A", "class", "class A"), ("B", "class", "class B"), ("f", "function", "def f(p)"), ("g", "function", "def g()"), ("x_y", "config_key", "x_y: int = 1"), ("z", "config_key", "z: int = 2")], key=repr)
+    one, other = symbols.symbols_and_annotations(spark, given)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(one) == rows(symbols.extract_symbols(given)) and rows(other) == rows(symbols.class_annotations(given))
