@@ -11,6 +11,9 @@ from plumbline.llm.pii import redact_documents
 from plumbline.llm.quality import keep_quality
 from plumbline.llm.shared import materialize, small_batches
 
+#: Words whose ids a worker keeps for packing. Workers outlive the stage, so this memory is missing in the stages of a following run.
+REMEMBERED = 340_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -39,7 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences; a partition's sequences come from its part of the mixture."""
     small_batches(spark)
-    return packed_documents(docs)
+    return packed_documents(docs, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Distinct pieces that a worker remembers; when there are more, it forgets them all and begins again.
+#: Distinct pieces that a worker remembers, about 170 bytes each; when there are more, it forgets them all and begins again.
 REMEMBERED = 1_000_000
 # White space and controls that the two splits below and the library's patterns may see differently.
 ODD = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
@@ -43,15 +43,15 @@ class Encoder(dict):
     with other white space, or with the mark of a special token, go to the library whole. As a dict it holds the ids of pieces.
     """
 
-    def __init__(self, path: str, by_words: bool):
-        self.tokenizer, self.by_words = tokenizer(path), by_words
+    def __init__(self, path: str, by_words: bool, remembered: int = REMEMBERED):
+        self.tokenizer, self.by_words, self.remembered = tokenizer(path), by_words, remembered
         marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = re.compile("|".join(map(re.escape, marks))) if marks else re.compile(r"(?!)")
         # The two ways past the patterns below hold for pre-tokenizers that keep runs of letters whole; others go without.
         self.plain = all(self.tokenizer.encode(w, add_special_tokens=False).ids == self._merged(w) for w in PROBES)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.remembered:
             self.clear()
         word = piece[1:] if piece[0] == " " else piece
         if len(word) > 1 and word[-1] in ".," and self.plain and self._letters(word[:-1]):  # a sign after letters, before white space, is a token of its own
@@ -91,5 +91,5 @@ class Encoder(dict):
 
 
 @lru_cache(4)
-def encoder(path: str, by_words: bool) -> Encoder:
-    return Encoder(path, by_words)
+def encoder(path: str, by_words: bool, remembered: int = REMEMBERED) -> Encoder:
+    return Encoder(path, by_words, remembered)

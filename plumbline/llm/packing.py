@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm.encoding import encoder
+from plumbline.llm.encoding import REMEMBERED, encoder
 from plumbline.llm.shared import materialize, spare, table
 
 CAPACITY = 2048
@@ -52,15 +52,15 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, n
     return bins, offsets, np.array(loads, np.int64)
 
 
-def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, by_words: bool = True, value: str = "ids") -> DataFrame:
-    """Rows (doc_id, piece, start, length, value) of docs(doc_id, text): each whole text's ids and end_id in pieces of capacity, the last shorter.
+Batches = Iterator[pa.RecordBatch]
 
-    value is ids (binary, little-endian unsigned 32-bit) or crc32 of them. Null and empty texts give the end id alone.
-    """
+
+def _cutter(path: str, end_id: int, capacity: int, by_words: bool, value: str, remembered: int) -> tuple[Callable[[Batches], Batches], str]:
+    """What makes batches of pieces() from batches (doc_id, text), and their schema."""
     kind, arrow = {"ids": ("binary", pa.binary()), "crc32": ("long", pa.int64())}[value]
 
     def run(batches):
-        encode, end = encoder(path, by_words).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, by_words, remembered).encode, np.array([end_id], "<u4").tobytes()
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             for lo in range(0, len(doc_ids), 512):
@@ -73,7 +73,26 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, by
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), arrow), strict=True)], names=["doc_id", "piece", "start", "length", value])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, piece int, start long, length long, {value} {kind}")
+    return run, f"doc_id long, piece int, start long, length long, {value} {kind}"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text")
+
+
+def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, by_words: bool = True, value: str = "ids", remembered: int = REMEMBERED) -> DataFrame:
+    """Rows (doc_id, piece, start, length, value) of docs(doc_id, text): each whole text's ids and end_id in pieces of capacity, the last shorter.
+
+    value is ids (binary, little-endian unsigned 32-bit) or crc32 of them. Null and empty texts give the end id alone. remembered:
+    the distinct words whose ids a worker keeps; fewer take less memory and more time.
+    """
+    return _texts(docs).mapInArrow(*_cutter(path, end_id, capacity, by_words, value, remembered))
+
+
+def pack_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, by_words: bool = True, value: str = "ids", remembered: int = REMEMBERED) -> DataFrame:
+    """pack() of pieces(). Both are done by one Python worker of a task: as two steps of Spark, they take two, which stay as long as their executor's others do."""
+    make, schema = _cutter(path, end_id, capacity, by_words, value, remembered)
+    return _pack(_texts(docs), make, StructType.fromDDL(schema), capacity)
 
 
 def best_fit_counts(counts: Mapping[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -136,11 +155,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int | None = None) -
     the shared folder once; other columns stay, those named sequence_id or offset are replaced. The driver holds one count for each
     length; the items of one length are numbered by partition, so no task takes all of them.
     """
-    slack = capacity // 256 if slack is None else slack
     items = items.drop("sequence_id", "offset")
-    names = items.columns
+    return _pack(items, lambda batches: batches, items.schema, capacity, slack)
+
+
+def _pack(rows_: DataFrame, make: Callable[[Batches], Batches], items: StructType, capacity: int, slack: int | None = None) -> DataFrame:
+    """pack() of the items that make gives for batches of rows_."""
+    slack = capacity // 256 if slack is None else slack
+    names = items.names
     bin_, turn_, part_, of_, length_, n_, base_ = (spare(c, names) for c in ("_bin", "_turn", "_part", "_of", "_length", "_n", "_base"))
-    schema = StructType(list(items.schema)).add(bin_, "long").add("offset", "long").add(turn_, "long").add(part_, "integer")
+    schema = StructType(list(items)).add(bin_, "long").add("offset", "long").add(turn_, "long").add(part_, "integer")
     at = names.index("length")
 
     def local(batches):
@@ -164,7 +188,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int | None = None) -
                 whole = whole.append_column(name, pa.array(column))
             return whole.to_batches(max_chunksize=10_000)
 
-        for b in batches:
+        for b in make(batches):
             held.append(b)
             rows += b.num_rows
             if rows >= RUN:
@@ -172,7 +196,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int | None = None) -
         if held:
             yield from flush()
 
-    packed = materialize(items.mapInArrow(local, schema), "packed")
+    packed = materialize(rows_.mapInArrow(local, schema), "packed")
     left = packed.where(F.col(turn_) >= 0).groupBy(part_, F.col("length").cast("long").alias(length_)).agg(F.count("*").alias(n_))
     counts = materialize(left, "packed-counts")  # one row per partition and length
     before = Window.partitionBy(length_).orderBy(part_).rowsBetween(Window.unboundedPreceding, -1)
@@ -197,15 +221,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int | None = None) -
                 offsets[left] = offset[run] + k % each[run] * lengths
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(ids), pa.array(offsets)], names=[*names, "sequence_id", "offset"])
 
-    return numbered.mapInArrow(placed, StructType(list(items.schema)).add("sequence_id", "long").add("offset", "long"))
+    return numbered.mapInArrow(placed, StructType(list(items)).add("sequence_id", "long").add("offset", "long"))
 
 
-def packed_documents(docs: DataFrame) -> DataFrame:
+def packed_documents(docs: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
     """The contract's digest of docs(doc_id, text), packed."""
     import public_tokenizers
 
-    cut = pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, value="crc32").withColumnRenamed("crc32", "ids_crc32")
-    return pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = pack_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, value="crc32", remembered=remembered)
+    return packed.withColumnRenamed("crc32", "ids_crc32").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

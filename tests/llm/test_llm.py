@@ -337,6 +337,33 @@ def test_packing(docs, none):
     assert packing.packed_documents(none).count() == 0
 
 
+def test_packing_takes_one_python_worker_of_a_task(docs, monkeypatch):
+    """Texts are cut and packed in one step: two steps take two workers, and each of an executor's workers comes to hold a tokenizer."""
+    plans = {}
+
+    def stored(df, name, rows=None):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return shared.materialize(df, name, rows)
+
+    monkeypatch.setattr(packing, "materialize", stored)
+    path, _ = library("word_bpe_49k.json")
+    got = packing.packed_documents(docs)
+    assert plans["packed"].count("MapInArrow") == 1
+    two = packing.pack(packing.pieces(docs, path, 0, value="crc32"))
+    assert plans["packed"].count("MapInArrow") == 2
+    names = ("doc_id", "piece", "start", "length", "offset", "crc")
+    assert rows(got.withColumnRenamed("ids_crc32", "crc"), *names) == rows(two.withColumnRenamed("crc32", "crc"), *names)
+
+
+def test_encoder_remembers_a_bounded_number_of_pieces():
+    path, library_ = library("word_bpe_49k.json")
+    e = encoding.Encoder(path, True, remembered=50)
+    for k in range(200):
+        t = f"The w{k}ord and{k * 7}, x{k % 9}"
+        assert e.encode(t) == np.array(library_.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(e) <= 52
+
+
 def test_packing_is_close_to_the_bound(spark):
     rng = random.Random(2)
     sizes = [min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(4000)]
