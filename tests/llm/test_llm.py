@@ -338,7 +338,7 @@ def test_packing(docs, none):
 
 
 def test_packing_takes_one_python_worker_of_a_task(docs, monkeypatch):
-    """Texts are cut and packed in one step: two steps take two workers, and each of an executor's workers comes to hold a tokenizer."""
+    """Texts are cut and packed in one step: two steps take two workers, and more of an executor's workers come to hold a tokenizer."""
     plans = {}
 
     def stored(df, name, rows=None):
