@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.encoding import encoder, tokenizer
+from plumbline.llm.encoding import column_encoder, tokenizer
 from plumbline.llm.shared import materialize, shared_dir, table
 
 MANIFEST = "shard int, folder string, wide boolean, n_docs long, n_tokens long"
@@ -44,8 +44,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, by_words: bool = False
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def write(batches):
-        encode, kind = encoder(path, by_words).encode, "<u4" if wide else "<u2"
-        end = np.array([end_id], "<u4").tobytes()
+        encode, kind = column_encoder(path, by_words).encode, "<u4" if wide else "<u2"
         place, at = arrow_fs.FileSystem.from_uri(folder)
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         ids_of, sizes, out = [], [], None
@@ -53,20 +52,19 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, by_words: bool = False
             if out is None:
                 place.create_dir(at, recursive=True)
                 out = place.open_output_stream(f"{at}/.{attempt}-tokens")
-            for text in b.column(1).to_pylist():
-                ids = np.frombuffer(encode(text) + end, "<u4")
-                sizes.append(len(ids))
-                out.write(ids.astype(kind).tobytes())
+            for ids, counts in encode(b, "text"):
+                out.write(np.insert(ids.astype(kind), np.cumsum(counts), end_id).tobytes())
+                sizes.append(counts + 1)
             ids_of.append(b.column(0).to_numpy(zero_copy_only=False).astype("<i8"))
         if out is None:
             return
         out.close()
-        offsets = np.concatenate(([0], np.cumsum(np.array(sizes, "<i8")))).astype("<i8")
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype("<i8")
         with place.open_output_stream(f"{at}/.{attempt}-index") as index:
-            index.write(np.array([len(sizes)], "<i8").tobytes() + offsets.tobytes() + np.concatenate(ids_of).tobytes())
+            index.write(np.array([len(offsets) - 1], "<i8").tobytes() + offsets.tobytes() + np.concatenate(ids_of).tobytes())
         for name in ("tokens", "index"):
             place.move(f"{at}/.{attempt}-{name}", f"{at}/{name}-{shard:06d}.bin")
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "folder": [folder], "wide": [wide], "n_docs": [len(sizes)], "n_tokens": [int(offsets[-1])]})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "folder": [folder], "wide": [wide], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])]})
 
     ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = materialize(ordered.mapInArrow(write, MANIFEST), "manifest")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +293,52 @@ def test_encoder_equals_the_library(name, by_words):
         assert encode(t) == np.array(library_.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def columns_of(encoder, texts):
+    out = []
+    for ids, counts in encoder.encode(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), "text"):
+        assert len(ids) == counts.sum()
+        out += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    return out
+
+
+@pytest.mark.parametrize("joined", [True, False])
+@pytest.mark.parametrize(("name", "by_words"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_column_encoder_equals_the_library(name, by_words, joined, monkeypatch):
+    """Odd texts beside plain ones, empty and null ones, a text longer than a step, marks of special tokens, and few pieces remembered."""
+    monkeypatch.setattr(encoding, "COLUMN_BYTES", 700)
+    monkeypatch.setattr(encoding, "JOINED_PIECES", 30)
+    path, library_ = library(name)
+    column, rng = encoding.ColumnEncoder(path, by_words, remembered=200), random.Random(2)
+    assert column.joined == (not by_words)
+    column.joined, column.signs = column.joined and joined, column.signs and joined
+    plain, odd = "abcIZ\u0130\u00df\u00e9'\u2019.,!-_019 \n\u4e16\U0001f642", "ab., \t\n\r\x00\u00a0\u2003\u0301"
+    texts = ["".join(rng.choice(odd if k % 5 == 0 else plain) for _ in range(rng.randint(0, 16))) if k % 9 else None for k in range(3000)]
+    texts += ["", None, " ", "\n", "\n\n", ".", "a.", " a, ", "b,\nc.", "x <|endoftext|> y", "<|endoftext|>", "z"]
+    texts += [" ".join(f"w{k}ord, {k} it's." for k in range(500)), "a" * 2000 + " " + "b" * 1500 + "\nc", "  " + "d e " * 400, None]
+    assert columns_of(column, texts) == [library_.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert columns_of(column, []) == [] and columns_of(column, [None, ""]) == [[], []]
+
+
+def test_token_files_ask_the_library_for_many_pieces_at_once():
+    """Each new piece is in one text with many others; with one call for each, encoding took most of the time."""
+    path, library_ = library("byte_bpe_50k.json")
+    column, asked = encoding.ColumnEncoder(path, False), []
+
+    class Counted:
+        def encode(self, text, **more):
+            asked.append(text)
+            return library_.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return library_.encode_batch_fast(texts, **more)
+
+    column.single.tokenizer = Counted()
+    texts = [f"Word{k % 500} and w{k}, x{k % 90}. The{k}." for k in range(3000)]
+    assert columns_of(column, texts) == [library_.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) < 10
+
+
 def test_token_files_of_many_shards(spark, docs, monkeypatch):
     """The number of files follows the bytes of text; columns of other names are ignored."""
     monkeypatch.setattr(token_files, "SHARD_BYTES", 4000)
